@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import mix_sources
+from lodestar.llm import line_dedup, mix_sources, secret_scans
 
 
 def _over(name: str, query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -16,6 +16,8 @@ def _over(name: str, query: Callable[[DataFrame], DataFrame]) -> Callable[[Spark
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to callable."""
     return {
+        "op2_secret_scans": _over("documents", secret_scans.op2_secret_scans),
+        "op3_line_dedup": _over("documents", line_dedup.op3_line_dedup),
         "op8_mix_sources": _over("documents", mix_sources.op8_mix_sources),
     }
 
@@ -23,5 +25,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     """Query name to DuckDB SQL."""
     return {
+        "op3_line_dedup": line_dedup.OP3_SQL,
         "op8_mix_sources": mix_sources.OP8_SQL,
     }
