@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import line_dedup, mix_sources, secret_scans
+from lodestar.llm import bin_packing, line_dedup, mix_sources, secret_scans
 
 
 def _over(name: str, query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_secret_scans": _over("documents", secret_scans.op2_secret_scans),
         "op3_line_dedup": _over("documents", line_dedup.op3_line_dedup),
+        "op7_bin_packing": _over("documents", bin_packing.op7_bin_packing),
         "op8_mix_sources": _over("documents", mix_sources.op8_mix_sources),
     }
 
