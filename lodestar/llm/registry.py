@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import bin_packing, line_dedup, mix_sources, secret_scans
+from lodestar.llm import bin_packing, line_dedup, mix_sources, secret_scans, topk_search
 
 
 def _over(name: str, query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -16,6 +16,7 @@ def _over(name: str, query: Callable[[DataFrame], DataFrame]) -> Callable[[Spark
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to callable."""
     return {
+        "op1_topk_search": _over("embeddings", topk_search.op1_topk_search),
         "op2_secret_scans": _over("documents", secret_scans.op2_secret_scans),
         "op3_line_dedup": _over("documents", line_dedup.op3_line_dedup),
         "op7_bin_packing": _over("documents", bin_packing.op7_bin_packing),
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     """Query name to DuckDB SQL."""
     return {
+        "op1_topk_search": topk_search.OP1_SQL,
         "op3_line_dedup": line_dedup.OP3_SQL,
         "op8_mix_sources": mix_sources.OP8_SQL,
     }
