@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import bin_packing, line_dedup, mix_sources, secret_scans, topk_search
+from lodestar.llm import bin_packing, line_dedup, mix_sources, secret_scans, topk_search, toxicity
 
 
 def _over(name: str, query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: query(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return lambda spark, sf_dir: query(_table(spark, sf_dir, name))
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +25,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_line_dedup": _over("documents", line_dedup.op3_line_dedup),
         "op7_bin_packing": _over("documents", bin_packing.op7_bin_packing),
         "op8_mix_sources": _over("documents", mix_sources.op8_mix_sources),
+        "op9_toxicity": lambda spark, sf_dir: toxicity.op9_toxicity(
+            _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+        ),
     }
 
 
