@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import bin_packing, line_dedup, mix_sources, secret_scans, topk_search, toxicity
+from lodestar.llm import bin_packing, html_extraction, line_dedup, mix_sources, secret_scans, topk_search, toxicity
 
 
 def _over(name: str, query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_topk_search": _over("embeddings", topk_search.op1_topk_search),
         "op2_secret_scans": _over("documents", secret_scans.op2_secret_scans),
         "op3_line_dedup": _over("documents", line_dedup.op3_line_dedup),
+        "op4_html_extraction": _over("pages", html_extraction.op4_html_extraction),
         "op7_bin_packing": _over("documents", bin_packing.op7_bin_packing),
         "op8_mix_sources": _over("documents", mix_sources.op8_mix_sources),
         "op9_toxicity": lambda spark, sf_dir: toxicity.op9_toxicity(
