@@ -5,8 +5,9 @@ order of (key, size, text hash); prefix sums of their word counts over that
 order say where the source's budget is used up. The prefix sums are distributed:
 key ranges are summed first, a running sum over the ranges finds the one that
 holds the cut, and only that range's rows are ordered. The result of all this is
-one small row for each source, the cut, which each document is compared with, so
-texts never move.
+one small row for each source, the cut, which each document is compared with. The
+cuts are a written table: where it is small, Spark broadcasts it and documents
+don't move; beyond that documents are dealt by source and salt.
 
 Defined results: a null text has size 0; a null source is a source of its own,
 ordered last; a source without words has target 0; an empty table gives an empty
@@ -24,6 +25,8 @@ from lodestar.llm.scratch import written
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents that a key range holds on average, and bounds on the number of ranges.
 RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 2048, 64, 65536
+#: Parts that the rows of one source are dealt to.
+SALTS = 16
 
 
 def _same(a, b):
@@ -111,7 +114,8 @@ def _cuts(keyed: DataFrame, weights, share, cap) -> DataFrame:
             F.floor((F.col("left") - F.col("before")) / F.col("equal")).cast("long").alias("partial"),
         )
     )
-    return t.join(cut, _same(F.col("t_source"), F.col("c_source")), "left").drop("c_source", "rest")
+    found = t.join(cut, _same(F.col("t_source"), F.col("c_source")), "left").drop("c_source", "rest")
+    return written(found, "mix-cuts").withColumn("t_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
 def mix_sources(docs: DataFrame, weights=(3, 1, 2), share=(3, 2), cap: int = 2, seed: int = 0,
@@ -133,7 +137,8 @@ def _taken(rows: DataFrame, source_col: str, cuts: DataFrame) -> DataFrame:
     size = F.col("mix_size")
     last = F.when(mark < F.col("cut"), size).when(mark == F.col("cut"), F.col("partial")).otherwise(0)
     taken = size * F.coalesce(F.col("epochs"), F.lit(0)) + F.coalesce(last, F.lit(0))
-    return rows.join(cuts, _same(rows[source_col], F.col("t_source"))).select(
+    salt = F.pmod(F.coalesce(F.col("mix_tie"), F.lit(0)), F.lit(SALTS)).cast("int")
+    return rows.join(cuts, _same(rows[source_col], F.col("t_source")) & (salt == F.col("t_salt"))).select(
         *[rows[c] for c in kept if c not in ("mix_key", "mix_tie")],
         F.col("source_size").alias("mix_source_size"),
         F.col("target").alias("mix_target"),
