@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import bin_packing, html_extraction, line_dedup, mix_sources, secret_scans, topk_search, toxicity
+from lodestar.llm import bin_packing, html_extraction, jaccard_join, line_dedup, mix_sources, secret_scans, topk_search, toxicity
 
 
 def _over(name: str, query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -29,6 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_toxicity": lambda spark, sf_dir: toxicity.op9_toxicity(
             _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
         ),
+        "op10_jaccard_join": _over("documents", jaccard_join.op10_jaccard_join),
     }
 
 
