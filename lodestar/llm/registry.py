@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import bin_packing, html_extraction, jaccard_join, line_dedup, mix_sources, secret_scans, suffix_dedup, topk_search, toxicity
+from lodestar.llm import bin_packing, fingerprints, html_extraction, jaccard_join, line_dedup, mix_sources, secret_scans, suffix_dedup, topk_search, toxicity
 
 
 def _over(name: str, query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -25,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_line_dedup": _over("documents", line_dedup.op3_line_dedup),
         "op4_html_extraction": _over("pages", html_extraction.op4_html_extraction),
         "op5_suffix_dedup": _over("documents", suffix_dedup.op5_suffix_dedup),
+        "op6_fingerprints": _over("documents", fingerprints.op6_fingerprints),
         "op7_bin_packing": _over("documents", bin_packing.op7_bin_packing),
         "op8_mix_sources": _over("documents", mix_sources.op8_mix_sources),
         "op9_toxicity": lambda spark, sf_dir: toxicity.op9_toxicity(
