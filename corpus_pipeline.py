@@ -1,16 +1,79 @@
-"""A corpus pipeline of training-data operators over the documents table."""
+"""A corpus pipeline over the documents table, made of the training-data operators.
+
+Each stage takes (spark, docs, sf_dir), works on all that the stage before it
+kept, and returns a DataFrame, which is written as Parquet and read again for the
+next stage. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestar.llm import bin_packing, jaccard_join, line_dedup, mix_sources, toxicity
+from lodestar.llm.scratch import written
+
+#: Shingle width and similarity, in percent, of the near-duplicate stage.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the random field scores below a half stay."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    chain = toxicity.fit(docs, labels)
+    scored = toxicity.tag(docs, chain, carry=True)
+    return scored.where("score < 0.5").select(*docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that are boilerplate within their source go; documents stay."""
+    clean = line_dedup.dedup_lines(docs)
+    if "n_chars" in docs.columns:
+        length = F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)
+        clean = clean.withColumn("n_chars", F.when(F.col("lines_removed") > 0, length).otherwise(F.col("n_chars")))
+    return clean.select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: that of the least id, once."""
+    classes = written(jaccard_join.link_components(docs, width=NEAR_WORDS, percent=NEAR_PERCENT), "near-classes")
+    copies = classes.where("component_id <> doc_id").select("doc_id").distinct()
+    kept = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    repeated = classes.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if repeated.isEmpty():
+        return kept
+    repeated = written(repeated, "repeated-ids")
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).union(once)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights; a document that the mix takes twice comes twice."""
+    return mix_sources.mixed_documents(docs).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix as packed sequences: where each piece of a document stands."""
+    return bin_packing.pack_documents(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_lines),
+    ("near_duplicates", drop_near_copies),
+    ("mixing", mix),
+    ("packing", pack),
+]
 
-STAGES: list = []
+#: SQL can express neither the random field nor a tokenizer; tests hold stages against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order over documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, f"pipeline-{name}")
     return docs

@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORD = re.compile(r"\w+")
 #: Labelled documents of each label that a fit takes at most; folds, of which the first is held out.
@@ -254,19 +255,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return chain
 
 
-def tag(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, score, spans): spans are (start, end, marginal) of offending word runs, in characters."""
+def tag(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """Rows (id, score, spans): spans are (start, end, marginal) of offending word runs, in characters.
+
+    carry: the rows of `docs` with score and spans instead; names of docs come first.
+    """
     model = docs.sparkSession.sparkContext.broadcast(chain)
+    kept = docs.columns if carry else [id_col]
 
     def run(batches):
         chain = model.value
         cache = Emissions(chain)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
+            ids, texts = [batch.column(i) for i in range(len(kept))], batch.column(batch.num_columns - 1)
             at = 0
-            while at < len(ids):
+            while at < len(texts):
                 words, lengths, begin = [], [], at
-                while at < len(ids) and len(words) < CHUNK_WORDS:
+                while at < len(texts) and len(words) < CHUNK_WORDS:
                     own = _words(texts[at].as_py())
                     words += own
                     lengths.append(len(own))
@@ -280,14 +285,14 @@ def tag(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "
                     for i in range(len(lengths))
                 ]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(begin, at - begin), pa.array(chain.document_score(total, most, lengths)),
+                    [*[c.slice(begin, at - begin) for c in ids], pa.array(chain.document_score(total, most, lengths)),
                      pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("marginal", pa.float64())])))],
-                    names=[id_col, "score", "spans"],
+                    names=[*kept, "score", "spans"],
                 )
 
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
-    out = f"{id_col} {kind}, score double, spans array<struct<start:bigint,end:bigint,marginal:double>>"
-    return docs.select(id_col, text_col).mapInArrow(run, out)
+    span = T.StructType().add("start", "long").add("end", "long").add("marginal", "double")
+    schema = docs.select(*kept).schema.add("score", "double").add("spans", T.ArrayType(span))
+    return docs.select(*kept, F.col(text_col).alias("scored_text")).mapInArrow(run, schema)
 
 
 def _spans(text: str, p: np.ndarray) -> list[dict]:
