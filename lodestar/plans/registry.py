@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestar.plans import search_queries, state_queries
+
+_ALL = {**state_queries.QUERIES, **search_queries.QUERIES}
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to callable."""
-    return {}
+    return {name: query for name, (query, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     """Query name to DuckDB SQL."""
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
