@@ -48,7 +48,7 @@ def extract_domain(url: Column, excluded: tuple[str, ...] = AGGREGATOR_DOMAINS +
     s = F.lower(F.trim(url))
     s = F.regexp_replace(s, r"^.*?://", "")
     s = F.regexp_replace(s, r"[/?#].*$", "")
-    s = F.trim(F.lit("."), F.regexp_replace(s, r"^www\.", ""))
+    s = F.trim(F.regexp_replace(s, r"^www\.", ""), F.lit("."))
     bad = F.exists(F.array(*[F.lit(d) for d in excluded]), lambda d: F.contains(s, d))
     return F.when((s != "") & F.contains(s, F.lit(".")) & ~bad, s)
 
@@ -57,7 +57,7 @@ def kebab(raw: Column) -> Column:
     """Lower case, words joined by single hyphens, only a-z, 0-9 and hyphens."""
     s = F.regexp_replace(F.lower(F.trim(F.coalesce(raw, F.lit("")))), r"[_/\s]+", "-")
     s = F.regexp_replace(F.regexp_replace(s, r"[^a-z0-9-]", ""), r"-{2,}", "-")
-    return F.trim(F.lit("-"), s)
+    return F.trim(s, F.lit("-"))
 
 
 def estimate_tokens(text: Column) -> Column:
@@ -119,6 +119,6 @@ def informative(clean: Column) -> Column:
 
 def excerpt(text: Column, needle: Column, around: int = 40) -> Column:
     """The needle with `around` characters on either side, at its first place."""
-    at = F.locate("", text) if needle is None else F.instr(text, needle)
+    at = F.position(needle, text)
     start = F.greatest(F.lit(1), at - around)
     return F.when(at > 0, F.trim(F.substring(text, start, at - start + F.length(needle) + around)))

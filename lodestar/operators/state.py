@@ -122,7 +122,7 @@ def signal_distance(before: DataFrame, after: DataFrame, signals: DataFrame) ->
     ).join(F.broadcast(signals.select("signal", "importance")), "signal", "left")  # fixed list of signals
     change = F.abs(F.col("new") - F.col("old")) * F.coalesce("importance", F.lit(1.0))
     return joined.groupBy("entity_id").agg(F.sum(change).alias("d")).select(
-        "entity_id", F.round("d", 6).alias("distance"), (F.col("d") > SNAPSHOT_DISTANCE).alias("snapshot")
+        "entity_id", F.round("d", 8).alias("distance"), (F.col("d") > SNAPSHOT_DISTANCE).alias("snapshot")
     )
 
 

@@ -101,7 +101,7 @@ WITH m AS (
   SELECT a.entity_id, sum(abs(b.score - a.score)) AS d FROM m a JOIN m b ON a.entity_id = b.entity_id AND a.event_type = b.event_type AND a.before AND NOT b.before
   GROUP BY a.entity_id
 )
-SELECT entity_id, round(d, 6) AS distance, d > CAST(0.15 AS DOUBLE) AS snapshot FROM x
+SELECT entity_id, round(d, 8) AS distance, d > CAST(0.15 AS DOUBLE) AS snapshot FROM x
 """
 
 
