@@ -13,8 +13,12 @@
    joined to components. Then only rows of one bucket whose components still
    differ are paired, so a large group of near copies costs one pair for each
    copy, while no two sets that link stay apart.
-4. Pairs are verified on the whole sets, after an exact bound on the overlap by
-   64 counters of each set has removed most that don't link.
+4. Pairs are verified exactly. The first round compares whole sets, after a bound
+   on the overlap by 64 counters of each set has removed most that don't link. Its
+   comparisons leave each set as its few differences from a set that many are
+   near. In the second round the sets of one such reference are compared by these
+   differences, a block at a time, and only pairs of different references are
+   paired and compared as whole sets.
 
 Set hashes collide with a probability of about 1e-14 for a pair of 500-word
 texts, sets by their 128-bit digests practically never.
@@ -39,9 +43,13 @@ from lodestar.llm.hashing import Roller, mixed
 from lodestar.llm.scratch import written
 
 #: Frequent shingles that the order knows at most, and their least count within a task's buffer.
-FREQUENT, LEAST_COUNT = 1 << 16, 4
+FREQUENT, LEAST_COUNT = 1 << 20, 2
 #: Text bytes hashed at once, hashes counted at once, counters of a set, parts of a hot key.
-CHUNK_BYTES, COUNT_ROWS, COUNTERS, SALTS = 1 << 20, 1 << 21, 64, 16
+CHUNK_BYTES, COUNT_ROWS, COUNTERS, SALTS = 1 << 20, 1 << 20, 64, 16
+#: Percent below a link down to which a compared pair's differences are kept as references.
+NEAR_SLACK = 30
+#: Sets of one reference that are compared at once.
+BLOCK_SETS = 256
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _ROLLERS: dict[bool, Roller] = {}
@@ -123,56 +131,147 @@ def frequent_shingles(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
             yield emit(held)
 
     counted = docs.select(text_col).mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas()
-    return top.sort_values(["n", "h"])["h"].to_numpy(np.int64).view(np.uint64)
+    counted = written(counted.withColumn("level", F.floor(F.ln("n") * 100)), "shingle-counts")
+    # levels are logarithms, so there are a few thousand at most
+    sizes = counted.groupBy("level").agg(F.count(F.lit(1)).alias("held")).collect()
+    level, room = None, FREQUENT
+    for row in sorted(sizes, key=lambda r: -r["level"]):
+        room -= row["held"]
+        if room < 0:
+            break
+        level = row["level"]
+    if level is None:
+        return np.empty(0, np.uint64)
+    top = counted.where(F.col("level") >= level).select("h", "n").toArrow()
+    h, n = (top.column(c).to_numpy() for c in ("h", "n"))
+    return h[np.lexsort((h, n))].view(np.uint64)
 
 
 def _least_share(percent: int, n: np.ndarray | int):
     return -(-percent * n // 100)
 
 
-def set_rows(docs: DataFrame, frequent, id_col: str, text_col: str, width: int, percent: int, whole: bool) -> DataFrame:
-    """Rows (id, n, sig, prefix, counters), or (sig, tokens) with whole sets."""
+def set_rows(docs: DataFrame, frequent: np.ndarray, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """Rows (id, n, sig, gk, prefix, counters): size, digest, group, ordered prefix and counters of each set."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
-        order = np.argsort(shared.value) if not whole else None
-        known = shared.value[order] if not whole else None
+        order = np.argsort(shared.value)
+        known = shared.value[order]
         for batch in batches:
             ids = batch.column(0)
             for first, texts in _chunks(batch.column(1)):
                 sets = shingle_sets(texts, width)
-                sigs = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
-                if whole:
-                    yield pa.RecordBatch.from_arrays(
-                        [sigs, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["sig", "tokens"]
-                    )
-                    continue
-                prefixes, counters = [], []
+                prefixes = []
                 for s in sets:
                     n = len(s)
-                    if not n:
-                        prefixes.append(np.empty(0, np.int64))
-                        counters.append(b"")
-                        continue
-                    if len(known):
+                    if n and len(known):
                         at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                         late = known[at] == s
-                        s_in_order = np.concatenate([s[~late], s[late][np.argsort(order[at[late]], kind="stable")]])
-                    else:
-                        s_in_order = s
-                    prefixes.append(s_in_order[: n - _least_share(percent, n) + 1].view(np.int64))
-                    counters.append(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=COUNTERS).astype("<u4").tobytes())
+                        s = np.concatenate([s[~late], s[late][np.argsort(order[at[late]], kind="stable")]])
+                    prefixes.append(s[: n - _least_share(percent, n) + 1].view(np.int64) if n else s.view(np.int64))
+                groups = [
+                    int.from_bytes(hashlib.blake2b(p.tobytes(), digest_size=8, salt=str(len(s)).encode()).digest(), "little", signed=True)
+                    for s, p in zip(sets, prefixes, strict=True)
+                ]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, len(texts)), pa.array([len(s) for s in sets], pa.int64()), sigs,
-                     pa.array(prefixes, pa.list_(pa.int64())), pa.array(counters, pa.binary())],
-                    names=["id", "n", "sig", "prefix", "counters"],
+                    [ids.slice(first, len(texts)), pa.array([len(s) for s in sets], pa.int64()), _digests(sets),
+                     pa.array(groups, pa.int64()), pa.array([p.tobytes() for p in prefixes], pa.binary()), pa.array(map(_counters, sets), pa.binary())],
+                    names=["id", "n", "sig", "gk", "prefix", "counters"],
                 )
 
-    if whole:
-        return docs.select(id_col, text_col).mapInArrow(run, "sig binary, tokens array<long>")
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n long, sig binary, prefix array<long>, counters binary")
+    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n long, sig binary, gk long, prefix binary, counters binary")
+
+
+def _counters(s: np.ndarray) -> bytes:
+    """How many tokens of a set fall in each of COUNTERS parts, as short numbers where they fit."""
+    n = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=COUNTERS)
+    return n.astype("<u2" if n.max(initial=0) < 1 << 16 else "<u4").tobytes()
+
+
+def _counter_rows(column: list[bytes]) -> np.ndarray:
+    return np.stack([np.frombuffer(c, "<u2" if len(c) == 2 * COUNTERS else "<u4").astype(np.uint32) for c in column])
+
+
+def _digests(sets: list[np.ndarray]) -> pa.Array:
+    return pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
+
+
+def whole_sets(docs: DataFrame, text_col: str, width: int) -> DataFrame:
+    """Rows (sig, tokens): whole sets."""
+
+    def run(batches):
+        for batch in batches:
+            for _, texts in _chunks(batch.column(0)):
+                sets = shingle_sets(texts, width)
+                yield pa.RecordBatch.from_arrays([_digests(sets), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["sig", "tokens"])
+
+    return docs.select(text_col).mapInArrow(run, "sig binary, tokens array<long>")
+
+
+TOKEN = np.dtype([("t", "<i8"), ("gk", "<i8"), ("n", "<i4"), ("pos", "<i4")])
+
+
+def shared_tokens(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """Rows (token, gk, n, pos) of prefix tokens that two groups or more may hold.
+
+    Tokens are dealt by their hash as packed arrays, and only those that come
+    twice leave the task. Frequent tokens, the only ones whose rows could fill a
+    task, are dealt by their group too and all leave it.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shared = rows.sparkSession.sparkContext.broadcast(np.sort(frequent.view(np.int64)))
+
+    def spread(t: np.ndarray, gk: np.ndarray) -> np.ndarray:
+        known = shared.value
+        hot = known[np.minimum(np.searchsorted(known, t), len(known) - 1)] == t if len(known) else np.zeros(len(t), bool)
+        with np.errstate(over="ignore"):
+            place = np.where(hot, mixed(t.view(np.uint64) + mixed(gk.view(np.uint64))), t.view(np.uint64))
+        return (mixed(place) % np.uint64(parts)).astype(np.int64)
+
+    def pack(batches):
+        def emit(held):
+            own = np.unique(np.concatenate(held))  # copies within the buffer fall together
+            part = spread(own["t"], own["gk"])
+            order = np.argsort(part, kind="stable")
+            own, cuts = own[order], np.searchsorted(part[order], np.arange(parts + 1))
+            used = np.flatnonzero(np.diff(cuts))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(used.astype(np.int32)), pa.array([own[cuts[k] : cuts[k + 1]].tobytes() for k in used], pa.binary())],
+                names=["part", "payload"],
+            )
+
+        held, rows = [], 0
+        for batch in batches:
+            for n, gk, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                tokens = np.frombuffer(raw, np.int64)
+                own = np.empty(len(tokens), TOKEN)
+                own["t"], own["gk"], own["n"], own["pos"] = tokens, gk, n, np.arange(len(tokens))
+                held.append(own)
+                rows += len(own)
+                if rows >= COUNT_ROWS // 2:
+                    yield emit(held)
+                    held, rows = [], 0
+        if held:
+            yield emit(held)
+
+    def keep(batches):
+        held = [np.frombuffer(p, TOKEN) for batch in batches for p in batch.column(1).to_pylist()]
+        if not held:
+            return
+        own = np.unique(np.concatenate(held))
+        first = np.append(True, own["t"][1:] != own["t"][:-1])
+        size = np.bincount(np.cumsum(first) - 1)[np.cumsum(first) - 1]
+        known = shared.value
+        hot = known[np.minimum(np.searchsorted(known, own["t"]), len(known) - 1)] == own["t"] if len(known) else np.zeros(len(own), bool)
+        own = own[(size > 1) | hot]
+        for a in range(0, len(own), 1 << 16):
+            part = own[a : a + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[c]) for c in ("t", "gk", "n", "pos")], names=["token", "gk", "n", "pos"])
+
+    packed = rows.select("n", "gk", "prefix").mapInArrow(pack, "part int, payload binary")
+    return packed.repartition(parts, "part").mapInArrow(keep, "token long, gk long, n int, pos int")
 
 
 def _enough(overlap: Column, sizes: Column, percent: int) -> Column:
@@ -185,27 +284,114 @@ def _possible(a: str, b: str, percent: int) -> Column:
     return _enough(room, F.col(f"{a}.n") + F.col(f"{b}.n"), percent)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, whole: DataFrame, percent: int, name: str) -> DataFrame:
-    """The pairs (a, b) of set ids that link."""
+def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, percent: int, name: str) -> DataFrame:
+    """Rows (a, b, n_a, n_b, linked, a_only, b_only) of the pairs of set ids that are near, linked or not.
+
+    a_only and b_only are the tokens that one of the two has. docs: rep, text.
+    """
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    side = lambda t, c, extra: t.select(F.col("sid").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in extra])
-    bounded = pairs.join(side(sets, "a", ("n", "counters")), "a").join(side(sets, "b", ("n", "counters")), "b")
+    side = lambda t, c, *extra: t.select(F.col("sid").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in extra])
+    bounded = pairs.join(side(sets, "a", "n", "counters"), "a").join(side(sets, "b", "n", "counters"), "b")
 
     def bound(batches):
         for batch in batches:
             t = pa.Table.from_batches([batch])
-            x, y = (
-                np.frombuffer(b"".join(t.column(c).to_pylist()), "<u4").reshape(-1, COUNTERS) for c in ("counters_a", "counters_b")
-            )
-            total = t.column("n_a").to_numpy() + t.column("n_b").to_numpy()
-            keep = np.minimum(x, y).sum(1, dtype=np.int64) * (100 + percent) >= total * percent
-            yield from t.select(["a", "b", "n_a", "n_b"]).filter(pa.array(keep)).to_batches()
+            if t.num_rows:
+                x, y = (_counter_rows(t.column(c).to_pylist()) for c in ("counters_a", "counters_b"))
+                total = t.column("n_a").to_numpy() + t.column("n_b").to_numpy()
+                keep = np.minimum(x, y).sum(1, dtype=np.int64) * (100 + percent) >= total * percent
+                yield from t.select(["a", "b", "n_a", "n_b"]).filter(pa.array(keep)).to_batches()
 
     kept = bounded.select("a", "b", "n_a", "n_b", "counters_a", "counters_b").mapInArrow(bound, "a long, b long, n_a long, n_b long")
     kept = written(kept, f"{name}-bounded")
-    full = kept.join(side(whole, "a", ("tokens",)), "a").join(side(whole, "b", ("tokens",)), "b")
-    overlap = F.size(F.array_intersect("tokens_a", "tokens_b")).cast("long")
-    return written(full.where(_enough(overlap, F.col("n_a") + F.col("n_b"), percent)).select("a", "b"), name)
+    # the texts that are compared; where these are few, their ids are broadcast and texts don't move
+    wanted = kept.select(F.col("a").alias("sid")).union(kept.select("b")).distinct()
+    wanted = written(sets.join(wanted, "sid", "left_semi").select("sid", "sig", "rep"), f"{name}-wanted")
+    whole = whole_sets(docs.join(wanted.select("rep").distinct(), "rep", "left_semi"), "text", width)
+    whole = written(whole.join(wanted.select("sid", "sig"), "sig").select("sid", "tokens"), f"{name}-sets")
+    full = kept.join(side(whole, "a", "tokens"), "a").join(side(whole, "b", "tokens"), "b")
+    full = full.select("a", "b", "n_a", "n_b", F.array_except("tokens_a", "tokens_b").alias("a_only"), F.array_except("tokens_b", "tokens_a").alias("b_only"))
+    overlap = F.col("n_a") - F.size("a_only")
+    total = F.col("n_a") + F.col("n_b")
+    near = full.where(_enough(overlap, total, max(0, percent - NEAR_SLACK)))
+    return written(near.withColumn("linked", _enough(overlap, total, percent)), name)
+
+
+def _references(near: DataFrame) -> DataFrame:
+    """Rows (sid, ref, n_ref, lost, own): each set as what it lacks and has against a set that many are near.
+
+    Of itself and the sets that it was compared with, a set takes the one with most comparisons.
+    """
+    empty = F.array().cast("array<bigint>")
+    seen = near.select(F.col("a").alias("sid"), F.col("b").alias("ref"), F.col("n_b").alias("n_ref"), F.col("b_only").alias("lost"), F.col("a_only").alias("own")).union(
+        near.select(F.col("b").alias("sid"), F.col("a").alias("ref"), F.col("n_a").alias("n_ref"), F.col("a_only").alias("lost"), F.col("b_only").alias("own")))
+    degree = written(seen.groupBy("ref").agg(F.count(F.lit(1)).alias("held"), F.first("n_ref").alias("n_ref")), "reference-degrees")
+    salted = degree.select("ref", "held", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    seen = seen.withColumn("salt", F.pmod(F.xxhash64("sid"), F.lit(SALTS)).cast("int")).join(salted, ["ref", "salt"])
+    itself = degree.select(F.col("ref").alias("sid"), "ref", "n_ref", empty.alias("lost"), empty.alias("own"), "held")
+    options = seen.select("sid", "ref", "n_ref", "lost", "own", "held").union(itself)
+    best = options.groupBy("sid").agg(F.max_by(F.struct("ref", "n_ref", "lost", "own"), F.struct("held", -F.col("ref"))).alias("x"))
+    return written(best.select("sid", "x.*"), "references")
+
+
+def _within_references(references: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join components among the sets of one reference.
+
+    overlap = |ref| - |lost by a or b| + |own to both|, exactly, for all pairs of
+    a block of sets at once by products of their 0-1 rows. Large references are
+    dealt as pairs of blocks. Only links that join something leave a task.
+    """
+    rows = references.join(placed.select("sid", "component"), "sid")
+    mixed_refs = rows.groupBy("ref").agg(F.count(F.lit(1)).alias("held"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    blocks = F.ceil(F.col("held") / BLOCK_SETS).cast("int")
+    mixed_refs = written(mixed_refs.select("ref", blocks.alias("blocks")), "mixed-references")
+    salted = mixed_refs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("sid"), F.lit(SALTS)).cast("int")).join(salted, ["ref", "salt"])
+    own = F.pmod(F.xxhash64(F.lit(3), "sid"), F.col("blocks")).cast("int")
+    rows = rows.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("ref", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "sid", "component", "n_ref", "lost", "own")
+
+    def links(table: pa.Table) -> pa.Table:
+        sid, comp = (table.column(c).to_numpy() for c in ("sid", "component"))
+        n_ref = int(table.column("n_ref")[0].as_py())
+        lost, n_lost = _rows_of(table.column("lost"))
+        owned, n_own = _rows_of(table.column("own"))
+        both_lost, both_own = lost @ lost.T, owned @ owned.T
+        size = n_ref - n_lost + n_own
+        overlap = n_ref - (n_lost[:, None] + n_lost[None, :] - both_lost) + both_own
+        linked = overlap * (100 + percent) >= (size[:, None] + size[None, :]) * percent
+        group = {int(c): int(c) for c in np.unique(comp)}
+
+        def find(x):
+            while group[x] != x:
+                group[x] = group[group[x]]
+                x = group[x]
+            return x
+
+        a, b = np.nonzero(np.triu(linked & (comp[:, None] != comp[None, :]), 1))
+        out = []
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            p, q = find(int(comp[x])), find(int(comp[y]))
+            if p != q:
+                group[max(p, q)] = min(p, q)
+                out.append((int(sid[x]), int(sid[y])))
+        return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
+
+    return written(rows.groupBy("ref", "i", "j").applyInArrow(links, "a long, b long"), "reference-links")
+
+
+def _rows_of(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of tokens as 0-1 rows over their distinct tokens that two rows have, and the lists' sizes."""
+    lists = column.combine_chunks()
+    size = np.array([len(x) for x in lists], np.int64)
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(len(size)), size)
+    _, which, held = np.unique(flat, return_inverse=True, return_counts=True)
+    place = np.cumsum(held > 1) - 1
+    keep = held[which] > 1 if len(which) else np.empty(0, bool)
+    rows = np.zeros((len(size), int((held > 1).sum())), np.float32)
+    rows[owner[keep], place[which[keep]]] = 1
+    return rows, size
 
 
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
@@ -216,21 +402,15 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id is the least id that is reachable by links.
     """
     frequent = frequent_shingles(docs, text_col, width)
-    rows = written(set_rows(docs, frequent, id_col, text_col, width, percent, whole=False), "shingle-sets")
+    rows = written(set_rows(docs, frequent, id_col, text_col, width, percent), "shingle-sets")
     filled = rows.where("n > 0")
-    groups = F.struct("n", "prefix")
-    sets = filled.groupBy("sig").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"),
-                                     F.first("prefix").alias("prefix"), F.first("counters").alias("counters"))
-    sets = written(sets.withColumn("gkey", F.xxhash64(groups)).withColumn("sid", F.monotonically_increasing_id()), "sets")
-    # sets of one size and prefix have the same tokens and places: one row of a bucket stands for all
-    one = sets.groupBy("n", "prefix").agg(F.min("sid").alias("gid"))
-    tokens = one.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("held"), F.min(F.struct("pos", "n", "gid")).alias("pivot")).where("held > 1")
-    shared = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = tokens.withColumn("salt", F.pmod(F.xxhash64("gid"), F.lit(SALTS)).cast("int"))
-    bucket = written(salted.join(shared, ["token", "salt"]).select("token", "gid", "n", "pos", "pivot"), "buckets")
-
-    classes = bucket.groupBy("token", "n", "pos").agg(F.count(F.lit(1)).alias("held"))
+    sets = filled.groupBy("sig").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("gk").alias("gk"),
+                                     F.first("counters").alias("counters"))
+    sets = written(sets.withColumn("sid", F.monotonically_increasing_id()), "sets")
+
+    tokens = written(shared_tokens(filled, frequent), "shared-tokens")
+    per_token = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("held"), F.min(F.struct("pos", "n", "gk")).alias("pivot")).where("held > 1")
+    classes = tokens.groupBy("token", "n", "pos").agg(F.count(F.lit(1)).alias("held"))
     x, y = classes.alias("x"), classes.alias("y")
     before = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.pos") <= F.col("y.pos")))
     same = (F.col("x.n") == F.col("y.n")) & (F.col("x.pos") == F.col("y.pos"))
@@ -240,49 +420,59 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_pairs = written(
         open_pairs.select(F.col("x.token").alias("token"), F.col("x.n").alias("n_x"), F.col("x.pos").alias("pos_x"),
                           F.col("y.n").alias("n_y"), F.col("y.pos").alias("pos_y")), "open-classes")
-
-    # sets of a group, with the group's own pairs
-    member = sets.select("sid", "n", "prefix").join(one, ["n", "prefix"]).select("sid", "gid")
-    member = written(member, "members")
-    with_pivot = bucket.where("gid <> pivot.gid").select(
-        F.struct("n", "pos").alias("x"), F.col("pivot").alias("y"), F.col("gid").alias("a"), F.col("pivot.gid").alias("b")
-    )
-    first = with_pivot.where(_possible("x", "y", percent)).select("a", "b")
-    first = first.union(member.where("sid <> gid").select(F.col("sid").alias("a"), F.col("gid").alias("b"))).distinct()
-
     open_rows = open_pairs.select("token", F.col("n_x").alias("n"), F.col("pos_x").alias("pos")).union(
         open_pairs.select("token", F.col("n_y").alias("n"), F.col("pos_y").alias("pos"))).distinct()
-    wanted = bucket.join(open_rows, ["token", "n", "pos"], "left_semi").select("gid").distinct()
-    wanted = member.join(wanted, "gid", "left_semi").select("sid")
-    many = member.groupBy("gid").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("gid")
-    wanted = wanted.union(member.join(many, "gid", "left_semi").select("sid")).distinct()
-    wanted = sets.join(wanted, "sid", "left_semi").select("sid", "sig", "rep")
+    # a token's rows are dealt to salts where they meet its pivot
+    salted = tokens.join(open_rows, ["token", "n", "pos"], "left_semi").withColumn("salt", F.pmod(F.xxhash64("gk"), F.lit(SALTS)).cast("int"))
+    pivots = per_token.select("token", "pivot", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    bucket = written(salted.join(pivots, ["token", "salt"]).select("token", "gk", "n", "pos", "pivot"), "buckets")
+
+    # sets of a group: the first stands for it where the group meets pivots
+    heads = sets.groupBy("gk").agg(F.min("sid").alias("head"), F.count(F.lit(1)).alias("held"))
+    heads = written(heads, "groups")
+    wanted = bucket.select("gk").union(heads.where("held > 1").select("gk")).distinct()
+    member = written(sets.join(heads.drop("held"), "gk").join(wanted, "gk", "left_semi").select("sid", "gk", "head", "sig", "rep", "n"), "members")
     texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text"))
-    texts = texts.join(wanted.select("rep").distinct(), "rep", "left_semi")
-    whole = set_rows(texts, np.empty(0, np.uint64), "rep", "text", width, percent, whole=True)
-    whole = written(whole.join(wanted.select("sid", "sig"), "sig").select("sid", "tokens"), "whole-sets")
 
-    links = _verified(first, sets, whole, percent, "first-links")
+    with_pivot = bucket.where("gk <> pivot.gk").select(
+        F.struct("n", "pos").alias("x"), F.col("pivot").alias("y"), F.col("gk").alias("a"), F.col("pivot.gk").alias("b")
+    )
+    first = with_pivot.where(_possible("x", "y", percent)).select("a", "b").distinct()
+    of = lambda c: heads.select(F.col("gk").alias(c), F.col("head").alias(f"{c}_head"))
+    first = first.join(of("a"), "a").join(of("b"), "b").select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
+    first = first.union(member.where("sid <> head").select(F.col("sid").alias("a"), F.col("head").alias("b")))
+    near = _verified(first, sets, texts, width, percent, "first-links")
+    links = near.where("linked").select("a", "b")
     found = components(links)
+
     # second round: rows of a bucket whose components differ
-    at = member.join(found.withColumnRenamed("node", "sid"), "sid", "left").select(
-        "sid", "gid", F.coalesce("component", "sid").alias("component"))
+    references = _references(near)
+    at = member.join(found.withColumnRenamed("node", "sid"), "sid", "left").join(references.select("sid", "ref"), "sid", "left").select(
+        "sid", "gk", F.coalesce("component", "sid").alias("component"), F.coalesce("ref", "sid").alias("ref"))
     at = written(at, "components")
-    seen = bucket.select("token", "gid", "n", "pos").join(at, "gid").select("token", "n", "pos", "sid", "component")
-    spread = seen.groupBy("token", "n", "pos").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    s1 = spread.select("token", F.col("n").alias("n_x"), F.col("pos").alias("pos_x"), F.col("low").alias("low_x"), F.col("high").alias("high_x"))
-    s2 = spread.select("token", F.col("n").alias("n_y"), F.col("pos").alias("pos_y"), F.col("low").alias("low_y"), F.col("high").alias("high_y"))
-    still = open_pairs.join(s1, ["token", "n_x", "pos_x"]).join(s2, ["token", "n_y", "pos_y"]).where(
-        F.least("low_x", "low_y") < F.greatest("high_x", "high_y")
+    within = _within_references(references, at, percent)
+    seen = written(bucket.select("token", "gk", "n", "pos").join(at, "gk").select("token", "n", "pos", "sid", "component", "ref"), "placed")
+    spread = seen.groupBy("token", "n", "pos").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.min("ref").alias("low_ref"), F.max("ref").alias("high_ref"))
+    named = lambda t, k, **extra: t.select("token", F.col("n").alias(f"n_{k}"), F.col("pos").alias(f"pos_{k}"), *[F.col(c).alias(n) for n, c in extra.items()])
+    # pairs of one reference are settled; classes whose rows all have it, or one component, need no pairs
+    still = (
+        open_pairs.join(named(spread, "x", low_x="low", high_x="high", from_x="low_ref", to_x="high_ref"), ["token", "n_x", "pos_x"])
+        .join(named(spread, "y", low_y="low", high_y="high", from_y="low_ref", to_y="high_ref"), ["token", "n_y", "pos_y"])
+        .where((F.least("low_x", "low_y") < F.greatest("high_x", "high_y")) & (F.least("from_x", "from_y") < F.greatest("to_x", "to_y")))
+        .select("token", "n_x", "pos_x", "n_y", "pos_y")
+    )
+    second = (
+        still.join(named(seen, "x", a="sid", c_x="component", r_x="ref"), ["token", "n_x", "pos_x"])
+        .join(named(seen, "y", b="sid", c_y="component", r_y="ref"), ["token", "n_y", "pos_y"])
+        .where("c_x <> c_y AND r_x <> r_y")
+        .select("a", "b")
     )
-    m1 = seen.select("token", F.col("n").alias("n_x"), F.col("pos").alias("pos_x"), F.col("sid").alias("a"), F.col("component").alias("c_x"))
-    m2 = seen.select("token", F.col("n").alias("n_y"), F.col("pos").alias("pos_y"), F.col("sid").alias("b"), F.col("component").alias("c_y"))
-    second = still.join(m1, ["token", "n_x", "pos_x"]).join(m2, ["token", "n_y", "pos_y"]).where("c_x <> c_y").select("a", "b")
-    inside = at.alias("x").join(at.alias("y"), F.col("x.gid") == F.col("y.gid")).where(
-        (F.col("x.component") < F.col("y.component"))
+    inside = at.alias("x").join(at.alias("y"), F.col("x.gk") == F.col("y.gk")).where(
+        (F.col("x.component") < F.col("y.component")) & (F.col("x.ref") != F.col("y.ref"))
     ).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
-    more = _verified(second.union(inside), sets, whole, percent, "second-links")
-    all_found = components(links.union(more))
+    more = _verified(second.union(inside), sets, texts, width, percent, "second-links").where("linked").select("a", "b")
+    all_found = components(links.union(within).union(more))
 
     part = sets.select("sid", "sig", "rep", "copies").join(all_found.withColumnRenamed("node", "sid"), "sid", "left")
     part = part.where("component IS NOT NULL OR copies > 1").withColumn("component", F.coalesce("component", "sid"))
