@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import bin_packing, jaccard_join, line_dedup, mix_sources, toxicity
-from lodestar.llm.scratch import written
+from lodestar.llm.scratch import scope, written
 
 #: Shingle width and similarity, in percent, of the near-duplicate stage.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
@@ -36,7 +36,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: that of the least id, once."""
-    classes = written(jaccard_join.link_components(docs, width=NEAR_WORDS, percent=NEAR_PERCENT), "near-classes")
+    with scope() as keep:
+        classes = keep(written(jaccard_join.link_components(docs, width=NEAR_WORDS, percent=NEAR_PERCENT), "near-classes"))
     copies = classes.where("component_id <> doc_id").select("doc_id").distinct()
     kept = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
     repeated = classes.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id")

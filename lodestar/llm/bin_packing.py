@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.llm.arrow import small_batches
 from lodestar.llm.scratch import written
 
 CAPACITY, END_ID = 2048, 0
@@ -115,7 +116,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = N
             if rows["doc_id"]:
                 yield _batch(rows, with_ids)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
 
 
 def _batch(rows: dict, with_ids: bool) -> pa.RecordBatch:

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm import html_model
+from lodestar.llm.arrow import small_batches
 
 #: Labelled pages that a fit takes.
 PAGES = 400
@@ -46,7 +47,7 @@ def extract(pages: DataFrame, model: html_model.Model | None = None, html_col: s
             yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], names=[*kept, "text"])
 
     schema = pages.select(*kept).schema.add("text", "string")
-    return pages.select(*kept, html_col).mapInArrow(run, schema)
+    return small_batches(pages).select(*kept, html_col).mapInArrow(run, schema)
 
 
 def op4_html_extraction(pages: DataFrame) -> DataFrame:

@@ -38,14 +38,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.llm.arrow import small_batches
 from lodestar.llm.components import components
 from lodestar.llm.hashing import Roller, mixed
-from lodestar.llm.scratch import written
+from lodestar.llm.scratch import scope, written
 
 #: Frequent shingles that the order knows at most, and their least count within a task's buffer.
 FREQUENT, LEAST_COUNT = 1 << 20, 2
 #: Text bytes hashed at once, hashes counted at once, counters of a set, parts of a hot key.
-CHUNK_BYTES, COUNT_ROWS, COUNTERS, SALTS = 1 << 20, 1 << 20, 64, 16
+CHUNK_BYTES, COUNT_ROWS, COUNTERS, SALTS = 1 << 18, 1 << 20, 64, 16
 #: Percent below a link down to which a compared pair's differences are kept as references.
 NEAR_SLACK = 30
 #: Sets of one reference that are compared at once.
@@ -98,7 +99,8 @@ def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
 def _chunks(column, size: int = CHUNK_BYTES):
     """(first row, texts as bytes) of a text column, about `size` bytes at a time."""
     texts, held, first = [], 0, 0
-    for i, text in enumerate(column.to_pylist()):
+    rows = (x for a in range(0, len(column), 256) for x in column.slice(a, 256).to_pylist())
+    for i, text in enumerate(rows):
         data = (text or "").encode()
         if texts and held + len(data) > size:
             yield first, texts
@@ -401,8 +403,13 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents link when 100 * intersection >= percent * union of their sets;
     component_id is the least id that is reachable by links.
     """
-    frequent = frequent_shingles(docs, text_col, width)
-    rows = written(set_rows(docs, frequent, id_col, text_col, width, percent), "shingle-sets")
+    with scope() as keep:
+        return _components_of(docs, id_col, text_col, width, percent, keep)
+
+
+def _components_of(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, keep) -> DataFrame:
+    frequent = frequent_shingles(small_batches(docs), text_col, width)
+    rows = keep(written(set_rows(docs, frequent, id_col, text_col, width, percent), "shingle-sets"))
     filled = rows.where("n > 0")
     sets = filled.groupBy("sig").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("gk").alias("gk"),
                                      F.first("counters").alias("counters"))
@@ -479,7 +486,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = part.groupBy("component").agg(F.min("rep").alias("component_id"))
     least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     part = part.withColumn("salt", F.pmod(F.xxhash64("sid"), F.lit(SALTS)).cast("int"))
-    of_sig = written(part.join(least, ["component", "salt"]).select("sig", "component_id"), "set-components")
+    of_sig = keep(written(part.join(least, ["component", "salt"]).select("sig", "component_id"), "set-components"))
     of_sig = of_sig.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     out = rows.select("id", "n", "sig").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
     return out.join(of_sig, ["sig", "salt"], "left").select(

@@ -8,10 +8,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_SCOPES: list[list[tuple[DataFrame, str]]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this application."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -29,6 +34,37 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    fs, place = _file_system(spark, path)
+    fs.deleteOnExit(place)
+    table = spark.read.schema(df.schema).parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append((table, path))
+    return table
+
+
+def _file_system(spark: SparkSession, path: str):
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+@contextmanager
+def scope() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables written within go at its end, but for those handed to the function it gives."""
+    made: list[tuple[DataFrame, str]] = []
+    kept: list[DataFrame] = []
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.append(table)
+        return table
+
+    _SCOPES.append(made)
+    try:
+        yield keep
+    finally:
+        _SCOPES.remove(made)
+        for table, path in made:
+            if not any(table is k for k in kept):
+                fs, place = _file_system(table.sparkSession, path)
+                fs.delete(place, True)
+            elif _SCOPES:
+                _SCOPES[-1].append((table, path))

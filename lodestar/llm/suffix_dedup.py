@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.llm.arrow import small_batches
 from lodestar.llm.hashing import Roller, mixed
 from lodestar.llm.scratch import written
 
@@ -342,7 +343,7 @@ def _remove(batches):
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """Rows (t1, t2, payload): for texts with bytes to remove, by text hash, the intervals as packed pairs."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(small_batches(docs).sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(
         F.xxhash64(text_col).alias("t1"), F.xxhash64(F.lit(1), text_col).alias("t2"), F.xxhash64(id_col).alias("d"), F.col(text_col).alias("text")
     ).where(F.length(text_col) > 0)
