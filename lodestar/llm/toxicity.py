@@ -37,6 +37,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestar.llm.arrow import small_batches
+
 WORD = re.compile(r"\w+")
 #: Labelled documents of each label that a fit takes at most; folds, of which the first is held out.
 FIT_ROWS, FOLDS = 1500, 5
@@ -142,21 +144,28 @@ def _starts(lengths: np.ndarray) -> np.ndarray:
 
 def telling_features(documents: list[list[str]], toxic: np.ndarray) -> set[str]:
     """Features tied to toxic documents beyond chance."""
-    n = [Counter(), Counter()]
+    hits, rest = Counter(), Counter()
+    own = lambda words: {f for w in set(words) for f in features(w)}
+    for words, label in zip(documents, toxic, strict=True):
+        if label:
+            hits.update(own(words))
+    tried = max(1, len(hits))
+    hits = {f: n for f, n in hits.items() if n >= 3}
     for words, label in zip(documents, toxic, strict=True):
-        n[int(label)].update({f for w in set(words) for f in features(w)})
+        if not label:
+            rest.update(own(words) & hits.keys())
     base = toxic.mean()
-    limit = np.log(max(1, len(n[1]))) + 3
+    limit = np.log(tried) + 3
 
     def tied(f: str) -> bool:
-        hit, total = n[1][f], n[1][f] + n[0][f]
+        hit, total = hits[f], hits[f] + rest[f]
         r = hit / total
-        if hit < 3 or r <= max(0.5, base):
+        if r <= max(0.5, base):
             return False
         miss = (1 - r) * np.log((1 - r) / (1 - base)) if r < 1 else 0.0
         return total * (r * np.log(r / base) + miss) > limit
 
-    return {f for f in n[1] if tied(f)}
+    return {f for f in hits if tied(f)}
 
 
 def fit_chain(documents: list[list[str]], toxic: np.ndarray) -> Chain:
@@ -292,7 +301,7 @@ def tag(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "
 
     span = T.StructType().add("start", "long").add("end", "long").add("marginal", "double")
     schema = docs.select(*kept).schema.add("score", "double").add("spans", T.ArrayType(span))
-    return docs.select(*kept, F.col(text_col).alias("scored_text")).mapInArrow(run, schema)
+    return small_batches(docs).select(*kept, F.col(text_col).alias("scored_text")).mapInArrow(run, schema)
 
 
 def _spans(text: str, p: np.ndarray) -> list[dict]:
