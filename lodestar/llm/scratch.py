@@ -33,7 +33,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "snappy").parquet(path)
     fs, place = _file_system(spark, path)
     fs.deleteOnExit(place)
     table = spark.read.schema(df.schema).parquet(path)
