@@ -27,7 +27,6 @@ gives an empty result; other columns aren't read.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -39,22 +38,32 @@ TABLE, BUCKET_ROWS, MOST_BUCKETS = 4096, 512, 8192
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def _quantiles(low: float, high: float, n: int = TABLE) -> list[float]:
-    """Gamma quantiles of shape 2 at the middles of n parts of (low, high); its tail at x is (1 + x) exp(-x)."""
-    out = []
-    for i in range(n):
-        p, a, b = low + (high - low) * (i + 0.5) / n, 0.0, 64.0
-        for _ in range(60):
-            mid = (a + b) / 2
-            a, b = (mid, b) if -math.expm1(-mid) - mid * math.exp(-mid) < p else (a, mid)
-        out.append((a + b) / 2)
-    return out
+def _quantile(p: Column) -> Column:
+    """Quantile of the gamma distribution of shape 2, whose tail at x is (1 + x) exp(-x), by halving."""
 
+    def halve(s: Column, _: Column) -> Column:
+        mid = (s["a"] + s["b"]) / 2
+        below = -F.expm1(-mid) - mid * F.exp(-mid) < p
+        return F.struct(F.when(below, mid).otherwise(s["a"]).alias("a"), F.when(below, s["b"]).otherwise(mid).alias("b"))
 
-def _table(spark: SparkSession, values: Sequence[float]) -> Column:
-    """The values as an array that every expression shares: a scalar subquery, run once."""
-    text = "[" + ",".join(f"{v:.12g}" for v in values) + "]"
-    return spark.range(1).select(F.from_json(F.lit(text), "array<double>").alias("v")).scalar()
+    start = F.struct(F.lit(0.0).alias("a"), F.lit(64.0).alias("b"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(60)), start, halve, lambda s: (s["a"] + s["b"]) / 2)
+
+
+def gamma_table(spark: SparkSession, parts: Sequence[float], logarithm: bool) -> DataFrame:
+    """One row v: quantiles at the middles of TABLE parts of (0, high) for each high in `parts`, or their logarithms.
+
+    Worked out from the row's id, so that plans don't carry the numbers.
+    """
+    def table(high: float) -> Column:
+        def quantile(i: Column) -> Column:
+            q = _quantile((i + F.col("id") + 0.5) * F.lit(high / TABLE))
+            return F.ln(q) if logarithm else q
+
+        return F.transform(F.sequence(F.lit(0), F.lit(TABLE - 1)), quantile)
+
+    tables = [table(high) for high in parts]
+    return spark.range(1).select(F.concat(*tables).alias("v"))
 
 
 def draws(spark: SparkSession, samples: int = SAMPLES) -> tuple[list[Column], list[Column]]:
@@ -65,8 +74,9 @@ def draws(spark: SparkSession, samples: int = SAMPLES) -> tuple[list[Column], li
     quantiles and, in front of them, finer ones of the lowest part, where the
     least keys come from.
     """
-    r_table = _table(spark, _quantiles(0, 1))
-    c_table = _table(spark, [math.log(x) for x in [*_quantiles(0, 1 / TABLE), *_quantiles(0, 1)]])
+    # scalar subqueries: each runs once, and all expressions share its array
+    r_table = gamma_table(spark, [1.0], False).scalar()
+    c_table = gamma_table(spark, [1.0 / TABLE, 1.0], True).scalar()
     term, lw, low = F.col("term"), F.col("lw"), F.lit(4294967295)
     part = lambda h, at: F.shiftrightunsigned(h, at).bitwiseAND(F.lit(TABLE - 1)).cast("int")
     hashes, out = [], []

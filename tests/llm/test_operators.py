@@ -208,9 +208,12 @@ def test_fingerprints(spark, monkeypatch, bucket_rows):
     assert fingerprints.op6_fingerprints(docs_of(spark, [])).count() == 0
 
 
-def test_gamma_table():
-    q = fingerprints._quantiles(0, 1, 4000)
+def test_gamma_table(spark):
+    q = fingerprints.gamma_table(spark, [1.0], False).first()["v"]
+    assert len(q) == fingerprints.TABLE and q == sorted(q)
     assert np.mean(q) == pytest.approx(2, abs=0.01) and np.var(q) == pytest.approx(2, abs=0.05)
+    tail = fingerprints.gamma_table(spark, [1.0 / fingerprints.TABLE, 1.0], True).first()["v"]
+    assert max(tail[: fingerprints.TABLE]) < np.log(q[1]) and np.allclose(np.exp(tail[fingerprints.TABLE :]), q)
 
 
 # packing
