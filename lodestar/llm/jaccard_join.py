@@ -49,6 +49,8 @@ FREQUENT, LEAST_COUNT = 1 << 20, 2
 CHUNK_BYTES, COUNT_ROWS, COUNTERS, SALTS = 1 << 18, 1 << 20, 64, 16
 #: Percent below a link down to which a compared pair's differences are kept as references.
 NEAR_SLACK = 30
+#: Ids that are broadcast at most: some tens of megabytes.
+BROADCAST_IDS = 1 << 20
 #: Sets of one reference that are compared at once.
 BLOCK_SETS = 256
 SEPARATOR = np.zeros(256, bool)
@@ -306,10 +308,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, pe
 
     kept = bounded.select("a", "b", "n_a", "n_b", "counters_a", "counters_b").mapInArrow(bound, "a long, b long, n_a long, n_b long")
     kept = written(kept, f"{name}-bounded")
-    # the texts that are compared; where these are few, their ids are broadcast and texts don't move
+    # the texts that are compared; up to BROADCAST_IDS ids are broadcast, so texts don't move; beyond, both sides do
     wanted = kept.select(F.col("a").alias("sid")).union(kept.select("b")).distinct()
     wanted = written(sets.join(wanted, "sid", "left_semi").select("sid", "sig", "rep"), f"{name}-wanted")
-    whole = whole_sets(docs.join(wanted.select("rep").distinct(), "rep", "left_semi"), "text", width)
+    reps = wanted.select("rep").distinct()
+    reps = F.broadcast(reps) if wanted.count() <= BROADCAST_IDS else reps
+    whole = whole_sets(docs.join(reps, "rep", "left_semi"), "text", width)
     whole = written(whole.join(wanted.select("sid", "sig"), "sig").select("sid", "tokens"), f"{name}-sets")
     full = kept.join(side(whole, "a", "tokens"), "a").join(side(whole, "b", "tokens"), "b")
     full = full.select("a", "b", "n_a", "n_b", F.array_except("tokens_a", "tokens_b").alias("a_only"), F.array_except("tokens_b", "tokens_a").alias("b_only"))
