@@ -4,9 +4,14 @@ For each host, a line's ratio is the pages that contain it over the pages of the
 host. Lines above the boilerplate ratio go. Lines are compared without their
 outer spaces, by a 128-bit hash; blank lines are never counted or dropped.
 
+A line must be on `least_pages` pages to repeat at all: on a host of under ten
+pages a line of a single page is above the ratio, and every page would be emptied.
+
 A page that would lose more than `most_share` of its characters keeps all its
-lines: its lines are frequent because the page as a whole has copies, which is
-for document dedup to judge, and line dedup would empty every copy.
+lines only if its whole text is on other pages of the host: its lines are frequent
+because the page has copies, which is for document dedup to judge, and line dedup
+would empty every copy. Copies are looked for among such pages alone, since the
+copies of one within its host lose the same lines.
 
 A host has at most (mean lines of its pages / ratio) boilerplate lines, so the
 set is one short array for each host. Pages are dealt to it by host and salt,
@@ -25,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.scratch import written
 
-RATIO, LEAST_PAGES, MOST_SHARE = 0.1, 5, 0.5
+RATIO, LEAST_PAGES, MOST_SHARE = 0.1, 2, 0.5
 SALTS = 16
 
 
@@ -69,10 +74,25 @@ def dedup_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text
     kept = F.filter(lines, lambda x: ~F.array_contains(F.col("b_lines"), _hash(x)))
     clean = F.when(F.col("b_lines").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     rows = rows.withColumn("clean", clean)
-    rows = rows.withColumn(
-        "whole", F.length("clean") < F.length(text_col) * F.lit(1 - most_share)
-    ).withColumn("clean", F.when(F.col("whole"), F.col(text_col)).otherwise(F.col("clean")))
-    removed = F.when(F.col(text_col).isNull() | F.col("b_lines").isNull() | F.col("whole"), 0).otherwise(
+    whole = [F.xxhash64(text_col), F.xxhash64(F.lit(1), text_col)]
+    emptied = rows.where(F.length("clean") < F.length(text_col) * F.lit(1 - most_share))
+    copied = (
+        emptied.groupBy(F.col(host_col).alias("c_host"), whole[0].alias("c_a"), whole[1].alias("c_b"))
+        .agg(F.count(F.lit(1)).alias("c_pages"))
+        .where("c_pages > 1")
+        .withColumn("c_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    )
+    copied = written(copied, "copied-pages")
+    others = [c for c in columns if c != text_col]
+    rows = rows.join(
+        copied,
+        docs[host_col].eqNullSafe(F.col("c_host")) & (whole[0] == F.col("c_a")) & (whole[1] == F.col("c_b"))
+        & (F.pmod(F.xxhash64(*[docs[c] for c in others]), F.lit(SALTS)).cast("int") == F.col("c_salt")),
+        "left",
+    )
+    spared = F.col("c_pages").isNotNull()
+    rows = rows.withColumn("clean", F.when(spared, F.col(text_col)).otherwise(F.col("clean")))
+    removed = F.when(F.col(text_col).isNull() | F.col("b_lines").isNull() | spared, 0).otherwise(
         F.size(lines) - F.size(kept)
     )
     return rows.select(

@@ -101,6 +101,19 @@ def test_lines(spark):
     assert line_dedup.op3_line_dedup(docs_of(spark, [])).count() == 0
 
 
+def test_lines_of_short_pages_and_small_hosts(spark):
+    rows = [(i, f"Home | About | Contact\nline {i} of the page is here\n  other {i} words", "a") for i in range(20)]
+    rows += [(30, "Home | About | Contact\nshort", "a"), (31, "Home | About | Contact", "a")]  # unique, mostly boilerplate
+    rows += [(40 + i, "Home | About | Contact\ncopy", "a") for i in range(2)]  # copies, mostly boilerplate
+    rows += [(50 + i, f"Site footer\nwords of page {i}", "small") for i in range(3)] + [(60, "Home | About | Contact\ncopy", "small")]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(docs_of(spark, rows)).collect()}
+    assert len(got) == len(rows) and got[3].text == "line 3 of the page is here\n  other 3 words"
+    assert (got[30].text, got[30].lines_removed) == ("short", 1) and (got[31].text, got[31].lines_removed) == ("", 1)
+    assert all((got[40 + i].text, got[40 + i].lines_removed) == ("Home | About | Contact\ncopy", 0) for i in range(2))
+    assert all((got[50 + i].text, got[50 + i].lines_removed) == (f"words of page {i}", 1) for i in range(3))
+    assert got[60].lines_removed == 0  # its lines are on one page of the host
+
+
 # html extraction
 
 
