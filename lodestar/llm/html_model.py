@@ -16,14 +16,24 @@ TAG = re.compile(
 )
 MARK = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PART = re.compile(r"[A-Za-z]+")
-#: Elements that don't end a block; their text is their block's.
+#: Elements that don't end a block; their text is their block's. Parts of formulas are among them.
 INLINE = frozenset(
+    "math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mmultiscripts mprescripts none mstyle mspace mpadded mphantom menclose merror maction semantics "
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is never a page's text.
-SILENT = frozenset("head script style template noscript svg math iframe object select textarea button title".split())
+SILENT = frozenset("script style template noscript svg iframe select textarea button title".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
+#: What a head holds; any other element or text ends it.
+IN_HEAD = frozenset("html head base basefont bgsound link meta noscript script style template title".split())
+#: Elements that end an open svg unless they stand where it holds html.
+ENDS_SVG = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+SVG_HTML = frozenset("foreignobject desc title".split())
+#: Silent elements that may lack an end tag, with the elements that don't end them then.
+UNCLOSED = {"button": frozenset(), "select": frozenset("option optgroup hr".split())}
 #: Elements that end an open paragraph.
 ENDS_P = frozenset(
     "address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()
@@ -46,11 +56,18 @@ class Tree:
 def parse(page: str) -> Tree:
     """The block elements of a page as a tree; inline elements belong to their block."""
     tree = Tree()
-    stack, silent, in_link, at = [0], 0, 0, 0
-    silent_tag = ""
+    stack, in_link, at = [0], 0, 0
+    # silent: the open silent element; inner: what is open inside it; closed: whether its end tag comes next
+    silent, inner, closed = "", [], True
+    in_head = False
     closers: dict[str, re.Pattern] = {}
 
     def text(raw: str) -> None:
+        nonlocal in_head
+        if in_head and not silent:
+            if raw.isspace():
+                return
+            in_head = False
         if not silent and raw:
             if "&" in raw:
                 raw = html.unescape(raw)
@@ -75,17 +92,50 @@ def parse(page: str) -> Tree:
         if not name:
             continue
         name = name.lower()
+        empty = (rest or "").endswith("/")
+        foreign = silent == "svg" or "svg" in inner or "math" in inner
+        if name in RAW and not closing and not empty and (not foreign or name in ("script", "style")):
+            end = closers.get(name) or closers.setdefault(name, re.compile(rf"</{name}\b[^>]*>|\Z", re.I))
+            at = end.search(page, at).end()
+            continue
         if silent:
-            if name == silent_tag:
-                silent += -1 if closing else 1
+            if closing:
+                if name in inner:
+                    del inner[len(inner) - 1 - inner[::-1].index(name) :]
+                    continue
+                if name == silent:
+                    silent = ""
+                    continue
+                if name == "a":
+                    in_link = 0
+                if not any(tree.tag[i] == name for i in stack):
+                    continue
+                silent = ""  # an enclosing element closes
+            else:
+                if silent == "svg":
+                    ends = name in ENDS_SVG and not SVG_HTML.intersection(inner)
+                else:
+                    ends = not closed and not foreign and "template" not in inner and name not in INLINE | VOID | UNCLOSED[silent]
+                if not ends:
+                    if name not in VOID and not (empty and foreign):
+                        inner.append(name)
+                    continue
+                silent = ""
+            inner = []
+        if in_head and (name in ("head", "body", "html", "br") if closing else name not in IN_HEAD):
+            in_head = False
+        if name == "head":
+            in_head = not closing and len(tree.tag) <= 2
             continue
         if name in SILENT:
-            if not closing and not (rest or "").endswith("/"):
-                if name in RAW:
-                    end = closers.get(name) or closers.setdefault(name, re.compile(rf"</{name}\b[^>]*>|\Z", re.I))
-                    at = end.search(page, at).end()
-                else:
-                    silent, silent_tag = 1, name
+            if not closing and not empty:
+                silent, inner, closed = name, [], True
+                if name in UNCLOSED:
+                    own = closers.get(name) or closers.setdefault(name, re.compile(rf"<(/?){name}\b", re.I))
+                    following = own.search(page, at)
+                    closed = following is not None and following[1] == "/"
+            continue
+        if in_head:
             continue
         if name in INLINE:
             if name == "a":

@@ -127,6 +127,50 @@ def test_html_is_the_article(spark):
     assert got[2].text == got[3].text == "" and got[4].n_chars == len(got[4].text)
 
 
+def segments_of(page):
+    return " ".join("".join(raw for _, raw in html_model.parse(page).segments).split())
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<html><head><title>T</title><meta name=a>\n<body><p>One</p></body></html>", "One"),
+        ("<html><head><title>T</title>\n<p>One</p>", "One"),
+        ("<html><head>\n<title>T</title> One <p>Two", "One Two"),
+        ("<html><head><template><p>x</p></template></head><p>One</p>", "One"),
+        ("<div><p>One <select><option>x</div><p>Two</p>", "One Two"),
+        ("<div><p>One <select><option>x<option>y<p>Two</p></div>", "One Two"),
+        ("<div><button>x</div><p>Two</p>", "Two"),
+        ("<div><button>x <b>y</b><svg><path d=1><text>z</text></svg><p>Two</p><button>x</button> Three</div>", "Two Three"),
+        ("<div><button><div>x</div> y</button> One</div>", "One"),
+        ("<div><button><script>'</div>'</script>x</button> One</div>", "One"),
+        ("<div><svg><text>x</text><g/><title>y</title></svg>One</div>", "One"),
+        ("<div><svg><text>x<p>One</p></div>", "One"),
+        ("<div><svg><foreignObject><p>x</p></foreignObject></svg>One</div>", "One"),
+        ("<div><template><div>x<template>y</template></div></template>One</div>", "One"),
+        ("<div><template><p>x</div><p>One</p>", "One"),
+        ("<p>Let <math><msup><mi>x</mi><mn>2</mn></msup></math> be</p>", "Let x2 be"),
+        ("<p>One</p><object data=a><param name=b><p>Two</p></object>", "One Two"),
+    ],
+)
+def test_html_silent_elements_end(page, want):
+    assert segments_of(page) == want
+
+
+def test_html_article_survives_open_elements():
+    model = html_extraction.default_model()
+    long = "Words of the article stand here, and there are many of them. " * 4
+    for page in (
+        f"<html><head><title>T</title><body><article><h1>Head</h1><p>{long}</p></article>",
+        f"<html><head></head><body><article><h1>Head</h1><div><select><option>x</div><p>{long}</p></article></body>",
+        f"<html><head></head><body><article><h1>Head</h1><button>Share<p>{long}</p></article></body>",
+        f"<html><head></head><body><article><h1>Head</h1><object><p>{long}</p></object></article></body>",
+    ):
+        assert " ".join(long.split()) in html_model.main_text(model, page)
+    formula = html_model.main_text(model, f"<html><body><article><h1>Head</h1><p>{long}<math><mi>y</mi><mo>=</mo><mn>1</mn></math></p></article>")
+    assert "y=1" in formula
+
+
 def test_html_model_on_held_out_pages():
     model = html_extraction.default_model()
     good = total = 0
