@@ -25,8 +25,9 @@ texts, sets by their 128-bit digests practically never.
 
 Defined results: a null or empty text has an empty set and links with nothing; a
 text of fewer words than a shingle has its whole word sequence as one; rows with
-equal texts link unless empty; texts that only rows without an id hold link with
-equal ones only; an empty table gives an empty result; other columns aren't read.
+equal texts link unless empty; rows without an id link like all others, and their
+component_id is null if no row of the component has an id; an empty table gives an
+empty result; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -308,13 +309,18 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, pe
 
     kept = bounded.select("a", "b", "n_a", "n_b", "counters_a", "counters_b").mapInArrow(bound, "a long, b long, n_a long, n_b long")
     kept = written(kept, f"{name}-bounded")
-    # the texts that are compared; up to BROADCAST_IDS ids are broadcast, so texts don't move; beyond, both sides do
+    # texts come by id, or by digest where only rows without an id hold them; up to BROADCAST_IDS ids are broadcast, so texts don't move; beyond, both sides do
     wanted = kept.select(F.col("a").alias("sid")).union(kept.select("b")).distinct()
     wanted = written(sets.join(wanted, "sid", "left_semi").select("sid", "sig", "rep"), f"{name}-wanted")
     reps = wanted.select("rep").distinct()
     reps = F.broadcast(reps) if wanted.count() <= BROADCAST_IDS else reps
     whole = whole_sets(docs.join(reps, "rep", "left_semi"), "text", width)
-    whole = written(whole.join(wanted.select("sid", "sig"), "sig").select("sid", "tokens"), f"{name}-sets")
+    whole = whole.join(wanted.select("sid", "sig"), "sig").select("sid", "tokens")
+    nameless = wanted.where("rep IS NULL").select("sid", "sig")
+    if not nameless.isEmpty():
+        found = whole_sets(docs.where("rep IS NULL"), "text", width).join(nameless, "sig")
+        whole = whole.union(found.dropDuplicates(["sid"]).select("sid", "tokens"))
+    whole = written(whole, f"{name}-sets")
     full = kept.join(side(whole, "a", "tokens"), "a").join(side(whole, "b", "tokens"), "b")
     full = full.select("a", "b", "n_a", "n_b", F.array_except("tokens_a", "tokens_b").alias("a_only"), F.array_except("tokens_b", "tokens_a").alias("b_only"))
     overlap = F.col("n_a") - F.size("a_only")

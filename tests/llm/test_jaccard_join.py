@@ -72,3 +72,14 @@ def test_components_of_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     got = {r.node: r.component for r in components(edges).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+
+
+def test_rows_without_id_are_bridges(spark):
+    w = [f"w{k}" for k in range(300)]
+    texts = [w, w[6:] + ["x1"], w[12:] + ["x2"], ["other", *w[100:]]]  # the middle one links two that don't
+    rows = [(7, " ".join(texts[0])), (None, " ".join(texts[1])), (None, " ".join(texts[1])), (3, " ".join(texts[2])), (None, " ".join(texts[3])), (None, "a b c")]
+    assert [r[2] for r in brute([(k, " ".join(t)) for k, t in enumerate(texts)], 3, 96)] == [0, 0, 0, 3]
+    assert [r[2] for r in brute([(k, " ".join(t)) for k, t in enumerate([texts[0], texts[2]])], 3, 96)] == [0, 1]
+    got = jaccard_join.link_components(spark.createDataFrame(rows, "doc_id long, text string"), width=3, percent=96).collect()
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in got) == [
+        (0, 1, 0), (0, 199, 0), (0, 293, 3), (0, 293, 3), (3, 287, 3), (7, 298, 3)]
