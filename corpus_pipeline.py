@@ -35,17 +35,22 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: that of the least id, once."""
+    """Exactly one row of each group of near copies stays: that of the least id, null ids last."""
     with scope() as keep:
-        classes = keep(written(jaccard_join.link_components(docs, width=NEAR_WORDS, percent=NEAR_PERCENT), "near-classes"))
-    copies = classes.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
-    repeated = classes.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id")
+        classes = keep(written(jaccard_join.standing_rows(docs, width=NEAR_WORDS, percent=NEAR_PERCENT), "near-classes"))
+    rows = docs.withColumn("text_key", jaccard_join.text_key("text"))
+
+    def among(keys: DataFrame, how: str, of: DataFrame) -> DataFrame:
+        k = keys.select(F.col("doc_id").alias("k_id"), F.col("text_key").alias("k_text"))
+        return of.join(k, of["doc_id"].eqNullSafe(k["k_id"]) & (of["text_key"] == k["k_text"]), how)
+
+    kept = among(classes.where("NOT stands").select("doc_id", "text_key").distinct(), "left_anti", rows)
+    repeated = classes.where("n_shingles > 0 AND stands").groupBy("doc_id", "text_key").count().where("count > 1")
     if repeated.isEmpty():
-        return kept
-    repeated = written(repeated, "repeated-ids")
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).union(once)
+        return kept.select(*docs.columns)
+    repeated = written(repeated, "repeated-rows")
+    once = among(repeated, "left_semi", kept).dropDuplicates(["doc_id", "text"])
+    return among(repeated, "left_anti", kept).select(*docs.columns).union(once.select(*docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

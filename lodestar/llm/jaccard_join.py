@@ -156,8 +156,13 @@ def _least_share(percent: int, n: np.ndarray | int):
     return -(-percent * n // 100)
 
 
+def text_key(text_col: str) -> Column:
+    """What tells rows of one id apart."""
+    return F.xxhash64(text_col).alias("text_key")
+
+
 def set_rows(docs: DataFrame, frequent: np.ndarray, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """Rows (id, n, sig, gk, prefix, counters): size, digest, group, ordered prefix and counters of each set."""
+    """Rows (id, text_key, n, sig, gk, prefix, counters): size, digest, group, ordered prefix and counters of each set."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
@@ -165,7 +170,7 @@ def set_rows(docs: DataFrame, frequent: np.ndarray, id_col: str, text_col: str,
         known = shared.value[order]
         for batch in batches:
             ids = batch.column(0)
-            for first, texts in _chunks(batch.column(1)):
+            for first, texts in _chunks(batch.column(2)):
                 sets = shingle_sets(texts, width)
                 prefixes = []
                 for s in sets:
@@ -180,13 +185,14 @@ def set_rows(docs: DataFrame, frequent: np.ndarray, id_col: str, text_col: str,
                     for s, p in zip(sets, prefixes, strict=True)
                 ]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, len(texts)), pa.array([len(s) for s in sets], pa.int64()), _digests(sets),
+                    [ids.slice(first, len(texts)), batch.column(1).slice(first, len(texts)), pa.array([len(s) for s in sets], pa.int64()), _digests(sets),
                      pa.array(groups, pa.int64()), pa.array([p.tobytes() for p in prefixes], pa.binary()), pa.array(map(_counters, sets), pa.binary())],
-                    names=["id", "n", "sig", "gk", "prefix", "counters"],
+                    names=["id", "text_key", "n", "sig", "gk", "prefix", "counters"],
                 )
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n long, sig binary, gk long, prefix binary, counters binary")
+    given = docs.select(id_col, text_key(text_col), text_col)
+    return given.mapInArrow(run, f"id {kind}, text_key long, n long, sig binary, gk long, prefix binary, counters binary")
 
 
 def _counters(s: np.ndarray) -> bytes:
@@ -414,14 +420,26 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id is the least id that is reachable by links.
     """
     with scope() as keep:
-        return _components_of(docs, id_col, text_col, width, percent, keep)
+        return _components_of(docs, id_col, text_col, width, percent, keep).select(id_col, "n_shingles", "component_id")
+
+
+def standing_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
+                  percent: int = 80) -> DataFrame:
+    """Rows (id, text_key, n_shingles, stands), one for each row of `docs`.
+
+    Of each component the rows of one id and text stand: the least id, null last,
+    and its least text key. Rows that link with nothing and empty texts stand.
+    """
+    with scope() as keep:
+        return _components_of(docs, id_col, text_col, width, percent, keep).select(id_col, "text_key", "n_shingles", "stands")
 
 
 def _components_of(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, keep) -> DataFrame:
     frequent = frequent_shingles(small_batches(docs), text_col, width)
     rows = keep(written(set_rows(docs, frequent, id_col, text_col, width, percent), "shingle-sets"))
     filled = rows.where("n > 0")
-    sets = filled.groupBy("sig").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("gk").alias("gk"),
+    own = F.struct(F.col("id").isNull().alias("nameless"), "id", "text_key")
+    sets = filled.groupBy("sig").agg(F.min("id").alias("rep"), F.min(own).alias("stand"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("gk").alias("gk"),
                                      F.first("counters").alias("counters"))
     sets = written(sets.withColumn("sid", F.monotonically_increasing_id()), "sets")
 
@@ -491,16 +509,17 @@ def _components_of(docs: DataFrame, id_col: str, text_col: str, width: int, perc
     more = _verified(second.union(inside), sets, texts, width, percent, "second-links").where("linked").select("a", "b")
     all_found = components(links.union(within).union(more))
 
-    part = sets.select("sid", "sig", "rep", "copies").join(all_found.withColumnRenamed("node", "sid"), "sid", "left")
+    part = sets.select("sid", "sig", "rep", "stand", "copies").join(all_found.withColumnRenamed("node", "sid"), "sid", "left")
     part = part.where("component IS NOT NULL OR copies > 1").withColumn("component", F.coalesce("component", "sid"))
-    least = part.groupBy("component").agg(F.min("rep").alias("component_id"))
+    least = part.groupBy("component").agg(F.min("rep").alias("component_id"), F.min("stand").alias("stand"))
     least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    part = part.withColumn("salt", F.pmod(F.xxhash64("sid"), F.lit(SALTS)).cast("int"))
-    of_sig = keep(written(part.join(least, ["component", "salt"]).select("sig", "component_id"), "set-components"))
+    part = part.drop("stand").withColumn("salt", F.pmod(F.xxhash64("sid"), F.lit(SALTS)).cast("int"))
+    of_sig = keep(written(part.join(least, ["component", "salt"]).select("sig", "component_id", "stand"), "set-components"))
     of_sig = of_sig.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    out = rows.select("id", "n", "sig").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    out = rows.select("id", "text_key", "n", "sig").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
     return out.join(of_sig, ["sig", "salt"], "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")
+        F.col("id").alias(id_col), "text_key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"),
+        (F.col("stand").isNull() | (F.col("stand.id").eqNullSafe(F.col("id")) & (F.col("stand.text_key") == F.col("text_key")))).alias("stands"),
     )
 
 

@@ -36,3 +36,18 @@ def test_stages(spark, tmp_path):
     assert ids["near_duplicates"] == {i for i in ids["toxicity"] if not 1000 <= i < 2000}
     assert ids["mixing"] <= ids["near_duplicates"] and ids["packing"] == ids["mixing"]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == seen["packing"].count()
+
+
+def test_near_copies_leave_one_row_each(spark):
+    rng = random.Random(2)
+    a, b, c, d, e = (" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60)) for _ in range(5))
+    rows = [(1, a), (5, a), (5, b)]  # 5 holds a copy and a text of its own
+    rows += [(6, c), (6, c + " more"), (6, c)]  # near copies under one id
+    rows += [(None, d), (None, d), (None, d + " more"), (None, b)]  # copies without an id
+    rows += [(8, e), (8, e), (None, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    near = lambda t, of: t is not None and t.startswith(of)
+    assert len(got) == 7 and all(sum(near(t, x) for _, t in got) == 1 for x in (a, b, c, d, e))
+    assert {(1, a), (5, b), (8, e), (None, ""), (None, None)} < set(got)
+    assert {i for i, t in got if near(t, c)} == {6} and {i for i, t in got if near(t, d)} == {None}
