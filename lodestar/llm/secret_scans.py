@@ -4,7 +4,7 @@ Candidates of every text are hashed and counted by the distinct repositories and
 owners that hold them. A value that many owners hold is a copied example; one
 that a single owner holds and that looks live is that owner's credential. Base
 findings always stay in the result, whatever their class; the method adds the
-owner-specific live-looking values that the base patterns don't name.
+live-looking values that the base patterns don't name and that aren't widely copied.
 
 Only DataFrame functions run. A regular expression's matches give texts, not
 places, so places come from the lengths of matches and of the pieces between.
@@ -131,7 +131,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     judged = (
         rows.join(salted, ["hash", "salt"])
         .withColumn("class", kind)
-        .where((F.col("span.kind") < len(BASE_KINDS)) | (F.col("class") == "owner_specific"))
+        .where((F.col("span.kind") < len(BASE_KINDS)) | (F.col("class") != "widely_copied"))
         .groupBy("row_id")
         .agg(
             F.array_sort(

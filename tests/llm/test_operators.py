@@ -88,6 +88,14 @@ def test_secrets(spark):
     assert secret_scans.op2_secret_scans(docs_of(spark, [])).count() == 0
 
 
+def test_secrets_that_two_owners_hold(spark):
+    live = "Ab3dEf6hIjKlMn0pQrStUv9xYz12AbCd+"
+    rows = [(1, f"x {live} y", "a"), (2, f"x {live} y", "b")] + [(3 + k, "x " + live.replace("A", "Z"), f"s{k}") for k in range(3)]
+    got = {r.doc_id: r for r in secret_scans.op2_secret_scans(docs_of(spark, rows)).collect()}
+    assert got[1].spans == got[2].spans == f"opaque:2:{2 + len(live)}" and got[1].n_owner_specific == 0
+    assert all(got[3 + k].spans == "" for k in range(3))
+
+
 # line dedup
 
 
