@@ -115,7 +115,13 @@ def _chunks(column, size: int = CHUNK_BYTES):
 
 
 def frequent_shingles(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
-    """Up to FREQUENT shingle hashes, most documents last. Counts come from all documents."""
+    """Up to FREQUENT shingle hashes, most documents last, by approximate counts.
+
+    All documents are read, but a shingle that comes fewer than LEAST_COUNT times
+    within a buffer of about COUNT_ROWS hashes isn't counted there, so one that is
+    spread thinly over many buffers is undercounted or missed. Links don't depend on
+    it; a bucket that is missed is dealt as one that isn't hot.
+    """
 
     def count(batches):
         def emit(held):
