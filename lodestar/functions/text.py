@@ -122,3 +122,41 @@ def excerpt(text: Column, needle: Column, around: int = 40) -> Column:
     at = F.position(needle, text)
     start = F.greatest(F.lit(1), at - around)
     return F.when(at > 0, F.trim(F.substring(text, start, at - start + F.length(needle) + around)))
+
+
+#: Patterns of filler, each matched in any case, in this order.
+FILLER = (
+    r"(?:muchas?\s+)?gracias\s+(?:al\s+)?(?:municipio|ayuntamiento|pueblo|town|propietario|owner|gestores?|al\s+municipio)[^.!?]*[.!?]?",
+    r"thank\s+you\s+(?:to\s+the\s+)?(?:town|municipality|owner|council)[^.!?]*[.!?]?",
+    r"merci\s+(?:à\s+la\s+)?(?:mairie|municipalité|commune|propriétaire)[^.!?]*[.!?]?",
+    r"danke\s+(?:an\s+die\s+)?(?:gemeinde|stadt|besitzer)[^.!?]*[.!?]?",
+    r"(?:sin\s+duda\s+)?(?:volver(?:emos|é|á)|we(?:'ll|\s+will)\s+(?:be\s+back|return|come\s+back)|on\s+revien(?:dra|t)|wir\s+(?:kommen\s+)?wieder)[^.!?]*[.!?]?",
+    r"(?:muy\s+)?recomend(?:ado|able|amos|amos\s+totalmente)[.!]?",
+    r"(?:highly\s+)?recommend(?:ed|able)?[.!]?",
+    r"(?:je\s+)?recommande(?:\s+vivement)?[.!]?",
+    r"empfehlenswert[.!]?",
+    r"(?:un\s+)?saludo[s]?[.!]?",
+    r"hasta\s+(?:la\s+próxima|pronto|otra)[.!]?",
+    r"see\s+you\s+(?:again|next\s+time)[.!]?",
+    r"bonne\s+route[.!]?",
+    r"gute\s+reise[.!]?",
+    r"(?:una\s+)?visita\s+(?:muy\s+)?agradable[.!]?",
+    r"(?:a\s+)?nice\s+(?:little\s+)?(?:stop|place|spot)[.!]?",
+    r"(?:un\s+)?buen\s+(?:lugar|sitio)\s+para\s+parar[.!]?",
+    r"\b[5⭐]{1,5}\s*(?:estrellas|stars|étoiles|sterne)\b[.!]?",
+    r"\b10\s*/\s*10\b[.!]?",
+    r"como\s+siempre[,.]?",
+    r"(?:fuente|source|via)\s*:\s*\S+",
+    r"google\s+maps\s+review",
+    r"posted\s+(?:on|via)\s+\S+",
+)
+LEAST_LEFT = 40
+
+
+def without_filler(text: Column) -> Column:
+    """A text without filler; short ones, and those of which too little would be left, stay as they were."""
+    cut = text
+    for pattern in FILLER:
+        cut = F.regexp_replace(cut, "(?iu)" + pattern, " ")
+    cut = F.trim(F.regexp_replace(cut, r"\s{2,}", " "))
+    return F.when(F.length(text) <= LEAST_LEFT, text).when(F.length(cut) < LEAST_LEFT, F.trim(text)).otherwise(cut)

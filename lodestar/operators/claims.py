@@ -1,55 +1,135 @@
-"""Claims from reviews by a table of needles, with negation, and tags from free text."""
+"""Claims from reviews by rules of needles, with negation, and tags from free text."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words that deny what follows within three words of the same clause.
-NEGATIONS = ("no", "not", "sin", "without", "kein", "keine", "pas", "sans", "never", "nunca", "nicht", "ohne", "geen", "niet")
-CLAUSE_END = r"[.,;:!?\n]"
+#: Words that deny what follows within three words of the same clause; so does any word that ends in n't.
+NEGATIONS = (
+    "no", "nunca", "sin", "jamás", "jamas", "tampoco", "prohibido", "prohibida", "prohibidos", "prohibidas",
+    "not", "never", "without", "cannot", "cant",
+    "nicht", "kein", "keine", "nie", "ohne", "verboten", "untersagt",
+    "pas", "sans", "aucun", "aucune", "non", "interdit", "interdite",
+)
 NEGATION_WORDS = 3
-#: A small needle table: signal, value, needle.
-NEEDLES = (
-    ("quietness", "true", "quiet"), ("quietness", "true", "tranquilo"), ("quietness", "true", "calme"), ("quietness", "true", "ruhig"),
-    ("noise", "true", "noisy"), ("noise", "true", "ruidoso"), ("noise", "true", "bruyant"), ("noise", "true", "laut"),
-    ("water_working", "true", "drinking water"), ("water_working", "true", "agua potable"), ("water_working", "true", "eau potable"),
-    ("theft_risk", "true", "break-in"), ("theft_risk", "true", "robo"), ("theft_risk", "true", "stolen"),
-    ("overnight_allowed", "false", "no overnight"), ("overnight_allowed", "true", "overnight"), ("spot_closed", "true", "closed"), ("spot_closed", "true", "cerrado"),
+#: Needles of a closure that say nothing where their clause names a service, and the services.
+CLOSURES = ("closed", "cerrado", "fermé", "ferme", "geschlossen")
+FACILITIES = (
+    "toilet", "toilets", "wc", "shower", "showers", "restaurant", "bar", "cafe", "shop", "store", "kiosk", "reception", "office", "pool", "kitchen", "snack",
+    "restroom", "restrooms", "bathroom", "laundry", "supermarket", "grocery", "bakery",
+    "baño", "baños", "aseo", "aseos", "ducha", "duchas", "restaurante", "kiosco", "quiosco", "supermercado", "chiringuito", "recepción", "recepcion",
+    "piscina", "tienda", "lavandería", "lavanderia", "servicio", "servicios", "panadería", "panaderia",
+    "toilettes", "sanitaires", "douche", "douches", "piscine", "accueil", "réception", "magasin", "boulangerie", "supermarché", "épicerie",
+    "toilette", "toiletten", "dusche", "duschen", "sanitär", "sanitaer", "rezeption", "schwimmbad", "küche", "kueche", "waschraum", "supermarkt", "bäckerei", "baeckerei",
+)
+#: Phrases that are blanked before a needle is looked for.
+EXCLUSIONS = {
+    "lleno": (
+        "lleno de basura", "lleno de baches", "lleno de barro", "lleno de piedras", "lleno de hojas", "lleno de mierda", "lleno de cristales", "lleno de excrementos",
+    ),
+}
+#: What a text of frost holds; then a tap that doesn't run says nothing.
+FREEZE = (
+    "helada", "heladas", "helado", "congelad", "hiela", "por el frío", "por el frio", "frozen", "freeze", "freezing", "frost", "iced", "ice",
+    "gefroren", "gefrier", "vereist", "gelé", "gelée", "gel ", "givre", "congelé", "ghiacc", "gelo", "congelat", "invierno", "winter", "hiver", "inverno",
 )
+FROZEN_CLAIM = ("water_working", "false")
+#: Signals that no needle decides, and those whose false claim beats the true one.
+AMBIGUOUS, FALSE_WINS = ("police_risk",), ("overnight_safe",)
+CLAUSE_ENDS = r".!?;:\n,"
+_LETTER = r"\p{L}\p{N}_"
+_TOKEN, _GAP = rf"[{_LETTER}']", rf"[^{_LETTER}'{CLAUSE_ENDS}]"
+_DENIAL = rf"(?<!{_TOKEN})(?:{'|'.join(NEGATIONS)}|{_TOKEN}{{0,30}}n't){_GAP}{{1,6}}"
+_WORD = rf"{_TOKEN}{{1,40}}{_GAP}{{1,6}}"
+
+
+def _up_to(words: int) -> str:
+    """So many words, written out: a lookbehind must show its greatest length."""
+    return "(?:" + "|".join(_WORD * k for k in range(words, -1, -1)) + ")"
+
+
+#: Not behind a denial; words of up to 40 letters and gaps of up to six characters count.
+_AFFIRMED = rf"(?<!{_DENIAL}{_up_to(NEGATION_WORDS - 1)})"
+_AFFIRMED_WITHIN = _AFFIRMED + rf"(?<!{_DENIAL}{_up_to(NEGATION_WORDS - 2)}{_TOKEN}{{1,40}})"
+
+
+class Rule(NamedTuple):
+    """A claim and the needles, in lower case, any of which makes it."""
+
+    signal: str
+    value: str
+    confidence: float
+    needles: tuple[str, ...]
+
+
+def _denies(needle: str) -> bool:
+    """Whether a needle has a negation of its own, so that none in front of it counts."""
+    return any(t in NEGATIONS or t.endswith("n't") for t in re.findall(r"[\w']+", needle))
 
 
-def _is_wordlike(needle: Column) -> Column:
-    return needle.rlike(r"^[\p{L}]+$")
+def _wordlike(needle: str) -> bool:
+    return re.fullmatch(r"[a-zà-öø-ÿ' \-]+", needle) is not None
 
 
-def _matches(text: Column, needle: Column) -> Column:
-    """Words match between word bounds, anything else as a substring."""
-    bounded = F.concat(F.lit(r"(?U)\b"), needle, F.lit(r"\b"))
-    return F.when(_is_wordlike(needle), F.regexp_like(text, bounded)).otherwise(F.contains(text, needle))
+def _pattern(needles: Sequence[str], wordlike: bool, affirmed: bool) -> str:
+    """One alternation over needles: within word bounds or anywhere, behind no denial if asked for."""
+    any_of = "(?:" + "|".join(re.escape(n) for n in sorted(needles, key=lambda n: (-len(n), n))) + ")"
+    if not wordlike:
+        return rf"(?={any_of}){_AFFIRMED_WITHIN if affirmed else ''}{any_of}"
+    after = rf"{any_of}(?![{_LETTER}])"
+    return rf"(?={after})(?<![{_LETTER}]){_AFFIRMED if affirmed else ''}{after}"
 
 
-def _negated(text: Column, needle: Column) -> Column:
-    """Whether one of the three words in front of the needle, in its clause, denies it."""
-    before = F.split_part(text, needle, F.lit(1))
-    clause = F.element_at(F.split(before, CLAUSE_END), -1)
-    words = F.filter(F.split(clause, r"[^\p{L}\p{Nd}]+"), lambda w: w != "")
-    last = F.slice(words, F.greatest(F.lit(1), F.size(words) - NEGATION_WORDS + 1), NEGATION_WORDS)
-    return F.size(F.array_intersect(last, F.array(*map(F.lit, NEGATIONS)))) > 0
+def _found(text: Column, elsewhere: Column, needles: Sequence[str]) -> Column:
+    """The first needle of a rule that the text holds, or null. elsewhere: the text without its clauses on services."""
+    groups: dict[tuple, list[str]] = {}
+    for n in needles:
+        groups.setdefault((n in CLOSURES, n if n in EXCLUSIONS else "", _wordlike(n), not _denies(n)), []).append(n)
+    out = []
+    for (closure, excluded, wordlike, affirmed), own in groups.items():
+        where = elsewhere if closure else text
+        if excluded:
+            where = F.regexp_replace(where, "|".join(map(re.escape, EXCLUSIONS[excluded])), " ")
+        match = F.regexp_extract(where, _pattern(own, wordlike, affirmed), 0)
+        out.append(F.when(match != "", match))
+    return F.coalesce(*out)
 
 
-def extract_claims(reviews: DataFrame, needles: DataFrame, text: str = "text", key: str = "review_id") -> DataFrame:
-    """One row for each review and (signal, value) that a needle names without denial; the longest needle counts.
+def extract_claims(reviews: DataFrame, rules: Sequence[Rule], text: str = "text", key: str = "review_id") -> DataFrame:
+    """Rows (key, signal, value, confidence, needle): the claims that a review's text makes, each once.
 
-    needles: signal, value, needle; the vocabulary is a fixed table and goes to
-    every task. A false claim of a signal beats its true one.
+    The rules are a fixed table and become patterns of the plan, one or a few for
+    each claim, so no text meets a table. Null texts make no claims.
     """
-    t = F.lower(F.col(text))
-    rows = reviews.select(key, t.alias("_t")).join(F.broadcast(needles), F.expr("contains(_t, needle)"))
-    rows = rows.where(_matches(F.col("_t"), F.col("needle")) & ~_negated(F.col("_t"), F.col("needle")))
-    claims = rows.groupBy(key, "signal", "value").agg(F.max(F.struct(F.length("needle").alias("n"), "needle")).alias("x"))
-    value = claims.groupBy(key, "signal").agg(F.min(F.struct("value", "x.needle")).alias("y"))
-    return value.select(key, "signal", "y.value", "y.needle")
+    low = F.lower(F.col(text))
+    clauses = F.split(low, f"[{CLAUSE_ENDS}]")
+    named = F.array(*map(F.lit, FACILITIES))
+    rows = reviews.select(key, low.alias("_text"), F.array_join(
+        F.filter(clauses, lambda c: ~F.arrays_overlap(F.split(c, rf"[^{_LETTER}']+"), named)), ".").alias("_elsewhere"))
+    made = []
+    for rule in rules:
+        if rule.signal in AMBIGUOUS:
+            continue
+        needle = _found(F.col("_text"), F.col("_elsewhere"), rule.needles)
+        if (rule.signal, rule.value) == FROZEN_CLAIM:
+            needle = F.when(~F.col("_text").rlike("|".join(map(re.escape, FREEZE))), needle)
+        claim = F.struct(F.lit(rule.signal).alias("signal"), F.lit(rule.value).alias("value"), F.lit(rule.confidence).alias("confidence"), needle.alias("needle"))
+        made.append(F.when(needle.isNotNull(), claim))
+    claims = rows.select(key, F.filter(F.array(*made), lambda c: c.isNotNull()).alias("_made"))
+    beaten = lambda c: c["signal"].isin(*FALSE_WINS) & (c["value"] == "true") & F.exists("_made", lambda o: (o["signal"] == c["signal"]) & (o["value"] == "false"))
+    return claims.select(key, F.explode(F.filter("_made", lambda c: ~beaten(c))).alias("_c")).select(key, "_c.*")
+
+
+def mentions_ambiguous(text: Column, rules: Sequence[Rule]) -> Column:
+    """Whether a text names a signal that needles don't decide."""
+    low = F.lower(text)
+    found = [_found(low, low, r.needles).isNotNull() for r in rules if r.signal in AMBIGUOUS]
+    return F.coalesce(F.array_max(F.array(*found, F.lit(False))), F.lit(False))
 
 
 def should_escalate(mode: str, text: Column, n_claims: Column, ambiguous: Column) -> Column:

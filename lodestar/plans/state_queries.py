@@ -201,7 +201,7 @@ def _alert_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def alert_decay(spark: SparkSession, d: str) -> DataFrame:
-    return alerts.decay_alerts(_alert_rows(spark, d), ORDERS_AS_OF).select("alert_id", F.round("confidence", 1).alias("confidence"), "resolved", F.col("valid_until").cast("string").alias("valid_until"))
+    return alerts.decay_alerts(_alert_rows(spark, d), ORDERS_AS_OF).select("alert_id", F.round("confidence", 2).alias("confidence"), "resolved", F.col("valid_until").cast("string").alias("valid_until"))
 
 
 ALERT_DECAY = """
@@ -209,7 +209,7 @@ WITH a AS (
   SELECT o_orderkey, CAST(o_orderdate AS DATE) AS f, least(1, greatest(0, CAST(o_orderkey % 100 AS DOUBLE) / 100 * pow(CAST(0.85 AS DOUBLE),
     greatest(0, CAST(epoch_us(TIMESTAMP '2001-12-01') - epoch_us(CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP)) AS DOUBLE) / 86400e6) / CAST(30.44 AS DOUBLE)))) AS c FROM orders
 ), b AS (SELECT *, round(c, 2) < CAST(0.3 AS DOUBLE) AND date_diff('day', f, DATE '2001-12-01') >= 180 AS done FROM a)
-SELECT o_orderkey AS alert_id, round(round(c, 2), 1) AS confidence, done AS resolved, CASE WHEN done THEN '2001-12-01' END AS valid_until FROM b
+SELECT o_orderkey AS alert_id, round(c, 2) AS confidence, done AS resolved, CASE WHEN done THEN '2001-12-01' END AS valid_until FROM b
 """
 
 

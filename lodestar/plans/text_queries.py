@@ -46,15 +46,15 @@ STRATIFIED_SAMPLE = "SELECT lang, doc_id, rank FROM (SELECT lang, doc_id, row_nu
 
 CLEAN_SQL = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(coalesce({c}, ''),
   '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&apos;', chr(39)), '&amp;', '&'),
-  '<[^>]+>', ' ', 'g'), 'https?://\S+|www\.\S+', ' ', 'g'), '(!!!+)|(\?\?\?+)|(\.\.\.+)|(,,,+)', '\1', 'g'), '\s+', ' ', 'g'))"""
+  '<[^>]+>', ' ', 'g'), 'https?://\S+|www\.\S+', ' ', 'g'), '(!)!!+|(\?)\?\?+|(\.)\.\.+|(,),,+', '\1\2\3\4', 'g'), '\s+', ' ', 'g'))"""
 
 
 def clean_text(spark: SparkSession, d: str) -> DataFrame:
     c = text.clean_text(F.col("html"))
-    return table(spark, d, "pages").select("page_id", F.md5(F.regexp_replace(c, r"[!?.,]+", "")).alias("clean_md5"), (F.length(c) > 0).alias("any"))
+    return table(spark, d, "pages").select("page_id", F.md5(c).alias("clean_md5"), (F.length(c) > 0).alias("any"))
 
 
-CLEAN_TEXT = "WITH c AS (SELECT page_id, " + CLEAN_SQL.replace("{c}", "html") + r" AS c FROM pages) SELECT page_id, md5(regexp_replace(c, '[!?.,]+', '', 'g')) AS clean_md5, length(c) > 0 AS any FROM c"
+CLEAN_TEXT = "WITH c AS (SELECT page_id, " + CLEAN_SQL.replace("{c}", "html") + r" AS c FROM pages) SELECT page_id, md5(c) AS clean_md5, length(c) > 0 AS any FROM c"
 
 
 def lang_keyword(spark: SparkSession, d: str) -> DataFrame:
@@ -145,23 +145,27 @@ p AS (SELECT *, lag(k) OVER w AS q, lag(text) OVER w AS bt FROM t WINDOW w AS (P
 SELECT conv_id, turn, CASE WHEN len(k) > 0 THEN CAST(len(list_filter(k, lambda x: list_contains(q, x))) AS DOUBLE) / len(k) >= CAST(0.34 AS DOUBLE) ELSE false END AS grounded FROM p WHERE bt IS NOT NULL
 """
 
-WORD_NEEDLES = (("article", "true", "the"), ("article", "true", "der"), ("closed", "true", "idiot"), ("closed", "false", "license"), ("risk", "true", "trash"), ("risk", "true", "apache license"))
+#: A small vocabulary of words that the documents hold.
+RULES = (
+    claims.Rule("article", "true", 0.8, ("the", "der", "les", "pas de")), claims.Rule("article", "false", 0.7, ("und", "que")),
+    claims.Rule("overnight_safe", "true", 0.8, ("with", "von")), claims.Rule("overnight_safe", "false", 0.9, ("trash", "idiot")),
+    claims.Rule("police_risk", "0.85", 0.9, ("that",)), claims.Rule("spot_closed", "true", 0.9, ("worthless", "closed")),
+)
 
 
 def lexical_claims(spark: SparkSession, d: str) -> DataFrame:
-    needles = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(s).alias("signal"), F.lit(v).alias("value"), F.lit(n).alias("needle")) for s, v, n in WORD_NEEDLES])).alias("x")).select("x.*")
-    reviews = table(spark, d, "documents").select(F.col("doc_id").alias("review_id"), F.regexp_replace(F.col("text"), r"[^\x20-\x7E]", "_").alias("text"))
-    return claims.extract_claims(reviews, needles).select("review_id", "signal", "value", "needle")
-
-
-LEXICAL_CLAIMS = r"""
-WITH n(signal, value, needle) AS (VALUES ('article', 'true', 'the'), ('article', 'true', 'der'), ('closed', 'true', 'idiot'), ('closed', 'false', 'license'), ('risk', 'true', 'trash'), ('risk', 'true', 'apache license')),
-t AS (SELECT doc_id AS review_id, lower(regexp_replace(text, '[^\x20-\x7E]', '_', 'g')) AS t FROM documents),
-m AS (SELECT review_id, signal, value, needle, string_split(t, needle)[1] AS before FROM t, n WHERE CASE WHEN contains(needle, ' ') THEN contains(t, needle) ELSE regexp_matches(t, '\b' || needle || '\b') END),
-w AS (SELECT *, list_filter(string_split_regex(string_split_regex(before, '[.,;:!?\n]')[-1], '[^\p{L}\p{Nd}]+'), lambda x: x <> '') AS words FROM m),
-k AS (SELECT * FROM w WHERE NOT list_has_any(words[-3:], ['no', 'not', 'sin', 'without', 'kein', 'keine', 'pas', 'sans', 'never', 'nunca', 'nicht', 'ohne', 'geen', 'niet'])),
-g AS (SELECT review_id, signal, value, arg_max(needle, (length(needle), needle)) AS needle FROM k GROUP BY ALL)
-SELECT review_id, signal, min(value) AS value, arg_min(needle, value) AS needle FROM g GROUP BY ALL
+    return claims.extract_claims(table(spark, d, "documents"), RULES, key="doc_id").select("doc_id", "signal", "value", "confidence")
+
+
+LEXICAL_CLAIMS = rf"""
+WITH r(signal, value, confidence, needle) AS (VALUES {', '.join(f"('{r.signal}', '{r.value}', {r.confidence}, '{n}')" for r in RULES for n in r.needles)}),
+c AS (SELECT doc_id, list_filter(string_split_regex(unnest(string_split_regex(lower(text), '[.!?;:
+,]')), '[^\p{{L}}\p{{N}}_]+'), lambda x: x <> '') AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM c),
+m AS (SELECT DISTINCT doc_id, w[p] AS needle FROM i WHERE w[p] IN (SELECT needle FROM r) AND NOT list_has_any(w[greatest(1, p - 3):p - 1], [{', '.join(f"'{n}'" for n in claims.NEGATIONS)}])
+  UNION SELECT doc_id, 'pas de' FROM documents WHERE regexp_matches(lower(text), '(^|[^\p{{L}}\p{{N}}_])pas de($|[^\p{{L}}\p{{N}}_])')),
+k AS (SELECT DISTINCT doc_id, signal, value, CAST(confidence AS DOUBLE) AS confidence FROM m JOIN r USING (needle) WHERE signal <> 'police_risk')
+SELECT * FROM k WHERE NOT (signal = 'overnight_safe' AND value = 'true' AND doc_id IN (SELECT doc_id FROM k WHERE signal = 'overnight_safe' AND value = 'false'))
 """
 
 
@@ -197,29 +201,29 @@ EMBEDDING_DRIFT = """
 SELECT doc_id, left(sha1(concat_ws('|', lang, source, coalesce(text, ''))), 16) AS fingerprint, doc_id % 3 = 0 AS missing FROM documents WHERE doc_id % 3 = 0 OR doc_id % 5 = 0
 """
 
-#: Patterns of social filler, each matched in any case.
-FILLER = (
-    r"(?:muchas?\s+)?gracias\s+(?:al\s+)?(?:municipio|ayuntamiento|pueblo|propietario)[^.!?]*[.!?]?",
-    r"thank\s+you\s+(?:to\s+the\s+)?(?:town|municipality|owner|council)[^.!?]*[.!?]?",
-    r"(?:highly\s+)?recommend(?:ed|able)?[.!]?",
-    r"see\s+you\s+(?:again|next\s+time)[.!]?",
-    r"hasta\s+(?:la\s+próxima|pronto|otra)[.!]?",
-    r"bonne\s+route[.!]?",
-    r"gute\s+reise[.!]?",
-)
-LEAST_LEFT = 40
+_FILLED = "concat(coalesce(text, ''), CASE turn % 4 WHEN 0 THEN ' Thank you to the town for this. Highly recommended!' WHEN 1 THEN ' Sin duda volveremos a este sitio! 10 / 10. Via: web' WHEN 2 THEN ' ÉTOILES, merci à la mairie' ELSE '' END)"
 
 
 def trim_filler(spark: SparkSession, d: str) -> DataFrame:
-    """Turns without filler; what would be under forty characters stays as it was."""
-    s = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("turn") % 2 == 0, " Thank you to the town for this. Highly recommended!").otherwise(""))
-    cut = s
-    for pattern in FILLER:
-        cut = F.regexp_replace(cut, "(?i)" + pattern, " ")
-    cut = F.trim(F.regexp_replace(cut, r"\s{2,}", " "))
-    out = F.when(F.length(s) <= LEAST_LEFT, s).when(F.length(cut) < LEAST_LEFT, F.trim(s)).otherwise(cut)
-    return table(spark, d, "conversations").select("conv_id", "turn", F.length(s).cast("long").alias("before"), F.length(out).cast("long").alias("after"))
+    """Turns without filler, and what share of each went."""
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.expr(_FILLED).alias("t"))
+    rows = rows.withColumn("out", text.without_filler(F.col("t")))
+    ratio = F.when(F.length("t") > 0, 1.0 - F.length("out") / F.length("t")).otherwise(0.0)
+    return rows.select("conv_id", "turn", F.md5("out").alias("trimmed_md5"), F.round(ratio, 6).alias("ratio"))
+
 
+def _filler_sql() -> str:
+    cut = "t"
+    for pattern in text.FILLER:
+        cut = f"regexp_replace({cut}, '(?i){pattern.replace(chr(39), chr(39) * 2)}', ' ', 'g')"
+    return cut
+
+
+TRIM_FILLER = rf"""
+WITH s AS (SELECT conv_id, turn, {_FILLED} AS t FROM conversations), c AS (SELECT *, trim(regexp_replace({_filler_sql()}, '\s{{2,}}', ' ', 'g')) AS cut FROM s),
+o AS (SELECT *, CASE WHEN length(t) <= 40 THEN t WHEN length(cut) < 40 THEN trim(t) ELSE cut END AS o FROM c)
+SELECT conv_id, turn, md5(o) AS trimmed_md5, round(CASE WHEN length(t) > 0 THEN 1 - CAST(length(o) AS DOUBLE) / length(t) ELSE 0 END, 6) AS ratio FROM o
+"""
 
 PAYLOADS = (
     '{"claims":[{"signal":"quietness","value":"0.8","confidence":0.9,"review_id":"1"},{"signal":"unknown","value":"1","confidence":0.5}],"tags":["Lake View",""],"elevation_m":12000}',
@@ -242,6 +246,8 @@ def stream_state(spark: SparkSession, d: str) -> DataFrame:
     if not base:
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         base = f"file://{tempfile.mkdtemp(prefix='lodestar-stream-')}"
     name = f"stream_state_{uuid.uuid4().hex}"
     events = stream_table(spark, d, "events")
@@ -266,7 +272,7 @@ def batch_state(spark: SparkSession, d: str) -> DataFrame:
 
 
 BATCH_STATE = STREAM_STATE
-TRIM_FILLER = LLM_PAYLOAD = ""
+LLM_PAYLOAD = ""
 
 QUERIES = {k.lower(): (globals()[k.lower()], v) for k, v in list(globals().items()) if k.isupper() and isinstance(v, str) and callable(globals().get(k.lower()))}
 QUERIES["llm_payload"] = (llm_payload_query, "")
