@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.plans import record_queries, search_queries, state_queries, text_queries
+from lodestar.plans import observation_queries, record_queries, search_queries, state_queries, text_queries, work_queries
 
-_ALL = {**state_queries.QUERIES, **search_queries.QUERIES, **record_queries.QUERIES, **text_queries.QUERIES}
+_ALL = {
+    **state_queries.QUERIES, **search_queries.QUERIES, **record_queries.QUERIES, **text_queries.QUERIES, **observation_queries.QUERIES, **work_queries.QUERIES,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
