@@ -20,7 +20,7 @@ def merge_alerts(alerts: DataFrame) -> DataFrame:
     return alerts.groupBy("spot_id", "alert_type").agg(
         F.min("alert_id").alias("alert_id"), F.max("severity").alias("severity"), F.max("confidence").alias("confidence"),
         F.min("valid_from").alias("valid_from"), F.max("detected_at").alias("detected_at"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_review_ids")))).alias("source_review_ids"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("source_review_ids")))).alias("source_review_ids"),
     )
 
 

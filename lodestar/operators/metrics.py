@@ -72,9 +72,12 @@ def labelled_counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def duplicate_groups(rows: DataFrame, shown: int = 10) -> DataFrame:
-    """Keys with several rows and the first ids of each, joined by commas."""
-    ids = F.slice(F.array_sort(F.collect_list("id")), 1, shown)
-    return rows.where("key IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.array_join(ids.cast("array<string>"), ",").alias("first_ids")).where("n > 1")
+    """Keys with several rows and the first ids of each, joined by commas; no more than those are gathered."""
+    some = rows.where("key IS NOT NULL")
+    at = F.row_number().over(Window.partitionBy("key").orderBy("id"))
+    first = some.withColumn("_at", at).where(F.col("_at") <= shown).groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    counted = some.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return counted.join(first, "key").select("key", "n", F.array_join(F.col("ids").cast("array<string>"), ",").alias("first_ids"))
 
 
 def enrichment_candidates(spots: DataFrame, reviews: DataFrame, version: int, as_of: datetime, limit: int) -> DataFrame:

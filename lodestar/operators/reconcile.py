@@ -16,24 +16,24 @@ def weighted_vote(values: DataFrame, credibility: DataFrame) -> DataFrame:
     """One row for each (entity, field): value, witness, supporters, confidence, margin, conflict, decision.
 
     values: entity_id, field, source, value, source_rank, record_id; of several
-    records of a source the last counts. credibility: source, base_score; sources
+    records of a source the last counts, of equal record ids the greater value. credibility: source, base_score; sources
     without one weigh DEFAULT_WEIGHT. A margin under TIE_MARGIN keeps what stands.
     """
-    last = Window.partitionBy("entity_id", "field", "source").orderBy(F.desc("record_id"))
-    rows = values.where("value IS NOT NULL").withColumn("_at", F.row_number().over(last)).where("_at = 1")
+    kept = F.max_by(F.struct("value", "source_rank", "record_id"), F.struct("record_id", "value")).alias("x")  # aggregated before it moves
+    rows = values.where("value IS NOT NULL").groupBy("entity_id", "field", "source").agg(kept).select("entity_id", "field", "source", "x.*")
     rows = rows.join(credibility.select("source", "base_score"), "source", "left")
     rows = rows.withColumn("vote", F.coalesce("base_score", F.lit(DEFAULT_WEIGHT)))
     rank = F.struct(F.coalesce("source_rank", F.lit(1 << 30)), F.col("record_id"))
     by_value = rows.groupBy("entity_id", "field", "value").agg(
         F.sum("vote").alias("weight"), F.count(F.lit(1)).alias("supporters"), F.min_by("source", rank).alias("witness")
     )
-    # the two best values of a field, as one sorted array of small structs
-    best = by_value.groupBy("entity_id", "field").agg(
+    order = Window.partitionBy("entity_id", "field").orderBy(F.desc("weight"), F.desc("value"))
+    best = by_value.withColumn("_at", F.row_number().over(order)).groupBy("entity_id", "field").agg(
         F.sum("weight").alias("total"), F.count(F.lit(1)).alias("n_values"),
         F.max(F.struct("weight", "value", "supporters", "witness")).alias("first"),
-        F.sum("supporters").alias("n_sources"), F.slice(F.sort_array(F.collect_list("weight"), asc=False), 2, 1).alias("second"),
+        F.sum("supporters").alias("n_sources"), F.max(F.when(F.col("_at") == 2, F.col("weight"))).alias("second"),
     )
-    second = F.coalesce(F.get("second", F.lit(0)), F.lit(0.0))
+    second = F.coalesce("second", F.lit(0.0))
     margin = (F.col("first.weight") - second) / F.col("total")
     tie = F.round(margin, 9) < TIE_MARGIN
     return best.select(
@@ -87,7 +87,7 @@ def merge_amenities(records: DataFrame, key: str, booleans: list[str], scalars:
     return records.groupBy(key).agg(
         *[F.bool_or(c).alias(c) for c in booleans],
         *[known(c).alias(c) for c in scalars],
-        *[F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in arrays],
+        *[F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c) for c in arrays],
     )
 
 

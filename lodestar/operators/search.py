@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -42,7 +44,13 @@ def faceted(places: DataFrame, **wanted) -> DataFrame:
 
 
 def radius_search(places: DataFrame, lat: float, lon: float, radius_km: float, limit: int | None, key: str) -> DataFrame:
-    """Places within a radius, nearest first."""
+    """Places within a radius, nearest first; a box around it, which a scan can prune by, goes in front."""
+    degrees = math.degrees(radius_km / geo.EARTH_KM)
+    places = places.where(F.col("lat").between(lat - degrees - 1e-6, lat + degrees + 1e-6))
+    if abs(lat) + degrees < 89:
+        wide = math.degrees(math.asin(min(1.0, math.sin(math.radians(degrees)) / math.cos(math.radians(lat))))) + 1e-6
+        if lon - wide >= -180 and lon + wide <= 180:
+            places = places.where(F.col("lon").between(lon - wide, lon + wide))
     found = places.withColumn("dist_km", geo.haversine_km(F.lit(lat), F.lit(lon), F.col("lat"), F.col("lon"))).where(F.col("dist_km") <= radius_km)
     return found if limit is None else found.orderBy("dist_km", key).limit(limit)
 

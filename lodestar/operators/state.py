@@ -20,7 +20,7 @@ def at_time(as_of: datetime) -> Column:
 
 def weighted(observations: DataFrame, signals: DataFrame, as_of: datetime) -> DataFrame:
     """Observations of known signals with w, their effective weight; those of 0 or less are left out."""
-    rows = observations.join(F.broadcast(signals), "signal")  # the registry is a fixed list of signals
+    rows = observations.join(signals, "signal")  # a small registry, which Spark broadcasts by its size
     w = decay.effective_weight(F.col("weight"), F.col("observed_at"), at_time(as_of), F.col("half_life"), F.col("date_estimated"))
     return rows.withColumn("w", w)
 
@@ -119,7 +119,7 @@ def signal_distance(before: DataFrame, after: DataFrame, signals: DataFrame) ->
     """Sum over signals that both states have of |change| * importance, for each entity."""
     joined = before.select("entity_id", "signal", F.col("score").alias("old")).join(
         after.select("entity_id", "signal", F.col("score").alias("new")), ["entity_id", "signal"]
-    ).join(F.broadcast(signals.select("signal", "importance")), "signal", "left")  # fixed list of signals
+    ).join(signals.select("signal", "importance"), "signal", "left")
     change = F.abs(F.col("new") - F.col("old")) * F.coalesce("importance", F.lit(1.0))
     return joined.groupBy("entity_id").agg(F.sum(change).alias("d")).select(
         "entity_id", F.round("d", 8).alias("distance"), (F.col("d") > SNAPSHOT_DISTANCE).alias("snapshot")

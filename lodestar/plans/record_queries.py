@@ -23,7 +23,7 @@ def _credibility(spark: SparkSession, d: str) -> DataFrame:
 
 
 VOTE_SQL = """
-v0 AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_linenumber DESC) AS rn FROM lineitem),
+v0 AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_linenumber DESC, l_returnflag DESC) AS rn FROM lineitem),
 v AS (SELECT l_orderkey AS entity_id, l_suppkey AS source, l_returnflag AS value, l_linenumber * 1000000 + l_suppkey AS record_id,
       CASE WHEN l_suppkey % 4 <> 0 THEN CAST(l_suppkey % 50 + 50 AS DOUBLE) / 100 ELSE CAST(0.5 AS DOUBLE) END AS w FROM v0 WHERE rn = 1),
 g AS (SELECT entity_id, value, sum(w) AS weight, count(*) AS supporters, arg_min(source, record_id) AS witness FROM v GROUP BY ALL),

@@ -107,7 +107,7 @@ SELECT entity_id, round(d, 8) AS distance, d > CAST(0.15 AS DOUBLE) AS snapshot
 
 def closure_reopen(spark: SparkSession, d: str) -> DataFrame:
     obs = event_observations(spark, d)
-    return state.reopened(obs, "error").orderBy("entity_id")
+    return state.reopened(obs, "error")
 
 
 CLOSURE_REOPEN = """
@@ -146,9 +146,8 @@ GROUP BY s.entity_id, last_aggregated_at HAVING max(ts) > last_aggregated_at
 
 
 def latest_run(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "events").select("user_id", "event_id", "event_type", "value")
-    return state.latest_per_key(rows.join(table(spark, d, "events").select("event_id", "ts"), "event_id"), ["user_id"], [F.desc("ts"), F.desc("event_id")]).select(
-        "user_id", "event_id", "event_type", "value", "ts")
+    rows = table(spark, d, "events").select("user_id", "event_id", "event_type", "value", "ts")
+    return state.latest_per_key(rows, ["user_id"], [F.desc("ts"), F.desc("event_id")])
 
 
 LATEST_RUN = """

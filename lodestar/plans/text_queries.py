@@ -254,7 +254,7 @@ def stream_state(spark: SparkSession, d: str) -> DataFrame:
     k = F.regexp_extract("props", r'"k": *([0-9]+)', 1)
     rows = events.select(F.col("user_id").alias("entity_id"), F.col("event_type").alias("signal"), F.col("value").alias("value_num"),
                          (F.when(k != "", k).cast("double") / 100).alias("weight"), F.col("ts").cast("timestamp").alias("observed_at"))
-    return incremental.run_once(incremental.stream_scores(rows, 30.0, EVENTS_AS_OF), name, f"{base.rstrip('/')}/{name}")
+    return incremental.run_once(incremental.stream_scores(rows, 30.0, EVENTS_AS_OF), ["entity_id", "signal"], f"{base.rstrip('/')}/{name}")
 
 
 STREAM_STATE = """

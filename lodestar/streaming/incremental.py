@@ -11,6 +11,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lodestar.functions.decay import DAY_SECONDS
 from lodestar.operators.state import at_time
@@ -43,8 +44,19 @@ def burst_counts(claims: DataFrame, days: int = 7, late: str = "2 days") -> Data
     return claims.withWatermark("created_at", late).groupBy(F.window("created_at", f"{days} days", "1 day"), "entity_id", "signal").agg(F.count(F.lit(1)).alias("n_claims"))
 
 
-def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Run what the stream has to its end and return the result table."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_once(stream: DataFrame, keys: list[str], folder: str) -> DataFrame:
+    """Run what the stream has to its end and return the latest row of each key.
+
+    Each batch appends the rows that it changed to a table in the shared `folder`,
+    so no state goes through the driver; a batch that is run again replaces its own.
+    """
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/table/batch={number}")
+
+    query = stream.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    rows = stream.sparkSession.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(f"{folder}/table")
+    columns = [c for c in stream.columns if c not in keys]
+    latest = F.max_by(F.struct(*columns), "batch").alias("x")
+    return rows.groupBy(*keys).agg(latest).select(*keys, "x.*")

@@ -122,9 +122,9 @@ def test_vehicles(spark):
 
 
 def test_claims_negation(spark):
-    needles = spark.createDataFrame(list(claims.NEEDLES), "signal string, value string, needle string")
+    rules = [claims.Rule("quietness", "true", 0.9, ("quiet",)), claims.Rule("overnight_allowed", "false", 0.9, ("no overnight",)), claims.Rule("overnight_allowed", "true", 0.8, ("overnight",))]
     rows = spark.createDataFrame([(1, "Very quiet place."), (2, "Not quiet at all"), (3, "No noise. quiet"), (4, "disquieting"), (5, "no overnight here"), (6, None)], "review_id long, text string")
-    got = {(r.review_id, r.signal): r.value for r in claims.extract_claims(rows, needles).collect()}
+    got = {(r.review_id, r.signal): r.value for r in claims.extract_claims(rows, rules).collect()}
     assert got == {(1, "quietness"): "true", (3, "quietness"): "true", (5, "overnight_allowed"): "false"}
 
 
