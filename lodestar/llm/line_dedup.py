@@ -2,16 +2,13 @@
 
 For each host, a line's ratio is the pages that contain it over the pages of the
 host. Lines above the boilerplate ratio go. Lines are compared without their
-outer spaces, by a 128-bit hash; blank lines are never counted or dropped.
+outer white space, by a 128-bit hash; blank lines are never counted or dropped. A
+line that only one page of the host holds doesn't repeat and stays, whatever the
+ratio: on a host of under ten pages all lines would go otherwise.
 
-A line must be on `least_pages` pages to repeat at all: on a host of under ten
-pages a line of a single page is above the ratio, and every page would be emptied.
-
-A page that would lose more than `most_share` of its characters keeps all its
-lines only if its whole text is on other pages of the host: its lines are frequent
-because the page has copies, which is for document dedup to judge, and line dedup
-would empty every copy. Copies are looked for among such pages alone, since the
-copies of one within its host lose the same lines.
+Pages are rows, or, with `distinct_pages`, different texts: then copies of a page
+count as one page, so a document doesn't lose its lines for being copied, which
+is for document dedup to judge.
 
 A host has at most (mean lines of its pages / ratio) boilerplate lines, so the
 set is one short array for each host. Pages are dealt to it by host and salt,
@@ -19,8 +16,9 @@ never by host alone; where the whole set is small, Spark broadcasts it and pages
 don't move at all.
 
 Defined results: a null text stays null and counts as a page without lines; a
-null host is a host of its own; repeated rows are pages of their own; an empty
-table gives an empty result; other columns stay as they are.
+null host is a host of its own; repeated rows are pages of their own (one page
+with `distinct_pages`); an empty table gives an empty result; other columns stay
+as they are, whatever their names, but one named as `removed_col` is replaced.
 """
 
 from __future__ import annotations
@@ -30,24 +28,36 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.scratch import written
 
-RATIO, LEAST_PAGES, MOST_SHARE = 0.1, 2, 0.5
+RATIO, LEAST_PAGES = 0.1, 2
 SALTS = 16
+#: White space that lines are compared without.
+OUTER = " \t\r\x0b\x0c"
+
+
+def _bare(line: Column) -> Column:
+    return F.trim(line, F.lit(OUTER))
 
 
 def _hash(line: Column) -> Column:
-    return F.struct(F.xxhash64(F.trim(line)).alias("a"), F.xxhash64(F.lit(1), F.trim(line)).alias("b"))
+    return F.struct(F.xxhash64(_bare(line)).alias("a"), F.xxhash64(F.lit(1), _bare(line)).alias("b"))
 
 
 def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO,
-                least_pages: int = LEAST_PAGES) -> DataFrame:
+                least_pages: int = LEAST_PAGES, distinct_pages: bool = False) -> DataFrame:
     """Rows (host, lines): hashes of the lines in more than `ratio` of the host's pages."""
-    pages = docs.select(F.col(host_col).alias("host"), F.split(F.col(text_col), "\n").alias("lines"))
-    totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    text = F.col(text_col)
+    page = [F.xxhash64(text), F.xxhash64(F.lit(1), text)] if distinct_pages else []
+    names = ["page_a", "page_b"][: len(page)]
+    pages = docs.select(F.col(host_col).alias("host"), F.split(text, "\n").alias("lines"),
+                        *[c.alias(n) for c, n in zip(page, names, strict=True)])
+    totals = pages.groupBy("host").agg((F.count_distinct(F.struct(*names)) if names else F.count(F.lit(1))).alias("pages"))
     totals = totals.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    distinct = F.array_distinct(F.transform(F.filter("lines", lambda x: F.trim(x) != ""), _hash))
+    own = F.array_distinct(F.transform(F.filter("lines", lambda x: _bare(x) != ""), _hash))
+    held = pages.select("host", *names, F.explode(own).alias("line"))
+    if names:  # one row for each line of a text, however many copies it has
+        held = held.groupBy("host", "line", *names).agg(F.count(F.lit(1)).alias("copies"))
     counted = (
-        pages.select("host", F.explode(distinct).alias("line"))
-        .groupBy("host", "line")
+        held.groupBy("host", "line")
         .agg(F.count(F.lit(1)).alias("holding"))
         .where(F.col("holding") >= least_pages)
         .withColumn("salt", F.pmod(F.col("line.a"), F.lit(SALTS)).cast("int"))
@@ -60,45 +70,24 @@ def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text
 
 
 def dedup_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO,
-                least_pages: int = LEAST_PAGES, most_share: float = MOST_SHARE) -> DataFrame:
-    """The rows of `docs` with boilerplate lines gone from the text, and lines_removed."""
-    found = written(boilerplate(docs, host_col, text_col, ratio, least_pages), "boilerplate")
+                least_pages: int = LEAST_PAGES, distinct_pages: bool = False, removed_col: str = "lines_removed") -> DataFrame:
+    """The rows of `docs` with boilerplate lines gone from the text, and the number of lines removed."""
+    found = written(boilerplate(docs, host_col, text_col, ratio, least_pages, distinct_pages), "boilerplate")
     found = found.select(
         F.col("host").alias("b_host"), F.col("lines").alias("b_lines"),
         F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("b_salt"),
     )
-    columns = docs.columns
-    salt = F.pmod(F.xxhash64(text_col), F.lit(SALTS)).cast("int")
-    rows = docs.join(found, docs[host_col].eqNullSafe(F.col("b_host")) & (salt == F.col("b_salt")), "left")
-    lines = F.split(F.col(text_col), "\n")
+    columns = [c for c in docs.columns if c != removed_col]
+    # columns of `docs` travel within one, so that no name of theirs meets a name of ours
+    rows = docs.select(F.struct(*columns).alias("row")).withColumn("salt", F.pmod(F.xxhash64(f"row.{text_col}"), F.lit(SALTS)).cast("int"))
+    rows = rows.join(found, F.col(f"row.{host_col}").eqNullSafe(F.col("b_host")) & (F.col("salt") == F.col("b_salt")), "left")
+    text = F.col(f"row.{text_col}")
+    lines = F.split(text, "\n")
     kept = F.filter(lines, lambda x: ~F.array_contains(F.col("b_lines"), _hash(x)))
-    clean = F.when(F.col("b_lines").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    rows = rows.withColumn("clean", clean)
-    whole = [F.xxhash64(text_col), F.xxhash64(F.lit(1), text_col)]
-    emptied = rows.where(F.length("clean") < F.length(text_col) * F.lit(1 - most_share))
-    copied = (
-        emptied.groupBy(F.col(host_col).alias("c_host"), whole[0].alias("c_a"), whole[1].alias("c_b"))
-        .agg(F.count(F.lit(1)).alias("c_pages"))
-        .where("c_pages > 1")
-        .withColumn("c_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    )
-    copied = written(copied, "copied-pages")
-    others = [c for c in columns if c != text_col]
-    rows = rows.join(
-        copied,
-        docs[host_col].eqNullSafe(F.col("c_host")) & (whole[0] == F.col("c_a")) & (whole[1] == F.col("c_b"))
-        & (F.pmod(F.xxhash64(*[docs[c] for c in others]), F.lit(SALTS)).cast("int") == F.col("c_salt")),
-        "left",
-    )
-    spared = F.col("c_pages").isNotNull()
-    rows = rows.withColumn("clean", F.when(spared, F.col(text_col)).otherwise(F.col("clean")))
-    removed = F.when(F.col(text_col).isNull() | F.col("b_lines").isNull() | spared, 0).otherwise(
-        F.size(lines) - F.size(kept)
-    )
-    return rows.select(
-        *[F.col("clean").alias(c) if c == text_col else docs[c] for c in columns],
-        removed.cast("long").alias("lines_removed"),
-    )
+    clean = F.when(F.col("b_lines").isNull(), text).otherwise(F.array_join(kept, "\n"))
+    removed = F.when(text.isNull() | F.col("b_lines").isNull(), 0).otherwise(F.size(lines) - F.size(kept))
+    rows = rows.select("row", clean.alias("clean"), removed.cast("long").alias("removed"))
+    return rows.select(*[F.col("clean" if c == text_col else f"row.{c}").alias(c) for c in columns], F.col("removed").alias(removed_col))
 
 
 def op3_line_dedup(docs: DataFrame) -> DataFrame:
@@ -106,28 +95,27 @@ def op3_line_dedup(docs: DataFrame) -> DataFrame:
     return dedup_lines(docs.select("doc_id", "source", "text")).select("doc_id", "source", "lines_removed", "text")
 
 
-OP3_CTE = """
+OP3_SQL = """
 WITH page AS (
   SELECT row_number() OVER () AS rid, doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents
 ), total AS (
   SELECT source, count(*) AS pages FROM page GROUP BY source
+), bare AS (
+  SELECT *, ' ' || chr(9) || chr(13) || chr(11) || chr(12) AS outer_space FROM page
 ), line AS (
-  SELECT DISTINCT rid, source, trim(x) AS line FROM (SELECT rid, source, unnest(lines) AS x FROM page) WHERE trim(x) <> ''
+  SELECT DISTINCT rid, source, trim(x, outer_space) AS line
+  FROM (SELECT rid, source, outer_space, unnest(lines) AS x FROM bare) WHERE trim(x, outer_space) <> ''
 ), found AS (
   SELECT l.source, list(l.line) AS drops FROM (
-    SELECT source, line, count(*) AS holding FROM line GROUP BY source, line HAVING count(*) >= 5
+    SELECT source, line, count(*) AS holding FROM line GROUP BY source, line HAVING count(*) >= 2
   ) l JOIN total t ON l.source IS NOT DISTINCT FROM t.source
   WHERE holding > pages * CAST(0.1 AS DOUBLE) GROUP BY l.source
 ), cleaned AS (
-  SELECT p.*, f.drops, list_filter(p.lines, lambda x: NOT coalesce(list_contains(f.drops, trim(x)), false)) AS kept
-  FROM page p LEFT JOIN found f ON p.source IS NOT DISTINCT FROM f.source
-), judged AS (
-  SELECT *, coalesce(length(array_to_string(kept, chr(10))) < length(text) * CAST(0.5 AS DOUBLE), true) AS whole FROM cleaned
+  SELECT p.*, f.drops,
+         list_filter(p.lines, lambda x: NOT coalesce(list_contains(f.drops, trim(x, p.outer_space)), false)) AS kept
+  FROM bare p LEFT JOIN found f ON p.source IS NOT DISTINCT FROM f.source
 )
-"""
-OP3_SQL = OP3_CTE + """
-SELECT doc_id, source,
-       CAST(CASE WHEN whole THEN 0 ELSE len(lines) - len(kept) END AS BIGINT) AS lines_removed,
-       CASE WHEN whole THEN text ELSE array_to_string(kept, chr(10)) END AS text
-FROM judged
+SELECT doc_id, source, CAST(coalesce(len(lines) - len(kept), 0) AS BIGINT) AS lines_removed,
+       CASE WHEN text IS NULL OR drops IS NULL THEN text ELSE array_to_string(kept, chr(10)) END AS text
+FROM cleaned
 """
