@@ -4,7 +4,9 @@ Every document gets a hash-random key. Within a source, documents stand in the
 order of (key, size, text hash); prefix sums of their word counts over that
 order say where the source's budget is used up. The prefix sums are distributed:
 key ranges are summed first, a running sum over the ranges finds the one that
-holds the cut, and only that range's rows are ordered. The result of all this is
+holds the cut, and only that range's rows are ordered. Sources may be as many as
+hosts: their order, and the sums over it that the targets need, are made the same
+way, by ranges of sources. The result of all this is
 one small row for each source, the cut, which each document is compared with. The
 cuts are a written table: where it is small, Spark broadcasts it and documents
 don't move; beyond that documents are dealt by source and salt.
@@ -12,12 +14,13 @@ don't move; beyond that documents are dealt by source and salt.
 Defined results: a null text has size 0; a null source is a source of its own,
 ordered last; a source without words has target 0; an empty table gives an empty
 result; rows that are equal in key, size and text and stand at the cut share what
-is left of the budget equally, rounded down. Other columns stay as they are.
+is left of the budget equally, rounded down. Rows of the input travel within one
+column, so other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.scratch import written
@@ -33,12 +36,33 @@ def _same(a, b):
     return a.eqNullSafe(b)
 
 
-def _keyed(docs: DataFrame, seed: int, id_col: str, text_col: str) -> dict:
-    return {
-        "mix_size": F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long"),
-        "mix_key": F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")))),
-        "mix_tie": F.xxhash64(F.col(text_col)),
-    }
+def _marks(seed: int, id_col: str, text_col: str, source_col: str, prefix: str = "") -> list[Column]:
+    """Source, size, key and tie of a row whose columns stand behind `prefix`."""
+    text = F.col(f"{prefix}{text_col}")
+    return [
+        F.col(f"{prefix}{source_col}").alias("source"),
+        F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long").alias("mix_size"),
+        F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(f"{prefix}{id_col}").cast("string"), F.lit("")))).alias("mix_key"),
+        F.xxhash64(text).alias("mix_tie"),
+    ]
+
+
+def running(rows: DataFrame, order: list[Column], values: list[str], name: str) -> DataFrame:
+    """`rows` with before_v, the sum of v over all rows in front in `order`, for each v of `values`.
+
+    Rows are dealt to ranges of the order and summed by range; a running sum over
+    the ranges, of which there are as many as partitions, leads each of them. The
+    order must tell all rows apart.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(rows.repartitionByRange(parts, *order).withColumn("range", F.spark_partition_id()), name)
+    ahead = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("range").agg(*[F.sum(v).alias(v) for v in values])
+    sums = sums.select(F.col("range"), *[F.coalesce(F.sum(v).over(ahead), F.lit(0)).alias(f"ahead_{v}") for v in values])
+    within = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    found = ranged.select("*", *[F.coalesce(F.sum(v).over(within), F.lit(0)).alias(f"within_{v}") for v in values])
+    found = found.join(F.broadcast(sums), "range")  # one row for each partition
+    return found.select(*rows.columns, *[(F.col(f"ahead_{v}") + F.col(f"within_{v}")).alias(f"before_{v}") for v in values])
 
 
 def source_targets(sizes: DataFrame, weights=(3, 1, 2), share=(3, 2), cap: int = 2) -> DataFrame:
@@ -49,29 +73,19 @@ def source_targets(sizes: DataFrame, weights=(3, 1, 2), share=(3, 2), cap: int =
     what is above goes to the others by weight. With the sources ordered by cap
     over weight those that reach their cap come first, so one pass finds the level.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    rows = sizes.withColumn("place", F.row_number().over(order) - 1)
+    rows = running(sizes.withColumn("one", F.lit(1).cast("long")), [F.col("source").asc_nulls_last()], ["one"], "mix-sources")
+    rows = rows.select("source", "source_size", F.col("before_one").alias("place"))
     picked = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
     rows = rows.withColumn("weight", picked.cast("long")).withColumn("most", F.col("source_size") * cap)
-    by_ratio = Window.orderBy(F.col("most") / F.col("weight"), "place")
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    onward = by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    everything = Window.partitionBy()
-    rows = rows.withColumn("pool", F.sum("source_size").over(everything) * share[0])
-    rows = rows.withColumn(
-        "level",
-        (F.col("pool") - share[1] * F.coalesce(F.sum("most").over(before), F.lit(0)))
-        / (share[1] * F.sum("weight").over(onward)),
-    )
-    rows = rows.withColumn("free", F.col("most") / F.col("weight") > F.col("level"))
-    first_free = F.min_by(
-        F.when(F.col("free"), F.col("level")),
-        F.when(F.col("free"), F.struct(F.col("most") / F.col("weight"), F.col("place"))),
-    ).over(everything)
-    rows = rows.withColumn("final", first_free)
-    scaled = F.col("weight") * F.col("final")
-    target = F.when(F.col("final").isNull() | (scaled > F.col("most")), F.col("most").cast("double")).otherwise(scaled)
-    return rows.select("source", "source_size", target.alias("target"))
+    rows = rows.withColumn("ratio", F.col("most") / F.col("weight"))
+    rows = written(running(rows, [F.col("ratio"), F.col("place")], ["most", "weight"], "mix-ratios"), "mix-levels")
+    of_all = lambda c: rows.agg(F.sum(c)).scalar()
+    level = (of_all("source_size") * share[0] - share[1] * F.col("before_most")) / (share[1] * (of_all("weight") - F.col("before_weight")))
+    free = rows.withColumn("level", level).where(F.col("ratio") > F.col("level"))
+    final = free.agg(F.min_by("level", F.struct("ratio", "place"))).scalar()
+    rows = rows.withColumn("scaled", F.col("weight") * final)
+    capped = F.col("scaled").isNull() | (F.col("scaled") > F.col("most"))
+    return rows.select("source", "source_size", F.when(capped, F.col("most").cast("double")).otherwise(F.col("scaled")).alias("target"))
 
 
 def _cuts(keyed: DataFrame, weights, share, cap) -> DataFrame:
@@ -89,9 +103,9 @@ def _cuts(keyed: DataFrame, weights, share, cap) -> DataFrame:
     epochs = F.when(size > 0, F.floor(words / size)).otherwise(0).cast("long")
     targets = targets.withColumn("epochs", epochs).withColumn("rest", words - F.col("epochs") * size)
     t = targets.withColumnRenamed("source", "t_source")
-    running = Window.partitionBy("source").orderBy("mix_range")
+    over_ranges = Window.partitionBy("source").orderBy("mix_range")
     cut_range = (
-        sums.withColumn("upto", F.sum("range_size").over(running))
+        sums.withColumn("upto", F.sum("range_size").over(over_ranges))
         .join(t, _same(F.col("source"), F.col("t_source")))
         .where((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("range_size") <= F.col("rest")))
         .select(
@@ -120,30 +134,27 @@ def _cuts(keyed: DataFrame, weights, share, cap) -> DataFrame:
 
 def mix_sources(docs: DataFrame, weights=(3, 1, 2), share=(3, 2), cap: int = 2, seed: int = 0,
                 id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of `docs` with mix_size, mix_source_size, mix_target and mix_taken.
+    """Rows (row, size, source_size, target, taken): each row of `docs` as a struct, and what the mix takes of it.
 
-    mix_taken counts the words that the mix takes from the row: its size for each
+    taken counts the words that the mix takes from the row: its size for each
     full epoch of its source, and its size, a part of it or nothing in the last.
     """
-    marks = _keyed(docs, seed, id_col, text_col)
-    light = written(docs.select(F.col(source_col).alias("source"), *[c.alias(n) for n, c in marks.items()]), "mix-sizes")
+    light = written(docs.select(*_marks(seed, id_col, text_col, source_col)), "mix-sizes")
     cuts = _cuts(light, weights, share, cap)
-    return _taken(docs.withColumns(marks), source_col, cuts)
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    return _taken(rows.select("row", *_marks(seed, id_col, text_col, source_col, "row.")), cuts)
 
 
-def _taken(rows: DataFrame, source_col: str, cuts: DataFrame) -> DataFrame:
-    kept = rows.columns
+def _taken(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Rows (..., size, source_size, target, taken) of rows (..., source, mix_size, mix_key, mix_tie)."""
+    carried = [c for c in rows.columns if c not in ("source", "mix_size", "mix_key", "mix_tie")]
     mark = F.struct("mix_key", "mix_size", "mix_tie")
     size = F.col("mix_size")
     last = F.when(mark < F.col("cut"), size).when(mark == F.col("cut"), F.col("partial")).otherwise(0)
     taken = size * F.coalesce(F.col("epochs"), F.lit(0)) + F.coalesce(last, F.lit(0))
-    salt = F.pmod(F.coalesce(F.col("mix_tie"), F.lit(0)), F.lit(SALTS)).cast("int")
-    return rows.join(cuts, _same(rows[source_col], F.col("t_source")) & (salt == F.col("t_salt"))).select(
-        *[rows[c] for c in kept if c not in ("mix_key", "mix_tie")],
-        F.col("source_size").alias("mix_source_size"),
-        F.col("target").alias("mix_target"),
-        taken.cast("long").alias("mix_taken"),
-    )
+    rows = rows.withColumn("salt", F.pmod(F.coalesce(F.col("mix_tie"), F.lit(0)), F.lit(SALTS)).cast("int"))
+    return rows.join(cuts, _same(F.col("source"), F.col("t_source")) & (F.col("salt") == F.col("t_salt"))).select(
+        *carried, size.alias("size"), "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
@@ -151,28 +162,15 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     The row at a source's cut stays whole.
     """
-    taken = mix_sources(docs, **options)
-    copies = F.ceil(F.col("mix_taken") / F.col("mix_size")).cast("int")
-    return (
-        taken.where(F.col("mix_taken") > 0)
-        .withColumn("mix_copy", F.explode(F.sequence(F.lit(1), copies)))
-        .select(*docs.columns)
-    )
+    taken = mix_sources(docs, **options).where("taken > 0")
+    copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), copies)).alias("copy")).select("row.*")
 
 
 def op8_mix_sources(docs: DataFrame) -> DataFrame:
     """Digest of the mix: one row for each document."""
-    light = docs.select("doc_id", "source", "text")
-    marks = _keyed(light, 0, "doc_id", "text")
-    keyed = written(light.withColumns(marks).drop("text"), "mix-sizes")
-    taken = _taken(keyed, "source", _cuts(keyed, (3, 1, 2), (3, 2), 2))
-    return taken.select(
-        "doc_id",
-        F.col("mix_size").alias("size"),
-        F.col("mix_source_size").alias("source_size"),
-        F.col("mix_target").alias("target"),
-        F.col("mix_taken").alias("taken"),
-    )
+    keyed = written(docs.select("doc_id", *_marks(0, "doc_id", "text", "source")), "mix-sizes")
+    return _taken(keyed, _cuts(keyed, (3, 1, 2), (3, 2), 2))
 
 
 OP8_SQL = r"""
