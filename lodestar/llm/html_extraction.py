@@ -10,12 +10,13 @@ given. Fitting is bounded by that number; every page is extracted whole.
 
 Defined results: null or empty html, and pages without content, give an empty
 text; broken markup is read as far as it goes; repeated rows get equal results;
-an empty table gives an empty result; columns other than id, url and html are
-never read.
+an empty table gives an empty result; other columns are handed on and never leave
+the JVM, and one named as the text is replaced.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -34,20 +35,19 @@ def default_model() -> html_model.Model:
     return html_model.fit(html_model.labelled_pages(PAGES))
 
 
-def extract(pages: DataFrame, model: html_model.Model | None = None, html_col: str = "html") -> DataFrame:
-    """The rows of `pages` without the html, with its main text."""
+def extract(pages: DataFrame, model: html_model.Model | None = None, html_col: str = "html", text_col: str = "text") -> DataFrame:
+    """The rows of `pages` without the html, with its main text as `text_col`, which replaces a column of that name."""
     shared = pages.sparkSession.sparkContext.broadcast(model or default_model())
-    kept = [c for c in pages.columns if c != html_col]
 
-    def run(batches):
+    @F.arrow_udf("string")
+    def main_texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
         for batch in batches:
-            texts = [html_model.main_text(model, x.as_py()) for x in batch.column(len(kept))]
-            columns = [batch.column(i) for i in range(len(kept))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], names=[*kept, "text"])
+            yield pa.array([html_model.main_text(model, x.as_py()) for x in batch], pa.string())
 
-    schema = pages.select(*kept).schema.add("text", "string")
-    return small_batches(pages).select(*kept, html_col).mapInArrow(run, schema)
+    found = main_texts.asNondeterministic()(F.col(html_col))  # else a filter on the text would run it a second time
+    kept = [c for c in pages.columns if c not in (html_col, text_col)]
+    return small_batches(pages).select(*kept, found.alias(text_col))
 
 
 def op4_html_extraction(pages: DataFrame) -> DataFrame:
