@@ -1,15 +1,19 @@
 """Exact top-k search over an impact-ordered, score-at-a-time index.
 
 Vectors are dealt to shards. A shard's index holds, for each dimension, posting
-segments of rows whose component has the same quantised impact, in two orders:
-from the greatest component down, for queries that are positive in the
-dimension, and from the least up, for queries that are negative there. A query
-takes the segments of one impact level of all its dimensions at a time, highest
-level first. After a level, what a row can still gain in the dimensions that it
-hasn't been met in is bounded by the impact of the next level. A query stops once
-few rows can reach the k-th best score known, which is the proof that all others
-are out; the rows that may be members are scored again exactly. A query without
-such proof goes through all levels, after which its sums are the exact scores.
+segments: the rows whose component has the same quantised impact. A query takes
+its dimensions' segments one impact level at a time, highest impact first, which
+is from the greatest component down where the query is positive and from the least
+up where it is negative; each segment adds its products to the rows' scores. After
+a level, what a row can still gain in the dimensions that it hasn't been met in is
+bounded by the impact of the next level. A query stops once few rows can reach the
+k-th best score known, which is the proof that all others are out; the rows that
+may be members are scored again exactly. A query without such proof goes through
+all levels, after which its sums are the exact scores.
+
+The k-th best score known is shared: some shards, one in SEED_SHARDS, are searched
+first, each by the best k rows it has met itself, and their k-th best scores over
+all of them are what the rows of all other shards must reach.
 
 Queries and vectors meet in groups of (shard, query block) of bounded size, each
 a task's work; best rows of the shards are merged by query.
@@ -28,9 +32,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.llm.scratch import written
+
 K, QUERY_STEP, SCALE = 20, 20, 64.0
-#: Impact levels of an index; rows of a shard and queries of a block; least shards.
-LEVELS, SHARD_ROWS, BLOCK_QUERIES, LEAST_SHARDS = 6, 8192, 2048, 48
+#: Impact levels of an index; rows of a shard, queries of a block, and those of them that are worked on at once.
+LEVELS, SHARD_ROWS, BLOCK_QUERIES, BATCH_QUERIES = 16, 4096, 2048, 256
+#: Least shards, and of how many shards one is searched first.
+LEAST_SHARDS, SEED_SHARDS = 32, 8
+#: Share of a shard's rows, at most, that a query which stops scores again.
+RESCORED = 1 / 32
 
 
 def quantised(vector: Column, scale: float = SCALE) -> Column:
@@ -49,58 +59,89 @@ def _best(query: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.n
     return order[np.arange(len(q)) - first < k]
 
 
-def search_shard(ids, x, query_ids, q, k: int, levels: int = LEVELS):
-    """(query_id, vec_id, score) of each query's k best rows of one shard, whole numbers in and out."""
+class Postings:
+    """The segments of a shard: for each dimension its rows by level, the greatest components in level 0."""
+
+    def __init__(self, x: np.ndarray, levels: int):
+        self.x = x
+        self.high, low = int(x.max()), int(x.min())
+        self.step = max(1, -(-(self.high - low + 1) // levels))
+        self.levels = (self.high - low) // self.step + 1
+        self.level = (self.high - x) // self.step
+        self.order = np.argsort(self.level, axis=0, kind="stable")
+        self.cuts = np.stack([np.searchsorted(np.sort(column), np.arange(self.levels + 1)) for column in self.level.T])
+
+    def segment(self, dim: int, level: int) -> np.ndarray:
+        """Rows of a dimension's posting segment."""
+        return self.order[self.cuts[dim, level] : self.cuts[dim, level + 1], dim]
+
+    def caps(self, done: int) -> tuple[int, int]:
+        """Greatest component that a row not yet met from above can have, and the least from below, after level `done`."""
+        return self.high - (done + 1) * self.step, self.high - (self.levels - 1 - done) * self.step + 1
+
+
+def search_shard(ids, x, query_ids, q, k: int, limit=None, levels: int = LEVELS):
+    """(query_id, vec_id, score) of each query's rows of one shard that may be among its k best, and the postings read and held.
+
+    limit: a score that each query's k-th best reaches anywhere, below every score
+    where unknown. Whole numbers in and out; of a query at most k rows come back.
+    """
     most = max(1, int(np.abs(x).max())) * max(1, int(np.abs(q).max())) * x.shape[1]
     kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64
-    low, high = int(x.min()), int(x.max())
-    step = max(1, -(-(high - low + 1) // levels))
-    down, up = (high - x) // step, (x - low) // step  # a component's level in either order
-    rounds = (high - low) // step + 1
-    xs, qs = x.astype(kind), q.astype(kind)
-    gain, loss = np.maximum(qs, 0), np.minimum(qs, 0)
     never = -np.inf if kind != np.int64 else np.iinfo(np.int64).min // 2
-    own = query_ids[:, None] == ids[None, :]
-    sums = np.zeros((len(q), len(x)), kind)
-    known = np.full(len(q), never, dtype=np.float64 if kind != np.int64 else np.int64)
-    active, found = np.arange(len(q)), []
-
-    def scored(rows: np.ndarray, possible: np.ndarray, exact: np.ndarray | None) -> None:
-        at, c = np.nonzero(possible)
-        s = np.einsum("ij,ij->i", qs[rows[at]], xs[c]) if exact is None else exact[at, c]
-        keep = _best(at, s, ids[c], k)
-        found.append((query_ids[rows[at[keep]]], ids[c[keep]], s[keep].astype(np.int64)))
-
-    for level in range(rounds):
-        sums[active] += gain[active] @ np.where(down == level, xs, 0).astype(kind).T
-        sums[active] += loss[active] @ np.where(up == level, xs, 0).astype(kind).T
-        if level == rounds - 1 or len(x) <= 2 * k:
-            break
-        if level == 0:
+    postings = Postings(x, levels)
+    xs = x.astype(kind)
+    known = np.full(len(q), never, np.float64 if kind != np.int64 else np.int64)
+    if limit is not None:
+        known = np.maximum(known, limit)
+    found, read = [], 0
+    for a in range(0, len(q), BATCH_QUERIES):
+        batch = slice(a, a + BATCH_QUERIES)
+        read += _search_batch(ids, xs, query_ids[batch], q[batch].astype(kind), known[batch], k, postings, never, found)
+    return (*(np.concatenate([f[i] for f in found]) for i in range(3)), read, 2 * x.size * len(q))
+
+
+def _search_batch(ids, xs, query_ids, qs, known, k: int, postings: Postings, never, found: list) -> int:
+    """Search of some queries; sums are rows by queries, so that a posting adds to neighbouring numbers."""
+    n, kind = len(xs), xs.dtype
+    gain, loss = np.maximum(qs, 0).T.copy(), np.minimum(qs, 0).T.copy()
+    active = np.arange(len(qs))
+    sums = np.zeros((n, len(qs)), kind)
+    read = 0
+
+    def scored(columns: np.ndarray, possible: np.ndarray, exact: np.ndarray | None) -> None:
+        c, at = np.nonzero(possible.T)
+        s = np.einsum("ij,ij->i", qs[columns[c]], xs[at]) if exact is None else exact[at, c]
+        keep = _best(c, s, ids[at], k)
+        found.append((query_ids[columns[c[keep]]], ids[at[keep]], s[keep].astype(np.int64)))
+
+    for level in range(postings.levels):
+        for dim in range(xs.shape[1]):
+            for rows, weight in ((postings.segment(dim, level), gain[dim]), (postings.segment(dim, postings.levels - 1 - level), loss[dim])):
+                if len(rows):
+                    sums[rows] += xs[rows, dim][:, None] * weight
+                    read += len(rows) * len(active)
+        if level < postings.levels // 4 or level == postings.levels - 1 or n <= 2 * k:
             continue
-        part = sums[active]
-        if level == 1:  # any k rows give a score that the k-th best reaches
-            top = np.argpartition(np.where(own[active], never, part), -k, axis=1)[:, -k:]
-            s = np.einsum("qd,qkd->qk", qs[active], xs[top])
-            s = np.where(np.take_along_axis(own[active], top, 1), never, s)
-            known[active] = s.min(axis=1)
-        part = part + (high - (level + 1) * step) * (gain[active] @ (down > level).astype(kind).T)
-        part += (low + (level + 1) * step) * (loss[active] @ (up > level).astype(kind).T)
-        possible = (part >= known[active, None]) & ~own[active]
-        proved = possible.sum(axis=1) <= max(4 * k, len(x) // 16)
+        own = query_ids[active][None, :] == ids[:, None]
+        top = np.argpartition(np.where(own, never, sums), -k, axis=0)[-k:]  # any k rows give a score that the k-th best reaches
+        s = np.where(np.take_along_axis(own, top, 0), never, np.einsum("qd,kqd->kq", qs[active], xs[top]))
+        known[active] = np.maximum(known[active], s.min(axis=0))
+        high, low = postings.caps(level)
+        bound = sums + high * ((postings.level > level).astype(kind) @ gain)
+        bound += low * ((postings.level < postings.levels - 1 - level).astype(kind) @ loss)
+        possible = (bound >= known[active]) & ~own
+        proved = possible.sum(axis=0) <= max(2 * k, n * RESCORED)
         if proved.any():
-            scored(active[proved], possible[proved], None)
-            active = active[~proved]
+            scored(active[proved], possible[:, proved], None)
+            active, sums, gain, loss = active[~proved], sums[:, ~proved], gain[:, ~proved], loss[:, ~proved]
         if not len(active):
-            break
-    if len(active):
-        exact = qs[active] @ xs.T
-        if len(x) > 2 * k:
-            exact = sums[active]
-        masked = np.where(own[active], never, exact)
-        least = np.partition(masked, -k, axis=1)[:, -k] if len(x) > k else np.full(len(active), never)
-        scored(active, (masked >= least[:, None]) & ~own[active], exact)
-    return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
+            return read
+    own = query_ids[active][None, :] == ids[:, None]
+    masked = np.where(own, never, sums)
+    least = np.partition(masked, -k, axis=0)[-k] if n > k else np.full(len(active), never)
+    scored(active, (masked >= np.maximum(least, known[active])) & ~own, sums)
+    return read
 
 
 def _matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:
@@ -122,23 +163,35 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_i
     size = F.size("v").alias("dim")
     candidates = rows.select("vec_id", "v", size, place(shards).alias("shard"), dealt(blocks).alias("block"))
     asked = rows.where("is_query").groupBy("vec_id").agg(F.min("v").alias("v"))
-    asked = asked.select("vec_id", "v", size, place(blocks).alias("block"), dealt(shards).alias("shard"))
+    asked = asked.select(F.col("vec_id").alias("asked"), "v", size, place(blocks).alias("block"))
 
     def group(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows and right.num_rows:
-            ids, query_ids = (t.column("vec_id").to_numpy() for t in (left, right))
+            ids, query_ids = left.column("vec_id").to_numpy(), right.column("asked").to_numpy()
             x, q = _matrix(left.column("v"), len(ids)), _matrix(right.column("v"), len(query_ids))
-            out = search_shard(ids, x, query_ids, q, k)
+            limit = right.column("least").fill_null(np.iinfo(np.int64).min // 2).to_numpy()
+            limit = np.where(limit == np.iinfo(np.int64).min // 2, -np.inf, limit) if limit.max() < 1 << 53 else limit
+            out = search_shard(ids, x, query_ids, q, k, limit)[:3]
         else:
             out = (np.empty(0, np.int64),) * 3
         return pa.table(dict(zip(("query_id", "vec_id", "score"), out, strict=True)))
 
     keys = ("shard", "block", "dim")
-    parts = candidates.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(group, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
-        "query_id", "rank", "vec_id", "score"
-    )
+
+    def searched(mine, queries: DataFrame) -> DataFrame:
+        """The best rows of each query in some of the shards."""
+        there = F.array(*[F.lit(i) for i in range(shards) if mine(i)]) if shards <= 64 else F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), mine)
+        spread = queries.withColumn("shard", F.explode(there))
+        own = candidates.where(mine(F.col("shard")))
+        parts = own.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInArrow(group, "query_id long, vec_id long, score long")
+        return parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    first = written(searched(lambda i: i % SEED_SHARDS == 0, asked.withColumn("least", F.lit(None).cast("long"))), "first-shards")
+    least = first.where(F.col("rank") == k).select(F.col("query_id").alias("asked"), F.col("score").alias("least"))
+    rest = searched(lambda i: i % SEED_SHARDS != 0, asked.join(least, "asked", "left"))
+    best = first.union(rest).withColumn("rank", F.row_number().over(order))
+    return best.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op1_topk_search(vectors: DataFrame) -> DataFrame:
