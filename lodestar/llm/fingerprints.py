@@ -13,9 +13,13 @@ picked by bits of one hash of term and draw. Each draw's least is a minimum of
 whole numbers whose high bits are the logarithm of the key and whose low bits name
 the sample, so one hash aggregation by text makes all draws at once.
 
-Neighbours are found within buckets of consecutive ids; the last document of a
-bucket also goes to the bucket that needs it. That is the only move of texts:
-terms, draws and comparisons stay where the bucket is.
+Neighbours are found within buckets of consecutive documents, which are ranges of
+(id, text hash), so an id that many documents share is cut too; the first document
+of a bucket also goes to the bucket in front, which needs it. That is the only move
+of texts: terms, draws and comparisons stay where the bucket is. Buckets are sorted
+and walked through with spill, so none has to fit in memory; they hold about
+BUCKET_ROWS documents until there are MOST_CUTS of them, whose first keys every
+task looks up, and grow beyond that.
 
 Defined results: a null text is empty; a text of fewer words than a shingle has
 its word sequence as one term; a text without words has an empty fingerprint,
@@ -27,14 +31,17 @@ gives an empty result; other columns aren't read.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SAMPLES, WIDTH = 32, 5
-#: Entries of the quantile tables; documents of one bucket of neighbours; most buckets.
-TABLE, BUCKET_ROWS, MOST_BUCKETS = 4096, 512, 8192
+from lodestar.llm.scratch import written
+
+SAMPLES, WIDTH = 48, 5
+#: Entries of the quantile tables; documents of one bucket of neighbours; first keys of buckets, 16 bytes each, that a task looks up.
+TABLE, BUCKET_ROWS, MOST_CUTS = 4096, 512, 1 << 16
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -144,31 +151,31 @@ def _text_of(samples: Column) -> Column:
 
 
 def bucketed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows of `docs` dealt to buckets of neighbours: (bucket, own, place, id, text, tie).
+    """Rows of `docs` dealt to buckets of neighbours: (bucket, borrowed, place, tie, id, text).
 
-    Buckets are ranges of ids, each up to and including one that occurs; documents
-    of that id also go, as not own, to the bucket above, and those of the greatest
-    id to the end of the lowest, whose last document has them as next.
+    (place, tie) ascends as ids descend. A bucket holds what is from its first key
+    on and in front of the next bucket's; rows of that next key also stand, as
+    borrowed, at its end, and those of the very first key at the end of the last.
     """
-    place = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    n = docs.count()
-    parts = max(1, min(MOST_BUCKETS, -(-n // BUCKET_ROWS)))
-    cut = docs.agg(F.percentile_approx(place, [(i + 1) / parts for i in range(parts)], 100 * parts).alias("c")).first()["c"]
-    cuts = sorted(set(cut or [0]))
-    array = F.from_json(F.lit(str(cuts)), "array<bigint>")
-    steps = F.array(*[F.lit(1 << i) for i in range(len(cuts).bit_length() - 1, -1, -1)])
-    # how many cuts are below the place, by binary search
-    below = F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(array, at + s - 1) < F.col("place"), at + s).otherwise(at))
-    rows = docs.select(
-        F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), place.alias("place"), F.xxhash64(text_col).alias("tie")
-    ).withColumn("below", below)
-    is_cut = F.get(array, F.col("below")) == F.col("place")
-    last = F.col("below") == len(cuts) - 1
+    place = F.bitwise_not(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))).alias("place")
+    tie = F.xxhash64(text_col).alias("tie")
+    light = written(docs.select(place, tie), "neighbour-keys")
+    parts = max(1, min(MOST_CUTS, -(-light.count() // BUCKET_ROWS)))
+    ranged = light.repartitionByRange(parts, "place", "tie").groupBy(F.spark_partition_id().alias("part"))
+    firsts = sorted(tuple(r["first"]) for r in ranged.agg(F.min(F.struct("place", "tie")).alias("first")).collect())  # one for each bucket
+    text = json.dumps([{"place": p, "tie": t} for p, t in firsts])
+    cuts = F.from_json(F.lit(text), "array<struct<place:bigint,tie:bigint>>")
+    steps = F.array(*[F.lit(1 << i) for i in range(len(firsts).bit_length() - 1, -1, -1)] or [F.lit(1)])
+    key = F.struct("place", "tie")
+    # how many first keys are not above the row's, by binary search
+    upto = F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(cuts, at + s - 1) <= key, at + s).otherwise(at))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), place, tie).withColumn("at", upto - 1)
+    is_first = F.get(cuts, F.col("at")) == key
     copies = F.filter(
         F.array(
-            F.struct(F.col("below").alias("bucket"), F.lit(0).alias("borrowed")),
-            F.when(is_cut & ~last, F.struct((F.col("below") + 1).alias("bucket"), F.lit(1).alias("borrowed"))),
-            F.when(is_cut & last, F.struct(F.lit(0).alias("bucket"), F.lit(2).alias("borrowed"))),
+            F.struct(F.col("at").alias("bucket"), F.lit(0).alias("borrowed")),
+            F.when(is_first & (F.col("at") > 0), F.struct((F.col("at") - 1).alias("bucket"), F.lit(1).alias("borrowed"))),
+            F.when(is_first & (F.col("at") == 0), F.struct(F.lit(len(firsts) - 1).alias("bucket"), F.lit(2).alias("borrowed"))),
         ),
         lambda c: c.isNotNull(),
     )
@@ -182,7 +189,7 @@ def neighbour_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: st
     The edited text has its last third replaced by the beginning of the next
     document, in descending order of ids.
     """
-    order = ["borrowed", F.desc("place"), "tie"]
+    order = ["borrowed", "place", "tie"]
     window = Window.partitionBy("bucket").orderBy(*order)
     rows = bucketed(docs, id_col, text_col)
     rows = rows.withColumn("at", F.row_number().over(window)).withColumn("next_text", F.lead("text").over(window))
