@@ -1,7 +1,8 @@
 """Tables that cut a plan's lineage, in the folder that the cluster shares.
 
-The folder is the session's spark.checkpoint.dir. Where that is unset, as in
-tests on one machine, a temporary folder is made and set, once.
+The folder is the session's spark.checkpoint.dir. Where that is unset, a temporary
+folder is made and set, once, but only on a local master, as in tests: on a cluster
+other machines could not read it, so that is an error.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this application."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         base = f"file://{tempfile.mkdtemp(prefix='lodestar-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/lodestar-{spark.sparkContext.applicationId}"
