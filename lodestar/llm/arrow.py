@@ -1,21 +1,29 @@
-"""Arrow batches of texts, kept small."""
+"""Batches of texts, kept small."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-#: Rows of a batch: texts of a few kilobytes make a batch of a few megabytes.
-ROWS = 512
-_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows and bytes of a batch at most; texts of a few kilobytes make a batch of about a megabyte.
+ROWS, BYTES = 512, 4 << 20
+#: Settings that bound what a task holds of texts at once: rows and bytes that go to Python, and rows read at once.
+BOUNDS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ROWS,
+    "spark.sql.execution.arrow.maxBytesPerBatch": BYTES,
+    "spark.sql.parquet.columnarReaderBatchSize": ROWS,
+}
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """`df`, after its session's Arrow batches are set to ROWS rows at most.
+    """`df`, after its session's batches are bounded by ROWS rows and BYTES bytes.
 
     Whole batches are in memory several times over, in the executor and in its
-    Python workers, so the default of 10,000 rows is too many for texts.
+    Python workers, so the defaults, thousands of rows, are too many for texts. The
+    settings stay lowered: plans read them when they run, which is after the call.
     """
-    spark = df.sparkSession
-    if int(spark.conf.get(_KEY)) > ROWS or int(spark.conf.get(_KEY)) <= 0:
-        spark.conf.set(_KEY, str(ROWS))
+    conf = df.sparkSession.conf
+    for key, most in BOUNDS.items():
+        held = int(conf.get(key).rstrip("b"))
+        if held > most or held <= 0:
+            conf.set(key, str(most))
     return df
