@@ -6,19 +6,23 @@
 2. Documents with equal sets are one set; sets of one size with an equal prefix
    are one group. Two sets that link share a token of their prefixes, and at
    their first shared token the sizes and places leave room for the overlap. So
-   in a token's bucket, rows are grouped by (size, place) and pairs of such
-   groups that can't overlap enough are dropped before any rows are paired.
+   in a token's bucket only pairs of groups whose sizes and places leave that room
+   are possible; rows without a possible partner leave the bucket.
 3. What is left is verified in two rounds. First every set meets its buckets'
    pivot, the row with the fewest rarer tokens in front; links so found are
    joined to components. Then only rows of one bucket whose components still
    differ are paired, so a large group of near copies costs one pair for each
    copy, while no two sets that link stay apart.
-4. Pairs are verified exactly. The first round compares whole sets, after a bound
-   on the overlap by 64 counters of each set has removed most that don't link. Its
-   comparisons leave each set as its few differences from a set that many are
-   near. In the second round the sets of one such reference are compared by these
-   differences, a block at a time, and only pairs of different references are
-   paired and compared as whole sets.
+4. Pairs are verified exactly. Whole sets are compared only where a bound on the
+   overlap, by counters of each set in proportion to its size, leaves a link
+   possible. The first round's comparisons leave each set as its few differences
+   from a set that many are near. In the second round the sets of one such
+   reference are compared by these differences, a block at a time, and only pairs
+   of different references are paired and compared as whole sets.
+
+A token's bucket is worked on where its rows have been dealt, by the token. Tokens
+that many documents hold are dealt by their group as well, and their buckets are
+Spark joins over (token, size, place) instead, with salts.
 
 Set hashes collide with a probability of about 1e-14 for a pair of 500-word
 texts, sets by their 128-bit digests practically never.
@@ -33,6 +37,8 @@ empty result; other columns aren't read.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +52,12 @@ from lodestar.llm.scratch import scope, written
 
 #: Frequent shingles that the order knows at most, and their least count within a task's buffer.
 FREQUENT, LEAST_COUNT = 1 << 20, 2
-#: Text bytes hashed at once, hashes counted at once, counters of a set, parts of a hot key.
-CHUNK_BYTES, COUNT_ROWS, COUNTERS, SALTS = 1 << 18, 1 << 20, 64, 16
+#: Documents from which on a token's rows are dealt by group too, and rows of a bucket that is worked on in one task.
+HOT_DOCUMENTS, BUCKET_ROWS = 512, 4096
+#: Text bytes hashed at once, hashes counted and tokens packed at once, pairs of rows looked at once, parts of a hot key.
+CHUNK_BYTES, COUNT_ROWS, PACK_ROWS, PAIR_ROWS, SALTS = 1 << 18, 1 << 19, 1 << 18, 1 << 20, 16
+#: Tokens of a set for each of its counters, about, and least counters.
+COUNTER_TOKENS, LEAST_COUNTERS = 6, 16
 #: Percent below a link down to which a compared pair's differences are kept as references.
 NEAR_SLACK = 30
 #: Ids that are broadcast at most: some tens of megabytes.
@@ -114,13 +124,44 @@ def _chunks(column, size: int = CHUNK_BYTES):
         yield first, texts
 
 
-def frequent_shingles(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
-    """Up to FREQUENT shingle hashes, most documents last, by approximate counts.
+@dataclass
+class Order:
+    """The shingles that stand last: their hashes, ascending, the rank of each, and those that many documents hold."""
+
+    known: np.ndarray
+    rank: np.ndarray
+    hot: np.ndarray
+
+    @staticmethod
+    def of(h: np.ndarray, n: np.ndarray) -> Order:
+        """h: hashes as signed numbers, n: their counts; ranks go by count."""
+        rank = np.empty(len(h), np.int32)
+        rank[np.lexsort((h, n))] = np.arange(len(h), dtype=np.int32)
+        by = np.argsort(h.view(np.uint64))
+        return Order(h[by].view(np.uint64), rank[by], np.sort(h[n >= HOT_DOCUMENTS]))
+
+    def sorted(self, s: np.ndarray) -> np.ndarray:
+        """The hashes of a set in this order."""
+        at, late = _among(s, self.known)
+        return np.concatenate([s[~late], s[late][np.argsort(self.rank[at[late]], kind="stable")]])
+
+
+def _among(x: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each x its place in the ascending `known`, and whether it is there."""
+    if not len(known):
+        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+    return at, known[at] == x
+
+
+def frequent_shingles(docs: DataFrame, text_col: str, width: int) -> Order:
+    """Up to FREQUENT shingles, those of most documents, by approximate counts.
 
     All documents are read, but a shingle that comes fewer than LEAST_COUNT times
     within a buffer of about COUNT_ROWS hashes isn't counted there, so one that is
     spread thinly over many buffers is undercounted or missed. Links don't depend on
-    it; a bucket that is missed is dealt as one that isn't hot.
+    it: a bucket that grows large without being known as hot is handed to the joins
+    for hot ones where it is found.
     """
 
     def count(batches):
@@ -152,10 +193,9 @@ def frequent_shingles(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
             break
         level = row["level"]
     if level is None:
-        return np.empty(0, np.uint64)
+        return Order.of(np.empty(0, np.int64), np.empty(0, np.int64))
     top = counted.where(F.col("level") >= level).select("h", "n").toArrow()
-    h, n = (top.column(c).to_numpy() for c in ("h", "n"))
-    return h[np.lexsort((h, n))].view(np.uint64)
+    return Order.of(*(top.column(c).to_numpy() for c in ("h", "n")))
 
 
 def _least_share(percent: int, n: np.ndarray | int):
@@ -167,25 +207,17 @@ def text_key(text_col: str) -> Column:
     return F.xxhash64(text_col).alias("text_key")
 
 
-def set_rows(docs: DataFrame, frequent: np.ndarray, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+def set_rows(docs: DataFrame, order: Order, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     """Rows (id, text_key, n, sig, gk, prefix, counters): size, digest, group, ordered prefix and counters of each set."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches):
-        order = np.argsort(shared.value)
-        known = shared.value[order]
+        order = shared.value
         for batch in batches:
             ids = batch.column(0)
             for first, texts in _chunks(batch.column(2)):
                 sets = shingle_sets(texts, width)
-                prefixes = []
-                for s in sets:
-                    n = len(s)
-                    if n and len(known):
-                        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                        late = known[at] == s
-                        s = np.concatenate([s[~late], s[late][np.argsort(order[at[late]], kind="stable")]])
-                    prefixes.append(s[: n - _least_share(percent, n) + 1].view(np.int64) if n else s.view(np.int64))
+                prefixes = [order.sorted(s)[: len(s) - _least_share(percent, len(s)) + 1].view(np.int64) if len(s) else s.view(np.int64) for s in sets]
                 groups = [
                     int.from_bytes(hashlib.blake2b(p.tobytes(), digest_size=8, salt=str(len(s)).encode()).digest(), "little", signed=True)
                     for s, p in zip(sets, prefixes, strict=True)
@@ -202,60 +234,117 @@ def set_rows(docs: DataFrame, frequent: np.ndarray, id_col: str, text_col: str,
 
 
 def _counters(s: np.ndarray) -> bytes:
-    """How many tokens of a set fall in each of COUNTERS parts, as short numbers where they fit."""
-    n = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=COUNTERS)
-    return n.astype("<u2" if n.max(initial=0) < 1 << 16 else "<u4").tobytes()
-
-
-def _counter_rows(column: list[bytes]) -> np.ndarray:
-    return np.stack([np.frombuffer(c, "<u2" if len(c) == 2 * COUNTERS else "<u4").astype(np.uint32) for c in column])
+    """How many tokens of a set fall in each of 2**k parts of the hashes, after one byte for k and one for their width."""
+    k = max(LEAST_COUNTERS, len(s) // COUNTER_TOKENS).bit_length() - 1
+    n = np.bincount((s >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k)
+    width = 1 if n.max(initial=0) < 1 << 8 else 4
+    return bytes((k, width)) + n.astype(f"<u{width}").tobytes()
+
+
+def _most_overlap(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Bound on the overlap of each pair of sets, from their counters; the finer ones are added up to the coarser."""
+    out = np.zeros(len(a), np.int64)
+    kinds: dict[bytes, list[int]] = {}
+    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        kinds.setdefault(x[:2] + y[:2], []).append(i)
+    for kind, at in kinds.items():
+        k = min(kind[0], kind[2])
+        rows = [
+            np.frombuffer(b"".join(side[i][2:] for i in at), f"<u{width}").reshape(len(at), 1 << k, -1).sum(2, dtype=np.int64)
+            for side, width in ((a, kind[1]), (b, kind[3]))
+        ]
+        out[at] = np.minimum(*rows).sum(1)
+    return out
 
 
 def _digests(sets: list[np.ndarray]) -> pa.Array:
     return pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
 
 
-def whole_sets(docs: DataFrame, text_col: str, width: int) -> DataFrame:
-    """Rows (sig, tokens): whole sets."""
+def whole_sets(texts: DataFrame, width: int) -> DataFrame:
+    """Rows (sid, tokens): whole sets, from rows (sid, sig, text); texts of another set than sig are left out."""
 
     def run(batches):
         for batch in batches:
-            for _, texts in _chunks(batch.column(0)):
+            for first, texts in _chunks(batch.column(2)):
                 sets = shingle_sets(texts, width)
-                yield pa.RecordBatch.from_arrays([_digests(sets), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["sig", "tokens"])
+                sid, sig = (batch.column(i).slice(first, len(texts)) for i in (0, 1))
+                mine = np.flatnonzero([x == y for x, y in zip(sig.to_pylist(), _digests(sets).to_pylist(), strict=True)])
+                yield pa.RecordBatch.from_arrays(
+                    [sid.take(pa.array(mine)), pa.array([sets[i].view(np.int64) for i in mine], pa.list_(pa.int64()))], names=["sid", "tokens"])
 
-    return docs.select(text_col).mapInArrow(run, "sig binary, tokens array<long>")
+    return texts.select("sid", "sig", "text").mapInArrow(run, "sid long, tokens array<long>")
 
 
 TOKEN = np.dtype([("t", "<i8"), ("gk", "<i8"), ("n", "<i4"), ("pos", "<i4")])
+PAIR = "a long, b long"
+
 
+def _packed(own: np.ndarray) -> bytes:
+    """Rows of TOKEN, column by column and small numbers byte by byte, which compresses well."""
+    t, gk, n, pos = (np.ascontiguousarray(own[c]) for c in TOKEN.names)
+    return b"".join([t.tobytes(), gk.tobytes(), *(x.view(np.uint8).reshape(-1, 4).T.tobytes() for x in (n, pos))])
 
-def shared_tokens(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """Rows (token, gk, n, pos) of prefix tokens that two groups or more may hold.
 
-    Tokens are dealt by their hash as packed arrays, and only those that come
-    twice leave the task. Frequent tokens, the only ones whose rows could fill a
-    task, are dealt by their group too and all leave it.
+def _unpacked(raw: bytes) -> np.ndarray:
+    own = np.empty(len(raw) // TOKEN.itemsize, TOKEN)
+    m = len(own)
+    own["t"], own["gk"] = np.frombuffer(raw, "<i8", 2 * m).reshape(2, m)
+    for c, at in (("n", 16 * m), ("pos", 20 * m)):
+        own[c] = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * m, at).reshape(4, m).T).view("<i4").ravel()
+    return own
+
+
+def _ends(key: np.ndarray) -> np.ndarray:
+    """For each row of equal keys that stand together, where they end."""
+    new = np.append(True, key[1:] != key[:-1]) if len(key) else np.empty(0, bool)
+    return np.append(np.flatnonzero(new)[1:], len(key))[np.cumsum(new) - 1] if len(key) else np.empty(0, np.int64)
+
+
+def _later_rows(begin: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of each row i with the rows begin[i] to end[i], about PAIR_ROWS at a time."""
+    count = end - begin
+    upto = np.cumsum(count)
+    a = 0
+    while a < len(count):
+        done = upto[a - 1] if a else 0
+        b = max(a + 1, int(np.searchsorted(upto, done + PAIR_ROWS, side="right")))
+        i = np.repeat(np.arange(a, b), count[a:b])
+        j = np.arange(len(i)) - np.repeat(upto[a:b] - count[a:b] - done, count[a:b]) + begin[i]
+        if len(i):
+            yield i, j
+        a = b
+
+
+def _fits(n, pos, i, j, percent: int) -> np.ndarray:
+    """Whether the sizes and places of a shared token leave room for a link."""
+    room = np.minimum(n[i] - pos[i], n[j] - pos[j]).astype(np.int64)
+    return room * (100 + percent) >= (n[i].astype(np.int64) + n[j]) * percent
+
+
+def shared_tokens(rows: DataFrame, order: Order, percent: int) -> DataFrame:
+    """Rows (token, gk, n, pos, hot, pivot) of prefix tokens that two groups or more may hold.
+
+    Tokens are dealt by their hash as packed arrays. A bucket of some rows is worked
+    on where it meets: rows with a possible partner leave the task, with the group
+    of the bucket's pivot if a link with it is possible. Tokens that many documents
+    hold are dealt by their group too; all their rows leave, marked hot.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shared = rows.sparkSession.sparkContext.broadcast(np.sort(frequent.view(np.int64)))
-
-    def spread(t: np.ndarray, gk: np.ndarray) -> np.ndarray:
-        known = shared.value
-        hot = known[np.minimum(np.searchsorted(known, t), len(known) - 1)] == t if len(known) else np.zeros(len(t), bool)
-        with np.errstate(over="ignore"):
-            place = np.where(hot, mixed(t.view(np.uint64) + mixed(gk.view(np.uint64))), t.view(np.uint64))
-        return (mixed(place) % np.uint64(parts)).astype(np.int64)
+    shared = rows.sparkSession.sparkContext.broadcast(order.hot)
 
     def pack(batches):
         def emit(held):
             own = np.unique(np.concatenate(held))  # copies within the buffer fall together
-            part = spread(own["t"], own["gk"])
-            order = np.argsort(part, kind="stable")
-            own, cuts = own[order], np.searchsorted(part[order], np.arange(parts + 1))
+            t, gk = (own[c].view(np.uint64) for c in ("t", "gk"))
+            with np.errstate(over="ignore"):
+                place = mixed(np.where(_among(own["t"], shared.value)[1], mixed(t + mixed(gk)), t))
+            part = (place % np.uint64(parts)).astype(np.int32)
+            by = np.argsort(part, kind="stable")
+            own, cuts = own[by], np.searchsorted(part[by], np.arange(parts + 1))
             used = np.flatnonzero(np.diff(cuts))
             return pa.RecordBatch.from_arrays(
-                [pa.array(used.astype(np.int32)), pa.array([own[cuts[k] : cuts[k + 1]].tobytes() for k in used], pa.binary())],
+                [pa.array(used.astype(np.int32)), pa.array([_packed(own[cuts[k] : cuts[k + 1]]) for k in used], pa.binary())],
                 names=["part", "payload"],
             )
 
@@ -267,28 +356,71 @@ def shared_tokens(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
                 own["t"], own["gk"], own["n"], own["pos"] = tokens, gk, n, np.arange(len(tokens))
                 held.append(own)
                 rows += len(own)
-                if rows >= COUNT_ROWS // 2:
+                if rows >= PACK_ROWS:
                     yield emit(held)
                     held, rows = [], 0
         if held:
             yield emit(held)
 
     def keep(batches):
-        held = [np.frombuffer(p, TOKEN) for batch in batches for p in batch.column(1).to_pylist()]
+        held = [_unpacked(p) for batch in batches for p in batch.column(1).to_pylist()]
         if not held:
             return
         own = np.unique(np.concatenate(held))
-        first = np.append(True, own["t"][1:] != own["t"][:-1])
-        size = np.bincount(np.cumsum(first) - 1)[np.cumsum(first) - 1]
-        known = shared.value
-        hot = known[np.minimum(np.searchsorted(known, own["t"]), len(known) - 1)] == own["t"] if len(known) else np.zeros(len(own), bool)
-        own = own[(size > 1) | hot]
-        for a in range(0, len(own), 1 << 16):
-            part = own[a : a + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part[c]) for c in ("t", "gk", "n", "pos")], names=["token", "gk", "n", "pos"])
+        del held
+        own = own[np.lexsort((own["gk"], own["n"], own["pos"], own["t"]))]  # the pivot first
+        end = _ends(own["t"])
+        begin = len(own) - _ends(own["t"][::-1])[::-1]
+        hot = _among(own["t"], shared.value)[1] | (end - begin > BUCKET_ROWS)
+        use = hot.copy()
+        later = np.where(hot, end, np.arange(len(own)) + 1)
+        for i, j in _later_rows(later, end):
+            ok = _fits(own["n"], own["pos"], i, j, percent)
+            use[i[ok]] = use[j[ok]] = True
+        with_pivot = use & ~hot & (np.arange(len(own)) > begin)
+        with_pivot &= _fits(own["n"], own["pos"], np.arange(len(own)), begin, percent)
+        pivot = own["gk"][begin]
+        at = np.flatnonzero(use)
+        for a in range(0, len(at), 1 << 16):
+            k = at[a : a + (1 << 16)]
+            yield pa.RecordBatch.from_arrays(
+                [*[pa.array(own[c][k]) for c in ("t", "gk", "n", "pos")], pa.array(hot[k]), pa.array(pivot[k], mask=~with_pivot[k])],
+                names=["token", "gk", "n", "pos", "hot", "pivot"])
 
     packed = rows.select("n", "gk", "prefix").mapInArrow(pack, "part int, payload binary")
-    return packed.repartition(parts, "part").mapInArrow(keep, "token long, gk long, n int, pos int")
+    return packed.repartitionById(parts, "part").mapInArrow(keep, "token long, gk long, n int, pos int, hot boolean, pivot long")
+
+
+def _bucket_pairs(placed: DataFrame, percent: int) -> DataFrame:
+    """Rows (a, b): possible pairs of rows of one token whose components and references differ, from rows (token, n, pos, sid, component, ref)."""
+    parts = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches):
+        batches = list(batches)
+        if not batches:
+            return
+        c = [np.concatenate([b.column(k).to_numpy() for b in batches]) for k in range(6)]
+        by = np.lexsort((c[4], c[0]))
+        token, n, pos, sid, component, ref = (x[by] for x in c)
+        end = _ends(token)
+        own_end = _ends(component)  # a component's rows stand together within the token
+        found = []
+        for i, j in _later_rows(np.minimum(own_end, end), end):
+            ok = (ref[i] != ref[j]) & _fits(n, pos, i, j, percent)
+            pairs = np.unique(np.stack([np.minimum(sid[i[ok]], sid[j[ok]]), np.maximum(sid[i[ok]], sid[j[ok]])], 1), axis=0)
+            if len(pairs):
+                found.append(pairs)
+            if sum(map(len, found)) > PAIR_ROWS:
+                yield _pair_batch(np.unique(np.concatenate(found), axis=0))
+                found = []
+        if found:
+            yield _pair_batch(np.unique(np.concatenate(found), axis=0))
+
+    return placed.select("token", "n", "pos", "sid", "component", "ref").repartition(parts, "token").mapInArrow(run, PAIR)
+
+
+def _pair_batch(pairs: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=["a", "b"])
 
 
 def _enough(overlap: Column, sizes: Column, percent: int) -> Column:
@@ -312,26 +444,24 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, pe
 
     def bound(batches):
         for batch in batches:
-            t = pa.Table.from_batches([batch])
-            if t.num_rows:
-                x, y = (_counter_rows(t.column(c).to_pylist()) for c in ("counters_a", "counters_b"))
-                total = t.column("n_a").to_numpy() + t.column("n_b").to_numpy()
-                keep = np.minimum(x, y).sum(1, dtype=np.int64) * (100 + percent) >= total * percent
-                yield from t.select(["a", "b", "n_a", "n_b"]).filter(pa.array(keep)).to_batches()
+            if batch.num_rows:
+                total = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+                most = _most_overlap(batch.column(4).to_pylist(), batch.column(5).to_pylist())
+                yield pa.RecordBatch.from_arrays(batch.columns[:4], names=batch.schema.names[:4]).filter(pa.array(most * (100 + percent) >= total * percent))
 
     kept = bounded.select("a", "b", "n_a", "n_b", "counters_a", "counters_b").mapInArrow(bound, "a long, b long, n_a long, n_b long")
     kept = written(kept, f"{name}-bounded")
-    # texts come by id, or by digest where only rows without an id hold them; up to BROADCAST_IDS ids are broadcast, so texts don't move; beyond, both sides do
+    # texts come by the id of a row that holds them; up to BROADCAST_IDS ids are broadcast, so texts don't move; beyond, both sides do
     wanted = kept.select(F.col("a").alias("sid")).union(kept.select("b")).distinct()
-    wanted = written(sets.join(wanted, "sid", "left_semi").select("sid", "sig", "rep"), f"{name}-wanted")
-    reps = wanted.select("rep").distinct()
-    reps = F.broadcast(reps) if wanted.count() <= BROADCAST_IDS else reps
-    whole = whole_sets(docs.join(reps, "rep", "left_semi"), "text", width)
-    whole = whole.join(wanted.select("sid", "sig"), "sig").select("sid", "tokens")
-    nameless = wanted.where("rep IS NULL").select("sid", "sig")
-    if not nameless.isEmpty():
-        found = whole_sets(docs.where("rep IS NULL"), "text", width).join(nameless, "sig")
-        whole = whole.union(found.dropDuplicates(["sid"]).select("sid", "tokens"))
+    wanted = written(sets.join(wanted, "sid", "left_semi").select("sid", "sig", "rep", "repeated"), f"{name}-wanted")
+    small = wanted.count() <= BROADCAST_IDS
+    plain = wanted.where("rep IS NOT NULL AND NOT repeated").drop("repeated")
+    whole = whole_sets(docs.join(F.broadcast(plain) if small else plain, "rep"), width)
+    # sets of rows without an id, or of repeated rows: one text of each
+    odd = wanted.where("rep IS NULL OR repeated").drop("repeated").withColumnRenamed("rep", "o_rep")
+    if not odd.isEmpty():
+        found = docs.join(F.broadcast(odd) if small else odd, docs["rep"].eqNullSafe(F.col("o_rep")))
+        whole = whole.union(whole_sets(found, width).dropDuplicates(["sid"]))
     whole = written(whole, f"{name}-sets")
     full = kept.join(side(whole, "a", "tokens"), "a").join(side(whole, "b", "tokens"), "b")
     full = full.select("a", "b", "n_a", "n_b", F.array_except("tokens_a", "tokens_b").alias("a_only"), F.array_except("tokens_b", "tokens_a").alias("b_only"))
@@ -441,21 +571,25 @@ def standing_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _components_of(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, keep) -> DataFrame:
-    frequent = frequent_shingles(small_batches(docs), text_col, width)
-    rows = keep(written(set_rows(docs, frequent, id_col, text_col, width, percent), "shingle-sets"))
+    order = frequent_shingles(small_batches(docs), text_col, width)
+    rows = keep(written(set_rows(docs, order, id_col, text_col, width, percent), "shingle-sets"))
     filled = rows.where("n > 0")
     own = F.struct(F.col("id").isNull().alias("nameless"), "id", "text_key")
-    sets = filled.groupBy("sig").agg(F.min("id").alias("rep"), F.min(own).alias("stand"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("gk").alias("gk"),
-                                     F.first("counters").alias("counters"))
+    held = filled.groupBy("sig", "id").agg(F.count(F.lit(1)).alias("copies"), F.min("text_key").alias("text_key"), *[F.first(c).alias(c) for c in ("n", "gk", "counters")])
+    sets = held.groupBy("sig").agg(F.min("id").alias("rep"), F.min(own).alias("stand"), F.sum("copies").alias("copies"), (F.max("copies") > 1).alias("repeated"),
+                                   *[F.first(c).alias(c) for c in ("n", "gk", "counters")])
     sets = written(sets.withColumn("sid", F.monotonically_increasing_id()), "sets")
 
-    tokens = written(shared_tokens(filled, frequent), "shared-tokens")
-    per_token = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("held"), F.min(F.struct("pos", "n", "gk")).alias("pivot")).where("held > 1")
-    classes = tokens.groupBy("token", "n", "pos").agg(F.count(F.lit(1)).alias("held"))
-    x, y = classes.alias("x"), classes.alias("y")
+    tokens = written(shared_tokens(filled, order, percent), "shared-tokens")
+    hot = tokens.where("hot").select("token", "gk", "n", "pos")
+    per_token = hot.groupBy("token").agg(F.count(F.lit(1)).alias("held"), F.min(F.struct("pos", "n", "gk")).alias("pivot")).where("held > 1")
+    classes = written(hot.groupBy("token", "n", "pos").agg(F.count(F.lit(1)).alias("held")), "classes")
+    # the classes of a token meet by salts of one side
+    x = classes.withColumn("salt", F.pmod(F.xxhash64("n", "pos"), F.lit(SALTS)).cast("int")).alias("x")
+    y = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).alias("y")
     before = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.pos") <= F.col("y.pos")))
     same = (F.col("x.n") == F.col("y.n")) & (F.col("x.pos") == F.col("y.pos"))
-    open_pairs = x.join(y, F.col("x.token") == F.col("y.token")).where(
+    open_pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.salt") == F.col("y.salt"))).where(
         before & _possible("x", "y", percent) & (~same | (F.col("x.held") > 1))
     )
     open_pairs = written(
@@ -463,22 +597,25 @@ def _components_of(docs: DataFrame, id_col: str, text_col: str, width: int, perc
                           F.col("y.n").alias("n_y"), F.col("y.pos").alias("pos_y")), "open-classes")
     open_rows = open_pairs.select("token", F.col("n_x").alias("n"), F.col("pos_x").alias("pos")).union(
         open_pairs.select("token", F.col("n_y").alias("n"), F.col("pos_y").alias("pos"))).distinct()
-    # a token's rows are dealt to salts where they meet its pivot
-    salted = tokens.join(open_rows, ["token", "n", "pos"], "left_semi").withColumn("salt", F.pmod(F.xxhash64("gk"), F.lit(SALTS)).cast("int"))
+    # a hot token's rows are dealt to salts where they meet its pivot
+    salted = hot.join(open_rows, ["token", "n", "pos"], "left_semi").withColumn("salt", F.pmod(F.xxhash64("gk"), F.lit(SALTS)).cast("int"))
     pivots = per_token.select("token", "pivot", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    bucket = written(salted.join(pivots, ["token", "salt"]).select("token", "gk", "n", "pos", "pivot"), "buckets")
+    hot = written(salted.join(pivots, ["token", "salt"]).select("token", "gk", "n", "pos", "pivot"), "hot-buckets")
+    cold = tokens.where("NOT hot")
+    bucket = cold.select("gk").union(hot.select("gk"))
 
     # sets of a group: the first stands for it where the group meets pivots
     heads = sets.groupBy("gk").agg(F.min("sid").alias("head"), F.count(F.lit(1)).alias("held"))
     heads = written(heads, "groups")
-    wanted = bucket.select("gk").union(heads.where("held > 1").select("gk")).distinct()
+    wanted = bucket.union(heads.where("held > 1").select("gk")).distinct()
     member = written(sets.join(heads.drop("held"), "gk").join(wanted, "gk", "left_semi").select("sid", "gk", "head", "sig", "rep", "n"), "members")
     texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text"))
 
-    with_pivot = bucket.where("gk <> pivot.gk").select(
+    with_pivot = hot.where("gk <> pivot.gk").select(
         F.struct("n", "pos").alias("x"), F.col("pivot").alias("y"), F.col("gk").alias("a"), F.col("pivot.gk").alias("b")
     )
-    first = with_pivot.where(_possible("x", "y", percent)).select("a", "b").distinct()
+    first = with_pivot.where(_possible("x", "y", percent)).select("a", "b")
+    first = first.union(cold.where("pivot IS NOT NULL").select(F.col("gk").alias("a"), F.col("pivot").alias("b"))).distinct()
     of = lambda c: heads.select(F.col("gk").alias(c), F.col("head").alias(f"{c}_head"))
     first = first.join(of("a"), "a").join(of("b"), "b").select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
     first = first.union(member.where("sid <> head").select(F.col("sid").alias("a"), F.col("head").alias("b")))
@@ -492,7 +629,8 @@ def _components_of(docs: DataFrame, id_col: str, text_col: str, width: int, perc
         "sid", "gk", F.coalesce("component", "sid").alias("component"), F.coalesce("ref", "sid").alias("ref"))
     at = written(at, "components")
     within = _within_references(references, at, percent)
-    seen = written(bucket.select("token", "gk", "n", "pos").join(at, "gk").select("token", "n", "pos", "sid", "component", "ref"), "placed")
+    at_rows = lambda t: t.select("token", "gk", "n", "pos").join(at, "gk").select("token", "n", "pos", "sid", "component", "ref")
+    seen = written(at_rows(hot), "placed")
     spread = seen.groupBy("token", "n", "pos").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.min("ref").alias("low_ref"), F.max("ref").alias("high_ref"))
     named = lambda t, k, **extra: t.select("token", F.col("n").alias(f"n_{k}"), F.col("pos").alias(f"pos_{k}"), *[F.col(c).alias(n) for n, c in extra.items()])
@@ -512,7 +650,7 @@ def _components_of(docs: DataFrame, id_col: str, text_col: str, width: int, perc
     inside = at.alias("x").join(at.alias("y"), F.col("x.gk") == F.col("y.gk")).where(
         (F.col("x.component") < F.col("y.component")) & (F.col("x.ref") != F.col("y.ref"))
     ).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
-    more = _verified(second.union(inside), sets, texts, width, percent, "second-links").where("linked").select("a", "b")
+    more = _verified(_bucket_pairs(at_rows(cold), percent).union(second).union(inside), sets, texts, width, percent, "second-links").where("linked").select("a", "b")
     all_found = components(links.union(within).union(more))
 
     part = sets.select("sid", "sig", "rep", "stand", "copies").join(all_found.withColumnRenamed("node", "sid"), "sid", "left")
