@@ -18,48 +18,70 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the random field scores below a half stay."""
+    """Documents that the random field scores below a half stay, each as it is.
+
+    A null or empty text has the score of no marginals; repeated rows stay or go
+    together; an empty table stays empty.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     chain = toxicity.fit(docs, labels)
-    scored = toxicity.tag(docs, chain, carry=True)
-    return scored.where("score < 0.5").select(*docs.columns)
+    return toxicity.tag_rows(docs, chain).where("score < 0.5").select("row.*")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that are boilerplate within their source go; documents stay."""
-    clean = line_dedup.dedup_lines(docs)
+    """Lines that are boilerplate within their source go; documents stay.
+
+    Copies of a text count as one page of their source, so that a document doesn't
+    lose its lines for being copied. Null and empty texts stay as they are; a null
+    source is a source; n_chars follows the text where lines went.
+    """
+    mark = "lines_removed"
+    while mark in docs.columns:
+        mark += "_"
+    clean = line_dedup.dedup_lines(docs, distinct_pages=True, removed_col=mark)
     if "n_chars" in docs.columns:
         length = F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)
-        clean = clean.withColumn("n_chars", F.when(F.col("lines_removed") > 0, length).otherwise(F.col("n_chars")))
+        clean = clean.withColumn("n_chars", F.when(F.col(mark) > 0, length).otherwise(F.col("n_chars")))
     return clean.select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Exactly one row of each group of near copies stays: that of the least id, null ids last."""
+    """Exactly one row of each group of near copies stays: that of the least id, null ids last.
+
+    Of rows with equal id and text one stays, any of them. Null and empty texts link
+    with nothing and all stay, repeated ones too.
+    """
     with scope() as keep:
         classes = keep(written(jaccard_join.standing_rows(docs, width=NEAR_WORDS, percent=NEAR_PERCENT), "near-classes"))
-    rows = docs.withColumn("text_key", jaccard_join.text_key("text"))
+    keys = [F.col("doc_id").alias("k_id"), F.col("text_key").alias("k_text")]
+    repeated = classes.where("n_shingles > 0 AND stands").groupBy(*keys).count().where("count > 1").select("k_id", "k_text")
+    repeated = written(repeated, "repeated-rows")
+    gone = written(classes.where("NOT stands").select(*keys).union(repeated).distinct(), "gone-rows")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), jaccard_join.text_key("text"))
 
-    def among(keys: DataFrame, how: str, of: DataFrame) -> DataFrame:
-        k = keys.select(F.col("doc_id").alias("k_id"), F.col("text_key").alias("k_text"))
-        return of.join(k, of["doc_id"].eqNullSafe(k["k_id"]) & (of["text_key"] == k["k_text"]), how)
+    def among(keys: DataFrame, n: int, how: str) -> DataFrame:
+        # broadcast behind a check of their number; beyond, both sides are dealt by key
+        keys = F.broadcast(keys) if n <= jaccard_join.BROADCAST_IDS else keys
+        return rows.join(keys, F.col("id").eqNullSafe(F.col("k_id")) & (F.col("text_key") == F.col("k_text")), how)
 
-    kept = among(classes.where("NOT stands").select("doc_id", "text_key").distinct(), "left_anti", rows)
-    repeated = classes.where("n_shingles > 0 AND stands").groupBy("doc_id", "text_key").count().where("count > 1")
-    if repeated.isEmpty():
-        return kept.select(*docs.columns)
-    repeated = written(repeated, "repeated-rows")
-    once = among(repeated, "left_semi", kept).dropDuplicates(["doc_id", "text"])
-    return among(repeated, "left_anti", kept).select(*docs.columns).union(once.select(*docs.columns))
+    kept = among(gone, gone.count(), "left_anti").select("row.*")
+    n_repeated = repeated.count()
+    if not n_repeated:
+        return kept
+    once = among(repeated, n_repeated, "left_semi").groupBy("id", "text_key").agg(F.first("row").alias("row"))
+    return kept.union(once.select("row.*"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights; a document that the mix takes twice comes twice."""
-    return mix_sources.mixed_documents(docs).select(*docs.columns)
+    """Sources at their target weights; a document that the mix takes twice comes twice.
+
+    Texts without words are in no mix; a null source is a source, ordered last.
+    """
+    return mix_sources.mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix as packed sequences: where each piece of a document stands."""
+    """The mix as packed sequences: where each piece of a document stands; a null text is one end id."""
     return bin_packing.pack_documents(docs)
 
 
