@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from lodestar.llm import jaccard_join
@@ -61,9 +62,33 @@ def test_components_are_those_of_all_pairs(spark, seed, width, percent):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, width, percent)
 
 
+def test_hot_tokens_and_large_buckets(spark, monkeypatch):
+    rows = near_groups(5) + [(500 + i, t) for i, (_, t) in enumerate(near_groups(6, groups=1, copies=60))]
+    want = brute(rows, 3, 90)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot, bucket in ((3, 4096), (1 << 40, 5)):
+        monkeypatch.setattr(jaccard_join, "HOT_DOCUMENTS", hot)
+        monkeypatch.setattr(jaccard_join, "BUCKET_ROWS", bucket)
+        got = jaccard_join.link_components(docs, width=3, percent=90).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+
+
+def test_counters_bound_the_overlap():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)) for n in (0, 1, 5, 90, 700, 5000)]
+    sets += [np.unique(np.concatenate([s[: len(s) * 9 // 10], sets[4][:60]])) for s in sets]
+    a, b = zip(*[(x, y) for x in sets for y in sets], strict=True)
+    most = jaccard_join._most_overlap([jaccard_join._counters(x) for x in a], [jaccard_join._counters(y) for y in b])
+    exact = [len(np.intersect1d(x, y)) for x, y in zip(a, b, strict=True)]
+    assert all(e <= m <= min(len(x), len(y)) for e, m, x, y in zip(exact, most, a, b, strict=True))
+
+
 def test_empty_table_and_extra_columns(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, n int, sig string, prefix string")
     assert jaccard_join.op10_jaccard_join(docs).count() == 0
+    same_id = [(4, "one two three four five six"), (4, "One two three four five six"), (4, "one two three four five six"), (9, "one two three four five six seven")]
+    got = jaccard_join.link_components(spark.createDataFrame(same_id, "doc_id long, text string"), width=2, percent=60).collect()
+    assert sorted(map(tuple, got)) == [(4, 5, 4), (4, 5, 4), (4, 5, 4), (9, 6, 4)]
     docs = spark.createDataFrame([(1, "a b c d", 5, "s"), (2, "a b c d", 6, "t"), (2, "a b c d", 6, "t")], "doc_id long, text string, n int, sig string")
     assert sorted(map(tuple, jaccard_join.op10_jaccard_join(docs).collect())) == [(1, 2, 1), (2, 2, 1), (2, 2, 1)]
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.llm import bin_packing, fingerprints, html_extraction, html_model, line_dedup, mix_sources, secret_scans, suffix_dedup, topk_search, toxicity
+from lodestar.llm import bin_packing, fingerprints, html_extraction, html_model, line_dedup, mix_sources, secret_scans, suffix_dedup, suffix_doubling, topk_search, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score int, spans int, size int, row_id int"
 
@@ -47,11 +47,29 @@ def test_shard_search_stops_only_on_proof(spread):
     rng = np.random.default_rng(spread)
     x, q = rng.integers(-spread, spread + 1, (400, 12)), rng.integers(-spread, spread + 1, (30, 12))
     ids, query_ids = rng.permutation(400), np.arange(1000, 1030)
-    a, b, s = topk_search.search_shard(ids, x, query_ids, q, 5)
+    want = [sorted(zip(-(x @ q[j]), ids, strict=True))[:5] for j in range(30)]
+    a, b, s, read, held = topk_search.search_shard(ids, x, query_ids, q, 5)
     for j in range(30):
-        exact = x @ q[j]
-        want = sorted(zip(-exact, ids, strict=True))[:5]
-        assert sorted(zip(-s[a == 1000 + j], b[a == 1000 + j], strict=True)) == want
+        assert sorted(zip(-s[a == 1000 + j], b[a == 1000 + j], strict=True)) == want[j]
+    limit = np.array([-w[2][0] for w in want])  # a score that the third best has: only what reaches it comes back
+    a, b, s, read, held = topk_search.search_shard(ids, x, query_ids, q, 5, limit)
+    for j in range(30):
+        got = sorted(w for w in zip(-s[a == 1000 + j], b[a == 1000 + j], strict=True) if -w[0] >= limit[j])
+        assert got == [w for w in want[j] if -w[0] >= limit[j]] and len(got) >= 3
+
+
+def test_queries_stop_before_all_postings_are_read():
+    rng = np.random.default_rng(11)
+    centres = rng.normal(0, 30, (100, 24))
+    x = np.floor(centres[rng.integers(0, 100, 3000)] + rng.normal(0, 4, (3000, 24))).astype(np.int64)
+    q, ids = x[:50], np.arange(3000)
+    a, b, s, read, held = topk_search.search_shard(ids, x, ids[:50], q, 10)
+    assert read < 0.8 * held  # proof came before the last levels
+    for j in range(50):
+        want = sorted((-int(x[i] @ q[j]), i) for i in range(3000) if i != j)[:10]
+        assert sorted(zip(-s[a == j], b[a == j], strict=True)) == want
+    shared = np.array([np.sort(x @ v)[-11] for v in q])
+    assert topk_search.search_shard(ids, x, ids[:50], q, 10, shared)[3] <= read  # the shared score stops them no later
 
 
 def test_topk_empty(spark):
@@ -99,27 +117,36 @@ def test_secrets_that_two_owners_hold(spark):
 # line dedup
 
 
-def test_lines(spark):
-    rows = [(i, f"Cookie notice\nline {i} of the page is here\n  other {i} words\n", "a") for i in range(8)]
-    rows += [(20 + i, "same page\nall lines", "b") for i in range(8)] + [(40, None, "a"), (41, "", None), (42, "Cookie notice \nfree text that is much longer", "c")]
-    got = {r.doc_id: r for r in line_dedup.dedup_lines(docs_of(spark, rows)).collect()}
-    assert got[3].text == "line 3 of the page is here\n  other 3 words\n" and got[3].lines_removed == 1 and got[3].lang == "en"
-    assert got[20].text == "same page\nall lines" and got[20].lines_removed == 0  # copies of a page
-    assert got[40].text is None and got[41].text == "" and got[42].lines_removed == 0
-    assert line_dedup.op3_line_dedup(docs_of(spark, [])).count() == 0
-
-
-def test_lines_of_short_pages_and_small_hosts(spark):
-    rows = [(i, f"Home | About | Contact\nline {i} of the page is here\n  other {i} words", "a") for i in range(20)]
-    rows += [(30, "Home | About | Contact\nshort", "a"), (31, "Home | About | Contact", "a")]  # unique, mostly boilerplate
-    rows += [(40 + i, "Home | About | Contact\ncopy", "a") for i in range(2)]  # copies, mostly boilerplate
+def brute_lines(rows, ratio=0.1, distinct=False):
+    bare = lambda x: x.strip(" \t\r\x0b\x0c")
+    pages = collections.defaultdict(list)
+    for _, t, host in rows:
+        pages[host].append(t)
+    drops = {}
+    for host, texts in pages.items():
+        texts = set(texts) if distinct else texts
+        held = collections.Counter(x for t in texts for x in {bare(x) for x in (t or "").split("\n")} if x)
+        drops[host] = {x for x, n in held.items() if n >= 2 and n > len(texts) * ratio}
+    out = []
+    for i, t, host in rows:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if bare(x) not in drops[host]]
+        out.append((i, "\n".join(kept) if t is not None else None, len(lines) - len(kept)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("distinct", [False, True])
+def test_lines_are_brute_force(spark, distinct):
+    rows = [(i, f"Home | About | Contact\r\nline {i} of the page is here\n\t other {i % 12} words\n", "a") for i in range(20)]
+    rows += [(30, "Home | About | Contact\nshort", "a"), (31, "Home | About | Contact ", "a")]  # mostly boilerplate
+    rows += [(40 + i, "same page\nall lines", "b") for i in range(8)] + [(49, "page\nall lines", "b")]  # copies
     rows += [(50 + i, f"Site footer\nwords of page {i}", "small") for i in range(3)] + [(60, "Home | About | Contact\ncopy", "small")]
-    got = {r.doc_id: r for r in line_dedup.dedup_lines(docs_of(spark, rows)).collect()}
-    assert len(got) == len(rows) and got[3].text == "line 3 of the page is here\n  other 3 words"
-    assert (got[30].text, got[30].lines_removed) == ("short", 1) and (got[31].text, got[31].lines_removed) == ("", 1)
-    assert all((got[40 + i].text, got[40 + i].lines_removed) == ("Home | About | Contact\ncopy", 0) for i in range(2))
-    assert all((got[50 + i].text, got[50 + i].lines_removed) == (f"words of page {i}", 1) for i in range(3))
-    assert got[60].lines_removed == 0  # its lines are on one page of the host
+    rows += [(70, None, "a"), (71, "", None), (72, "free text", "c"), (73, None, "d"), (60, "Home | About | Contact\ncopy", "small")]
+    clash = "clean whole b_lines b_host row salt host lines".split()
+    got = line_dedup.dedup_lines(docs_of(spark, rows).select("*", *[F.lit(5).alias(c) for c in clash]), distinct_pages=distinct).collect()
+    assert sorted(((r.doc_id, r.text, r.lines_removed) for r in got), key=str) == brute_lines(rows, distinct=distinct)
+    assert all(r[c] == 5 for r in got for c in clash) and {r.lang for r in got} == {"en"}
+    assert line_dedup.op3_line_dedup(docs_of(spark, [])).count() == 0
 
 
 # html extraction
@@ -235,6 +262,18 @@ def test_repeats_are_brute_force(spark, monkeypatch, kinds):
     assert sorted(map(tuple, got)) == brute_repeats(rows, 200)
 
 
+def test_plain_doubling_finds_the_same(spark):
+    rng = random.Random(8)
+    passage = words(rng, 12)
+    rows = [(i, words(rng, rng.randint(0, 12)) + (" " + passage if i % 3 else "") + " " + words(rng, 9)) for i in range(8)] + [(20, None), (21, "x" * 90), (22, "é" * 30)]
+    docs = docs_of(spark, [(i, t, "s") for i, t in rows]).repartition(2, "doc_id")
+    got = suffix_doubling.repeated_starts(docs, length=50).groupBy("doc").count().collect()
+    held = collections.Counter(b[k : k + 50] for _, t in rows for b in [(t or "").encode()] for k in range(len(b) - 49))
+    want = [sum(held[b[k : k + 50]] > 1 for k in range(len(b) - 49)) for _, t in rows for b in [(t or "").encode()]]
+    assert sorted(r["count"] for r in got) == sorted(w for w in want if w)
+    assert suffix_doubling.repeated_starts(docs_of(spark, []), length=50).count() == 0
+
+
 def test_repeats_empty(spark):
     assert suffix_dedup.op5_suffix_dedup(docs_of(spark, [])).count() == 0
     assert suffix_dedup.op5_suffix_dedup(docs_of(spark, [(1, "short", "s")])).first().n_removed == 0
@@ -247,7 +286,7 @@ def test_repeats_empty(spark):
 def test_fingerprints(spark, monkeypatch, bucket_rows):
     monkeypatch.setattr(fingerprints, "BUCKET_ROWS", bucket_rows)
     rng = random.Random(4)
-    rows = [(i * 3, words(rng, rng.randint(0, 120))) for i in range(40)] + [(1000, None), (1001, ""), (1003, "é" * 10 + " x"), (1004, "a b c d e f " * 9), (1005, "a b c d e f " * 9)]
+    rows = [(i * 3, words(rng, rng.randint(0, 120))) for i in range(40)] + [(-5, words(rng, 30)), (1000, None), (1001, ""), (1003, "é" * 10 + " x"), (1004, "a b c d e f " * 9), (1005, "a b c d e f " * 9)]
     got = fingerprints.op6_fingerprints(docs_of(spark, [(i, t, "s") for i, t in rows])).collect()
     order = sorted(((i, t or "") for i, t in rows), reverse=True)
     place = {i: k for k, (i, _) in enumerate(order)}
@@ -271,6 +310,10 @@ def test_fingerprints(spark, monkeypatch, bucket_rows):
     by = {r.doc_id: r for r in got}
     assert by[1004].fingerprint == by[1005].fingerprint and by[1005].near_next == 1.0 and by[1001].fingerprint == ""
     assert fingerprints.op6_fingerprints(docs_of(spark, [])).count() == 0
+    same_id = [(7 if i % 3 else None, f"words of the text {i} are these", "s") for i in range(60)]  # ids that many rows share are cut too
+    cut = fingerprints.bucketed(docs_of(spark, same_id), "doc_id", "text").where("borrowed = 0").groupBy("bucket").count().collect()
+    assert sum(r["count"] for r in cut) == 60 and (bucket_rows > 7 or max(r["count"] for r in cut) < 30)
+    assert fingerprints.op6_fingerprints(docs_of(spark, same_id)).count() == 60
 
 
 def test_gamma_table(spark):
@@ -352,6 +395,11 @@ def test_mixing(spark):
         assert t <= 2 * size[s] + 1e-9 and abs(taken[s] - t) <= 2
     again = mix_sources.op8_mix_sources(docs_of(spark, rows)).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+    clash = "mix_size mix_key target cut taken row source_size epochs salt t_source".split()
+    extra = docs_of(spark, rows).select("*", *[F.lit(-7).alias(c) for c in clash])
+    nested = mix_sources.mix_sources(extra)
+    assert sorted((r.row.doc_id, r.size, r.taken) for r in nested.collect()) == sorted((r.doc_id, r.size, r.taken) for r in got)
+    assert mix_sources.mixed_documents(extra).select(*clash).distinct().collect() == [(-7,) * len(clash)]
     mixed = mix_sources.mixed_documents(docs_of(spark, rows))
     assert mixed.columns == DOCS.replace(" long", "").replace(" string", "").replace(" int", "").split(", ")
     assert mix_sources.op8_mix_sources(docs_of(spark, [])).count() == 0
@@ -394,6 +442,12 @@ def test_toxicity_on_held_out_documents(spark):
     chain = toxicity.fit(docs, known)
     spans = {r.doc_id: r.spans for r in toxicity.tag(docs, chain).collect()}
     assert [(s.start, s.end) for s in spans[902]] == [(0, 5)] and spans[900] == []
+    clash = "row found id toxic scored_text".split()
+    carried = toxicity.tag_rows(docs.select("*", *[F.lit(5).alias(c) for c in clash]), chain).collect()
+    assert {(r.row.doc_id, r.score) for r in carried} == {(r.doc_id, r.score) for r in got} and {r.row.score for r in carried} == {1}
+    assert all(r.row[c] == 5 for r in carried for c in clash)
+    long = docs.select("doc_id", F.repeat("text", 9).alias("text"))  # texts beyond the fit's bound are scored all the same
+    assert toxicity.tag(long, toxicity.fit(long, known, chars=100)).count() == len(rows)
     none = toxicity.op9_toxicity(docs, known.where("toxic = 0")).collect()
     assert {(r.score, r.predicted) for r in none} == {(0.0, 0)}
     assert toxicity.op9_toxicity(docs_of(spark, []), known).count() == 0

@@ -45,9 +45,23 @@ def test_near_copies_leave_one_row_each(spark):
     rows += [(6, c), (6, c + " more"), (6, c)]  # near copies under one id
     rows += [(None, d), (None, d), (None, d + " more"), (None, b)]  # copies without an id
     rows += [(8, e), (8, e), (None, ""), (None, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS row", "2 AS id", "3 AS text_key", "4 AS k_id")
     got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
     near = lambda t, of: t is not None and t.startswith(of)
     assert len(got) == 7 and all(sum(near(t, x) for _, t in got) == 1 for x in (a, b, c, d, e))
     assert {(1, a), (5, b), (8, e), (None, ""), (None, None)} < set(got)
     assert {i for i, t in got if near(t, c)} == {6} and {i for i, t in got if near(t, d)} == {None}
+
+
+def test_stages_over_an_empty_table_and_clashing_columns(spark, tmp_path):
+    names = "row found score spans lines_removed b_lines mix_size target size copy text_key".split()
+    extra = ", ".join(f"{n} int" for n in names)
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    schema = f"doc_id long, text string, lang string, source string, n_chars long, {extra}"
+    for rows in ([], [(i, f"first line\nwords {i} " + "abc " * (i or 0), "en", None, 3, *range(len(names))) for i in (1, 2, None)]):
+        docs = spark.createDataFrame(rows, schema)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == docs.columns
+            assert {tuple(r[n] for n in names) for r in out.collect()} == ({tuple(range(len(names)))} if rows else set()), name
+        assert (corpus_pipeline.pack(spark, docs, str(tmp_path)).count() > 0) == bool(rows)
