@@ -124,6 +124,24 @@ def excerpt(text: Column, needle: Column, around: int = 40) -> Column:
     return F.when(at > 0, F.trim(F.substring(text, start, at - start + F.length(needle) + around)))
 
 
+#: Parts of addresses that are never a place's own site.
+FOREIGN_SITES = (
+    "park4night.com", "campercontact.com", "searchforsites.co.uk", "tripadvisor", "facebook.com", "instagram.com", "booking.com", "pitchup.com", "google.com", "caramaps.com", "camping.info",
+    "youtube.com", "twitter.com", "x.com", "tiktok.com",
+)
+_URL = r"https?://[^\s\"'},]+|www\.[^\s\"'},]+"
+
+
+def official_website(services: Column, description: Column) -> Column:
+    """The first address that the services, else the description, name, with its scheme; null if it is another platform's."""
+    first = lambda c: F.nullif(F.regexp_extract(F.coalesce(c, F.lit("")), _URL, 0), F.lit(""))
+    url = F.regexp_replace(F.coalesce(first(services), first(description)), r"[).,\"']+$", "")
+    foreign = F.lit(False)
+    for part in FOREIGN_SITES:
+        foreign = foreign | F.contains(F.lower(url), F.lit(part))
+    return F.when(url.isNotNull() & ~foreign, F.when(F.startswith(url, F.lit("www.")), F.concat(F.lit("http://"), url)).otherwise(url))
+
+
 #: Patterns of filler, each matched in any case, in this order.
 FILLER = (
     r"(?:muchas?\s+)?gracias\s+(?:al\s+)?(?:municipio|ayuntamiento|pueblo|town|propietario|owner|gestores?|al\s+municipio)[^.!?]*[.!?]?",

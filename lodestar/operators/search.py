@@ -35,6 +35,31 @@ FACETS = {
 }
 
 
+#: Facets that ask for a place's state: those of a least value fail without one, those of a most value take none as 0.
+STATE_FACETS = {f"min_{k}": (lambda v, k=k: F.col(k) >= v) for k in ("quietness", "safety", "beauty", "stealth")} | {
+    f"max_{k}": (lambda v, k=k: F.coalesce(F.col(k), F.lit(0.0)) <= v) for k in ("risk", "crowd")
+} | {"overnight": lambda v: F.col("overnight") == v}
+#: Facets that a place's own columns answer.
+FLAG_FACETS = {k: (lambda v, k=k: F.col(k) == v) for k in ("water", "electricity", "shower", "wifi", "dogs")}
+
+
+def faceted_places(places: DataFrame, state: DataFrame, **wanted) -> DataFrame:
+    """Places with their state that meet all facets given; None asks for nothing.
+
+    The join is an inner one if a facet asks for the state, else a left one, so
+    places without a state stay unless it matters.
+    """
+    asked = {k: v for k, v in wanted.items() if v is not None}
+    of_state = [STATE_FACETS[k](v) for k, v in asked.items() if k in STATE_FACETS]
+    for k, v in asked.items():
+        if k not in STATE_FACETS:
+            places = places.where((FLAG_FACETS | FACETS)[k](v))
+    rows = places.join(state, "spot_id", "inner" if of_state else "left")
+    for condition in of_state:
+        rows = rows.where(condition)
+    return rows
+
+
 def faceted(places: DataFrame, **wanted) -> DataFrame:
     """Places that meet all facets given; None asks for nothing."""
     for name, value in wanted.items():

@@ -58,3 +58,33 @@ def tightest_limits(limits: DataFrame, key: str, dimensions: list[str]) -> DataF
     pivoted = best.groupBy(key).pivot("dimension", dimensions).agg(F.first("x"))
     columns = [F.col(f"{d}.{a}").alias(f"{d}{s}") for d in dimensions for a, s in (("value", ""), ("source", "_source"), ("confidence", "_confidence"))]
     return pivoted.select(key, *columns)
+
+
+#: Confidence of the sources, and plausible metres of a limit.
+SOURCE_CONFIDENCE = {"park4night": 0.92, "campingcarpark": 0.90, "promobil": 0.84, "caramaps": 0.82, "campy": 0.82}
+PLAUSIBLE = {"height_m": (1.5, 4.5), "length_m": (3.0, 15.0), "width_m": (1.7, 3.5)}
+#: Source, dimension, JSON path of a number.
+LIMIT_PATHS = (
+    ("park4night", "height_m", "hauteur_limite"), ("caramaps", "height_m", "maxHeight"), ("caramaps", "length_m", "maxLength"), ("caramaps", "width_m", "maxWidth"), ("campy", "length_m", "camperSize"),
+)
+#: Source, JSON path, what it must say, and the length that it then limits to.
+LIMIT_FLAGS = (("promobil", "caravan8Meters", "false", 8.0), ("campingcarpark", "prohibitions.vehicleMore9m", "true", 9.0))
+_PLAIN_NUMBER = r"^[0-9]+(\.[0-9]+)?$"
+
+
+def source_limits(records: DataFrame) -> DataFrame:
+    """Rows (spot_id, dimension, value, source, confidence) of the limits that raw records of known sources state.
+
+    records: spot_id, source, raw (JSON). Numbers must be plain and plausible.
+    """
+    at = lambda path: F.get_json_object("raw", f"$.{path}")
+    limit = lambda dimension, value: F.struct(F.lit(dimension).alias("dimension"), value.cast("double").alias("value"))
+    found = []
+    for source, dimension, path in LIMIT_PATHS:
+        value = F.when(at(path).rlike(_PLAIN_NUMBER), at(path).try_cast("double"))
+        found.append(F.when((F.col("source") == source) & value.between(*PLAUSIBLE[dimension]), limit(dimension, value)))
+    for source, path, says, metres in LIMIT_FLAGS:
+        found.append(F.when((F.col("source") == source) & (F.lower(at(path)) == says), limit("length_m", F.lit(metres))))
+    sure = F.create_map(*[F.lit(x) for p in SOURCE_CONFIDENCE.items() for x in p])
+    rows = records.where("spot_id IS NOT NULL").select("spot_id", "source", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("x"))
+    return rows.select("spot_id", "x.dimension", F.round("x.value", 2).alias("value"), "source", F.coalesce(F.try_element_at(sure, F.col("source")), F.lit(0.7)).alias("confidence"))

@@ -238,23 +238,27 @@ def llm_payload_query(spark: SparkSession, d: str) -> DataFrame:
     return out.select("spot_id", F.size("claims").alias("n_claims"), F.size("alerts").alias("n_alerts"), F.array_join("tags", ",").alias("tags"), "summary", "elevation_m", F.array_join("errors", "; ").alias("errors"))
 
 
-def stream_state(spark: SparkSession, d: str) -> DataFrame:
-    """Scores of the events read as a stream of files, equal to the batch's."""
-    from lodestar.sources.streams import stream_table
-
+def stream_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own for a stream's table and checkpoint, in the folder that the cluster shares."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         import tempfile
 
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         base = f"file://{tempfile.mkdtemp(prefix='lodestar-stream-')}"
-    name = f"stream_state_{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}"
+
+
+def stream_state(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of the events read as a stream of files, equal to the batch's."""
+    from lodestar.sources.streams import stream_table
+
     events = stream_table(spark, d, "events")
     k = F.regexp_extract("props", r'"k": *([0-9]+)', 1)
     rows = events.select(F.col("user_id").alias("entity_id"), F.col("event_type").alias("signal"), F.col("value").alias("value_num"),
                          (F.when(k != "", k).cast("double") / 100).alias("weight"), F.col("ts").cast("timestamp").alias("observed_at"))
-    return incremental.run_once(incremental.stream_scores(rows, 30.0, EVENTS_AS_OF), ["entity_id", "signal"], f"{base.rstrip('/')}/{name}")
+    return incremental.run_once(incremental.stream_scores(rows, 30.0, EVENTS_AS_OF), ["entity_id", "signal"], stream_folder(spark, f"stream_state_{uuid.uuid4().hex}"))
 
 
 STREAM_STATE = """
