@@ -6,10 +6,13 @@ import difflib
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestar.functions import decay, wording
+from lodestar.functions import text as texts
+
 #: Fixed values of near-duplicate reviews.
 LEAST_REVIEWS, SIMILARITY, LENGTH_RATIO = 15, 0.85, 0.5
 _TOKEN = re.compile(r"[^\W_]+")
@@ -66,3 +69,28 @@ def drop_near_duplicates(reviews: DataFrame, key: str = "spot_id") -> DataFrame:
         return group[~group.index.isin(gone)]
 
     return reviews.groupBy(key).applyInPandas(survivors, reviews.schema)
+
+
+#: Fixed values of a selection: tokens of all reviews and of a header, characters of one.
+SELECTION_TOKENS, HEADER_TOKENS, REVIEW_CHARS = 5500, 20, 400
+
+
+def selected(reviews: DataFrame, as_of: Column, tokens: int = SELECTION_TOKENS, chars: int = REVIEW_CHARS, key: str = "spot_id") -> DataFrame:
+    """The reviews of each place that fit a budget, in order: cleaned, told to be informative, weighed by age, dealt over the months.
+
+    reviews: key, review_id, text, at, rating, after `drop_near_duplicates` if
+    wanted. Within a month the weight, the rating and the length decide, then the
+    review_id; months take turns, the newest first. The first review always stays.
+    """
+    rows = reviews.withColumn("clean", texts.clean_text(F.col("text")))
+    rows = rows.where(texts.informative(F.col("clean"))).withColumn("weight", decay.review_age_weight(F.col("at"), as_of))
+    best = [F.desc("weight"), F.desc(F.floor(F.coalesce("rating", F.lit(0.0)) * 10)), F.desc(F.length("clean")), F.col("review_id")]
+    rows = rows.withColumn("month", F.coalesce(F.year("at") * 12 + F.month("at") - 1, F.lit(-1)))
+    rows = rows.withColumn("round", F.row_number().over(Window.partitionBy(key, "month").orderBy(*best)))
+    turn = Window.partitionBy(key).orderBy("round", F.desc("month"))
+    rows = rows.withColumn("short", wording.truncated(F.col("clean"), chars))
+    rows = rows.withColumn("tokens", texts.estimate_tokens(F.col("short")) + HEADER_TOKENS)
+    upto = F.sum("tokens").over(turn.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("place", F.row_number().over(turn)).withColumn("upto", upto)
+    whole = F.when((F.col("place") == 1) & (F.col("upto") > tokens), wording.truncated(F.col("clean"), chars // 2)).otherwise(F.col("short"))
+    return rows.where((F.col("upto") <= tokens) | (F.col("place") == 1)).select(key, "review_id", "place", "weight", whole.alias("text"))

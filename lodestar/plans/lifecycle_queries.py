@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestar.functions import text
 from lodestar.operators import claims, merging, metrics, reconcile, reviews, search, vehicles
 from lodestar.plans.inputs import customers, place_sql
-from lodestar.plans.text_queries import RULES
+from lodestar.plans.text_queries import CLEAN_SQL, RULES
 from lodestar.sources import connectors
 from lodestar.sources.streams import stream_table
 from lodestar.sources.tables import table
@@ -188,6 +188,25 @@ def near_dup_reviews(spark: SparkSession, d: str) -> DataFrame:
     return reviews.drop_near_duplicates(rows).select("spot_id", "review_id")
 
 
+def review_selection(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as reviews of their source: what fits a budget, spread over the months."""
+    at = F.date_sub(F.lit("2024-01-01").cast("date"), (F.col("doc_id") * 37 % 900).cast("int"))
+    rows = table(spark, d, "documents").select(F.col("source").alias("spot_id"), F.col("doc_id").alias("review_id"), "text", F.when(F.col("doc_id") % 11 > 0, at).alias("at"), (F.col("doc_id") % 50 / 10.0).alias("rating"))
+    out = reviews.selected(rows, F.lit("2024-01-01").cast("date"), 600)
+    return out.select("spot_id", "review_id", "place", "weight", F.md5("text").alias("text_md5"))
+
+
+REVIEW_SELECTION = rf"""
+WITH t AS (SELECT source AS spot_id, doc_id AS review_id, CASE WHEN doc_id % 11 > 0 THEN DATE '2024-01-01' - CAST(doc_id * 37 % 900 AS INTEGER) END AS seen, CAST(doc_id % 50 AS DOUBLE) / 10 AS rating, {CLEAN_SQL.replace('{c}', 'text')} AS c FROM documents),
+f AS (SELECT *, len(regexp_extract_all(c, '[A-Za-zÀ-ÿ]{{3,}}')) AS n FROM t WHERE length(c) >= 10),
+w AS (SELECT *, CASE WHEN seen IS NULL THEN CAST(0.3 AS DOUBLE) WHEN date_diff('day', seen, DATE '2024-01-01') < 365 THEN 1 WHEN date_diff('day', seen, DATE '2024-01-01') < 730 THEN 0.8 ELSE 0.5 END AS weight,
+  coalesce(year(seen) * 12 + month(seen) - 1, -1) AS m, CASE WHEN length(c) <= 400 THEN c ELSE rtrim(substr(c, 1, 399)) || '…' END AS s FROM f WHERE n >= 3 AND NOT (n <= 3 AND len(list_filter(string_split_regex(lower(c), '[^\p{{L}}\p{{N}}_]+'), lambda x: x IN ({", ".join(repr(x) for x in text.FILLER_WORDS)}))) > 0)),
+r AS (SELECT *, row_number() OVER (PARTITION BY spot_id, m ORDER BY weight DESC, floor(rating * 10) DESC, length(c) DESC, review_id) AS rnd, greatest(1, length(s) // 4) + 20 AS tok FROM w),
+o AS (SELECT *, row_number() OVER (PARTITION BY spot_id ORDER BY rnd, m DESC) AS place, sum(tok) OVER (PARTITION BY spot_id ORDER BY rnd, m DESC ROWS UNBOUNDED PRECEDING) AS upto FROM r)
+SELECT spot_id, review_id, place, weight, md5(CASE WHEN place = 1 AND upto > 600 THEN CASE WHEN length(c) <= 200 THEN c ELSE rtrim(substr(c, 1, 199)) || '…' END ELSE s END) AS text_md5 FROM o WHERE upto <= 600 OR place = 1
+"""
+
+
 def name_ratio(spark: SparkSession, d: str) -> DataFrame:
     """Similarity of names by matching blocks, and the nearest known tag; difflib's, so without SQL."""
     rows = table(spark, d, "part").select("p_partkey", "p_name", "p_type")
