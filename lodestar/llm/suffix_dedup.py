@@ -2,14 +2,15 @@
 
 A byte goes if a string of LENGTH bytes that covers it also starts elsewhere.
 Ranking every position of a corpus by its next LENGTH bytes would sort each of
-them several times, so positions that can't repeat, or surely do, are settled
-first, exactly:
+them several times, as `suffix_doubling` does, so positions that can't repeat, or
+do, are settled first:
 
 1. Every window of LENGTH bytes has an anchor, the leftmost of its least ANCHOR-byte
    hashes. Equal windows have equal anchors. A run is a stretch of windows with one
    anchor; it is dealt by the anchor's hash, about one run for 70 bytes.
 2. An anchor that occurs once settles its run: nothing repeats. Runs with the
-   same bytes settle each other: every window repeats. What is left are the
+   same 128-bit hash, for which the same bytes are taken, settle each other: every
+   window repeats. What is left are the
    edges: runs whose anchor is shared, but not all their bytes.
 3. For the edges, runs go to their anchor's task with their bytes, one of each
    kind. There positions are sorted by pairs of ranks at growing offsets, 25, 50
@@ -19,8 +20,9 @@ first, exactly:
    windows, which equal windows share.
 
 Spark deals runs and intervals; texts move twice, to the edges and to the
-removal. Hashes have 64 bits and only meet within one anchor's runs, or, for
-anchors, lead to a comparison of the runs themselves.
+removal. Hashes of runs have 128 bits, from two tables and bases, and only meet
+within one anchor's runs; those of anchors have 64 and lead to a comparison of the
+runs themselves.
 
 Defined results: a null text is empty; texts shorter than LENGTH keep all bytes;
 repeated rows are documents of their own, so each repeats the other; an empty
@@ -50,8 +52,10 @@ _KEY = ["t1", "t2"]
 _ROLLERS: dict[int, Roller] = {}
 
 
-def _roller() -> Roller:
-    return _ROLLERS.setdefault(5, Roller(5))
+def _roller(seed: int = 5) -> Roller:
+    if seed not in _ROLLERS:
+        _ROLLERS[seed] = Roller(seed)
+    return _ROLLERS[seed]
 
 
 def _sliding_least(h: np.ndarray, width: int) -> np.ndarray:
@@ -66,7 +70,7 @@ def _sliding_least(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs_of(data: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR):
-    """(anchor hash, run hash, first window, windows) of the runs of a text."""
+    """(anchor hash, two run hashes, first window, windows) of the runs of a text."""
     out = []
     roller = _roller()
     for low in range(0, len(data) - length + 1, SEGMENT):
@@ -78,14 +82,15 @@ def runs_of(data: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR):
         least = _sliding_least((h & ~PLACE) | at.astype(np.uint64), length - anchor + 1)
         edge = np.flatnonzero(least[1:] != least[:-1]) + 1
         start, end = np.concatenate([[0], edge]), np.concatenate([edge, [len(least)]])
-        whole = mixed(roller.hashes(sums, start, end + length - 1) + (end - start).astype(np.uint64))
-        out.append((h[(least[start] & PLACE).astype(np.int64)], whole, start + low, end - start))
+        size = (end - start).astype(np.uint64)
+        whole = [mixed(r.hashes(s, start, end + length - 1) + size) for r, s in ((roller, sums), (_roller(6), _roller(6).sums(part)))]
+        out.append((h[(least[start] & PLACE).astype(np.int64)], *whole, start + low, end - start))
     return [np.concatenate(x) for x in zip(*out, strict=True)]
 
 
-RUNS = np.dtype([("g", "<u8"), ("r", "<u8"), ("doc", "<i4"), ("s", "<i4"), ("n", "<i4")])
+RUNS = np.dtype([("g", "<u8"), ("r", "<u8"), ("q", "<u8"), ("doc", "<i4"), ("s", "<i4"), ("n", "<i4")])
 DOCS = np.dtype([("t1", "<i8"), ("t2", "<i8"), ("d", "<i8")])
-EDGE = np.dtype([("g", "<u8"), ("r", "<u8"), ("s", "<i4"), ("n", "<i4"), ("open", "<i4"), ("kinds", "<i4")])
+EDGE = np.dtype([("g", "<u8"), ("r", "<u8"), ("q", "<u8"), ("s", "<i4"), ("n", "<i4"), ("open", "<i4"), ("kinds", "<i4")])
 
 
 def _packed_runs(parts: int, length: int):
@@ -114,9 +119,11 @@ def _packed_runs(parts: int, length: int):
                 data = np.frombuffer(texts[i].as_py().encode(), np.uint8)
                 if len(data) < length:
                     continue
-                g, r, s, n = runs_of(data, length)
-                rows = np.empty(len(g), RUNS)
-                rows["g"], rows["r"], rows["doc"], rows["s"], rows["n"] = g, r, len(docs), s, n
+                rows = None
+                for c, x in zip(("g", "r", "q", "s", "n"), runs_of(data, length), strict=True):
+                    rows = np.empty(len(x), RUNS) if rows is None else rows
+                    rows[c] = x
+                rows["doc"] = len(docs)
                 docs.append((t1[i].as_py(), t2[i].as_py(), d[i].as_py()))
                 runs.append(rows)
                 held += len(rows)
@@ -157,11 +164,11 @@ def _settle(length: int):
         # documents of one text are one document here
         _, table_at, same = np.unique(table[["t1", "t2"]], return_index=True, return_inverse=True)
         table = table[table_at]
-        runs = runs[np.lexsort((runs["r"], runs["g"]))]
+        runs = runs[np.lexsort((runs["q"], runs["r"], runs["g"]))]
         runs["doc"] = same[runs["doc"]]
         g, r = runs["g"], runs["r"]
         new_g = np.append(True, g[1:] != g[:-1])
-        new_r = new_g | np.append(True, r[1:] != r[:-1])
+        new_r = new_g | np.append(True, (r[1:] != r[:-1]) | (runs["q"][1:] != runs["q"][:-1]))
         g_id, r_id = np.cumsum(new_g) - 1, np.cumsum(new_r) - 1
         held = np.bincount(r_id)
         kinds = np.bincount(g_id[new_r])
@@ -176,7 +183,7 @@ def _settle(length: int):
         one = one[(kinds[g_id[one]] > 1) & single[g_id[one]]]
         if len(one):
             edge = np.empty(len(one), EDGE)
-            for c in ("g", "r", "s", "n"):
+            for c in ("g", "r", "q", "s", "n"):
                 edge[c] = runs[c][one]
             edge["open"], edge["kinds"] = held[r_id[one]] == 1, kinds[g_id[one]]
             doc = runs["doc"][one]
@@ -186,7 +193,7 @@ def _settle(length: int):
     return run
 
 
-SPAN = "part long, g long, r long, sub int, subs int, open int, t1 long, t2 long, s int, n int, data binary"
+SPAN = "part int, g long, r long, q long, sub int, subs int, open int, t1 long, t2 long, s int, n int, data binary"
 
 
 def _edge_bytes(parts: int, length: int):
@@ -195,7 +202,7 @@ def _edge_bytes(parts: int, length: int):
     def run(batches):
         roller = _roller()
         names = [x.split()[0] for x in SPAN.split(", ")]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
         for batch in batches:
             rows, held = [], 0
             for t1, t2, text, payloads in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -209,7 +216,7 @@ def _edge_bytes(parts: int, length: int):
                         if subs > 1:
                             mine = np.unique(_sub(roller, own, n, subs)).tolist()
                         for sub in mine:
-                            rows.append(((g + 7919 * sub) % parts, g - (1 << 64) * (g >> 63), int(e["r"].astype(np.int64)), sub, subs, int(e["open"]), t1, t2, s, n, own))
+                            rows.append(((g + 7919 * sub) % parts, g - (1 << 64) * (g >> 63), int(e["r"].astype(np.int64)), int(e["q"].astype(np.int64)), sub, subs, int(e["open"]), t1, t2, s, n, own))
                             held += len(own)
                         if held > 1 << 23:
                             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
@@ -263,11 +270,11 @@ def _resolve(length: int):
         if not tables:
             return
         rows = pa.concat_tables(tables)
-        cols = {c: rows.column(c).to_numpy() for c in ("g", "r", "sub", "subs", "open", "t1", "t2", "s", "n")}
+        cols = {c: rows.column(c).to_numpy() for c in ("g", "r", "q", "sub", "subs", "open", "t1", "t2", "s", "n")}
         # repeated rows bring a run twice
-        order = np.lexsort((cols["r"], cols["sub"], cols["g"]))
+        order = np.lexsort((cols["q"], cols["r"], cols["sub"], cols["g"]))
         same = np.ones(len(order), bool)
-        for c in ("g", "sub", "r"):
+        for c in ("g", "sub", "r", "q"):
             v = cols[c][order]
             same &= np.append(False, v[1:] == v[:-1])
         order = order[~same]
@@ -348,12 +355,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.xxhash64(text_col).alias("t1"), F.xxhash64(F.lit(1), text_col).alias("t2"), F.xxhash64(id_col).alias("d"), F.col(text_col).alias("text")
     ).where(F.length(text_col) > 0)
     runs = texts.mapInArrow(_packed_runs(parts, length), "part int, runs binary, docs binary")
-    settled = runs.repartition(parts, "part").mapInArrow(_settle(length), "t1 long, t2 long, d long, kind string, payload binary")
+    settled = runs.repartitionById(parts, "part").mapInArrow(_settle(length), "t1 long, t2 long, d long, kind string, payload binary")
     settled = written(settled, "settled")
     edges = settled.where("kind = 'edge'").groupBy("t1", "t2", "d").agg(F.collect_list("payload").alias("edges"))
     edges = written(edges, "edges")
     spans = texts.join(edges, ["t1", "t2", "d"]).select("t1", "t2", "text", "edges").mapInArrow(_edge_bytes(parts, length), SPAN)
-    found = spans.repartition(parts, "part").mapInArrow(_resolve(length), "t1 long, t2 long, d long, kind string, payload binary")
+    found = spans.repartitionById(parts, "part").mapInArrow(_resolve(length), "t1 long, t2 long, d long, kind string, payload binary")
     gone = settled.where("kind = 'gone'").select(*_KEY, "payload").union(found.select(*_KEY, "payload"))
     return written(gone.groupBy(*_KEY).agg(F.collect_list("payload").alias("payload")), "gone")
 
