@@ -9,13 +9,15 @@ is. A combination is taken as often in a row as the histogram allows, which give
 the bins that one-at-a-time removal gives while the counts last. The search
 therefore does at most a few thousand programmes on the driver, for any corpus.
 
-Placement is distributed again: pieces are ranked within their length by range
-partitions and prefix sums, and each combination owns a range of ranks of each of
-its lengths, so a piece's bin and offset follow from its rank by lookup.
+Placement is distributed again: pieces of a length are dealt to blocks by a hash
+and ranked by prefix sums over the blocks, and each combination owns a range of
+ranks of each of its lengths, so a piece's bin and offset follow from its rank by
+lookup.
 
 Defined results: a null text is empty and gives one piece, the end id alone;
 repeated rows are packed as documents of their own; an empty table gives an empty
-result; ties between pieces of one length go by (doc_id, piece); columns other
+result; pieces of one length rank by (block, doc_id, piece, start), equal ones in
+any order; columns other
 than id and text are not read.
 """
 
@@ -186,7 +188,7 @@ def _segments(plan) -> dict[int, np.ndarray]:
 
 
 def ranked(pieces: DataFrame) -> DataFrame:
-    """`pieces` with rank, from 0 within each length, by (doc_id, piece).
+    """`pieces` with rank, from 0 within each length, by (block, doc_id, piece).
 
     Rows are dealt to blocks by a hash of the id within the length, counts by
     block are summed up in front of each block, and ranks run within the blocks.
