@@ -17,8 +17,7 @@ lookup.
 Defined results: a null text is empty and gives one piece, the end id alone;
 repeated rows are packed as documents of their own; an empty table gives an empty
 result; pieces of one length rank by (block, doc_id, piece, start), equal ones in
-any order; columns other
-than id and text are not read.
+any order; columns other than id and text are not read.
 """
 
 from __future__ import annotations
