@@ -114,6 +114,37 @@ def test_secrets_that_two_owners_hold(spark):
     assert all(got[3 + k].spans == "" for k in range(3))
 
 
+def brute_scan(rows):
+    """Spans and class counts of each row, from the patterns and the ownership rule alone."""
+    kinds = [*secret_scans.BASE_KINDS, *secret_scans.ADDED_KINDS]
+    live = lambda v: all(re.search(p, v) for p in ("[0-9]", "[A-Z]", "[a-z]")) and not re.search(secret_scans.EXAMPLE, v) and len(set(v)) >= secret_scans.LIVE_CHARACTERS
+    found, owners = [], collections.defaultdict(set)
+    for _, text, source in rows:
+        spans = []
+        for kind, (_, pattern, group, least) in enumerate(kinds):
+            spans += [(m.start(), kind, m.end(), m[group]) for m in re.finditer(pattern, text or "") if len(m[group]) >= least]
+        base = [x for x in spans if x[1] < 3]
+        added = [x for x in spans if x[1] >= 3 and live(x[3]) and not any(b[0] < x[2] and x[0] < b[2] for b in base)]
+        found.append((base, added))
+        for x in base + added:
+            owners[x[3]].add(source)
+    out = []
+    for (i, _, _), (base, added) in zip(rows, found, strict=True):
+        kept = sorted(base + [x for x in added if len(owners[x[3]]) < secret_scans.WIDE_OWNERS])
+        count = lambda test: sum(test(len(owners[x[3]])) for x in kept)  # noqa: B023, E731
+        out.append((i, ",".join(f"{kinds[x[1]][0]}:{x[0]}:{x[2]}" for x in kept), count(lambda n: n >= secret_scans.WIDE_OWNERS), count(lambda n: n == 1)))
+    return sorted(out)
+
+
+def test_secrets_are_brute_force(spark):
+    rng = random.Random(12)
+    token = lambda n: "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHIJKLMNPQRSTUVWXYZ23456789+/_-") for _ in range(n))
+    pool = [token(40) for _ in range(6)] + ["ghp_" + token(20) for _ in range(3)] + ["AKIA" + "B2C3D4E5F6G7H8J9", "0123456789abcdef" * 2, "password: hunter22", "api-key=x", 'Token = "a.b-c_d"', "sample" + token(40)]
+    rows = [(i, " ".join(rng.choice([*pool, "word", "é😀", "x y"]) for _ in range(rng.randint(0, 9))), rng.choice(["s0", "s1", "s2", "s3", None])) for i in range(120)]
+    got = secret_scans.op2_secret_scans(docs_of(spark, rows)).collect()
+    assert sorted((r.doc_id, r.spans, r.n_widely_copied, r.n_owner_specific) for r in got) == brute_scan(rows)
+
+
 # line dedup
 
 
