@@ -84,6 +84,59 @@ PARK4NIGHT_FLAGS = {
 WOMO_FLAGS = {"agua_potable": "b_water", "electricidad": "b_electricity", "vaciado_negras": "b_chemical_wc", "wc_publico": "b_wc", "ducha": "b_shower", "wifi": "b_wifi",
               "perros": "b_animals_allowed", "acceso_grandes": "b_long_campers", "vaciado_grises": "b_disposal", "reserva_req": "b_reservation"}
 
+#: Labels of an agricamper place's services, types of camperstop and searchforsites places, ids of alpacacamping amenities.
+AGRI_SERVICES = {
+    "agua_potable": ("Water",), "electricidad": ("Electrical connection",), "ducha": ("Showers",), "wifi": ("Wi-Fi",), "wc_publico": ("WC",), "vaciado_negras": ("WC drain",),
+    "vaciado_grises": ("Water drain",), "perros": ("Dogs accepted (kept on a leash)", "Dogs accepted"), "iluminacion": ("Illuminated",),
+}
+CAMPERSTOP_TYPES = {
+    **dict.fromkeys(("1", "3", "4", "6", "7", "8", "9", "12", "13", "15"), "area_ac"), **dict.fromkeys(("5", "14"), "camping"), "2": "wild", **dict.fromkeys(("10", "11"), "parking"),
+}
+CAMPERSTOP_FLAGS = {
+    "agua_potable": "waterAvailable", "vaciado_grises": "drainageAvailable", "vaciado_negras": "chemicalAvailable", "electricidad": "powerAvailable", "wc_publico": "toiletAvailable", "ducha": "showerAvailable", "wifi": "wifiAvailable",
+}
+SITES_TYPES = {
+    **dict.fromkeys(("AC", "ACS", "CC", "CCC", "CP"), "camping"), **dict.fromkeys(("ASN", "CL", "CS", "ACF", "CPA", "CCP", "BS", "FP", "PEC", "AS", "AA", "FC"), "area_ac"),
+    **dict.fromkeys(("APN", "PS", "AP"), "parking"), **dict.fromkeys(("APCC", "WILD"), "naturaleza"),
+}
+PROMOBIL_TYPES = {"STELLPLATZ": "area_ac", "CAMPINGPLATZ": "camping", "PRIVATER PLATZ": "naturaleza"}
+CAMPY_TYPES = {**dict.fromkeys(("CAMP", "CAMPING", "MICROCAMPING"), "camping"), "VAN": "area_ac", "PARKING": "parking_publico"}
+ALPACA_IDS = {"agua_potable": (14, 238), "electricidad": (13, 223), "vaciado_grises": (20,), "vaciado_negras": (21,), "wc_publico": (16, 284), "ducha": (17, 476), "wifi": (1,)}
+NOMADY_FLAGS = {"agua_potable": ("drinkingWater",), "electricidad": ("power",), "ducha": ("regularShower", "outdoorShower"), "wc_publico": ("regularToilet", "outdoorToilet", "toiletQuickAccessible")}
+
+
+def truthy(value: Column) -> Column:
+    """Whether a JSON value is there and neither false, 0 nor empty."""
+    return F.coalesce(~F.lower(F.trim(value)).isin("false", "0", "0.0", "", "null", "[]", "{}"), F.lit(False))
+
+
+def _labelled(path: str, labels: tuple[str, ...]):
+    return lambda get: F.coalesce(F.arrays_overlap(F.from_json(get(path), "array<string>"), F.array(*map(F.lit, labels))), F.lit(False))
+
+
+def _numbered(path: str, ids: tuple[int, ...]):
+    return lambda get: F.coalesce(F.arrays_overlap(F.from_json(get(path), "array<int>"), F.array(*map(F.lit, ids))), F.lit(False))
+
+
+def _any_truthy(paths: tuple[str, ...]):
+    def found(get):
+        out = F.lit(False)
+        for p in paths:
+            out = out | truthy(get(p))
+        return out
+
+    return found
+
+
+def _nomady_type(get) -> Column:
+    has = lambda *labels: _labelled("types", labels)(get)
+    return F.when(has("hut"), "camping").when(has("caravan", "medium_vehicle", "large_vehicle"), "area_ac").when(has("tent"), "naturaleza").otherwise("otro")
+
+
+def _alpaca_type(get) -> Column:
+    has = lambda *ids: _numbered("amenities_infos.id", ids)(get)
+    return F.when(has(27) & ~has(25, 28), "naturaleza").otherwise("area_ac")
+
 
 def _flags(table: dict[str, str]) -> dict:
     return {k: (lambda get, p=p: flag(get(p))) for k, p in table.items()}
@@ -94,6 +147,25 @@ def _facility(code: int):
 
 
 SOURCES = {
+    "agricamper": Source("id", "title", "adresse_latitude", "adresse_longitude", {
+        "tipo": lambda get: F.when(_labelled("fiche_typologie_label", ("Agricamping",))(get), "camping").otherwise("parking_privado"), "gratuito": lambda get: F.lit(False),
+        **{k: _labelled("fiche_service_label", v) for k, v in AGRI_SERVICES.items()}, "num_plazas": lambda get: whole(get("nombre_place")),
+        "acceso_grandes": lambda get: F.when(get("accepte_gros_camping_car") == "1", True)}),
+    "alpacacamping": Source("id", "name", "property_address.latitude", "property_address.longitude", {
+        "tipo": _alpaca_type, "gratuito": lambda get: F.lit(False), "precio_aprox": lambda get: number(get("property_price.price")),
+        "rating": lambda get: F.when(number(get("avg_rating")) > 0, number(get("avg_rating"))), "country_iso": lambda get: F.lower(words(get("property_address.country"))),
+        **{k: _numbered("amenities_infos.id", v) for k, v in ALPACA_IDS.items()}}),
+    "camperstop": Source("id", "name", "latitude", "longitude", {
+        "tipo": lambda get: looked_up(get("camperStopTypeId"), CAMPERSTOP_TYPES, "otro"), "country_iso": lambda get: F.substring(get("countryCode"), 1, 2),
+        **{k: (lambda get, p=p: truthy(get(p))) for k, p in CAMPERSTOP_FLAGS.items()}}),
+    "campy": Source("uid", "name", "latitude", "longitude", {
+        "tipo": lambda get: looked_up(get("type"), CAMPY_TYPES, "naturaleza"), "precio_aprox": lambda get: number(get("price")), "gratuito": lambda get: number(get("price")) == 0,
+        "rating": lambda get: number(get("rating"))}),
+    "nomady": Source("id", "title", "latitude", "longitude", {
+        "tipo": _nomady_type, "gratuito": lambda get: F.lit(False), "country_iso": lambda get: F.substring(get("country"), 1, 2), **{k: _any_truthy(v) for k, v in NOMADY_FLAGS.items()}}),
+    "promobil": Source("id", "_de.name", "gps[0]", "gps[1]", {"tipo": lambda get: looked_up(get("pitchType"), PROMOBIL_TYPES, "otro")}),
+    "searchforsites": Source("ID", "Name", "latlng.lat", "latlng.lng", {
+        "tipo": lambda get: looked_up(get("Type"), SITES_TYPES, None), "country_iso": lambda get: F.upper(F.substring(get("cID"), 1, 2))}),
     "womostell": Source("place_id", "name", "latitude", "longitude", {
         "tipo": lambda get: looked_up(get("place_type_id"), WOMO_TYPES, "area_ac"), **_flags(WOMO_FLAGS),
         "precio_aprox": lambda get: number(get("price")), "gratuito": lambda get: number(get("price")) == 0,

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodestar.sources import connectors
@@ -35,3 +36,24 @@ def test_json(spark):
     df = spark.createDataFrame([('{"b":1,"a":2}', '{"a":3,"c":"x"}')], "o string, n string")
     r = df.select(connectors.checksum(F.col("o")).alias("x"), connectors.checksum(F.lit('{"a":2,"b":1}')).alias("y"), connectors.merge_json(F.col("o"), F.col("n")).alias("m")).first()
     assert r.x == r.y and json.loads(r.m) == {"b": "1", "a": "3", "c": "x"}
+
+
+@pytest.mark.parametrize(
+    ("source", "raw", "want"),
+    [
+        ("agricamper", '{"id": 7, "title": "Farm", "adresse_latitude": "43.1", "adresse_longitude": "11.2", "fiche_typologie_label": ["Agricamping"], "fiche_service_label": ["Water", "Dogs accepted"], "nombre_place": "4", "accepte_gros_camping_car": 1}',
+         {"tipo": "camping", "agua_potable": True, "perros": True, "wifi": False, "num_plazas": 4, "acceso_grandes": True, "lat": 43.1}),
+        ("alpacacamping", '{"id": 1, "name": "Hof", "property_address": {"latitude": 47, "longitude": 11, "country": "AT"}, "amenities_infos": {"id": [27, 14, 1]}, "property_price": {"price": "12.5"}, "avg_rating": 0}',
+         {"tipo": "naturaleza", "agua_potable": True, "wifi": True, "electricidad": False, "precio_aprox": 12.5, "rating": None, "country_iso": "at"}),
+        ("camperstop", '{"id": 2, "name": "Stop", "latitude": 50.1, "longitude": 4, "camperStopTypeId": 14, "waterAvailable": 1, "powerAvailable": false, "countryCode": "BEL"}',
+         {"tipo": "camping", "agua_potable": True, "electricidad": False, "wifi": False, "country_iso": "BE"}),
+        ("campy", '{"uid": "u", "name": "Van", "latitude": 59, "longitude": 18, "type": "Van", "price": 0}', {"tipo": "area_ac", "gratuito": True, "source_id": "u"}),
+        ("nomady", '{"id": 5, "title": "Hut", "latitude": 46, "longitude": 8, "types": ["tent", "caravan"], "outdoorToilet": true, "country": "CHE"}', {"tipo": "area_ac", "wc_publico": True, "ducha": False, "country_iso": "CH"}),
+        ("promobil", '{"id": "p", "_de": {"name": "Platz"}, "gps": [48.5, 9.1], "pitchType": "Campingplatz"}', {"tipo": "camping", "lat": 48.5, "lon": 9.1, "nombre": "Platz"}),
+        ("searchforsites", '{"ID": 9, "Name": "Aire", "latlng": {"lat": 45, "lng": 1}, "Type": "APN", "cID": "fr1"}', {"tipo": "parking", "country_iso": "FR"}),
+    ],
+)
+def test_declared_sources(spark, source, raw, want):
+    rows = spark.createDataFrame([(raw,), ("{}",), (None,), ("broken",)], "raw string")
+    got = connectors.normalize(rows, source).collect()
+    assert len(got) == 1 and {k: got[0][k] for k in want} == want
