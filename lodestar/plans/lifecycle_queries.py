@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import text
-from lodestar.operators import claims, merging, metrics, reconcile, reviews, search, vehicles
-from lodestar.plans.inputs import customers, place_sql
+from lodestar.operators import claims, ingestion, merging, metrics, reconcile, reviews, search, vehicles
+from lodestar.plans.inputs import EVENTS_AS_OF, customers, place_sql
 from lodestar.plans.text_queries import CLEAN_SQL, RULES
 from lodestar.sources import connectors
 from lodestar.sources.streams import stream_table
@@ -227,5 +227,49 @@ WITH e AS (SELECT user_id AS entity_id, event_type AS signal, CAST(floor(epoch(C
 SELECT entity_id, signal, (day - k) * 86400 AS start, count(*) AS n_claims FROM e, range(7) x(k) GROUP BY ALL
 """
 
+_CLAIMED = """SELECT conv_id AS spot_id, CASE turn % 3 WHEN 0 THEN 'quietness' WHEN 1 THEN 'dog_friendly' ELSE 'unheard' END AS signal, CASE turn % 3 WHEN 0 THEN '0,4' ELSE 'TRUE' END AS value,
+  CAST(0.8 AS DOUBLE) AS confidence, CASE WHEN turn % 5 = 0 THEN NULL WHEN turn % 7 = 0 THEN -1 ELSE conv_id * 1000 + turn END AS review_id,
+  CASE WHEN turn % 4 = 1 THEN 'entirely different statement' WHEN turn % 4 = 2 THEN '' ELSE substr(text, 1, 60) END AS excerpt, conv_id * 1000 + turn AS seq FROM {t}"""
+_REVIEWED = "SELECT conv_id * 1000 + turn AS review_id, text, CAST(TIMESTAMP '2024-01-01 00:00:00' AS TIMESTAMP) AS at, CAST(0.5 AS DOUBLE) AS source_confidence FROM {t}"
+
+
+def llm_ingestion(spark: SparkSession, d: str) -> DataFrame:
+    """Observations of the claims that are known, founded and new, and how many claims are stored then."""
+    t = table(spark, d, "conversations")
+    rows, texts = (spark.sql(q, t=t) for q in (_CLAIMED, _REVIEWED))
+    stored = rows.where("seq % 10 = 0").select("spot_id", "signal", "review_id", "value", "confidence").distinct()
+    signals = spark.createDataFrame([("quietness", "numeric"), ("dog_friendly", "boolean")], "signal string, value_type string")
+    _, seen = ingestion.ingested(rows, texts, stored, signals, EVENTS_AS_OF)
+    return seen.select("claim_id", "signal", "value_num", "value_bool", F.round("weight", 9).alias("weight"), "date_estimated")
+
+
+LLM_INGESTION = rf"""
+WITH c AS ({_CLAIMED.format(t='conversations')}), r AS ({_REVIEWED.format(t='conversations').replace(' AS at,', ' AS seen,')}),
+w AS (SELECT c.*, r.text AS cited, seen, source_confidence, list_filter(string_split_regex(lower(excerpt), '[^\p{{L}}\p{{Nd}}]+'), lambda x: length(x) >= 4) AS k FROM c LEFT JOIN r ON c.review_id = r.review_id WHERE signal <> 'unheard'),
+g AS (SELECT * FROM w WHERE trim(coalesce(excerpt, '')) = '' OR review_id IS NULL OR (cited IS NOT NULL AND (len(k) = 0 OR CAST(len(list_filter(k, lambda x: list_contains(list_filter(string_split_regex(lower(cited), '[^\p{{L}}\p{{Nd}}]+'), lambda y: length(y) >= 4), x))) AS DOUBLE) / len(k) >= CAST(0.34 AS DOUBLE)))),
+n AS (SELECT *, row_number() OVER (PARTITION BY spot_id, signal, review_id ORDER BY seq) AS rn FROM g)
+SELECT seq AS claim_id, signal, CASE WHEN signal = 'quietness' THEN CAST(0.4 AS DOUBLE) END AS value_num, CASE WHEN signal = 'dog_friendly' THEN true END AS value_bool,
+  round(CAST(0.8 AS DOUBLE) * coalesce(source_confidence, 1) * CASE WHEN seen IS NULL THEN CAST(0.6 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END, 9) AS weight, seen IS NULL AS date_estimated
+FROM n WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM c WHERE c.seq % 10 = 0 AND c.spot_id = n.spot_id AND c.signal = n.signal AND c.review_id IS NOT DISTINCT FROM n.review_id)
+"""
+
+
+def promoted_tags(spark: SparkSession, d: str) -> DataFrame:
+    """Aliases after the promotion of some unknown tags, and which of the unknown ones are reviewed."""
+    p = table(spark, d, "part")
+    aliases = p.where("p_partkey < 5").select(text.kebab(F.col("p_name")).alias("alias"), text.kebab(F.col("p_type")).alias("tag")).groupBy("alias").agg(F.min("tag").alias("tag"))
+    unknown = p.groupBy(text.kebab(F.col("p_name")).alias("alias")).agg(F.count(F.lit(1)).alias("n")).withColumn("reviewed", F.lit(False))
+    decisions = p.where("p_partkey BETWEEN 3 AND 9").select(F.upper("p_name").alias("raw"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).alias("target"))
+    known, marked = ingestion.promoted(aliases, unknown, decisions)
+    return known.select("alias", "tag").union(marked.where("reviewed").select("alias", F.lit("reviewed")))
+
+
+PROMOTED_TAGS = r"""
+WITH p AS (SELECT p_partkey, replace(lower(p_name), ' ', '-') AS a, replace(lower(p_type), ' ', '-') AS t, regexp_replace(lower(p_brand), '[^a-z0-9-]', '', 'g') AS b FROM part),
+al AS (SELECT a, min(t) AS t FROM p WHERE p_partkey < 5 GROUP BY 1), c AS (SELECT a, CASE WHEN p_partkey % 2 = 0 THEN b ELSE a END AS t FROM p WHERE p_partkey BETWEEN 3 AND 9),
+w AS (SELECT a, min(t) AS t FROM (SELECT a, t FROM c UNION ALL SELECT t, t FROM c) GROUP BY 1)
+SELECT a AS alias, t AS tag FROM al UNION ALL SELECT a, t FROM w WHERE a NOT IN (SELECT a FROM al) UNION ALL SELECT DISTINCT a, 'reviewed' FROM p WHERE a IN (SELECT a FROM w)
+"""
+
 LATE = {"near_dup_reviews": (near_dup_reviews, ""), "name_ratio": (name_ratio, "")}
 QUERIES = {k.lower(): (globals()[k.lower()], v) for k, v in list(globals().items()) if k.isupper() and k[0] != "_" and isinstance(v, str) and callable(globals().get(k.lower()))} | LATE
