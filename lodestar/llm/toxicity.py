@@ -49,7 +49,7 @@ FIT_ROWS, FIT_CHARS = 1500, 1 << 16
 #: Folds, of which the first is held out.
 FOLDS = 5
 #: Steps and pull towards zero of the chain's fit; words that are worked on at once; words whose emission is kept.
-STEPS, RIDGE, CHUNK_WORDS, CACHE_WORDS = 60, 0.02, 1 << 17, 1 << 17
+STEPS, RIDGE, CHUNK_WORDS, CACHE_WORDS = 60, 0.02, 1 << 17, 300_000
 STILL = 1e-7
 SPANS = T.ArrayType(T.StructType().add("start", "long").add("end", "long").add("marginal", "double"))
 
