@@ -23,7 +23,7 @@ def small_batches(df: DataFrame) -> DataFrame:
     """
     conf = df.sparkSession.conf
     for key, most in BOUNDS.items():
-        held = int(conf.get(key).rstrip("b"))
-        if held > most or held <= 0:
+        held = conf.get(key).rstrip("b")
+        if not held.isdigit() or not 0 < int(held) <= most:  # sizes with a unit, and no bound at all, too
             conf.set(key, str(most))
     return df
