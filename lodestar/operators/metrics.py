@@ -14,6 +14,14 @@ from lodestar.operators.state import at_time
 LEAST_REVIEWS, LEAST_NEW, STALE_MONTHS = 3, 5, 18
 
 
+MILLION = 1_000_000
+
+
+def rounded_ratio(part: Column, whole: Column) -> Column:
+    """part / whole of non-negative whole numbers, rounded half up, as a whole number."""
+    return F.call_function("div", 2 * part + whole, 2 * whole)
+
+
 def _saturated(n: Column, full: int) -> Column:
     return F.least(F.ln((n + 1).cast("double")) / F.ln(F.lit(float(full))), F.lit(1.0))
 
@@ -33,15 +41,21 @@ def popularity(spots: DataFrame, reviews: DataFrame, as_of: datetime) -> DataFra
 
 
 def reliability(spots: DataFrame, records: DataFrame, reviews: DataFrame, credibility: DataFrame, as_of: datetime) -> DataFrame:
-    """Mean credibility of a spot's sources, their number, and whether it has reviews, also recent ones."""
+    """Mean credibility of a spot's sources, their number, and whether it has reviews, also recent ones.
+
+    Credibilities are summed in whole millionths and the score is rounded once, half
+    up, in whole numbers, so it depends on no order of summing.
+    """
+    millionths = F.round(F.coalesce("base_score", F.lit(0.5)) * MILLION).cast("long")
     per = records.join(credibility, "source", "left").groupBy("spot_id").agg(
-        F.avg(F.coalesce("base_score", F.lit(0.5))).alias("base"), F.count_distinct("source").alias("s"))
+        F.sum(millionths).alias("base"), F.count(F.lit(1)).alias("n"), F.count_distinct("source").alias("s"))
     seen = reviews.groupBy("spot_id").agg(F.max("at").alias("last"))
     rows = spots.join(per, "spot_id", "left").join(seen, "spot_id", "left")
     recent = F.coalesce(F.col("last") > at_time(as_of) - F.expr("INTERVAL 180 DAYS"), F.lit(False))
-    score = (0.4 * F.coalesce("base", F.lit(0.5)) + 0.3 * F.least(F.coalesce("s", F.lit(0)) / 3, F.lit(1.0))
-             + 0.2 * F.col("last").isNotNull().cast("int") + 0.1 * recent.cast("int"))
-    return rows.select("spot_id", F.round(score, 3).alias("reliability"))
+    tenths = F.least(F.coalesce("s", F.lit(0)), F.lit(3)) + 2 * F.col("last").isNotNull().cast("int") + recent.cast("int")
+    base, n = F.coalesce("base", F.lit(MILLION // 2)), F.coalesce("n", F.lit(1))
+    of_base = rounded_ratio(400 * base, n * MILLION)
+    return rows.select("spot_id", ((of_base + 100 * tenths) / 1000.0).alias("reliability"))
 
 
 def histogram(scores: DataFrame, column: str) -> DataFrame:

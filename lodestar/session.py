@@ -8,12 +8,11 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
 }
 
 
 def session(app: str = "lodestar", **extra: str) -> SparkSession:
-    """A session with UTC time, adaptive execution and last-wins map keys."""
+    """A session with UTC time and adaptive execution."""
     builder = SparkSession.builder.appName(app)
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)

@@ -197,13 +197,25 @@ def normalize(raw: DataFrame, source: str, column: str = "raw") -> DataFrame:
     return rows.where(F.col("source_id").isNotNull() & valid_place(F.col("lat"), F.col("lon")))
 
 
+def _members(raw: Column) -> Column:
+    """Entries of a JSON object, the last of each key; none of what is null or no object."""
+    entries = F.coalesce(F.map_entries(F.from_json(raw, "map<string,string>")), F.array().cast("array<struct<key:string,value:string>>"))
+    return F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda o: o["key"] == e["key"]))
+
+
 def checksum(raw: Column) -> Column:
-    """MD5 of a JSON object's text with its top-level keys in order."""
-    entries = F.array_sort(F.map_entries(F.from_json(raw, "map<string,string>")))
-    return F.md5(F.to_json(F.map_from_entries(entries)))
+    """MD5 of a JSON object's text with its top-level keys in order; null for a null text."""
+    ordered = F.map_from_entries(F.array_sort(_members(raw)))
+    return F.when(raw.isNotNull(), F.md5(F.to_json(ordered, {"ignoreNullFields": "false"})))
 
 
 def merge_json(old: Column, new: Column) -> Column:
-    """Shallow merge of two JSON objects; the new one's values win. Needs the last-wins map policy."""
-    parse = lambda c: F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>"))
-    return F.to_json(F.map_concat(parse(old), parse(new)))
+    """Shallow merge of two JSON objects; the new one's values win, null ones too.
+
+    Members that only the old object has come first. What is null or no object has
+    no members; of members that one object repeats the last counts.
+    """
+    before, after = _members(old), _members(new)
+    keys = F.transform(after, lambda e: e["key"])
+    rest = F.filter(before, lambda e: ~F.array_contains(keys, e["key"]))
+    return F.to_json(F.map_from_entries(F.concat(rest, after)), {"ignoreNullFields": "false"})

@@ -57,3 +57,15 @@ def test_declared_sources(spark, source, raw, want):
     rows = spark.createDataFrame([(raw,), ("{}",), (None,), ("broken",)], "raw string")
     got = connectors.normalize(rows, source).collect()
     assert len(got) == 1 and {k: got[0][k] for k in want} == want
+
+
+def test_merge_of_json_objects(spark):
+    cases = [
+        ('{"a":1,"b":2}', '{"b":null,"c":"x"}', '{"a":"1","b":null,"c":"x"}'), ('{"a":1,"a":2}', '{"b":1,"b":3}', '{"a":"2","b":"3"}'),
+        (None, '{"a":true}', '{"a":"true"}'), ('{"a":1}', None, '{"a":"1"}'), ("[1]", "no object", "{}"), (None, None, "{}"),
+    ]
+    rows = spark.createDataFrame([(a, b) for a, b, _ in cases], "a string, b string")
+    assert spark.conf.get("spark.sql.mapKeyDedupPolicy") == "EXCEPTION"
+    assert [r[0] for r in rows.select(connectors.merge_json(rows["a"], rows["b"])).collect()] == [want for _, _, want in cases]
+    sums = [r[0] for r in spark.createDataFrame([('{"b":1,"a":2}',), ('{"a":2,"b":1}',), (None,)], "a string").select(connectors.checksum(F.col("a"))).collect()]
+    assert sums[0] == sums[1] and sums[2] is None
