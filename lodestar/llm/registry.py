@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import bin_packing, fill_in_middle, fingerprints, html_extraction, jaccard_join, line_dedup, mix_sources, secret_scans, suffix_dedup, topk_search, toxicity
+from lodestar.llm import bin_packing, fill_in_middle, fingerprints, html_extraction, jaccard_join, line_dedup, mix_sources, secret_scans, spelling_variants, suffix_dedup, topk_search, toxicity
 
 
 def _over(name: str, query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -33,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ),
         "op10_jaccard_join": _over("documents", jaccard_join.op10_jaccard_join),
         "op12_fill_in_middle": _over("documents", fill_in_middle.op12_fill_in_middle),
+        "op13_spelling_variants": _over("documents", spelling_variants.op13_spelling_variants),
     }
 
 
@@ -43,4 +44,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_line_dedup": line_dedup.OP3_SQL,
         "op8_mix_sources": mix_sources.OP8_SQL,
         "op12_fill_in_middle": fill_in_middle.OP12_SQL,
+        "op13_spelling_variants": spelling_variants.OP13_SQL,
     }
