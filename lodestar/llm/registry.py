@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import bin_packing, fill_in_middle, fingerprints, html_extraction, jaccard_join, line_dedup, mix_sources, secret_scans, spelling_variants, suffix_dedup, topk_search, toxicity
+from lodestar.llm import bin_packing, fill_in_middle, fingerprints, html_extraction, jaccard_join, line_dedup, lm_scoring, mix_sources, secret_scans, spelling_variants, suffix_dedup, topk_search, toxicity
 
 
 def _over(name: str, query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -32,6 +32,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
         ),
         "op10_jaccard_join": _over("documents", jaccard_join.op10_jaccard_join),
+        "op11_lm_scoring": _over("documents", lm_scoring.op11_lm_scoring),
         "op12_fill_in_middle": _over("documents", fill_in_middle.op12_fill_in_middle),
         "op13_spelling_variants": _over("documents", spelling_variants.op13_spelling_variants),
     }
