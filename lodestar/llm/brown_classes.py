@@ -28,26 +28,29 @@ def likelihood(pairs: np.ndarray) -> float:
     return float(xlogx(pairs).sum() - xlogx(pairs.sum(1)).sum() - xlogx(pairs.sum(0)).sum())
 
 
-def gains(pairs: np.ndarray, after: np.ndarray, before: np.ndarray, own: float) -> np.ndarray:
+def gains(pairs: np.ndarray, after: np.ndarray, before: np.ndarray, own: float, logs: np.ndarray | None = None) -> np.ndarray:
     """What the likelihood grows by if a word joins each class.
 
     pairs: counts of class pairs without the word; after, before: how often each class
-    follows and precedes it; own: how often it follows itself.
+    follows and precedes it; own: how often it follows itself. logs: xlogx(pairs), if known.
     """
+    logs = xlogx(pairs) if logs is None else logs
     row, column = pairs.sum(1) + before, pairs.sum(0) + after  # wherever the word goes
     on, off = np.flatnonzero(after), np.flatnonzero(before)
-    out = (xlogx(pairs[:, on] + after[on]) - xlogx(pairs[:, on])).sum(1) + (xlogx(pairs[off].T + before[off]) - xlogx(pairs[off].T)).sum(1)
+    out = (xlogx(pairs[:, on] + after[on]) - logs[:, on]).sum(1) + (xlogx(pairs[off].T + before[off]) - logs[off].T).sum(1)
     same = pairs.diagonal()
-    out += xlogx(same + after + before + own) - xlogx(same + after) - xlogx(same + before) + xlogx(same)
+    out += xlogx(same + after + before + own) - xlogx(same + after) - xlogx(same + before) + logs.diagonal()
     n_after, n_before = after.sum() + own, before.sum() + own
     return out - (xlogx(row + n_after) - xlogx(row)) - (xlogx(column + n_before) - xlogx(column))
 
 
-def moved(pairs: np.ndarray, k: int, after: np.ndarray, before: np.ndarray, own: float, sign: int) -> None:
+def moved(pairs: np.ndarray, k: int, after: np.ndarray, before: np.ndarray, own: float, sign: int, logs: np.ndarray | None = None) -> None:
     """Put a word into class k (sign 1) or take it out (-1), in place."""
     pairs[k] += sign * after
     pairs[:, k] += sign * before
     pairs[k, k] += sign * own
+    if logs is not None:
+        logs[k], logs[:, k] = xlogx(pairs[k]), xlogx(pairs[:, k])
 
 
 def exchanged(pairs: np.ndarray, classes: np.ndarray, words: np.ndarray, own: np.ndarray, other: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -57,7 +60,7 @@ def exchanged(pairs: np.ndarray, classes: np.ndarray, words: np.ndarray, own: np
     first[k], else its second, and other[k] is its other word. Class 0 is no word's.
     """
     pairs = pairs.astype(float).copy()
-    k = len(pairs)
+    k, logs = len(pairs), xlogx(pairs)
     now = classes[words].copy()
     place = {w: i for i, w in enumerate(words.tolist())}
     order = np.argsort(own, kind="stable")
@@ -72,41 +75,47 @@ def exchanged(pairs: np.ndarray, classes: np.ndarray, words: np.ndarray, own: np
         after = np.bincount(others[side & ~itself], weight[side & ~itself], k)
         before = np.bincount(others[~side & ~itself], weight[~side & ~itself], k)
         alone = float(weight[side & itself].sum())
-        moved(pairs, now[i], after, before, alone, -1)
-        gain = gains(pairs, after, before, alone)
+        moved(pairs, now[i], after, before, alone, -1, logs)
+        gain = gains(pairs, after, before, alone, logs)
         gain[0] = -np.inf
         best = int(np.argmax(gain))
         if gain[best] > gain[now[i]] + 1e-9:
             now[i] = best
-        moved(pairs, now[i], after, before, alone, 1)
+        moved(pairs, now[i], after, before, alone, 1, logs)
     return now
 
 
 class Joiner:
-    """The class that a word outside of the exchange joins, from the classes around it.
+    """The classes that words outside of the exchange join, from the classes around them: `gains` for many words at once."""
 
-    Contexts are codes: (class before) * width + (class after), where `none` stands for
-    a neighbour without a class. Words of one occurrence have a table.
-    """
+    #: Counts that have a table, so that words meet it by a matrix product.
+    TABLES = 3
 
     def __init__(self, pairs: np.ndarray):
         self.pairs = pairs.astype(float)
-        self.none, self.width = len(pairs), len(pairs) + 1
-        vectors = np.eye(self.width)[:, :self.none]
-        self.single = np.array([self.best(vectors[b], vectors[a]) for a in range(self.width) for b in range(self.width)])
-
-    def best(self, after: np.ndarray, before: np.ndarray) -> int:
-        gain = gains(self.pairs, after, before, 0.0)
-        gain[0] = -np.inf
-        return int(np.argmax(gain))
-
-    def of(self, codes: list[int], counts: list[int]) -> int:
-        if len(codes) == 1 and counts[0] == 1:
-            return int(self.single[codes[0]])
-        code, n = np.array(codes), np.array(counts, float)
-        after = np.bincount(code % self.width, n, self.width)[:self.none]
-        before = np.bincount(code // self.width, n, self.width)[:self.none]
-        return self.best(after, before)
+        self.logs = xlogx(self.pairs)
+        self.tables = [(self._grown(self.pairs.T, c), self._grown(self.pairs, c)) for c in range(1, self.TABLES + 1)]
+
+    @staticmethod
+    def _grown(pairs: np.ndarray, c: float) -> np.ndarray:
+        return xlogx(pairs + c) - xlogx(pairs)
+
+    def of(self, after: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Best class of each word; a row of after and of before for each: how often each class follows and precedes it."""
+        gain = np.zeros(after.shape)
+        for c, tables in enumerate(self.tables, 1):
+            for counts, table in zip((after, before), tables, strict=True):
+                gain += (counts == c).astype(float) @ table
+        for counts, pairs in ((after, self.pairs.T), (before, self.pairs)):
+            word, k = np.nonzero(counts > self.TABLES)
+            np.add.at(gain, word, self._grown(pairs[k], counts[word, k][:, None]))
+        word, k = np.nonzero((after > 0) & (before > 0))
+        a, b, same = after[word, k], before[word, k], self.pairs.diagonal()[k]
+        gain[word, k] += xlogx(same + a + b) - xlogx(same + a) - xlogx(same + b) + xlogx(same)
+        row, column = self.pairs.sum(1) + before, self.pairs.sum(0) + after
+        gain -= xlogx(row + after.sum(1, keepdims=True)) - xlogx(row) + xlogx(column + before.sum(1, keepdims=True)) - xlogx(column)
+        gain[:, 0] = -np.inf
+        return gain.argmax(1)
 
 
 @dataclass

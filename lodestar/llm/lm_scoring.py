@@ -4,16 +4,17 @@ Words are put into classes by exchange, and a text's probability is the product
 class transitions and of word emissions within classes; a text ends with an end
 token, which is a class of its own. The parts, each a pass of tasks over the texts:
 
-1. Count all words of the training texts.
+1. Deal texts to buckets and count the words of each; counts add up to those of all
+   training texts.
 2. The EXCHANGED most frequent words are exchanged. Their bigrams, counted, are packed
    into one row for each block of words. In each round every other block exchanges its
    words one after the other, against the class pairs that the round began with; rounds
    end when the likelihood no longer grows, and the best classes seen are kept.
 3. Every other word, however rare, joins the class that gains most from the classes of
    the exchanged words around it: one exchange of each.
-4. Texts are dealt to buckets. What the table of words knows of a bucket's rare words
-   meets the bucket's texts, so texts move once, and no table of words is broadcast. A
-   text becomes its sequence of classes and the sum of its emissions.
+4. What the table of words knows of a bucket's words meets the bucket's texts, so texts
+   move once, and no table of words is broadcast. A text becomes its sequence of
+   classes and the sum of its emissions.
 5. Class pairs are counted over the training texts' sequences; each text is scored.
 
 Emissions take an absolute discount from each count and keep it for unknown words,
@@ -36,7 +37,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,61 +47,89 @@ from lodestar.llm.arrow import small_batches
 from lodestar.llm.scratch import scope, written
 
 #: Classes beside the end's, words that rounds of exchange take, words of a block, and rounds at most.
-CLASSES, EXCHANGED, BLOCK, ROUNDS = 64, 1 << 14, 64, 12
-#: Bytes of text of a bucket, and different words, or pairs, that a task counts before it hands them on.
-BUCKET_BYTES, TALLY = 8 << 20, 300_000
+CLASSES, EXCHANGED, BLOCK, ROUNDS = 64, 1 << 14, 64, 8
+#: Bytes of text of a bucket, and of a run of texts that are worked on at once.
+BUCKET_BYTES, RUN_BYTES = 16 << 20, 1 << 20
+#: Words of a row of words, and tokens that a task holds before it counts them.
+ROW_WORDS, TALLY = 2000, 1_000_000
 #: The end of a text, as a token; no word is empty.
 END = ""
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ENCODED = "n_tokens long, n_known long, base_score double, emitted double, classes binary"
 
 
-def _tokens(text: pa.Scalar) -> list[str]:
+def _tokens(text: bytes) -> list[str]:
     """Words with A-Z in lower case (of bytes, lower() knows those alone), and the end."""
-    found = WORD.findall(text.as_py().lower().decode())
+    found = WORD.findall(text.lower().decode())
     found.append(END)
     return found
 
 
+class Places(dict):
+    """Words to places; -1 for others."""
+
+    def __missing__(self, word: str) -> int:
+        return -1
+
+    def of(self, tokens: list[str]) -> np.ndarray:
+        return np.array(list(map(self.__getitem__, tokens)), np.int64)
+
+
 def _batch(names: list[str], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names)
 
 
 def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with the bucket that they are in: a run of rows of a partition."""
-    part = TaskContext.get().partitionId() << 32
-    held = bucket = 0
-    for batch in batches:
-        sizes = pc.binary_length(batch.column(2)).to_pylist()
-        out = []
-        for size in sizes:
-            if held > BUCKET_BYTES:
-                held, bucket = 0, bucket + 1
-            held += size + 64
-            out.append(part + bucket)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*batch.schema.names, "bucket"])
+    """Rows with their bucket, a run of rows of a partition, and behind each bucket rows of its words with their training counts."""
+    bucket = TaskContext.get().partitionId() << 32
+    held, words = 0, Counter()
+    names, listed = ["id", "training", "text", "bucket", "words", "counts"], (pa.list_(pa.string()), pa.list_(pa.int64()))
 
+    def count_of_words(kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        found, n = list(words), list(words.values())
+        for k in range(0, len(found), ROW_WORDS):
+            yield _batch(names, ([None], kind), ([None], pa.bool_()), ([None], pa.string()), ([bucket], pa.int64()), ([found[k:k + ROW_WORDS]], listed[0]), ([n[k:k + ROW_WORDS]], listed[1]))
+        words.clear()
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: Counter[str] = Counter()
     for batch in batches:
-        for text in batch.column(0).cast(pa.binary()):
-            found.update(_tokens(text))
-            if len(found) >= TALLY:
-                yield _batch(["word", "n"], (found.keys(), pa.string()), (found.values(), pa.int64()))
-                found.clear()
-    yield _batch(["word", "n"], (found.keys(), pa.string()), (found.values(), pa.int64()))
-
-
-def _places(words: dict[str, int], tokens: list[str]) -> np.ndarray:
-    """Place of each token among the exchanged words, -1 for others, behind the end that precedes the text."""
-    get = words.get
-    return np.array([0, *[get(w, -1) for w in tokens]], np.int64)
+        kind, size = batch.schema.field(0).type, len(batch)
+        ids, training, texts = batch.columns
+        of_rows = []
+        for text, trains in zip(texts.cast(pa.binary()).to_pylist(), training.to_pylist(), strict=True):
+            if held > BUCKET_BYTES:
+                yield from count_of_words(kind)
+                held, bucket = 0, bucket + 1
+            held += len(text) + 64
+            of_rows.append(bucket)
+            tokens = _tokens(text)
+            if trains:
+                words.update(tokens)
+            else:
+                for w in tokens:
+                    words.setdefault(w, 0)
+        yield pa.RecordBatch.from_arrays([ids, training, texts, pa.array(of_rows, pa.int64()), *[pa.nulls(size, t) for t in listed]], names)
+    if words:
+        yield from count_of_words(kind)
+
+
+def _runs(texts: pa.Array) -> Iterator[tuple[list[str], list[int]]]:
+    """Tokens of runs of texts on end, with how many each text has."""
+    flat, sizes, held = [], [], 0
+    for text in texts.cast(pa.binary()).to_pylist():
+        tokens = _tokens(text)
+        flat += tokens
+        sizes.append(len(tokens))
+        held += len(text)
+        if held >= RUN_BYTES:
+            yield flat, sizes
+            flat, sizes, held = [], [], 0
+    if sizes:
+        yield flat, sizes
 
 
 def _count_pairs(shared):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared.value
+        words = Places(shared.value)
         width, held, size = len(words), [], 0
 
         def rows() -> pa.RecordBatch:
@@ -110,12 +138,13 @@ def _count_pairs(shared):
             return _batch(["a", "b", "n"], (codes // width, pa.int32()), (codes % width, pa.int32()), (n, pa.int64()))
 
         for batch in batches:
-            for text in batch.column(0).cast(pa.binary()):
-                at = _places(words, _tokens(text))
-                both = (at[:-1] >= 0) & (at[1:] >= 0)
-                held.append((at[:-1] * width + at[1:])[both])
+            for flat, _ in _runs(batch.column(0)):
+                at = words.of(flat)
+                came = np.concatenate(([0], at[:-1]))  # the end of the text before is what a text begins behind
+                both = (at >= 0) & (came >= 0)
+                held.append(came[both] * width + at[both])
                 size += len(held[-1])
-                if size >= 8 * TALLY:
+                if size >= 4 * TALLY:
                     yield rows()
                     size = 0
         yield rows()
@@ -141,7 +170,8 @@ def _pair_counts(classes: np.ndarray, k: int):
         for batch in batches:
             for i in range(len(batch)):
                 _, own, other, first, n = _unpack(batch, i)
-                np.add.at(total, classes[own[first]] * k + classes[other[first]], n[first])
+                # counts under 2**53 are exact as weights
+                total += np.bincount(classes[own[first]] * k + classes[other[first]], n[first], k * k).astype(np.int64)
         at = np.flatnonzero(total)
         yield _batch(["code", "n"], (at, pa.int32()), (total[at], pa.int64()))
 
@@ -202,100 +232,88 @@ def exchange_classes(texts: DataFrame, words: list[str], n_classes: int = CLASSE
 
 
 def _contexts(shared, classes: np.ndarray, width: int):
-    """Occurrences of words outside of the exchange by the classes around them."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, of = shared.value, np.append(classes, width - 1)  # -1: no class
-        found: Counter[tuple[str, int]] = Counter()
+    """Words outside of the exchange with the classes around them, packed: (class before) * width + (class after)."""
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, of = Places(shared.value), np.append(classes, width - 1)  # -1: no class
+        words: list[str] = []
+        codes: list[np.ndarray] = []
 
         def rows() -> pa.RecordBatch:
-            made = _batch(["word", "code", "n"], ([w for w, _ in found], pa.string()), ([c for _, c in found], pa.int32()), (found.values(), pa.int64()))
-            found.clear()
-            return made
+            kinds = pa.array(words, pa.string()).dictionary_encode()
+            which = kinds.indices.to_numpy()
+            order = np.argsort(which, kind="stable")
+            packed = np.concatenate([np.zeros(0, "<u2"), *codes])[order].astype("<u2")
+            ends = 2 * np.cumsum(np.bincount(which, minlength=len(kinds.dictionary)))
+            offsets = np.concatenate(([0], ends)).astype(np.int32)
+            words.clear()
+            codes.clear()
+            column = pa.BinaryArray.from_buffers(pa.binary(), len(kinds.dictionary), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(packed.tobytes())])
+            return pa.RecordBatch.from_arrays([kinds.dictionary, column], ["word", "codes"])
 
         for batch in batches:
-            for text in batch.column(0).cast(pa.binary()):
-                tokens = _tokens(text)
-                at = _places(words, tokens)
-                other = np.flatnonzero(at[:-1] < 0)  # never the end; its place in tokens is one less
-                codes = of[at[other - 1]] * width + of[at[other + 1]]
-                found.update(zip([tokens[i - 1] for i in other.tolist()], codes.tolist(), strict=True))
-                if len(found) >= TALLY:
+            for flat, _ in _runs(batch.column(0)):
+                at = np.concatenate(([0], places.of(flat)))
+                other = np.flatnonzero(at < 0)  # neither the first nor the last, which are ends
+                codes.append(of[at[other - 1]] * width + of[at[other + 1]])
+                words += [flat[i] for i in (other - 1).tolist()]
+                if len(words) >= TALLY:
                     yield rows()
         yield rows()
 
-    return count
+    return find
 
 
 def _join_classes(pairs: np.ndarray):
-    """Word, n and class of each run of rows of one word."""
+    """Word, n and class of each run of rows of one word, many words at once."""
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        joiner = brown_classes.Joiner(pairs)
-        word, codes, counts = None, [], []
-        out: list[tuple[str, int, int]] = []
-
-        def close() -> None:
-            if codes:
-                out.append((word, sum(counts), joiner.of(codes, counts)))
-
-        def rows() -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True)) or [[], [], []]
-            out.clear()
-            return _batch(["word", "n", "class"], *zip(columns, (pa.string(), pa.int64(), pa.int32()), strict=True))
-
-        for batch in batches:
-            for w, code, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if w != word:
-                    close()
-                    word, codes, counts = w, [], []
-                codes.append(code)
-                counts.append(n)
-            yield rows()
-        close()
-        yield rows()
+        joiner, none = brown_classes.Joiner(pairs), len(pairs)
+        width = none + 1
+        held: tuple[str, np.ndarray] | None = None  # the last word, which may go on, and its contexts by class after and before
+
+        def rows(words: list[str], both: np.ndarray) -> pa.RecordBatch:
+            after, before = both[:, 0], both[:, 1]
+            found = joiner.of(after[:, :none].astype(float), before[:, :none].astype(float)) if words else []
+            return _batch(["word", "n", "class"], (words, pa.string()), (after.sum(1), pa.int64()), (found, pa.int32()))
+
+        for whole in batches:
+            for begin in range(0, len(whole), 4 * BLOCK):
+                batch = whole.slice(begin, 4 * BLOCK)
+                kinds = batch.column(0).dictionary_encode()  # in order of appearance, as rows are sorted
+                words, of_row = kinds.dictionary.to_pylist(), kinds.indices.to_numpy()
+                packed = batch.column(1).to_pylist()
+                codes = np.frombuffer(b"".join(packed), "<u2").astype(np.int64)
+                word = np.repeat(of_row, [len(p) // 2 for p in packed])
+                both = np.stack([np.bincount(word * width + c, minlength=len(words) * width).reshape(-1, width) for c in (codes % width, codes // width)], 1)
+                if held and held[0] == words[0]:
+                    both[0] += held[1]
+                elif held:
+                    yield rows([held[0]], held[1][None])
+                held = (words[-1], both[-1].copy())
+                yield rows(words[:-1], both[:-1])
+        if held:
+            yield rows([held[0]], held[1][None])
 
     return join
 
 
-def word_classes(texts: DataFrame, n_classes: int = CLASSES, n_exchanged: int = EXCHANGED, rounds: int = ROUNDS) -> tuple[DataFrame, dict[str, tuple[int, int]]]:
-    """Rows (word, n, class) of the words that are not exchanged, and {word: (n, class)} of those that are, the end among them."""
+def word_classes(texts: DataFrame, counts: DataFrame, n_classes: int = CLASSES, n_exchanged: int = EXCHANGED, rounds: int = ROUNDS) -> tuple[DataFrame, dict[str, tuple[int, int]]]:
+    """Rows (word, n, class) of the words that are not exchanged, and {word: (n, class)} of those that are, the end among them.
+
+    texts: one column of texts; counts: word, n of all their tokens.
+    """
     spark = texts.sparkSession
-    counts = written(texts.mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
     top = counts.where(F.col("word") != END).orderBy(F.desc("n"), "word").limit(n_exchanged).collect()
     ends = sum(r["n"] for r in counts.where(F.col("word") == END).collect())
     words = [END, *[r["word"] for r in top]]
     classes, pairs = exchange_classes(texts, words, n_classes, rounds)
     shared = spark.sparkContext.broadcast({w: i for i, w in enumerate(words)})
-    found = texts.mapInArrow(_contexts(shared, classes, len(pairs) + 1), "word string, code int, n long")
+    found = texts.mapInArrow(_contexts(shared, classes, len(pairs) + 1), "word string, codes binary")
     # a word outside of the exchange is rarer than each of those in it, so no word is hot
     others = found.repartition("word").sortWithinPartitions("word").mapInArrow(_join_classes(pairs), "word string, n long, class int")
     frequent = {w: (n, int(k)) for w, n, k in zip(words, [ends, *[r["n"] for r in top]], classes, strict=True)}
     return written(others, "word-classes"), frequent
 
 
-def _rare_words(shared):
-    """Each bucket's words that were not exchanged."""
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared.value
-        now, found = None, set()
-
-        def rows() -> pa.RecordBatch:
-            made = _batch(["bucket", "word"], ([now] * len(found), pa.int64()), (list(found), pa.string()))
-            found.clear()
-            return made
-
-        for batch in batches:
-            for bucket, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-                if bucket != now or len(found) >= TALLY:
-                    if found:
-                        yield rows()
-                    now = bucket
-                found.update(w for w in _tokens(text) if w not in words)
-        if found:
-            yield rows()
-
-    return find
-
-
 def _encode(shared, model: brown_classes.ClassBigrams, n_tokens: int, n_types: int):
     """Texts of one bucket with the bucket's rare words to sequences of classes and sums."""
     def base(n):
@@ -303,28 +321,28 @@ def _encode(shared, model: brown_classes.ClassBigrams, n_tokens: int, n_types: i
 
     def encode(texts: pa.Table, rare: pa.Table) -> pa.Table:
         frequent = shared.value
-        of_rare = {}
-        counts, classes = [c[0] for c in frequent.values()], [c[1] for c in frequent.values()]
-        for w, n, k in zip(*(rare.column(c).to_pylist() for c in ("word", "n", "class")), strict=True):
-            if w not in of_rare:
-                of_rare[w] = len(counts)
-                counts.append(n)
-                classes.append(k)
-        place = {w: i for i, w in enumerate(frequent)}
-        n, k = np.array([*counts, 0], float), np.array([*classes, brown_classes.UNSEEN])
+        places = Places(zip(frequent, range(len(frequent))))
+        places.update(zip(rare.column("word").to_pylist(), range(len(frequent), len(frequent) + len(rare))))
+        counts, classes = zip(*frequent.values(), strict=True)
+        n = np.concatenate((counts, rare.column("n").to_numpy(), [0])).astype(float)
+        k = np.concatenate((classes, rare.column("class").to_numpy(), [brown_classes.UNSEEN]))
         seen = np.flatnonzero(n > 0)
         emission = np.zeros(len(n))
         emission[seen] = model.emission(n[seen], k[seen])
-        based = base(n)
-        out = []
-        for text in texts.column("text").combine_chunks().cast(pa.binary()):
-            at = np.array([place[w] if w in place else of_rare.get(w, -1) for w in _tokens(text)], np.int64)
-            out.append((len(at), int(np.count_nonzero(n[at] > 0)), float(based[at].sum()), float(emission[at].sum()), k[at].astype(np.uint8).tobytes()))
-        columns = list(zip(*out, strict=True))
-        made = dict(zip(("n_tokens", "n_known", "base_score", "emitted", "classes"), columns, strict=True))
-        return texts.drop_columns(["text", "bucket"]).append_column("n_tokens", pa.array(made["n_tokens"], pa.int64())).append_column(
-            "n_known", pa.array(made["n_known"], pa.int64())).append_column("base_score", pa.array(made["base_score"], pa.float64())).append_column(
-            "emitted", pa.array(made["emitted"], pa.float64())).append_column("classes", pa.array(made["classes"], pa.binary()))
+        based, known, k = base(n), n > 0, k.astype(np.uint8)
+        made = {c: [] for c in ("n_tokens", "n_known", "base_score", "emitted")}
+        paths = []
+        for chunk in texts.column("text").chunks:
+            for flat, sizes in _runs(chunk):
+                at = places.of(flat)
+                starts = np.cumsum([0, *sizes[:-1]])
+                made["n_tokens"] += sizes
+                for c, of in (("n_known", known), ("base_score", based), ("emitted", emission)):
+                    made[c] += np.add.reduceat(of[at], starts, dtype=np.int64 if c == "n_known" else float).tolist()
+                path = k[at].tobytes()
+                paths += [path[s:s + size] for s, size in zip(starts.tolist(), sizes, strict=True)]
+        columns = [texts.column("id"), texts.column("training"), *[pa.array(v, pa.int64() if c[0] == "n" else pa.float64()) for c, v in made.items()], pa.array(paths, pa.binary())]
+        return pa.table(columns, names=["id", "training", *made, "classes"])
 
     return encode
 
@@ -354,8 +372,11 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
     with scope() as keep:
         rows = docs.select(F.col(id_col).alias("id"), F.coalesce(training, F.lit(False)).alias("training"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
         kind = rows.schema["id"].dataType.simpleString()
-        dealt = written(small_batches(rows).mapInArrow(_deal, f"id {kind}, training boolean, text string, bucket long"), "lm-texts")
-        others, frequent = word_classes(dealt.where("training").select("text"), n_classes, n_exchanged, rounds)
+        dealt = written(small_batches(rows).mapInArrow(_deal, f"id {kind}, training boolean, text string, bucket long, words array<string>, counts array<long>"), "lm-texts")
+        texts, of_bucket = dealt.where("words IS NULL"), dealt.where("words IS NOT NULL").select("bucket", F.explode(F.arrays_zip("words", "counts")).alias("w"))
+        of_bucket = of_bucket.select("bucket", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+        counts = written(of_bucket.where("n > 0").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+        others, frequent = word_classes(texts.where("training").select("text"), counts, n_classes, n_exchanged, rounds)
         k = n_classes + 1
         totals, kinds = np.zeros(k), np.zeros(k)
         once = twice = 0
@@ -372,10 +393,10 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
         n_tokens, n_types = int(totals.sum()), int(kinds.sum())
         emitting = brown_classes.ClassBigrams(np.zeros((k, k)), totals, kinds, discount)
         shared = spark.sparkContext.broadcast(frequent)
-        # a bucket names a word once or a few times, so no word is hot among the rows of all buckets
-        rare = dealt.select("bucket", "text").mapInArrow(_rare_words(shared), "bucket long, word string").join(others, "word")
+        # a bucket names a word once, so no word is hot among the rows of all buckets
+        rare = of_bucket.select(F.col("bucket").alias("of_bucket"), "word").join(others, "word")
         schema = f"id {kind}, training boolean, {ENCODED}"
-        encoded = dealt.groupBy("bucket").cogroup(rare.groupBy("bucket")).applyInArrow(_encode(shared, emitting, n_tokens, n_types), schema)
+        encoded = texts.select("id", "training", "text", "bucket").groupBy("bucket").cogroup(rare.groupBy("of_bucket")).applyInArrow(_encode(shared, emitting, n_tokens, n_types), schema)
         encoded = written(encoded, "lm-classes")
         pairs = _matrix(encoded.where("training").select("classes").mapInArrow(_sequence_pairs(k), "code int, n long"), k)
         model = brown_classes.ClassBigrams(pairs, totals, kinds, discount)

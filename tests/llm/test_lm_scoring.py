@@ -30,6 +30,12 @@ def corpus():
     return [*docs, *rare, (None, None), (400, ""), (401, " \t"), (401, " \t"), (402, "q " * 3000), (419, " ".join(f"new{i}" for i in range(60)))]
 
 
+def word_classes(rows, **options):
+    texts = rows.select(F.coalesce("text", F.lit("")).alias("text"))
+    n = Counter(w for r in rows.collect() for w in tokens(r.text))
+    return lm.word_classes(texts, rows.sparkSession.createDataFrame(list(n.items()), "word string, n long"), **options)
+
+
 def test_gain_of_an_exchange_is_the_likelihoods():
     rng = np.random.default_rng(1)
     words, k = 12, 5
@@ -57,6 +63,16 @@ def test_gain_of_an_exchange_is_the_likelihoods():
     assert put[0] == 0 and bc.likelihood(pairs(put)) > bc.likelihood(pairs(classes))
 
 
+def test_many_words_join_as_one_would():
+    rng = np.random.default_rng(3)
+    pairs = rng.integers(0, 50, (6, 6)).astype(float)
+    after, before = (rng.integers(0, 7, (40, 6)) * (rng.random((40, 6)) < 0.4) for _ in range(2))
+    found = bc.Joiner(pairs).of(after.astype(float), before.astype(float))
+    for a, b, k in zip(after, before, found, strict=True):
+        gain = bc.gains(pairs, a.astype(float), b.astype(float), 0.0)
+        assert k > 0 and gain[k] == pytest.approx(gain[1:].max())
+
+
 def test_unknown_words_are_summed_over_all_classes():
     rng = np.random.default_rng(2)
     model = bc.ClassBigrams(rng.integers(0, 9, (4, 4)), np.array([10, 20, 0, 7]), np.array([1, 5, 0, 7]), 0.6)
@@ -76,6 +92,8 @@ def test_unknown_words_are_summed_over_all_classes():
 def test_equal_to_scoring_token_by_token(spark, n_exchanged, monkeypatch):
     monkeypatch.setattr(lm, "BUCKET_BYTES", 2000)
     monkeypatch.setattr(lm, "TALLY", 50)
+    monkeypatch.setattr(lm, "RUN_BYTES", 300)
+    monkeypatch.setattr(lm, "ROW_WORDS", 7)
     docs = corpus()
     rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     training = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 != 0
@@ -84,7 +102,7 @@ def test_equal_to_scoring_token_by_token(spark, n_exchanged, monkeypatch):
     learned = [tokens(t) for i, t in docs if not held_out(i)]
     n = Counter(w for t in learned for w in t)
     total, kinds = sum(n.values()), len(n)
-    others, frequent = lm.word_classes(rows.where(training).select(F.coalesce("text", F.lit("")).alias("text")), **options)
+    others, frequent = word_classes(rows.where(training), **options)
     put = {w: k for w, (_, k) in frequent.items()} | {r["word"]: r["class"] for r in others.collect()}
     assert set(put) == set(n) and put[""] == 0 and all(1 <= k <= 4 for w, k in put.items() if w)
     assert {r["word"]: r["n"] for r in others.collect()} | {w: c for w, (c, _) in frequent.items()} == n
@@ -124,7 +142,7 @@ def test_classes_tell_kinds_of_words_apart_and_help(spark):
     docs = corpus()[:240]
     rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     options = {"n_classes": 3, "n_exchanged": 10_000, "rounds": 10}
-    _, frequent = lm.word_classes(rows.select("text"), **options)
+    _, frequent = word_classes(rows, **options)
     of = {}
     for w, (n, k) in frequent.items():
         if w and n >= 5:
