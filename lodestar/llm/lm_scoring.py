@@ -44,14 +44,14 @@ from pyspark.sql import types as T
 
 from lodestar.llm import brown_classes
 from lodestar.llm.arrow import small_batches
-from lodestar.llm.scratch import scope, written
+from lodestar.llm.scratch import freed_shuffles, scope, written
 
 #: Classes beside the end's, words that rounds of exchange take, words of a block, and rounds at most.
 CLASSES, EXCHANGED, BLOCK, ROUNDS = 64, 1 << 14, 64, 8
 #: Bytes of text of a bucket, and of a run of texts that are worked on at once.
-BUCKET_BYTES, RUN_BYTES = 16 << 20, 1 << 20
+BUCKET_BYTES, RUN_BYTES = 8 << 20, 1 << 20
 #: Words of a row of words, and tokens that a task holds before it counts them.
-ROW_WORDS, TALLY = 2000, 1_000_000
+ROW_WORDS, TALLY = 2000, 250_000
 #: The end of a text, as a token; no word is empty.
 END = ""
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -206,11 +206,10 @@ def exchange_classes(texts: DataFrame, words: list[str], n_classes: int = CLASSE
     spark, n, k = texts.sparkSession, len(words), n_classes + 1
     shared = spark.sparkContext.broadcast({w: i for i, w in enumerate(words)})
     pairs = texts.mapInArrow(_count_pairs(shared), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    pairs = written(pairs, "word-pairs")
-    side = lambda own, other, first: pairs.select(
+    side = lambda own, other, first: F.struct(
         F.floor(F.col(own) / BLOCK).cast("int").alias("block"), F.col(own).alias("own"), F.col(other).alias("other"), F.lit(first).cast("byte").alias("first"), "n")
-    blocks = side("a", "b", 1).union(side("b", "a", 0)).groupBy("block").applyInArrow(_pack, "block int, own binary, other binary, first binary, n binary")
-    blocks = written(blocks, "word-blocks")
+    sides = pairs.select(F.explode(F.array(side("a", "b", 1), side("b", "a", 0))).alias("s")).select("s.*")
+    blocks = written(sides.groupBy("block").applyInArrow(_pack, "block int, own binary, other binary, first binary, n binary"), "word-blocks")
     classes = np.concatenate(([0], 1 + np.arange(n - 1) % n_classes))
     counted = lambda: _matrix(blocks.mapInArrow(_pair_counts(classes, k), "code int, n long"), k)
     now = counted()
@@ -305,7 +304,8 @@ def word_classes(texts: DataFrame, counts: DataFrame, n_classes: int = CLASSES,
     top = counts.where(F.col("word") != END).orderBy(F.desc("n"), "word").limit(n_exchanged).collect()
     ends = sum(r["n"] for r in counts.where(F.col("word") == END).collect())
     words = [END, *[r["word"] for r in top]]
-    classes, pairs = exchange_classes(texts, words, n_classes, rounds)
+    with scope():
+        classes, pairs = exchange_classes(texts, words, n_classes, rounds)
     shared = spark.sparkContext.broadcast({w: i for i, w in enumerate(words)})
     found = texts.mapInArrow(_contexts(shared, classes, len(pairs) + 1), "word string, codes binary")
     # a word outside of the exchange is rarer than each of those in it, so no word is hot
@@ -369,7 +369,7 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
     frequencies, score of the model. 10 ** (-score / n_tokens) is a text's perplexity.
     """
     spark = docs.sparkSession
-    with scope() as keep:
+    with scope() as keep, freed_shuffles(spark):
         rows = docs.select(F.col(id_col).alias("id"), F.coalesce(training, F.lit(False)).alias("training"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
         kind = rows.schema["id"].dataType.simpleString()
         dealt = written(small_batches(rows).mapInArrow(_deal, f"id {kind}, training boolean, text string, bucket long, words array<string>, counts array<long>"), "lm-texts")

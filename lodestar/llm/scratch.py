@@ -71,3 +71,20 @@ def scope() -> Iterator[Callable[[DataFrame], DataFrame]]:
                 fs.delete(place, True)
             elif _SCOPES:
                 _SCOPES[-1].append((table, path))
+
+
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go at the end of each query that runs within, where Spark knows how.
+
+    For work in written steps, each of which reads tables and none another's shuffles.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    if before is not None:
+        spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is not None:
+            spark.conf.set(key, before)
