@@ -44,14 +44,14 @@ from pyspark.sql import types as T
 
 from lodestar.llm import brown_classes
 from lodestar.llm.arrow import small_batches
-from lodestar.llm.scratch import freed_shuffles, scope, written
+from lodestar.llm.scratch import free, freed_shuffles, scope, written
 
 #: Classes beside the end's, words that rounds of exchange take, words of a block, and rounds at most.
 CLASSES, EXCHANGED, BLOCK, ROUNDS = 64, 1 << 14, 64, 8
 #: Bytes of text of a bucket, and of a run of texts that are worked on at once.
 BUCKET_BYTES, RUN_BYTES = 8 << 20, 1 << 20
 #: Words of a row of words, and tokens that a task holds before it counts them.
-ROW_WORDS, TALLY = 2000, 250_000
+ROW_WORDS, TALLY = 2000, 400_000
 #: The end of a text, as a token; no word is empty.
 END = ""
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -372,11 +372,12 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
     with scope() as keep, freed_shuffles(spark):
         rows = docs.select(F.col(id_col).alias("id"), F.coalesce(training, F.lit(False)).alias("training"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
         kind = rows.schema["id"].dataType.simpleString()
-        dealt = written(small_batches(rows).mapInArrow(_deal, f"id {kind}, training boolean, text string, bucket long, words array<string>, counts array<long>"), "lm-texts")
+        dealt = written(small_batches(rows).mapInArrow(_deal, f"id {kind}, training boolean, text string, bucket long, words array<string>, counts array<long>"), "lm-texts", "zstd")
         texts, of_bucket = dealt.where("words IS NULL"), dealt.where("words IS NOT NULL").select("bucket", F.explode(F.arrays_zip("words", "counts")).alias("w"))
         of_bucket = of_bucket.select("bucket", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
         counts = written(of_bucket.where("n > 0").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
         others, frequent = word_classes(texts.where("training").select("text"), counts, n_classes, n_exchanged, rounds)
+        free(spark)
         k = n_classes + 1
         totals, kinds = np.zeros(k), np.zeros(k)
         once = twice = 0

@@ -7,6 +7,7 @@ other machines could not read it, so that is an error.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -29,14 +30,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/lodestar-{spark.sparkContext.applicationId}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write `df` as a Parquet table in the shared folder and read it back.
 
     The files survive lost executors and go when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "snappy").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     fs, place = _file_system(spark, path)
     fs.deleteOnExit(place)
     table = spark.read.schema(df.schema).parquet(path)
@@ -88,3 +89,9 @@ def freed_shuffles(spark: SparkSession) -> Iterator[None]:
     finally:
         if before is not None:
             spark.conf.set(key, before)
+
+
+def free(spark: SparkSession) -> None:
+    """Let Spark's cleaner see which plans are gone, so that their shuffle files go now and not at the driver's next full collection."""
+    gc.collect()
+    spark._jvm.System.gc()
