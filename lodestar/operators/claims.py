@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lodestar.functions.needles import Needles
 
 #: Words that deny what follows within three words of the same clause; so does any word that ends in n't.
 NEGATIONS = (
@@ -22,7 +26,7 @@ CLOSURES = ("closed", "cerrado", "fermé", "ferme", "geschlossen")
 FACILITIES = (
     "toilet", "toilets", "wc", "shower", "showers", "restaurant", "bar", "cafe", "shop", "store", "kiosk", "reception", "office", "pool", "kitchen", "snack",
     "restroom", "restrooms", "bathroom", "laundry", "supermarket", "grocery", "bakery",
-    "baño", "baños", "aseo", "aseos", "ducha", "duchas", "restaurante", "kiosco", "quiosco", "supermercado", "chiringuito", "recepción", "recepcion",
+    "baño", "ba.os", "baños", "aseo", "aseos", "ducha", "duchas", "restaurante", "kiosco", "quiosco", "supermercado", "chiringuito", "recepción", "recepcion",
     "piscina", "tienda", "lavandería", "lavanderia", "servicio", "servicios", "panadería", "panaderia",
     "toilettes", "sanitaires", "douche", "douches", "piscine", "accueil", "réception", "magasin", "boulangerie", "supermarché", "épicerie",
     "toilette", "toiletten", "dusche", "duschen", "sanitär", "sanitaer", "rezeption", "schwimmbad", "küche", "kueche", "waschraum", "supermarkt", "bäckerei", "baeckerei",
@@ -41,21 +45,9 @@ FREEZE = (
 FROZEN_CLAIM = ("water_working", "false")
 #: Signals that no needle decides, and those whose false claim beats the true one.
 AMBIGUOUS, FALSE_WINS = ("police_risk",), ("overnight_safe",)
-CLAUSE_ENDS = r".!?;:\n,"
-_LETTER = r"\p{L}\p{N}_"
-_TOKEN, _GAP = rf"[{_LETTER}']", rf"[^{_LETTER}'{CLAUSE_ENDS}]"
-_DENIAL = rf"(?<!{_TOKEN})(?:{'|'.join(NEGATIONS)}|{_TOKEN}{{0,30}}n't){_GAP}{{1,6}}"
-_WORD = rf"{_TOKEN}{{1,40}}{_GAP}{{1,6}}"
-
-
-def _up_to(words: int) -> str:
-    """So many words, written out: a lookbehind must show its greatest length."""
-    return "(?:" + "|".join(_WORD * k for k in range(words, -1, -1)) + ")"
-
-
-#: Not behind a denial; words of up to 40 letters and gaps of up to six characters count.
-_AFFIRMED = rf"(?<!{_DENIAL}{_up_to(NEGATION_WORDS - 1)})"
-_AFFIRMED_WITHIN = _AFFIRMED + rf"(?<!{_DENIAL}{_up_to(NEGATION_WORDS - 2)}{_TOKEN}{{1,40}})"
+CLAUSE_ENDS = ".!?;:\n,"
+#: Needles of one vocabulary at most; it goes to every task.
+MOST_NEEDLES = 100_000
 
 
 class Rule(NamedTuple):
@@ -67,69 +59,82 @@ class Rule(NamedTuple):
     needles: tuple[str, ...]
 
 
-def _denies(needle: str) -> bool:
-    """Whether a needle has a negation of its own, so that none in front of it counts."""
-    return any(t in NEGATIONS or t.endswith("n't") for t in re.findall(r"[\w']+", needle))
+def rules_of(rows: DataFrame, most: int = MOST_NEEDLES) -> tuple[Rule, ...]:
+    """Rules from a table of needles: rule and at, which order them and their needles, signal, value, confidence, needle.
 
-
-def _wordlike(needle: str) -> bool:
-    return re.fullmatch(r"[a-zà-öø-ÿ' \-]+", needle) is not None
+    Raises if there are more than `most` needles.
+    """
+    found = rows.orderBy("rule", "at").limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"a vocabulary holds at most {most} needles")
+    rules: dict[object, Rule] = {}
+    for r in found:
+        known = rules.get(r["rule"])
+        rules[r["rule"]] = Rule(r["signal"], r["value"], r["confidence"], (*(known.needles if known else ()), r["needle"].lower()))
+    return tuple(rules.values())
+
+
+def _denies(token: str) -> bool:
+    return token in NEGATIONS or token.endswith("n't")
+
+
+@lru_cache(maxsize=4)
+def _needles(rules: tuple[Rule, ...]) -> Needles:
+    """The automaton of a vocabulary, built once in a worker."""
+    return Needles(list(dict.fromkeys(n for r in rules for n in r.needles)), _denies, NEGATION_WORDS, CLAUSE_ENDS, EXCLUSIONS, CLOSURES, FACILITIES)
+
+
+def held_rules(rules: tuple[Rule, ...], text: str) -> list[tuple[int, str]]:
+    """Rules that a text holds, by place, each with the first of its needles that counts; the first rule of a claim stands for it."""
+    low = text.lower()
+    needles = _needles(rules)
+    held = {needles.needles[i] for i in needles.found(low)}
+    out, seen = [], set()
+    for k, rule in enumerate(rules) if held else ():
+        needle = next((n for n in rule.needles if n in held), None)
+        claim = (rule.signal, rule.value)
+        if needle is None or claim in seen or claim == FROZEN_CLAIM and any(f in low for f in FREEZE):
+            continue
+        seen.add(claim)
+        out.append((k, needle))
+    return out
 
 
-def _pattern(needles: Sequence[str], wordlike: bool, affirmed: bool) -> str:
-    """One alternation over needles: within word bounds or anywhere, behind no denial if asked for."""
-    any_of = "(?:" + "|".join(re.escape(n) for n in sorted(needles, key=lambda n: (-len(n), n))) + ")"
-    if not wordlike:
-        return rf"(?={any_of}){_AFFIRMED_WITHIN if affirmed else ''}{any_of}"
-    after = rf"{any_of}(?![{_LETTER}])"
-    return rf"(?={after})(?<![{_LETTER}]){_AFFIRMED if affirmed else ''}{after}"
+def _holding(rules: Sequence[Rule]):
+    """A column function: the rules that a text holds."""
+    rules = tuple(rules)
 
+    @F.arrow_udf(T.ArrayType(T.StructType().add("rule", "integer").add("needle", "string")))
+    def held(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.list_(pa.struct([("rule", pa.int32()), ("needle", pa.string())]))
+        for batch in batches:
+            yield pa.array([[{"rule": k, "needle": n} for k, n in held_rules(rules, t)] for t in batch.to_pylist()], kind)
 
-def _found(text: Column, elsewhere: Column, needles: Sequence[str]) -> Column:
-    """The first needle of a rule that the text holds, or null. elsewhere: the text without its clauses on services."""
-    groups: dict[tuple, list[str]] = {}
-    for n in needles:
-        groups.setdefault((n in CLOSURES, n if n in EXCLUSIONS else "", _wordlike(n), not _denies(n)), []).append(n)
-    out = []
-    for (closure, excluded, wordlike, affirmed), own in groups.items():
-        where = elsewhere if closure else text
-        if excluded:
-            where = F.regexp_replace(where, "|".join(map(re.escape, EXCLUSIONS[excluded])), " ")
-        match = F.regexp_extract(where, _pattern(own, wordlike, affirmed), 0)
-        out.append(F.when(match != "", match))
-    return F.coalesce(*out)
+    return held
 
 
 def extract_claims(reviews: DataFrame, rules: Sequence[Rule], text: str = "text", key: str = "review_id") -> DataFrame:
     """Rows (key, signal, value, confidence, needle): the claims that a review's text makes, each once.
 
-    The rules are a fixed table and become patterns of the plan, one or a few for
-    each claim, so no text meets a table. Null texts make no claims.
+    The vocabulary is one automaton that walks each text once; needle is the first of
+    the rule's that counts. Null texts make no claims.
     """
-    low = F.lower(F.col(text))
-    clauses = F.split(low, f"[{CLAUSE_ENDS}]")
-    named = F.array(*map(F.lit, FACILITIES))
-    rows = reviews.select(key, low.alias("_text"), F.array_join(
-        F.filter(clauses, lambda c: ~F.arrays_overlap(F.split(c, rf"[^{_LETTER}']+"), named)), ".").alias("_elsewhere"))
-    made = []
-    for rule in rules:
-        if rule.signal in AMBIGUOUS:
-            continue
-        needle = _found(F.col("_text"), F.col("_elsewhere"), rule.needles)
-        if (rule.signal, rule.value) == FROZEN_CLAIM:
-            needle = F.when(~F.col("_text").rlike("|".join(map(re.escape, FREEZE))), needle)
-        claim = F.struct(F.lit(rule.signal).alias("signal"), F.lit(rule.value).alias("value"), F.lit(rule.confidence).alias("confidence"), needle.alias("needle"))
-        made.append(F.when(needle.isNotNull(), claim))
-    claims = rows.select(key, F.filter(F.array(*made), lambda c: c.isNotNull()).alias("_made"))
-    beaten = lambda c: c["signal"].isin(*FALSE_WINS) & (c["value"] == "true") & F.exists("_made", lambda o: (o["signal"] == c["signal"]) & (o["value"] == "false"))
-    return claims.select(key, F.explode(F.filter("_made", lambda c: ~beaten(c))).alias("_c")).select(key, "_c.*")
+    rules = [r for r in rules if r.signal not in AMBIGUOUS]
+    if not rules:
+        rules = [Rule("", "", 0.0, ())]
+    held = _holding(rules)(F.coalesce(text, F.lit("")))
+    made = F.array(*[F.struct(F.lit(r.signal).alias("signal"), F.lit(r.value).alias("value"), F.lit(r.confidence).alias("confidence")) for r in rules])
+    rows = reviews.select(key, held.alias("_held"))
+    claims = rows.select(key, F.transform("_held", lambda h: F.struct(F.element_at(made, h["rule"] + 1).alias("claim"), h["needle"].alias("needle"))).alias("_made"))
+    beaten = lambda c: c["claim"]["signal"].isin(*FALSE_WINS) & (c["claim"]["value"] == "true") & F.exists(
+        "_made", lambda o: (o["claim"]["signal"] == c["claim"]["signal"]) & (o["claim"]["value"] == "false"))
+    return claims.select(key, F.explode(F.filter("_made", lambda c: ~beaten(c))).alias("_c")).select(key, "_c.claim.*", "_c.needle")
 
 
 def mentions_ambiguous(text: Column, rules: Sequence[Rule]) -> Column:
     """Whether a text names a signal that needles don't decide."""
-    low = F.lower(text)
-    found = [_found(low, low, r.needles).isNotNull() for r in rules if r.signal in AMBIGUOUS]
-    return F.coalesce(F.array_max(F.array(*found, F.lit(False))), F.lit(False))
+    rules = [r for r in rules if r.signal in AMBIGUOUS]
+    return F.size(_holding(rules)(F.coalesce(text, F.lit("")))) > 0 if rules else F.lit(False)
 
 
 def should_escalate(mode: str, text: Column, n_claims: Column, ambiguous: Column) -> Column:

@@ -169,6 +169,36 @@ SELECT * FROM k WHERE NOT (signal = 'overnight_safe' AND value = 'true' AND doc_
 """
 
 
+#: Rules and needles of the vocabulary that the documents themselves give.
+N_RULES, N_NEEDLES = 60, 764
+
+
+def vocabulary_claims(spark: SparkSession, d: str) -> DataFrame:
+    """Claims by a vocabulary of full size: the documents' most frequent words, dealt to rules by rank."""
+    docs = table(spark, d, "documents")
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\b[a-z]{4,}\b"), F.lit(0))).alias("needle")).groupBy("needle").count()
+    top = words.orderBy(F.desc("count"), "needle").limit(N_NEEDLES)
+    ranked = top.select("needle", (F.row_number().over(Window.orderBy(F.desc("count"), "needle")) - 1).alias("at"))  # N_NEEDLES rows
+    rule = (F.col("at") % N_RULES).alias("rule")
+    rules = claims.rules_of(ranked.select(rule, "at", F.concat(F.lit("s"), rule % (N_RULES // 2)).alias("signal"),
+                                          F.when(rule < N_RULES // 2, "true").otherwise("false").alias("value"), F.lit(0.8).alias("confidence"), "needle"))
+    found = claims.extract_claims(docs, rules, key="doc_id")
+    return found.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "signal", "value", "needle", text.excerpt(F.lower("text"), F.col("needle"), 20).alias("excerpt"))
+
+
+VOCABULARY_CLAIMS = rf"""
+WITH v AS (SELECT w AS needle, row_number() OVER (ORDER BY count(*) DESC, w) - 1 AS rk FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS w FROM documents) WHERE regexp_full_match(w, '[a-z]{{4,}}') GROUP BY w QUALIFY rk < {N_NEEDLES}),
+c AS (SELECT doc_id, list_filter(string_split_regex(unnest(string_split_regex(lower(text), '[.!?;:
+,]')), '[^\p{{L}}\p{{N}}_]+'), lambda x: x <> '') AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM c),
+m AS (SELECT DISTINCT doc_id, w[p] AS needle FROM i WHERE w[p] IN (SELECT needle FROM v) AND (w[p] IN ('{"', '".join(n for n in claims.NEGATIONS)}') OR NOT list_has_any(w[greatest(1, p - 3):p - 1], [{', '.join(f"'{n}'" for n in claims.NEGATIONS)}]))),
+k AS (SELECT doc_id, rk % {N_RULES} AS rule, arg_min(needle, rk) AS needle FROM m JOIN v USING (needle) GROUP BY 1, 2)
+SELECT doc_id, 's' || (rule % {N_RULES // 2}) AS signal, CASE WHEN rule < {N_RULES // 2} THEN 'true' ELSE 'false' END AS value, needle,
+  trim(substr(lower(text), greatest(1, position(needle IN lower(text)) - 20), position(needle IN lower(text)) - greatest(1, position(needle IN lower(text)) - 20) + length(needle) + 20)) AS excerpt
+FROM k JOIN documents USING (doc_id)
+"""
+
+
 def kebab_tags(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").groupBy(text.kebab(F.concat(F.col("p_name"), F.lit(" _"), F.col("p_type"))).alias("tag")).agg(F.count(F.lit(1)).alias("n"))
 

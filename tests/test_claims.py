@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 
 from lodestar.operators import claims, facts, observations
@@ -42,6 +45,53 @@ def test_claims(spark, text, want):
     assert {(r.signal, r.value) for r in got} == want and len(got) == len(want)
 
 
+def plain_holds(needle, text):
+    """Whether a text in lower case holds a needle that counts, by looking for it alone."""
+    for phrase in claims.EXCLUSIONS.get(needle, ()):
+        text = text.replace(phrase, " ")
+    tokens = lambda x: re.findall(r"[\w']+", x)
+    denied = lambda ts: any(t in claims.NEGATIONS or t.endswith("n't") for t in ts)
+    pattern = re.escape(needle)
+    if re.fullmatch("[a-zà-öø-ÿ' -]+", needle):
+        pattern = rf"\b{pattern}\b"
+    for m in re.finditer(f"(?={pattern})", text):
+        clause = re.split("[.!?;:\n,]", text[:m.start()])[-1]
+        whole = clause + re.split("[.!?;:\n,]", text[m.start():])[0]
+        if not denied(tokens(needle)) and denied(tokens(clause)[-3:]):
+            continue
+        if needle in claims.CLOSURES and any(t in claims.FACILITIES for t in tokens(whole)):
+            continue
+        return True
+    return False
+
+
+def test_automaton_equals_looking_for_each_needle():
+    rng = random.Random(7)
+    pieces = ["quiet", "not", "pas", "isn't", "lleno", "lleno de basura", "closed", "toilets", "fermé", "ruhig", "4g ok", ">7m", "l'eau", "été", "_", "-", ".", ",", "\n", "3", "no", "wi-fi"]
+    needles = {"lleno", "closed", "fermé", "4g ok", ">7m", "no quiet", "l'eau", "wi-fi", "quiet", "uie", "not closed", "été", "'eau", "- "}
+    while len(needles) < 764:
+        needles.add(rng.choice([" ", "", "-"]).join(rng.choices(pieces[:12] + ["a", "b", "q"], k=rng.randint(1, 3))).strip() or "x")
+    needles = sorted(needles)
+    rules = tuple(Rule(f"s{k % 30}", "true" if k < 30 else "false", 0.8, tuple(needles[k::60])) for k in range(60))
+    for _ in range(300):
+        text = "".join(rng.choice(pieces) + rng.choice([" ", " ", " ", "", ". "]) for _ in range(rng.randint(0, 25)))
+        want = [(k, next(n for n in r.needles if plain_holds(n, text))) for k, r in enumerate(rules) if any(plain_holds(n, text) for n in r.needles)]
+        assert claims.held_rules(rules, text) == want
+
+
+def test_long_texts_without_an_end(spark):
+    text = "quiet " * 100_000 + "no " + "quiet " * 3
+    rows = spark.createDataFrame([(1, text)], "review_id long, text string")
+    assert [r.needle for r in claims.extract_claims(rows, RULES).collect()] == ["quiet"]
+
+
+def test_vocabulary_from_a_table(spark):
+    rows = spark.createDataFrame([(2, 1, "b", "true", 0.5, "Two"), (1, 9, "a", "true", 0.7, "nine"), (1, 2, "a", "true", 0.7, "three")], "rule int, at int, signal string, value string, confidence double, needle string")
+    assert claims.rules_of(rows) == (Rule("a", "true", 0.7, ("three", "nine")), Rule("b", "true", 0.5, ("two",)))
+    with pytest.raises(ValueError, match="at most 2"):
+        claims.rules_of(rows, 2)
+
+
 def test_ambiguous_signals_are_seen(spark):
     rows = spark.createDataFrame([("Police came",), ("no police",), ("quiet",), (None,)], "text string")
     assert [r[0] for r in rows.select(claims.mentions_ambiguous(rows["text"], RULES)).collect()] == [True, False, False, False]
