@@ -39,10 +39,10 @@ def suppliers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "supplier").withColumn("lat", lat).withColumn("lon", lon)
 
 
-def event_observations(spark: SparkSession, d: str) -> DataFrame:
-    """Events as observations: the user is the entity, the type the signal, k / 100 the weight."""
+def event_observations(spark: SparkSession, d: str, events: DataFrame | None = None) -> DataFrame:
+    """Events, of the table or as given, as observations: the user is the entity, the type the signal, k / 100 the weight."""
     k = F.regexp_extract("props", r'"k": *([0-9]+)', 1)
-    return table(spark, d, "events").select(
+    return (table(spark, d, "events") if events is None else events).select(
         F.col("user_id").alias("entity_id"), F.col("event_type").alias("signal"), F.col("value").alias("value_num"),
         (F.col("value") > 50).alias("value_bool"), F.col("event_type").alias("value_text"),
         (F.when(k != "", k).cast("double") / 100).alias("weight"), F.col("ts").cast("timestamp").alias("observed_at"),

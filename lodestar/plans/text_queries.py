@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import text
 from lodestar.operators import claims, llm_payload, metrics
-from lodestar.plans.inputs import EVENTS_AS_OF, event_observations
+from lodestar.plans.inputs import EVENTS_AS_OF, OBSERVATIONS_SQL, event_observations, event_signals
 from lodestar.sources.tables import table
-from lodestar.streaming import incremental
+from lodestar.streaming import incremental, keyed_state
 
 
 def length_distribution(spark: SparkSession, d: str) -> DataFrame:
@@ -291,6 +291,23 @@ def stream_state(spark: SparkSession, d: str) -> DataFrame:
     return incremental.run_once(incremental.stream_scores(rows, 30.0, EVENTS_AS_OF), ["entity_id", "signal"], stream_folder(spark, f"stream_state_{uuid.uuid4().hex}"))
 
 
+def stream_keyed_state(spark: SparkSession, d: str) -> DataFrame:
+    """The batch state of the events, with half-lives and boost, kept up to date by the events as a stream."""
+    from lodestar.sources.streams import stream_table
+
+    rows = event_observations(spark, d, stream_table(spark, d, "events"))
+    with keyed_state.settings(spark):
+        states = keyed_state.entity_states(rows, event_signals(spark, d, "numeric"), clock=EVENTS_AS_OF)
+        table = incremental.run_once(states, ["entity_id", "signal"], stream_folder(spark, f"stream_keyed_{uuid.uuid4().hex}"))
+    return keyed_state.scores_at(table, EVENTS_AS_OF).select("entity_id", "signal", F.col("score_num").alias("score"), "confidence", "support", "n_observations")
+
+
+STREAM_KEYED_STATE = f"""
+WITH {OBSERVATIONS_SQL}
+SELECT entity_id, signal, round(sum(value * w) / sum(w), 6) AS score, round(least(1, sum(w) / 5), 6) AS confidence, round(sum(w), 6) AS support, count(*) AS n_observations
+FROM obs GROUP BY entity_id, signal HAVING sum(w) > 0
+"""
+
 STREAM_STATE = """
 WITH o AS (SELECT user_id AS entity_id, event_type AS signal, value, CAST(nullif(regexp_extract(props, '"k": *([0-9]+)', 1), '') AS DOUBLE) / 100
   * pow(CAST(0.5 AS DOUBLE), CAST(epoch_us(TIMESTAMP '2024-02-01') - epoch_us(CAST(ts AS TIMESTAMP)) AS DOUBLE) / 86400e6 / 30) AS w FROM events)
