@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import geo
-from lodestar.operators import search, vehicles
+from lodestar.operators import dense_places, search, vehicles
 from lodestar.plans.inputs import customers, haversine_sql, place_sql, suppliers
 from lodestar.sources.tables import table
 
@@ -53,6 +53,24 @@ SELECT s_suppkey, c_mktsegment, round(min(km), 4) AS dist_km FROM x WHERE km <=
 """
 
 
+def dense_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The three nearest customers of each supplier, where half of all customers live in one city."""
+    key = F.col("c_custkey")
+    lat = F.when(key % 2 == 0, 40 + (key * 37 % 1000) / 50000.0).otherwise(F.col("lat"))
+    lon = F.when(key % 2 == 0, (key * 91 % 1000) / 50000.0 - 3).otherwise(F.col("lon"))
+    right = customers(spark, d).select("c_custkey", lat.alias("r_lat"), lon.alias("r_lon"))
+    out = dense_places.nearest_dense(suppliers(spark, d).select("s_suppkey", "lat", "lon"), right, 1500.0, "s_suppkey", "c_custkey", 3)
+    return out.select("s_suppkey", "c_custkey", F.round("dist_km", 4).alias("dist_km"), "rank")
+
+
+DENSE_NEAREST = f"""
+WITH {SUPPLIERS}, c0 AS (SELECT c_custkey, {place_sql('c_custkey')} FROM customer),
+c AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 40 + CAST(c_custkey * 37 % 1000 AS DOUBLE) / 50000 ELSE lat END AS lat, CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey * 91 % 1000 AS DOUBLE) / 50000 - 3 ELSE lon END AS lon FROM c0),
+x AS (SELECT s_suppkey, c_custkey, {haversine_sql('s', 'c')} AS km FROM s, c), r AS (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY km, c_custkey) AS rank FROM x WHERE km <= 1500)
+SELECT s_suppkey, c_custkey, round(km, 4) AS dist_km, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3
+"""
+
+
 def nearest_neighbor(spark: SparkSession, d: str) -> DataFrame:
     s = suppliers(spark, d)
     right = _right(s.select(F.col("s_suppkey").alias("other"), "lat", "lon"))
@@ -163,4 +181,5 @@ QUERIES = {
     "bbox_search": (bbox_search, BBOX_SEARCH), "radius_search": (radius_search, RADIUS_SEARCH), "knn_by_category": (knn_by_category, KNN_BY_CATEGORY),
     "nearest_neighbor": (nearest_neighbor, NEAREST_NEIGHBOR), "neighbor_warning": (neighbor_warning, NEIGHBOR_WARNING), "active_grid": (active_grid, ACTIVE_GRID),
     "spot_key": (spot_key, SPOT_KEY), "cosine_topk": (cosine_topk, COSINE_TOPK), "hybrid_search": (hybrid_search, HYBRID_SEARCH), "vehicle_compat": (vehicle_compat, VEHICLE_COMPAT),
+    "dense_nearest": (dense_nearest, DENSE_NEAREST),
 }
