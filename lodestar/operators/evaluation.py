@@ -37,23 +37,25 @@ def percent(condition: Column) -> Column:
 def model_summary(calls: DataFrame) -> DataFrame:
     """Calls, failures, latencies, costs and languages of each model.
 
-    calls: model, ok, error, latency, cost, n_claims, spanish, english. Costs are
-    summed in whole millionths and means are rounded once, half up, in whole numbers,
-    so they depend on no order of summing; costs and counts aren't negative.
+    calls: model, ok, error, latency, cost, n_claims, spanish, english. Costs and
+    latencies are taken in whole millionths, and what is rounded is rounded half up in
+    whole numbers, so nothing depends on an order of summing or on a binary fraction;
+    costs and counts aren't negative.
     """
     good = lambda c: F.coalesce(F.sum(F.when(F.col("ok"), c)), F.lit(0))
     n_good = lambda c: F.greatest(F.lit(1), F.count(F.when(F.col("ok"), c)))
     millionths = F.round(F.col("cost") * metrics.MILLION).cast("long")
-    timed = F.when(F.col("ok") & (F.col("latency") > 0), F.col("latency"))
+    timed = F.when(F.col("ok") & (F.col("latency") > 0), F.round(F.col("latency") * metrics.MILLION).cast("long"))
+    hundredths = lambda c: metrics.rounded_ratio(F.round(c).cast("long"), F.lit(metrics.MILLION // 100)) / 100.0
     late = exclusive_quantile(calls.withColumn("t", timed), ["model"], "t", (19, 20))
     main = calls.groupBy("model").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("parse_ok"), F.count_if(F.col("error").isNotNull()).alias("errors"),
         F.count_if(~F.col("ok") & F.col("error").isNull()).alias("parse_fail"),
-        F.round(F.median(timed), 2).alias("latency_p50"), (metrics.rounded_ratio(good(millionths), 10 * n_good(millionths)) / 100000.0).alias("cost_avg"),
+        hundredths(F.median(timed)).alias("latency_p50"), (metrics.rounded_ratio(good(millionths), 10 * n_good(millionths)) / 100000.0).alias("cost_avg"),
         (metrics.rounded_ratio(10 * good(F.col("n_claims")), n_good(F.col("n_claims"))) / 10.0).alias("claims_avg"),
         percent(F.col("spanish")).alias("spanish_pct"), percent(F.col("english")).alias("english_pct"),
     )
-    return main.join(late, "model", "left").withColumn("latency_p95", F.round("quantile", 2)).drop("quantile")
+    return main.join(late, "model", "left").withColumn("latency_p95", hundredths(F.col("quantile"))).drop("quantile")
 
 
 def claim_differences(stored: DataFrame, fresh: DataFrame) -> DataFrame:

@@ -349,15 +349,15 @@ def _hint(words) -> str:
 
 MODEL_SUMMARY = rf"""
 WITH t AS (SELECT *, string_split_regex(lower(text), '[^\p{{L}}\p{{N}}_]+') AS w, doc_id % 4 > 0 AS ok FROM documents),
-c AS (SELECT source AS model, ok, CASE WHEN doc_id % 8 = 0 THEN 'timeout' END AS error, CAST(n_chars AS DOUBLE) / 100 AS latency, doc_id % 50 * 1000 AS cost, doc_id % 9 AS n_claims,
+c AS (SELECT source AS model, ok, CASE WHEN doc_id % 8 = 0 THEN 'timeout' END AS error, CAST(n_chars AS BIGINT) * 10000 AS latency, doc_id % 50 * 1000 AS cost, doc_id % 9 AS n_claims,
   coalesce({_hint(wording.SPANISH_HINTS)}, false) AS spanish, coalesce({_hint(wording.ENGLISH_HINTS)}, false) AS english FROM t),
 l AS (SELECT model, list_sort(list(latency)) AS v, len(list(latency)) AS n FROM c WHERE ok AND latency > 0 GROUP BY 1),
 q AS (SELECT model, CASE WHEN n < 20 THEN v[n] ELSE v[j] * (1 - p) + v[j + 1] * p END AS p95 FROM (SELECT *, CAST((n + 1) * 19 AS DOUBLE) / 20 - j AS p FROM (SELECT *, least(n - 1, greatest(1, (n + 1) * 19 // 20)) AS j FROM l)))
 SELECT model, count(*) AS n, count(*) FILTER (WHERE ok) AS parse_ok, count(error) AS errors, count(*) FILTER (WHERE NOT ok AND error IS NULL) AS parse_fail,
-  round(quantile_cont(latency, 0.5) FILTER (WHERE ok AND latency > 0), 2) AS latency_p50, CAST((2 * coalesce(sum(cost) FILTER (WHERE ok), 0) + 10 * greatest(1, count(*) FILTER (WHERE ok))) // (20 * greatest(1, count(*) FILTER (WHERE ok))) AS DOUBLE) / 100000 AS cost_avg,
+  CAST((2 * CAST(round(quantile_cont(latency, 0.5) FILTER (WHERE ok AND latency > 0)) AS BIGINT) + 10000) // 20000 AS DOUBLE) / 100 AS latency_p50, CAST((2 * coalesce(sum(cost) FILTER (WHERE ok), 0) + 10 * greatest(1, count(*) FILTER (WHERE ok))) // (20 * greatest(1, count(*) FILTER (WHERE ok))) AS DOUBLE) / 100000 AS cost_avg,
   CAST((20 * coalesce(sum(n_claims) FILTER (WHERE ok), 0) + greatest(1, count(*) FILTER (WHERE ok))) // (2 * greatest(1, count(*) FILTER (WHERE ok))) AS DOUBLE) / 10 AS claims_avg,
   round(CAST(count(*) FILTER (WHERE ok AND spanish) AS DOUBLE) * 100 / greatest(1, count(*) FILTER (WHERE ok)), 1) AS spanish_pct, round(CAST(count(*) FILTER (WHERE ok AND english) AS DOUBLE) * 100 / greatest(1, count(*) FILTER (WHERE ok)), 1) AS english_pct,
-  round(any_value(p95), 2) AS latency_p95 FROM c LEFT JOIN q USING (model) GROUP BY model
+  CAST((2 * CAST(round(any_value(p95)) AS BIGINT) + 10000) // 20000 AS DOUBLE) / 100 AS latency_p95 FROM c LEFT JOIN q USING (model) GROUP BY model
 """
 
 
