@@ -14,7 +14,7 @@ def merge_shells(spots: DataFrame, reviews: DataFrame, mapping: DataFrame) -> Da
 
     spots: spot_id, sources, active, warning. reviews: spot_id, source,
     source_review_id, review_id; of reviews that both sides have one stays. mapping:
-    old_id, new_id. A shell's own claims and states go by `remap` alike.
+    old_id, new_id, of `merge_ends` where shells merge into shells. A shell's own claims and states go by `remap` alike.
     """
     moved = remap(reviews, mapping, "spot_id", ["spot_id", "source", "source_review_id"])
     total = moved.groupBy("spot_id").agg(F.count(F.lit(1)).alias("total_reviews"))

@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.session import checkpointed
+
 #: Fixed values of the vote and of temporal overrides.
 TIE_MARGIN, DEFAULT_WEIGHT = 0.10, 0.5
 OVERRIDE_COUNT, OVERRIDE_WEIGHT, OVERRIDE_CONFIDENCE, OVERRIDE_DAYS = 2, 1.5, 0.7, 60
@@ -121,8 +123,32 @@ def insert_new(old: DataFrame, new: DataFrame, keys: list[str], order: list[Colu
     return old.unionByName(first.join(seen, same, "left_anti"))
 
 
+def merge_ends(mapping: DataFrame) -> DataFrame:
+    """Rows (old_id, new_id): where merges over merges end. mapping: old_id, new_id, one step each.
+
+    Of several steps from one id the smallest new_id counts. Ids that merge in a circle,
+    and those that lead to it, end at the circle's smallest id. What ends at itself, and
+    null ids, have no row. Each round doubles the steps, so rounds grow with the logarithm
+    of the longest chain, or of the number of ids that circles hold and draw in.
+    """
+    steps = mapping.where("old_id IS NOT NULL AND new_id IS NOT NULL AND old_id <> new_id").groupBy("old_id").agg(F.min("new_id").alias("at"))
+    led = checkpointed(steps.select("old_id", "at", F.col("old_id").alias("least")))
+    taken, before = 1, None
+    while True:
+        on = led.select(F.col("old_id").alias("at"), F.col("at").alias("further"), F.col("least").alias("ahead"))
+        both = led.join(on, "at", "left")
+        going = both.where("further IS NOT NULL").count()
+        if going == 0 or going == before and taken >= going:  # no chain ended, so what goes on leads to circles, which were gone round
+            break
+        before = going
+        led = checkpointed(both.select("old_id", F.coalesce("further", "at").alias("at"), F.least("least", F.coalesce("ahead", "least")).alias("least")))
+        taken *= 2
+    circle = led.select(F.col("old_id").alias("at"), F.col("least").alias("end"))
+    return led.join(circle, "at", "left").select("old_id", F.coalesce("end", "at").alias("new_id")).where("old_id <> new_id")
+
+
 def remap(children: DataFrame, mapping: DataFrame, key: str, duplicate_keys: list[str] | None = None) -> DataFrame:
-    """`children` with merged parents' ids replaced; mapping: old_id, new_id. Of equal children the first stays."""
+    """`children` with merged parents' ids replaced; mapping: old_id, new_id, of `merge_ends` where merges follow merges. Of equal children the first stays."""
     moved = children.join(mapping.select(F.col("old_id").alias(key), "new_id"), key, "left")
     moved = moved.withColumn(key, F.coalesce("new_id", key)).drop("new_id").select(*children.columns)
     if duplicate_keys:

@@ -287,6 +287,17 @@ SELECT coalesce(new_id, l_orderkey) AS l_orderkey, l_partkey, min(l_quantity) AS
 """
 
 
+def chained_merges(spark: SparkSession, d: str) -> DataFrame:
+    """Items moved along chains of merges: each order of a customer merges into the customer's order before it."""
+    orders = table(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("old_id"))
+    mapping = orders.withColumn("new_id", F.lag("old_id").over(Window.partitionBy("o_custkey").orderBy("old_id"))).where("new_id IS NOT NULL").select("old_id", "new_id")
+    items = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    return reconcile.remap(items, reconcile.merge_ends(mapping), "l_orderkey", ["l_orderkey", "l_partkey"])
+
+
+CHAINED_MERGES = CASCADE_REMAP
+
+
 def amenity_merge(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("spot_id"), (F.col("l_discount") > 0.05).alias("water"), F.when(F.col("l_linenumber") > 1, F.col("l_linestatus")).alias("surface"),
