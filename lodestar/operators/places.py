@@ -34,6 +34,30 @@ def category(tags: Column) -> Column:
     return F.coalesce(*out)
 
 
+def key_category(tags: Column) -> Column:
+    """The category by keys in the order in which CATEGORIES first names them, as imports of extracts take it."""
+    keys = dict.fromkeys(key for _, key, _ in CATEGORIES)
+    return F.coalesce(*[F.when(F.try_element_at(tags, F.lit(key)) == value, name) for k in keys for name, key, value in CATEGORIES if key == k])
+
+
+def extract_places(entities: DataFrame) -> DataFrame:
+    """category, osm_type, osm_id, lon, lat of the nodes and ways of a category.
+
+    entities: kind, id, lon_e7, lat_e7, tags, refs, as the osm_pbf source gives them, ids
+    unique in each kind. A way is at the mean of its nodes, each as often as the way names
+    it; nodes that are missing or off the globe don't count, and a way without any has no row.
+    """
+    at = entities.where("kind = 'node' AND lon_e7 BETWEEN -1800000000 AND 1800000000 AND lat_e7 BETWEEN -900000000 AND 900000000")
+    degrees = lambda e7: F.col(e7) / 1e7
+    nodes = at.withColumn("category", key_category(F.col("tags"))).where("category IS NOT NULL")
+    ways = entities.where("kind = 'way'").select("id", key_category(F.col("tags")).alias("category"), "refs").where("category IS NOT NULL")
+    ends = ways.select("id", "category", F.explode("refs").alias("ref")).join(at.select(F.col("id").alias("ref"), "lon_e7", "lat_e7"), "ref")
+    mean = lambda e7: F.sum(e7) / F.count(F.lit(1)) / 1e7
+    means = ends.groupBy("id", "category").agg(mean("lon_e7").alias("lon"), mean("lat_e7").alias("lat"))
+    return nodes.select("category", F.lit("node").alias("osm_type"), F.col("id").alias("osm_id"), degrees("lon_e7").alias("lon"), degrees("lat_e7").alias("lat")).unionByName(
+        means.select("category", F.lit("way").alias("osm_type"), F.col("id").alias("osm_id"), "lon", "lat"))
+
+
 def nearest_by_category(elements: DataFrame) -> DataFrame:
     """Kilometres to each spot's nearest element of each category.
 
