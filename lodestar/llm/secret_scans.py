@@ -16,7 +16,7 @@ results; an empty table gives an empty result. Other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.scratch import written
@@ -40,31 +40,45 @@ WIDE_OWNERS, LIVE_CHARACTERS = 3, 10
 #: Parts that the rows of one value are dealt to.
 SALTS = 16
 
-SPAN = "struct<start:bigint,kind:int,end:bigint,value:string>"
+PART = "struct<kind:int,at:int,gap:int,size:int,value:string>"
 
 
-def _found(text: Column, kind: int, pattern: str, group: int, least: int) -> Column:
-    """Spans of one kind, as array<SPAN>; kept if the value has `least` characters."""
+def _parts(text: Column, kind: int, pattern: str, group: int, least: int) -> Column:
+    """Matches of one kind in their order, as array<PART>: the length of what lies before each, its own, and its value, null if
+    that has fewer than `least` characters."""
     regex = F.lit(pattern)
     whole = F.regexp_extract_all(text, regex, F.lit(0))
     value = F.regexp_extract_all(text, regex, F.lit(group)) if group else whole
-    parts = F.zip_with(
-        F.arrays_zip(whole.alias("m"), value.alias("v")),
-        F.split(text, pattern, -1),
-        lambda x, gap: F.struct(x["m"].alias("m"), x["v"].alias("v"), gap.alias("gap")),
+    pieces = F.arrays_zip(whole.alias("m"), value.alias("v"), F.split(text, pattern, -1).alias("gap"))
+    parts = F.transform(
+        F.slice(pieces, 1, F.size(whole)),  # one piece more than matches
+        lambda x, i: F.struct(
+            F.lit(kind).alias("kind"), i.alias("at"), F.length(x["gap"]).alias("gap"), F.length(x["m"]).alias("size"),
+            F.when(F.length(x["v"]) >= least, x["v"]).alias("value"),
+        ),
     )
-    parts = F.filter(parts, lambda p: p["m"].isNotNull())
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    return F.when(text.rlike(pattern), parts).otherwise(F.array().cast(f"array<{PART}>"))
 
-    def step(state: Column, p: Column) -> Column:
-        begin = state["at"] + F.length(p["gap"])
-        end = begin + F.length(p["m"])
-        span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), p["v"].alias("value"))
-        keep = F.length(p["v"]) >= least
-        return F.struct(end.alias("at"), F.when(keep, F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
 
-    spans = F.aggregate(parts, start, step, lambda state: state["out"])
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
+def _spans(parts: DataFrame) -> DataFrame:
+    """Rows of one match each to spans (kind, start, end, value) that are long enough, and of the added ones only those that look
+    live and overlap no base span.
+
+    Sums of lengths and the greatest end so far run over the sorted matches of a text, so a text's cost
+    grows with its matches, not with their pairs; a window over a text spills.
+    """
+    end = F.sum(F.col("gap").cast("long") + F.col("size")).over(Window.partitionBy("row_id", "kind").orderBy("at"))
+    base = F.col("kind") < len(BASE_KINDS)
+    spans = (
+        parts.repartition("row_id")  # both windows find the rows there
+        .withColumn("end", end)
+        .withColumn("start", F.col("end") - F.col("size"))
+        .where(F.col("value").isNotNull() & (base | _live(F.col("value"))))
+    )
+    # a base span that overlaps begins before the added one ends, and ends after that one starts
+    before = Window.partitionBy("row_id").orderBy(F.when(base, F.col("start")).otherwise(F.col("end")), base)
+    reach = F.max(F.when(base, F.col("end"))).over(before)
+    return spans.withColumn("reach", reach).where(base | F.col("reach").isNull() | (F.col("reach") <= F.col("start"))).drop("reach")
 
 
 def _live(value: Column) -> Column:
@@ -106,25 +120,22 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     or shared, and base says whether a base pattern found it.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = F.concat(*[_found(text, i, p, g, n) for i, (_, p, g, n) in enumerate(BASE_KINDS)])
-    added = F.concat(*[_found(text, i + len(BASE_KINDS), p, g, n) for i, (_, p, g, n) in enumerate(ADDED_KINDS)])
     scanned = docs.select(
         F.monotonically_increasing_id().alias("row_id"),
         F.col(id_col).alias("id"),
         F.col(owner_col).alias("owner"),
         F.to_json(F.struct(*[F.col(c).alias(f"r{i}") for i, c in enumerate(repository_cols)])).alias("repository"),
-        F.array_sort(base).alias("base"),
-        F.filter(added, lambda s: _live(s["value"])).alias("added"),
+        F.concat(*[_parts(text, i, p, g, n) for i, (_, p, g, n) in enumerate((*BASE_KINDS, *ADDED_KINDS))]).alias("parts"),
     )
-    inside = lambda s: F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    scanned = written(scanned.withColumn("added", F.array_sort(F.filter("added", lambda s: ~inside(s)))), "secret-scan")
-    rows = scanned.where(F.size("base") + F.size("added") > 0).select(
-        "row_id", "owner", "repository", F.explode(F.concat("base", "added")).alias("span")
+    scanned = written(scanned, "secret-scan")
+    rows = _spans(scanned.select("row_id", "owner", "repository", F.explode("parts").alias("part")).select("row_id", "owner", "repository", "part.*"))
+    rows = written(
+        rows.select("row_id", "owner", "repository", F.struct("start", "kind", "end", "value").alias("span"), F.sha2("value", 256).alias("hash")),
+        "secret-spans",
     )
-    rows = rows.withColumn("hash", F.sha2(F.col("span.value"), 256))
     frequency = candidate_frequency(rows)
     salted = frequency.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int"))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("row_id", "span.start"), F.lit(SALTS)).cast("int"))
     kind = (
         F.when(F.col("owners") >= WIDE_OWNERS, "widely_copied").when(F.col("owners") == 1, "owner_specific").otherwise("shared")
     )
