@@ -157,7 +157,8 @@ def test_secrets_of_one_text_with_100_000_findings(spark):
     assert time.monotonic() - started < 60
     by = {r.doc_id: r for r in got}
     assert all(([r.n_assign, r.n_access, r.n_hex], r.base_sha256) == brute_secrets(t) for (_, t, _), r in zip(rows, (by[i] for i in (1, 2, 3)), strict=True))
-    assert by[1].spans.count("opaque:") == 25_000 and by[2].spans == "assign:0:14" and by[3].spans == ""
+    lone = [w for w in rows[0][1].split() if len(w) == 40 and not re.search(secret_scans.EXAMPLE, w)]  # one in 25,000 has four x
+    assert by[1].spans.count("opaque:") == len(lone) > 24_990 and by[2].spans == "assign:0:14" and by[3].spans == ""
 
 
 # line dedup
