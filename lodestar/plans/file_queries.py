@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.operators import archive_places as archived
 from lodestar.operators import places
 from lodestar.plans.text_queries import stream_folder
-from lodestar.sources import osm_pbf
+from lodestar.sources import archives, osm_pbf
 from lodestar.sources.tables import table
 
 
@@ -49,4 +50,35 @@ SELECT category, 'way', w.id, CAST(sum(x) AS DOUBLE) / CAST(count(*) AS DOUBLE)
 FROM w JOIN n ON n.id = w.ref JOIN c ON w.id % 6 = i GROUP BY category, w.id
 """
 
-QUERIES = {"osm_extract": (osm_extract, OSM_EXTRACT)}
+def archive_places(spark: SparkSession, d: str) -> DataFrame:
+    """Places of archives that are written and read back: parts as zipped lines, customers as Placemarks; some have no place."""
+    archives.register(spark)
+    folder = stream_folder(spark, f"archives_{uuid.uuid4().hex}")
+    key, cust = F.col("p_partkey"), F.col("c_custkey")
+    kind = F.element_at(F.array(*map(F.lit, (*archived.STOP_TYPES, "ZZ"))), (key % 9 + 1).cast("int"))
+    code = F.when(key % 3 == 0, F.concat(F.lit("  ("), key.cast("string"), F.lit(" )"))).otherwise("")
+    said = F.concat(kind, F.lit(" PAYS-BAS "), F.upper("p_name"), code, F.when(key % 11 == 0, " Aire").otherwise(" Aire CCI "), key.cast("string"))
+    line = F.concat_ws(",", (key * 7 % 400 - 200).cast("string"), (key * 3 % 90).cast("string"), F.concat(F.lit('"'), said, F.lit('"')))
+    table(spark, d, "part").select(line.alias("line")).write.format("place_archive").mode("append").save(folder)
+    marks = table(spark, d, "customer").select(
+        ((cust * 104729 % 40000 - 20000) / 100.0).alias("lon"), ((cust * 7919 % 12000 - 6000) / 100.0).alias("lat"), F.when(cust % 4 != 0, F.col("c_name")).alias("name"),
+        F.concat(F.lit(" <b>"), F.col("c_mktsegment"), F.lit("</b> & more ")).alias("description"), F.concat(F.lit("#s"), (cust % 5).cast("string")).alias("style"))
+    marks.write.format("place_archive").mode("append").save(folder)
+    found = archived.archive_places(spark.read.format("place_archive").load(folder))
+    return found.drop("archive").withColumn("name", F.lower("name"))
+
+
+ARCHIVE_PLACES = """
+WITH p AS (SELECT *, ['AC', 'ACF', 'ACS', 'APCC', 'APN', 'AS', 'ASN', 'AA', 'ZZ'][p_partkey % 9 + 1] AS k, p_partkey * 7 % 400 - 200 AS x, p_partkey * 3 % 90 AS y FROM part),
+q AS (SELECT *, k || ' PAYS-BAS ' || upper(p_name) || CASE WHEN p_partkey % 3 = 0 THEN '  (' || p_partkey || ' )' ELSE '' END || ' Aire CCI ' || p_partkey AS said
+  FROM p WHERE p_partkey % 11 <> 0 AND x BETWEEN -180 AND 180 AND NOT (x = 0 AND y = 0)),
+c AS (SELECT *, CAST(c_custkey * 104729 % 40000 - 20000 AS DOUBLE) / CAST(100 AS DOUBLE) AS x, CAST(c_custkey * 7919 % 12000 - 6000 AS DOUBLE) / CAST(100 AS DOUBLE) AS y FROM customer)
+SELECT CAST(p_partkey AS VARCHAR) AS source_id, lower(p_name) || CASE WHEN p_partkey % 3 = 0 THEN ' (' || p_partkey || ')' ELSE '' END AS name, CAST(y AS DOUBLE) AS lat, CAST(x AS DOUBLE) AS lon,
+  CASE WHEN k IN ('AC', 'APCC', 'AS', 'AA') THEN 'area_ac' WHEN k IN ('ACF', 'ACS') THEN 'camping' WHEN k = 'APN' THEN 'parking_privado' WHEN k = 'ASN' THEN 'parking_publico' ELSE 'otro' END AS type,
+  CASE WHEN k IN ('AC', 'ASN') THEN true WHEN k IN ('APCC', 'APN') THEN false END AS free, 'PAYS-BAS' AS country, said AS description FROM q
+UNION ALL
+SELECT printf('%.6f_%.6f', y, x), CASE WHEN c_custkey % 4 = 0 THEN 'sin nombre' ELSE lower(c_name) END, y, x, '#s' || c_custkey % 5, NULL, NULL, '<b>' || c_mktsegment || '</b> & more'
+FROM c WHERE x BETWEEN -180 AND 180
+"""
+
+QUERIES = {"osm_extract": (osm_extract, OSM_EXTRACT), "archive_places": (archive_places, ARCHIVE_PLACES)}
