@@ -55,6 +55,20 @@ CONFUSIONS = {
     ("ro", "it"): "it",
 }
 CONFUSED_CHARS = 80
+#: The languages that texts about a country are expected in, the first the most.
+COUNTRY_LANGUAGES = {
+    "ES": ("es", "ca", "gl", "eu"), "PT": ("pt",), "AD": ("ca", "es", "fr"),
+    "FR": ("fr",), "MC": ("fr",), "LU": ("fr", "de"),
+    "DE": ("de",), "AT": ("de",), "CH": ("de", "fr", "it"), "LI": ("de",),
+    "IT": ("it",), "SM": ("it",), "VA": ("it",),
+    "NL": ("nl",), "BE": ("nl", "fr", "de"),
+    "GB": ("en",), "UK": ("en",), "IE": ("en",), "US": ("en",), "CA": ("en", "fr"), "AU": ("en",), "NZ": ("en",),
+    "DK": ("da",), "SE": ("sv",), "NO": ("no",), "FI": ("fi", "sv"), "IS": ("is",),
+    "PL": ("pl",), "CZ": ("cs",), "SK": ("sk",), "HU": ("hu",), "SI": ("sl",), "HR": ("hr",), "RO": ("ro",), "BG": ("bg",),
+    "EE": ("et",), "LV": ("lv",), "LT": ("lt",),
+    "GR": ("el",), "TR": ("tr",),
+    "MX": ("es",), "AR": ("es",), "CL": ("es",), "CO": ("es",), "PE": ("es",), "BR": ("pt",),
+}
 #: Prefixes and suffixes that aggregators put on names, stripped in this order.
 NAME_PATTERNS = (r"(?i)^Campspace\s+in\s+", r"(?i)^WTMG\s+in\s+", r"(?i)^Nomady\s+", r"(?i)^Park4Night\s+", r",\s+[A-Za-zÀ-ž\-\s]{6,}$")
 #: Dollars for a million tokens: input, output, cached input.
@@ -126,6 +140,12 @@ def looks_like(text: Column, words: list[str]) -> Column:
     return F.coalesce((F.length(text) >= LEAST_HINT_CHARS) & (hints(text, words) >= LEAST_HINTS), F.lit(False))
 
 
+def expected_languages(country: Column) -> Column:
+    """What languages a country's texts are expected in; none for a country that isn't known, or null."""
+    table = F.create_map(*[x for c, ls in COUNTRY_LANGUAGES.items() for x in (F.lit(c), F.array(*map(F.lit, ls)))])
+    return F.coalesce(F.try_element_at(table, F.upper(country)), F.array().cast("array<string>"))
+
+
 def language_with_prior(detected: Column, text: Column, expected: Column) -> Column:
     """The detected language, unless a short text shows a known confusion with the first of the `expected` ones."""
     pair = F.concat_ws(">", detected, F.get(expected, 0))
