@@ -12,6 +12,7 @@ All of it is read and written by Spark, so the folder may be in any store that i
 from __future__ import annotations
 
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -88,19 +89,22 @@ class VersionedTables:
         """
         if version <= self.snapshot().version:
             return False
-        entries = [("", 0, version, False)]
-        for name, (rows, buckets) in changes.items():
-            buckets, at = sorted(set(buckets)), f"{self.folder}/{name}/version={version}"
-            dealt = rows.select(*[F.col(f.name).cast(f.dataType) for f in self.tables[name].schema.fields]).withColumn("_bucket", self.bucket(name))
-            dealt.hint("rebalance", F.col("_bucket")).write.mode("overwrite").partitionBy("_bucket").parquet(at)  # large buckets are split into several files
-            written = self.spark.read.schema(StructType([*self.tables[name].schema.fields]).add("_bucket", "integer")).parquet(at)
-            filled = {r[0] for r in written.select("_bucket").distinct().collect()}
-            if not filled <= set(buckets):
-                raise ValueError(f"rows of {name} outside the buckets that are replaced")
-            entries += [(name, b, version, b in filled) for b in buckets]
-        self._note(entries)
+        with ThreadPoolExecutor(max(1, len(changes))) as pool:  # the tables' jobs run beside each other
+            filled = list(pool.map(lambda change: self._write(version, change[0], *change[1]), changes.items()))
+        self._note([("", 0, version, False), *[(name, b, version, b in full) for (name, (_, buckets)), full in zip(changes.items(), filled, strict=True) for b in sorted(set(buckets))]])
         return True
 
+    def _write(self, version: int, name: str, rows: DataFrame, buckets: Iterable[int]) -> set[int]:
+        """Write a table's buckets, splitting large ones into several files; those that got rows."""
+        at, schema = f"{self.folder}/{name}/version={version}", self.tables[name].schema
+        dealt = rows.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]).withColumn("_bucket", self.bucket(name))
+        dealt.hint("rebalance", F.col("_bucket")).write.mode("overwrite").partitionBy("_bucket").parquet(at)
+        written = self.spark.read.schema(StructType([*schema.fields]).add("_bucket", "integer")).parquet(at)
+        filled = {r[0] for r in written.select("_bucket").distinct().collect()}
+        if not filled <= set(buckets):
+            raise ValueError(f"rows of {name} outside the buckets that are replaced")
+        return filled
+
     def _note(self, entries: list[tuple]) -> None:
         """One file for the whole commit, which the write's commit renames into place."""
         self.spark.createDataFrame(entries, _MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.folder}/manifest")
