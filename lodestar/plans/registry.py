@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestar.plans import (
-    file_queries, language_queries, lifecycle_queries, observation_queries, record_queries, search_queries, state_queries, text_queries, version_queries, work_queries,
+    detail_queries, file_queries, language_queries, lifecycle_queries, observation_queries, record_queries, search_queries, state_queries, text_queries, version_queries, work_queries,
 )
 
 _ALL = {
-    **state_queries.QUERIES, **search_queries.QUERIES, **record_queries.QUERIES, **text_queries.QUERIES, **observation_queries.QUERIES, **work_queries.QUERIES, **lifecycle_queries.QUERIES, **file_queries.QUERIES, **language_queries.QUERIES, **version_queries.QUERIES,
+    **state_queries.QUERIES, **search_queries.QUERIES, **record_queries.QUERIES, **text_queries.QUERIES, **observation_queries.QUERIES, **work_queries.QUERIES, **lifecycle_queries.QUERIES, **file_queries.QUERIES, **language_queries.QUERIES, **version_queries.QUERIES, **detail_queries.QUERIES,
 }
 
 
