@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import text
-from lodestar.operators import claims, llm_payload, metrics
+from lodestar.operators import claims, metrics
 from lodestar.plans.inputs import EVENTS_AS_OF, OBSERVATIONS_SQL, event_observations, event_signals
 from lodestar.sources.tables import table
 from lodestar.streaming import incremental, keyed_state
@@ -255,19 +255,6 @@ o AS (SELECT *, CASE WHEN length(t) <= 40 THEN t WHEN length(cut) < 40 THEN trim
 SELECT conv_id, turn, md5(o) AS trimmed_md5, round(CASE WHEN length(t) > 0 THEN 1 - CAST(length(o) AS DOUBLE) / length(t) ELSE 0 END, 6) AS ratio FROM o
 """
 
-PAYLOADS = (
-    '{"claims":[{"signal":"quietness","value":"0.8","confidence":0.9,"review_id":"1"},{"signal":"unknown","value":"1","confidence":0.5}],"tags":["Lake View",""],"elevation_m":12000}',
-    '```json\\n{"alerts":[{"alert_type":"theft","severity":0.9,"confidence":0.8},{"alert_type":"theft","severity":3.0,"confidence":0.8}],"summary":" fine "}\\n```',
-    "not json",
-)
-
-
-def llm_payload_query(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.range(1).select(F.posexplode(F.array(*[F.lit(p.replace("\\n", "\n")) for p in PAYLOADS])).alias("spot_id", "payload"))
-    out = llm_payload.validated(rows, ["quietness", "noise"])
-    return out.select("spot_id", F.size("claims").alias("n_claims"), F.size("alerts").alias("n_alerts"), F.array_join("tags", ",").alias("tags"), "summary", "elevation_m", F.array_join("errors", "; ").alias("errors"))
-
-
 def stream_folder(spark: SparkSession, name: str) -> str:
     """A folder of its own for a stream's table and checkpoint, in the folder that the cluster shares."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -323,7 +310,5 @@ def batch_state(spark: SparkSession, d: str) -> DataFrame:
 
 
 BATCH_STATE = STREAM_STATE
-LLM_PAYLOAD = ""
 
 QUERIES = {k.lower(): (globals()[k.lower()], v) for k, v in list(globals().items()) if k.isupper() and isinstance(v, str) and callable(globals().get(k.lower()))}
-QUERIES["llm_payload"] = (llm_payload_query, "")

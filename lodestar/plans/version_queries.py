@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lodestar.operators import llm_payload as payload_items
 from lodestar.operators import transactions, views
 from lodestar.plans.inputs import EVENTS_AS_OF
 from lodestar.plans.text_queries import stream_folder
@@ -74,11 +75,31 @@ def _payloads(told: DataFrame) -> DataFrame:
     return told.select("spot_id", "seq", F.when(F.col("broken"), F.concat(F.lit("Sure: "), doc)).otherwise(F.concat(F.lit("```json\n"), doc, F.lit("\n```"))).alias("payload"))
 
 
+def _told(spark: SparkSession, d: str) -> DataFrame:
+    turns = table(spark, d, "conversations").withColumns({"conv_id": F.col("conv_id").cast("long"), "turn": F.col("turn").cast("long")})
+    return spark.sql(_TOLD.replace("FROM conversations", "FROM {t}"), t=turns)
+
+
+def llm_payload(spark: SparkSession, d: str) -> DataFrame:
+    """What holds of each payload about the conversations, and what was wrong with it."""
+    payloads = _payloads(_told(spark, d)).select(F.struct("spot_id", "seq").alias("of"), "payload")
+    out = payload_items.validated(payloads, ["quietness", "dog_friendly"], key="of")
+    size = lambda c: F.size(c).cast("long").alias(f"n_{c}")
+    return out.select("of.spot_id", "of.seq", size("claims"), size("alerts"), size("cross_references"), F.array_join("tags", ",").alias("tags"), "summary", F.array_join("errors", "; ").alias("errors"))
+
+
+LLM_PAYLOAD = f"""
+SELECT spot_id, seq, CAST(CASE WHEN broken OR signal = 'unheard' THEN 0 ELSE 2 END AS BIGINT) AS n_claims, CAST(CASE WHEN broken OR alert_type = '' THEN 0 ELSE 1 END AS BIGINT) AS n_alerts,
+  CAST(CASE WHEN broken OR turn % 2 <> 0 THEN 0 ELSE 1 END AS BIGINT) AS n_cross_references, CASE WHEN broken THEN '' ELSE 'lake' END AS tags, CASE WHEN NOT broken AND turn % 2 = 0 THEN 'Turn ' || turn END AS summary,
+  CASE WHEN broken THEN 'payload: not JSON' ELSE concat_ws('; ', CASE WHEN signal = 'unheard' THEN 'claim: unheard; claim: unheard' END, CASE WHEN alert_type = '' THEN 'alert: ' END, CASE WHEN turn % 2 <> 0 THEN 'reference: unrelated' END) END AS errors
+FROM ({_TOLD}) x
+"""
+
+
 def ingestion_epochs(spark: SparkSession, d: str) -> DataFrame:
     """Spots after payloads about all conversations came as a stream, each micro-batch one transaction over six tables."""
     folder = stream_folder(spark, f"ingestion_{uuid.uuid4().hex}")
-    turns = table(spark, d, "conversations").withColumns({"conv_id": F.col("conv_id").cast("long"), "turn": F.col("turn").cast("long")})
-    told = spark.sql(_TOLD.replace("FROM conversations", "FROM {t}"), t=turns)
+    told = _told(spark, d)
     payloads = _payloads(told)
     payloads.repartition(3, "spot_id").write.parquet(f"{folder}/payloads")  # a micro-batch for each file
     reviews = told.select("review_id", "text", F.lit("2024-01-01 00:00:00").cast("timestamp").alias("at"), F.lit(0.5).alias("source_confidence"))
@@ -116,4 +137,4 @@ SELECT s.spot_id, summary, 'lake' AS tags, coalesce(kinds, '') AS active_alert_t
 FROM s LEFT JOIN c USING (spot_id) LEFT JOIN a USING (spot_id)
 """
 
-QUERIES = {"view_maintenance": (view_maintenance, VIEW_MAINTENANCE), "ingestion_epochs": (ingestion_epochs, INGESTION_EPOCHS)}
+QUERIES = {"llm_payload": (llm_payload, LLM_PAYLOAD), "view_maintenance": (view_maintenance, VIEW_MAINTENANCE), "ingestion_epochs": (ingestion_epochs, INGESTION_EPOCHS)}
