@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions import geo
@@ -94,11 +94,16 @@ def access_of(elements: DataFrame) -> DataFrame:
     return per.select("spot_id", verdict.alias("verdict"), F.coalesce("detail", F.lit("")).alias("detail"))
 
 
-def box_grid(spark: SparkSession, south: float, west: float, north: float, east: float, step: float) -> DataFrame:
-    """Cells (lat, lon) of `step` degrees from the south-west corner that cover a box."""
-    rows, cols = (int(-(-(b - a) // step)) for a, b in ((south, north), (west, east)))
-    cells = spark.range(rows * cols)
-    return cells.select((south + F.floor(F.col("id") / cols) * step).alias("lat"), (west + F.col("id") % cols * step).alias("lon"))
+def box_grid(boxes: DataFrame, step: float) -> DataFrame:
+    """Cells (box_id, lat, lon) of `step` degrees from the south-west corner that cover each box.
+
+    boxes: box_id, south, west, north, east. A box without extent, or with a null in it, has no cells.
+    """
+    cells = lambda low, high: F.ceil((F.col(high) - F.col(low)) / step).cast("int")
+    steps = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1))
+    rows = boxes.select("*", F.explode(steps(cells("south", "north"))).alias("_i"))
+    found = rows.select("*", F.explode(steps(cells("west", "east"))).alias("_j"))
+    return found.select("box_id", (F.col("south") + F.col("_i") * step).alias("lat"), (F.col("west") + F.col("_j") * step).alias("lon"))
 
 
 def _edge_km(lat: Column, lon: Column, ring: Column) -> Column:

@@ -216,10 +216,19 @@ SELECT spot_id, category, round(min({haversine_sql('a', 'e')}), 4) AS km FROM e,
 
 
 def box_grid(spark: SparkSession, d: str) -> DataFrame:
-    return places.box_grid(spark, 35.0, -10.0, 45.0, 5.0, 2.5)
-
-
-BOX_GRID = "SELECT CAST(35 + i * 2.5 AS DOUBLE) AS lat, CAST(-10 + j * 2.5 AS DOUBLE) AS lon FROM range(4) a(i), range(6) b(j)"
+    """Cells of the boxes, in whole degrees, around each nation's suppliers."""
+    low = lambda c: F.floor(F.min(c)).cast("double")
+    high = lambda c: (F.floor(F.max(c)) + 1).cast("double")
+    boxes = suppliers(spark, d).groupBy(F.col("s_nationkey").alias("box_id")).agg(low("lat").alias("south"), low("lon").alias("west"), high("lat").alias("north"), high("lon").alias("east"))
+    return places.box_grid(boxes, 2.5)
+
+
+BOX_GRID = f"""
+WITH s AS (SELECT s_nationkey AS box_id, {place_sql('s_suppkey')} FROM supplier),
+b AS (SELECT box_id, floor(min(lat)) AS south, floor(min(lon)) AS west, floor(max(lat)) + 1 AS north, floor(max(lon)) + 1 AS east FROM s GROUP BY 1),
+r AS (SELECT *, unnest(range(CAST(ceil((north - south) / CAST(2.5 AS DOUBLE)) AS BIGINT))) AS i FROM b), c AS (SELECT *, unnest(range(CAST(ceil((east - west) / CAST(2.5 AS DOUBLE)) AS BIGINT))) AS j FROM r)
+SELECT box_id, south + i * CAST(2.5 AS DOUBLE) AS lat, west + j * CAST(2.5 AS DOUBLE) AS lon FROM c
+"""
 
 
 def regions_of(spark: SparkSession, d: str) -> DataFrame:
@@ -227,16 +236,16 @@ def regions_of(spark: SparkSession, d: str) -> DataFrame:
     box = lambda x, y: F.struct((F.col("x") + x).alias("lon"), (F.col("y") + y).alias("lat"))
     at = table(spark, d, "nation").select(F.col("n_nationkey").alias("region_id"), (F.col("n_nationkey") * 12.0 - 150).alias("x"), (F.col("n_nationkey") % 5 * 8.0 - 20).alias("y"))
     regions = at.select("region_id", F.array(box(0, 0), box(6, 0), box(6, 6), box(0, 6), box(0, 0)).alias("ring"))
-    points = customers(spark, d).where("abs(lat) < 30").select(F.col("c_custkey").alias("point_id"), "lat", "lon")
+    points = customers(spark, d).select(F.col("c_custkey").alias("point_id"), "lat", "lon")
     return places.regions_of(points, regions)
 
 
 REGIONS_OF = f"""
 WITH {_CUSTOMERS}, r AS (SELECT n_nationkey AS id, n_nationkey * CAST(12 AS DOUBLE) - 150 AS x, n_nationkey % 5 * CAST(8 AS DOUBLE) - 20 AS y FROM nation),
 m AS (SELECT c_custkey AS point_id, id, greatest(x - lon, 0, lon - x - 6) * cos(radians(lat)) * 6371.0 * pi() / 180 AS dx, greatest(y - lat, 0, lat - y - 6) * 6371.0 * pi() / 180 AS dy,
-  lon >= x AND lon < x + 6 AND lat >= y AND lat < y + 6 AS inside FROM c, r WHERE abs(lat) < 30),
+  lon >= x AND lon < x + 6 AND lat >= y AND lat < y + 6 AS inside FROM c, r),
 n AS (SELECT *, CASE WHEN inside THEN 0 ELSE sqrt(dx * dx + dy * dy) END AS km FROM m)
-SELECT c_custkey AS point_id, arg_min(id, {{'a': km, 'b': id}}) FILTER (WHERE km <= 50) AS region_id, min(km) FILTER (WHERE km <= 50) = 0 AS inside FROM c LEFT JOIN n ON c_custkey = point_id WHERE abs(lat) < 30 GROUP BY 1
+SELECT c_custkey AS point_id, arg_min(id, {{'a': km, 'b': id}}) FILTER (WHERE km <= 50) AS region_id, min(km) FILTER (WHERE km <= 50) = 0 AS inside FROM c LEFT JOIN n ON c_custkey = point_id GROUP BY 1
 """
 
 
