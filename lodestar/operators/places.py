@@ -114,9 +114,10 @@ def _edge_km(lat: Column, lon: Column, ring: Column) -> Column:
     def distance(i: Column) -> Column:
         a, b = F.get(flat, i), F.get(flat, i + 1)
         dx, dy = b["x"] - a["x"], b["y"] - a["y"]
-        square = dx * dx + dy * dy
-        t = F.when(square > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), -(a["x"] * dx + a["y"] * dy) / square))).otherwise(0.0)
-        return F.sqrt(F.pow(a["x"] + t * dx, 2) + F.pow(a["y"] + t * dy, 2))
+        square, along = dx * dx + dy * dy, -(a["x"] * dx + a["y"] * dy)
+        ends = F.least(F.sqrt(F.pow(a["x"], 2) + F.pow(a["y"], 2)), F.sqrt(F.pow(b["x"], 2) + F.pow(b["y"], 2)))
+        # beside the edge, by the cross product: exactly 0 on an edge along an axis, which a foot on the edge isn't
+        return F.when((along > 0) & (along < square), F.abs(a["x"] * dy - a["y"] * dx) / F.sqrt(square)).otherwise(ends)
 
     return F.array_min(F.transform(F.sequence(F.lit(0), F.size(ring) - 2), distance))
 
