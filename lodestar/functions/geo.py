@@ -8,6 +8,7 @@ candidates together, which the exact distance then decides.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,13 +67,13 @@ def near_cells(lat: Column, lon: Column, radius_km: float) -> Column:
 
 
 def radius_join(left: DataFrame, right: DataFrame, radius_km: float, lat: str = "lat", lon: str = "lon",
-                r_lat: str = "r_lat", r_lon: str = "r_lon") -> DataFrame:
-    """All pairs within the radius, with dist_km. `right` is copied to its neighbouring cells."""
+                r_lat: str = "r_lat", r_lon: str = "r_lon", on: Sequence[str] = ()) -> DataFrame:
+    """All pairs within the radius, with dist_km, that agree in `on`. `right` is copied to its neighbouring cells."""
     if radius_km >= EARTH_KM * math.pi / 4:
         raise ValueError("radius_km must be under an eighth of the equator")
     a = left.withColumn("_cell", own_cell(F.col(lat), F.col(lon), radius_km))
     b = right.withColumn("_cell", F.explode(near_cells(F.col(r_lat), F.col(r_lon), radius_km)))
-    pairs = a.join(b, "_cell").drop("_cell")
+    pairs = a.join(b, ["_cell", *on]).drop("_cell")
     return pairs.withColumn("dist_km", haversine_km(F.col(lat), F.col(lon), F.col(r_lat), F.col(r_lon))).where(F.col("dist_km") <= radius_km)
 
 

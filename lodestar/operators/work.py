@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.functions import geo, text
+from lodestar.functions import geo
+from lodestar.operators import coincident
 
 #: The order of countries for look-ups; others come last.
 COUNTRY_ORDER = "es pt fr it de at ch be nl lu gb ie dk no se fi is pl cz sk hu si hr gr ro bg".split()
@@ -90,15 +91,20 @@ def adaptive_matches(spots: DataFrame, candidates: DataFrame, far_m: float = 150
 
     spots: spot_id, name, lat, lon. candidates: place_id, place_name, r_lat, r_lon.
     Of those that pass, the most alike counts, then the nearest, then the least id.
+    Places meet once, and spots of one name at one place have one answer.
     """
-    pairs = geo.radius_join(spots, candidates, max(far_m, ADAPTIVE[-1][0]) / 1000)
-    alike = F.coalesce(text.trigram_similarity(F.col("name"), F.col("place_name")), F.lit(0.0))
-    pairs = pairs.withColumn("alike", alike).withColumn("meters", F.col("dist_km") * 1000)
+    named = coincident.least_keys(candidates, ["place_name", "r_lat", "r_lon"], "place_id", 1).drop("at")
+    pairs = geo.radius_join(spots.select("lat", "lon").distinct(), named, max(far_m, ADAPTIVE[-1][0]) / 1000).withColumn("meters", F.col("dist_km") * 1000)
+    # whatever the spot's name, a candidate is beaten by a nearer one of the same name
+    nearest = pairs.groupBy("lat", "lon", "place_name").agg(F.min(F.struct(F.round("meters", 6).alias("near"), "place_id", "meters")).alias("x")).select("lat", "lon", "place_name", "x.*")
+    by = ["name", "lat", "lon"]
+    pairs = coincident.with_similarity(spots.select(*by).distinct().join(nearest, ["lat", "lon"]), "name", "place_name")
+    pairs = pairs.withColumn("alike", F.coalesce("similarity", F.lit(0.0)))
     passes = F.lit(False)
     for meters, least in (*ADAPTIVE, (far_m, far_similarity)):
         passes = passes | ((F.col("meters") <= meters) & (F.col("alike") >= least))
-    best = pairs.where(passes).groupBy("spot_id").agg(F.min(F.struct(-F.round("alike", 9), F.round("meters", 6).alias("meters"), "place_id")).alias("x"))
-    return best.select("spot_id", "x.place_id", F.round("x.meters", 2).alias("meters"))
+    best = pairs.where(passes).groupBy(*by).agg(F.min(F.struct(-F.round("alike", 9), F.col("near").alias("meters"), "place_id")).alias("x"))
+    return coincident.back_to_rows(spots.select("spot_id", *by), best, by).select("spot_id", "x.place_id", F.round("x.meters", 2).alias("meters"))
 
 
 def claimed(jobs: DataFrame, most: int) -> DataFrame:
