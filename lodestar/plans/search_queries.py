@@ -72,9 +72,7 @@ SELECT s_suppkey, c_custkey, round(km, 4) AS dist_km, CAST(rank AS INTEGER) AS r
 
 
 def nearest_neighbor(spark: SparkSession, d: str) -> DataFrame:
-    s = suppliers(spark, d)
-    right = _right(s.select(F.col("s_suppkey").alias("other"), "lat", "lon"))
-    out = search.nearest(s.select("s_suppkey", "lat", "lon"), right, 2000.0, "s_suppkey", "other", 1, F.col("s_suppkey") != F.col("other"))
+    out = search.nearest_other(suppliers(spark, d).select("s_suppkey", "lat", "lon"), 2000.0, "s_suppkey", "other")
     return out.select("s_suppkey", "other", F.round("dist_km", 4).alias("dist_km"))
 
 
