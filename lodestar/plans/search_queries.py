@@ -86,8 +86,7 @@ SELECT s_suppkey, other, round(km, 4) AS dist_km FROM r WHERE rn = 1
 def neighbor_warning(spark: SparkSession, d: str) -> DataFrame:
     c = customers(spark, d).select("c_custkey", "c_acctbal", "lat", "lon")
     warned = _right(c.where("c_acctbal < 0").select(F.col("c_custkey").alias("from_key"), "lat", "lon"))
-    near = geo.radius_join(c.select("c_custkey", "lat", "lon"), warned, 400.0).where("c_custkey <> from_key")
-    return near.groupBy("c_custkey").agg(F.count(F.lit(1)).alias("n_warnings"), F.min("from_key").alias("first_from"))
+    return search.counted_within(c.select("c_custkey", "lat", "lon"), warned, 400.0, "c_custkey", "from_key").withColumnsRenamed({"n": "n_warnings", "first": "first_from"})
 
 
 NEIGHBOR_WARNING = f"""
