@@ -110,8 +110,21 @@ SMALL_PLACES, BIG_PLACES, LONG_FEET = 5, 30, 23
 TRUE, FALSE = ("true", "yes", "1", "si", "sí"), ("false", "no", "0")
 
 
+#: Keys of the facts and of their extras that make claims.
+KEYS = tuple(dict.fromkeys([r[0] for r in FIELDS] + ["altura_max_m", "num_plazas"]))
+EXTRA_KEYS = tuple(dict.fromkeys([r[0] for r in (*EXTRAS, *TEXTS, *ITEMS)] + ["prohibitions", "activities", "max_vehicle_length_ft"]))
+
+
+def _parsed(records: DataFrame) -> DataFrame:
+    """Records with a struct `facts` of the values by key and, by `servicios_extras.` and key, of the extras: each text is parsed once, its extras once."""
+    rows = records.select("record_id", F.json_tuple("facts", *KEYS, "servicios_extras").alias(*[f"_{i}" for i in range(len(KEYS))], "_extras"))
+    rows = rows.select("*", F.json_tuple("_extras", *EXTRA_KEYS).alias(*[f"_x{i}" for i in range(len(EXTRA_KEYS))]))
+    fields = [F.col(f"_{i}").alias(k) for i, k in enumerate(KEYS)] + [F.col(f"_x{i}").alias(f"servicios_extras.{k}") for i, k in enumerate(EXTRA_KEYS)]
+    return rows.select("record_id", F.struct(*fields).alias("facts"))
+
+
 def _field(facts: Column, path: str) -> Column:
-    return F.get_json_object(facts, f"$.{path}")
+    return facts.getField(path)
 
 
 def _flag(raw: Column) -> Column:
@@ -137,7 +150,7 @@ def _from_list(items: Column, rules: list[tuple], test) -> list[Column]:
 
 
 def candidates(facts: Column) -> Column:
-    """All claims that the facts make, in the order of precedence; null where a rule makes none."""
+    """All claims that parsed facts make, in the order of precedence; null where a rule makes none."""
     single = []
     for field, signal, yes, no, confidence in FIELDS:
         flag = _flag(_field(facts, field))
@@ -165,6 +178,8 @@ def claims_of_facts(records: DataFrame) -> DataFrame:
 
     records: record_id, facts, a JSON object. Null and broken facts make no claims.
     """
-    made = records.select("record_id", F.filter(candidates(F.col("facts")), lambda c: c.isNotNull()).alias("made"))
+    # the work on a record is great beside its size, so tasks get few records each, however small the input's files are
+    spread = records.repartition(4 * records.sparkSession.sparkContext.defaultParallelism, "record_id")
+    made = _parsed(spread).select("record_id", F.filter(candidates(F.col("facts")), lambda c: c.isNotNull()).alias("made"))
     first = F.filter("made", lambda c, i: F.array_position(F.transform("made", lambda m: m["signal"]), c["signal"]) == i + 1)
     return made.select("record_id", F.explode(first).alias("claim")).select("record_id", "claim.signal", "claim.value", "claim.confidence")
