@@ -33,14 +33,14 @@ def in_given_order(rows: DataFrame, key: str, ids: Sequence[int]) -> DataFrame:
     return rows.where(F.col(key).isin(list(ids))).withColumn("place", F.array_position(wanted, F.col(key).cast("int")))
 
 
-def missing_downloads(records: DataFrame, reviews: DataFrame) -> DataFrame:
+def missing_downloads(records: DataFrame, reviews: DataFrame, keys: Sequence[str] = ("source", "source_id")) -> DataFrame:
     """Records that announce more reviews than have been loaded, with both numbers.
 
-    records: source, source_id, expected. reviews: source, source_id, review_id;
-    reviews are counted once each and before they meet the records.
+    records: keys, expected. reviews: keys, review_id; reviews are counted once each and
+    before they meet the records. keys are what tells records apart.
     """
-    loaded = reviews.groupBy("source", "source_id").agg(F.count_distinct("review_id").alias("loaded"))
-    rows = records.join(loaded, ["source", "source_id"], "left").withColumn("loaded", F.coalesce("loaded", F.lit(0)))
+    loaded = reviews.groupBy(*keys).agg(F.count_distinct("review_id").alias("loaded"))
+    rows = records.join(loaded, list(keys), "left").withColumn("loaded", F.coalesce("loaded", F.lit(0)))
     return rows.where("expected > loaded")
 
 
