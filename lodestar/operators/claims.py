@@ -74,61 +74,91 @@ def rules_of(rows: DataFrame, most: int = MOST_NEEDLES) -> tuple[Rule, ...]:
     return tuple(rules.values())
 
 
+_DENYING = frozenset(NEGATIONS)
+
+
 def _denies(token: str) -> bool:
-    return token in NEGATIONS or token.endswith("n't")
+    return token in _DENYING or token.endswith("n't")
 
 
 @lru_cache(maxsize=4)
-def _needles(rules: tuple[Rule, ...]) -> Needles:
-    """The automaton of a vocabulary, built once in a worker."""
-    return Needles(list(dict.fromkeys(n for r in rules for n in r.needles)), _denies, NEGATION_WORDS, CLAUSE_ENDS, EXCLUSIONS, CLOSURES, FACILITIES)
+def _needles(rules: tuple[Rule, ...]) -> tuple[Needles, list[list[tuple[int, int]]]]:
+    """The automaton of a vocabulary, and of each of its needles the rules that hold it with its place there; built once in a worker."""
+    of: dict[str, list[tuple[int, int]]] = {}
+    for k, rule in enumerate(rules):
+        for at, needle in enumerate(rule.needles):
+            of.setdefault(needle, []).append((k, at))
+    return Needles(list(of), _denies, NEGATION_WORDS, CLAUSE_ENDS, EXCLUSIONS, CLOSURES, FACILITIES), list(of.values())
 
 
 def held_rules(rules: tuple[Rule, ...], text: str) -> list[tuple[int, str]]:
     """Rules that a text holds, by place, each with the first of its needles that counts; the first rule of a claim stands for it."""
     low = text.lower()
-    needles = _needles(rules)
-    held = {needles.needles[i] for i in needles.found(low)}
+    needles, holding = _needles(rules)
+    first: dict[int, int] = {}
+    for i in needles.found(low):
+        for k, at in holding[i]:
+            first[k] = min(at, first.get(k, at))
     out, seen = [], set()
-    for k, rule in enumerate(rules) if held else ():
-        needle = next((n for n in rule.needles if n in held), None)
+    for k in sorted(first):
+        rule = rules[k]
         claim = (rule.signal, rule.value)
-        if needle is None or claim in seen or claim == FROZEN_CLAIM and any(f in low for f in FREEZE):
+        if claim in seen or claim == FROZEN_CLAIM and any(f in low for f in FREEZE):
             continue
         seen.add(claim)
-        out.append((k, needle))
+        out.append((k, rule.needles[first[k]]))
     return out
 
 
-def _holding(rules: Sequence[Rule]):
-    """A column function: the rules that a text holds."""
+def excerpt_of(low: str, needle: str, around: int) -> str | None:
+    """The needle with `around` characters on either side, at its first place in a text in lower case; null if it isn't there."""
+    at = low.find(needle)
+    return None if at < 0 else low[max(at - around, 0):at + len(needle) + around].strip(" ")
+
+
+def _holding(rules: Sequence[Rule], around: int | None = None):
+    """A column function of a text, and of the text in lower case where excerpts are wanted: the rules that it holds."""
     rules = tuple(rules)
+    said = [("rule", pa.int32()), ("needle", pa.string())]
+    shown = T.StructType().add("rule", "integer").add("needle", "string")
+    if around is None:
+
+        @F.arrow_udf(T.ArrayType(shown))
+        def held(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for batch in batches:
+                yield pa.array([[(k, n) for k, n in held_rules(rules, t)] for t in batch.to_pylist()], pa.list_(pa.struct(said)))
+
+        return held
 
-    @F.arrow_udf(T.ArrayType(T.StructType().add("rule", "integer").add("needle", "string")))
-    def held(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kind = pa.list_(pa.struct([("rule", pa.int32()), ("needle", pa.string())]))
-        for batch in batches:
-            yield pa.array([[{"rule": k, "needle": n} for k, n in held_rules(rules, t)] for t in batch.to_pylist()], kind)
+    @F.arrow_udf(T.ArrayType(shown.add("excerpt", "string")))
+    def held_with_excerpts(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        kind = pa.list_(pa.struct([*said, ("excerpt", pa.string())]))
+        for batch, lows in batches:
+            yield pa.array([[(k, n, excerpt_of(low, n, around)) for k, n in held_rules(rules, t)] for t, low in zip(batch.to_pylist(), lows.to_pylist(), strict=True)], kind)
 
-    return held
+    return held_with_excerpts
 
 
-def extract_claims(reviews: DataFrame, rules: Sequence[Rule], text: str = "text", key: str = "review_id") -> DataFrame:
+def extract_claims(reviews: DataFrame, rules: Sequence[Rule], text: str = "text", key: str = "review_id", around: int | None = None) -> DataFrame:
     """Rows (key, signal, value, confidence, needle): the claims that a review's text makes, each once.
 
     The vocabulary is one automaton that walks each text once; needle is the first of
-    the rule's that counts. Null texts make no claims.
+    the rule's that counts. Null texts make no claims. With `around` there is a column
+    excerpt, the needle's first place in the text in lower case with as many characters
+    on either side: cut where the text is walked, so texts don't move.
     """
     rules = [r for r in rules if r.signal not in AMBIGUOUS]
     if not rules:
         rules = [Rule("", "", 0.0, ())]
-    held = _holding(rules)(F.coalesce(text, F.lit("")))
+    whole = F.coalesce(text, F.lit(""))
+    held = _holding(rules)(whole) if around is None else _holding(rules, around)(whole, F.lower(whole))
+    extra = [] if around is None else ["excerpt"]
     made = F.array(*[F.struct(F.lit(r.signal).alias("signal"), F.lit(r.value).alias("value"), F.lit(r.confidence).alias("confidence")) for r in rules])
     rows = reviews.select(key, held.alias("_held"))
-    claims = rows.select(key, F.transform("_held", lambda h: F.struct(F.element_at(made, h["rule"] + 1).alias("claim"), h["needle"].alias("needle"))).alias("_made"))
+    claims = rows.select(key, F.transform("_held", lambda h: F.struct(F.element_at(made, h["rule"] + 1).alias("claim"), *[h[c].alias(c) for c in ("needle", *extra)])).alias("_made"))
     beaten = lambda c: c["claim"]["signal"].isin(*FALSE_WINS) & (c["claim"]["value"] == "true") & F.exists(
         "_made", lambda o: (o["claim"]["signal"] == c["claim"]["signal"]) & (o["claim"]["value"] == "false"))
-    return claims.select(key, F.explode(F.filter("_made", lambda c: ~beaten(c))).alias("_c")).select(key, "_c.claim.*", "_c.needle")
+    return claims.select(key, F.explode(F.filter("_made", lambda c: ~beaten(c))).alias("_c")).select(key, "_c.claim.*", "_c.needle", *[f"_c.{c}" for c in extra])
 
 
 def mentions_ambiguous(text: Column, rules: Sequence[Rule]) -> Column:

@@ -182,8 +182,8 @@ def vocabulary_claims(spark: SparkSession, d: str) -> DataFrame:
     rule = (F.col("at") % N_RULES).alias("rule")
     rules = claims.rules_of(ranked.select(rule, "at", F.concat(F.lit("s"), rule % (N_RULES // 2)).alias("signal"),
                                           F.when(rule < N_RULES // 2, "true").otherwise("false").alias("value"), F.lit(0.8).alias("confidence"), "needle"))
-    found = claims.extract_claims(docs, rules, key="doc_id")
-    return found.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "signal", "value", "needle", text.excerpt(F.lower("text"), F.col("needle"), 20).alias("excerpt"))
+    found = claims.extract_claims(docs.where("doc_id IS NOT NULL"), rules, key="doc_id", around=20)
+    return found.select("doc_id", "signal", "value", "needle", "excerpt")
 
 
 VOCABULARY_CLAIMS = rf"""

@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestar.operators import claims, facts, observations
 from lodestar.operators.claims import Rule
@@ -115,3 +116,15 @@ def test_coercions(spark):
     got = rows.select(observations.as_boolean(rows["raw"]), observations.as_share(rows["raw"])).collect()
     assert [r[0] for r in got] == [True, False, True, None, None, None, None, None, None, None, None, None]
     assert [r[1] for r in got] == [1.0, 0.0, 1.0, 0.5, 0.8, 1.0, 0.0, None, None, None, None, 0.1]
+
+
+def test_excerpts_are_cut_where_the_text_is_walked(spark):
+    """As text.excerpt cuts them, at the needle's first place even if that one is denied, and without a second move of the texts."""
+    from lodestar.functions import text as texts
+
+    rows = spark.createDataFrame([(1, "Not quiet, ÉTÉ. So quiet by night"), (2, "  the lake"), (3, "İ ΟΔΟΣ open 𝄞"), (4, None)], "review_id long, text string")
+    got = claims.extract_claims(rows, RULES, around=5)
+    want = claims.extract_claims(rows, RULES).join(rows, "review_id").select("review_id", "needle", texts.excerpt(F.lower("text"), F.col("needle"), 5).alias("excerpt"))
+    shown = lambda df: sorted((r.review_id, r.needle, r.excerpt) for r in df.collect())
+    assert shown(got) == shown(want) and len(shown(got)) == 4
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
