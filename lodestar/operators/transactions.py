@@ -51,14 +51,17 @@ def ingest(tables: VersionedTables, epoch: int, payloads: DataFrame, reviews: Da
 
     Only buckets of places with a payload are read and written, so an epoch costs what
     it touches. Rows of a place meet in its bucket; large buckets are several files.
+    Payloads are parsed once each, by many tasks, in however few files they came.
     """
     now = tables.snapshot()
     if epoch <= now.version:
         return False
     known = [r["signal"] for r in signals.select("signal").collect()]
     named = payloads.where("spot_id IS NOT NULL").select(F.struct(F.col("spot_id").cast("long").alias("spot_id"), "seq").alias("of"), "payload")
-    said = llm_payload.validated(named, known, key="of").where(~F.array_contains("errors", "payload: not JSON"))
-    said = checkpointed(said.select("of.spot_id", "of.seq", "claims", "alerts", "cross_references", "summary", "tags"))
+    spread = named.repartition(4 * tables.spark.sparkContext.defaultParallelism, "of")
+    # kept before the filter, which would parse each payload again for all that it looks at
+    said = checkpointed(llm_payload.validated(spread, known, key="of").select("of.spot_id", "of.seq", "claims", "alerts", "cross_references", "summary", "tags", "errors"))
+    said = said.where(~F.array_contains("errors", "payload: not JSON")).drop("errors")
     touched = said.select("spot_id").distinct()
     places = tables.touched("spots", touched)
     held = {name: now.read(name, places) for name in TABLES}

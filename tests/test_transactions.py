@@ -77,3 +77,17 @@ def test_a_killed_stream_leaves_all_of_an_epoch_or_nothing(spark, tmp_path, monk
     again = spark.createDataFrame(SECOND, PAYLOAD)
     assert not transactions.ingest(tables, 1, again, reviews, signals, AS_OF)  # a batch that is run again is applied once
     assert transactions.ingest(tables, 2, again.where("seq < 0"), reviews, signals, AS_OF) and held(tables) == AFTER_SECOND
+
+
+def test_payloads_of_one_file_are_parsed_by_many_tasks(spark, tmp_path, monkeypatch):
+    reviews = spark.createDataFrame(REVIEWS, "review_id long, text string, at timestamp, source_confidence double")
+    signals = spark.createDataFrame(SIGNALS, "signal string, value_type string, half_life int")
+    tables, parsed, tasks = transactions.store(spark, f"file://{tmp_path}/tables", 4), transactions.llm_payload.validated, []
+
+    def validated(payloads, *args, **kwargs):
+        tasks.append(payloads.rdd.getNumPartitions())
+        return parsed(payloads, *args, **kwargs)
+
+    monkeypatch.setattr(transactions.llm_payload, "validated", validated)
+    assert transactions.ingest(tables, 0, spark.createDataFrame(FIRST, PAYLOAD).coalesce(1), reviews, signals, AS_OF)
+    assert held(tables) == AFTER_FIRST and tasks == [4 * spark.sparkContext.defaultParallelism]
