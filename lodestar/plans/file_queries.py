@@ -37,7 +37,7 @@ def osm_extract(spark: SparkSession, d: str) -> DataFrame:
     osm_pbf.register(spark)
     folder = stream_folder(spark, f"extract_{uuid.uuid4().hex}")
     extract_entities(spark, d).write.format("osm_pbf").mode("append").save(folder)
-    return places.extract_places(spark.read.format("osm_pbf").load(folder))
+    return places.extract_places(osm_pbf.extract(spark, folder))
 
 
 OSM_EXTRACT = """

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyarrow import fs
-from pyspark.sql.datasource import DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSourceArrowWriter, DataSourceWriter, WriterCommitMessage
 
 
 def located(path: str) -> tuple[fs.FileSystem, str]:
@@ -61,3 +61,7 @@ class FolderWriter(DataSourceWriter):
         for m in messages:
             if m is not None:
                 system.delete_file(f"{root}/_{m.name}")
+
+
+class ArrowFolderWriter(FolderWriter, DataSourceArrowWriter):
+    """The same for an encoder of Arrow batches."""

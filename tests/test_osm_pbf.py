@@ -96,3 +96,16 @@ def test_key_order_of_categories(spark):
     rows = [(1, {"shop": "supermarket", "amenity": "fuel"}), (2, {"amenity": "bench", "shop": "bakery"}), (3, {"natural": "beach", "tourism": "viewpoint"}), (4, {}), (5, None)]
     got = spark.createDataFrame(rows, "i int, tags map<string,string>").select("i", places.key_category(F.col("tags")).alias("c"), places.category(F.col("tags")).alias("first")).collect()
     assert [(r.c, r.first) for r in got] == [("fuel", "supermarket"), ("bakery", "bakery"), ("viewpoint", "viewpoint"), (None, None), (None, None)]
+
+
+def test_blocks_of_many_entities_and_reads_of_one_kind(spark, tmp_path):
+    """Empty keys and values, ways without nodes at a block's ends, greatest numbers; a filter on kind leaves out the other read."""
+    osm_pbf.register(spark)
+    far = (1 << 62) - 1
+    rows = [("node", far, -1_800_000_000, 900_000_000, {"name": "", "": "x"}, None), ("node", -far, 5, -7, None, None),
+            *[("way", i, None, None, {"v": str(i)} if i % 3 else {}, [far, -far, i][: i % 4]) for i in range(8_100)], ("way", 9_000, None, None, {"k": ""}, None)]
+    spark.createDataFrame(rows, osm_pbf.SCHEMA).coalesce(1).write.format("osm_pbf").mode("append").save(str(tmp_path / "e"))
+    got = osm_pbf.extract(spark, str(tmp_path / "e"))
+    want = [(k, i, x, y, tuple(sorted((t or {}).items())), None if k == "node" else tuple(r or ())) for k, i, x, y, t, r in rows]
+    assert _as_set(got.collect()) == sorted(want)
+    assert got.where("kind = 'way'")._jdf.queryExecution().optimizedPlan().toString().count("osm_pbf") == 1
