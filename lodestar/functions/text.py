@@ -91,12 +91,10 @@ def token_set(text: Column, longer_than: int = 2) -> Column:
 def keyword_language(text: Column) -> Column:
     """The language with most of its words in the text; ties in the order listed, null without any."""
     s = F.concat(F.lit(" "), F.lower(F.coalesce(text, F.lit(""))), F.lit(" "))
-    score = {k: sum((F.contains(s, F.lit(f" {w} ")).cast("int") for w in ws), F.lit(0)) for k, ws in LANGUAGE_WORDS.items()}
-    best = F.greatest(*score.values())
-    out = F.when(best == 0, F.lit(None).cast("string"))
-    for k, n in score.items():
-        out = out.when(n == best, k)
-    return out
+    count = lambda t: F.array(*[sum((F.contains(t, F.lit(f" {w} ")).cast("int") for w in ws), F.lit(0)) for ws in LANGUAGE_WORDS.values()])
+    first = lambda n: F.when(F.array_max(n) > 0, F.element_at(F.array(*map(F.lit, LANGUAGE_WORDS)), F.array_position(n, F.array_max(n)).cast("int")))
+    # by arrays of one element, so the text is lowered and looked through once
+    return F.get(F.transform(F.transform(F.array(s), count), first), 0)
 
 
 def clean_text(text: Column) -> Column:
