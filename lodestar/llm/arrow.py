@@ -1,7 +1,9 @@
-"""Batches of texts, kept small."""
+"""Batches of texts, kept small, and packed numbers."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Rows and bytes of a batch at most; texts of a few kilobytes make a batch of about a megabyte.
@@ -27,3 +29,16 @@ def small_batches(df: DataFrame) -> DataFrame:
         if not held.isdigit() or not 0 < int(held) <= most:  # sizes with a unit, and no bound at all, too
             conf.set(key, str(most))
     return df
+
+def packed(values, width: int = 4) -> bytes:
+    """Whole numbers from 0, of `width` bytes, to few bytes: their low bytes, then the next, and so on, compressed."""
+    values = np.ascontiguousarray(values, f"<u{width}")
+    planes = values.view(np.uint8).reshape(-1, width).T.tobytes()
+    return len(values).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, width: int = 4) -> np.ndarray:
+    """The numbers that were packed: bytes of one, else long."""
+    size = int.from_bytes(data[:8], "little") * width
+    planes = np.frombuffer(pa.decompress(data[8:], size, codec="zstd", asbytes=True), np.uint8).reshape(width, -1)
+    return planes[0] if width == 1 else np.ascontiguousarray(planes.T).view(f"<u{width}")[:, 0].astype(np.int64)

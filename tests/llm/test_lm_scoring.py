@@ -160,3 +160,28 @@ def test_without_training_texts_and_without_rows(spark):
     assert lm.op11_lm_scoring(rows.limit(0)).count() == 0
     ends = lm.score_texts(rows.where("doc_id = 2"), F.lit(True)).first()
     assert ends.train_tokens == ends.n_known == 1 and ends.base_score == pytest.approx(log10(1.1 / 1.2)) and ends.score < 0
+
+
+def test_tokens_of_bytes_are_those_of_the_pattern():
+    texts = ["", " ", "A b\tC", "\x1cÄ\u00a0B\u2003c \x0b\x0cÉA\x85", "x", "\n\ny\n"]
+    found, sizes = lm._tokens([t.encode() for t in texts])
+    want = [tokens(t) for t in texts]
+    assert [w.decode() for w in found.to_pylist()] == sum(want, []) and sizes.tolist() == list(map(len, want))
+
+
+def test_words_move_in_packed_rows(spark):
+    rng = np.random.default_rng(11)
+    kinds = np.array(["".join(map(chr, rng.integers(97, 123, 8))) for _ in range(60_000)])
+    docs = [(i, " ".join(rng.choice(kinds, 1000))) for i in range(100)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(3).localCheckpoint()
+    context = spark.sparkContext._jsc.sc()
+
+    def moved():
+        """Rows that were shuffled or written so far."""
+        context.listenerBus().waitUntilEmpty(30_000)
+        stages = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(s.shuffleWriteRecords() + s.outputRecords() for s in (stages.apply(i) for i in range(stages.size())))
+
+    before = moved()
+    assert lm.score_texts(rows, F.col("doc_id") % 10 > 0, n_exchanged=500, rounds=1).count() == 100
+    assert moved() - before < 100_000  # as many as tokens; words that moved one to a row, again and again, made several times that
