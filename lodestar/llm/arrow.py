@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +34,25 @@ def small_batches(df: DataFrame) -> DataFrame:
             conf.set(key, str(most))
     return df
 
+
+def given_back(function: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """`function` over a task's batches, after whose end the worker's free memory goes back to the system.
+
+    Workers serve one task after another, and what one has freed stays theirs: the
+    peaks of all stages would add up beside the executor's heap.
+    """
+
+    @functools.wraps(function)
+    def run(batches):
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+        if trim:
+            trim(0)
+
+    return run
+
+
 def packed(values, width: int = 4) -> bytes:
     """Whole numbers from 0, of `width` bytes, to few bytes: their low bytes, then the next, and so on, compressed."""
     values = np.ascontiguousarray(values, f"<u{width}")

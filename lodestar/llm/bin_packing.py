@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.arrow import small_batches
+from lodestar.llm.arrow import given_back, small_batches
 from lodestar.llm.scratch import written
 
 CAPACITY, END_ID = 2048, 0
@@ -54,11 +54,11 @@ def encoder(path: str):
     """text -> ids of the byte-level BPE file at `path`, as the tokenizers library gives them.
 
     The merges run in tiktoken, several times faster with the same vocabulary; a
-    text that spells one of the file's special tokens goes to tokenizers itself.
+    text that spells one of the file's special tokens goes to tokenizers itself,
+    which is loaded at the first such text.
     """
     import public_tokenizers
     import tiktoken
-    from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
@@ -66,11 +66,16 @@ def encoder(path: str):
     table = _bytes_of_unicode()
     ranks = {bytes(table[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in special}
     fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    exact = Tokenizer.from_file(path)
+
+    @lru_cache(maxsize=1)
+    def exact():
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(path)
 
     def encode(text: str) -> list[int]:
         if any(s in text for s in special):
-            return exact.encode(text, add_special_tokens=False).ids
+            return exact().encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 
     return encode
@@ -94,6 +99,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = N
     """Pieces of each document's ids and the end id; with their ids if asked for."""
     path = path or default_path()
 
+    @given_back
     def run(batches):
         encode = encoder(path)
         for batch in batches:
@@ -217,6 +223,7 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, path: str | None =
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     segments = spark.sparkContext.broadcast(_segments(pack_histogram(histogram, capacity)))
 
+    @given_back
     def place(batches):
         table = segments.value
         for batch in batches:

@@ -45,10 +45,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.arrow import small_batches
+from lodestar.llm.arrow import given_back, small_batches
 from lodestar.llm.components import components
 from lodestar.llm.hashing import Roller, mixed
-from lodestar.llm.scratch import scope, written
+from lodestar.llm.scratch import free, scope, written
 
 #: Frequent shingles that the order knows at most, and their least count within a task's buffer.
 FREQUENT, LEAST_COUNT = 1 << 20, 2
@@ -164,6 +164,7 @@ def frequent_shingles(docs: DataFrame, text_col: str, width: int) -> Order:
     for hot ones where it is found.
     """
 
+    @given_back
     def count(batches):
         def emit(held):
             values, n = np.unique(np.concatenate(held), return_counts=True)
@@ -211,6 +212,7 @@ def set_rows(docs: DataFrame, order: Order, id_col: str, text_col: str, width: i
     """Rows (id, text_key, n, sig, gk, prefix, counters): size, digest, group, ordered prefix and counters of each set."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
+    @given_back
     def run(batches):
         order = shared.value
         for batch in batches:
@@ -264,6 +266,7 @@ def _digests(sets: list[np.ndarray]) -> pa.Array:
 def whole_sets(texts: DataFrame, width: int) -> DataFrame:
     """Rows (sid, tokens): whole sets, from rows (sid, sig, text); texts of another set than sig are left out."""
 
+    @given_back
     def run(batches):
         for batch in batches:
             for first, texts in _chunks(batch.column(2)):
@@ -333,6 +336,7 @@ def shared_tokens(rows: DataFrame, order: Order, percent: int) -> DataFrame:
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shared = rows.sparkSession.sparkContext.broadcast(order.hot)
 
+    @given_back
     def pack(batches):
         def emit(held):
             own = np.unique(np.concatenate(held))  # copies within the buffer fall together
@@ -362,6 +366,7 @@ def shared_tokens(rows: DataFrame, order: Order, percent: int) -> DataFrame:
         if held:
             yield emit(held)
 
+    @given_back
     def keep(batches):
         held = [_unpacked(p) for batch in batches for p in batch.column(1).to_pylist()]
         if not held:
@@ -395,6 +400,7 @@ def _bucket_pairs(placed: DataFrame, percent: int) -> DataFrame:
     """Rows (a, b): possible pairs of rows of one token whose components and references differ, from rows (token, n, pos, sid, component, ref)."""
     parts = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+    @given_back
     def run(batches):
         batches = list(batches)
         if not batches:
@@ -442,6 +448,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, pe
     side = lambda t, c, *extra: t.select(F.col("sid").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in extra])
     bounded = pairs.join(side(sets, "a", "n", "counters"), "a").join(side(sets, "b", "n", "counters"), "b")
 
+    @given_back
     def bound(batches):
         for batch in batches:
             if batch.num_rows:
@@ -619,7 +626,10 @@ def _components_of(docs: DataFrame, id_col: str, text_col: str, width: int, perc
     of = lambda c: heads.select(F.col("gk").alias(c), F.col("head").alias(f"{c}_head"))
     first = first.join(of("a"), "a").join(of("b"), "b").select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
     first = first.union(member.where("sid <> head").select(F.col("sid").alias("a"), F.col("head").alias("b")))
+    # what joins broadcast stays with the executors until the driver's garbage goes, which a large driver rarely looks for
+    free(docs.sparkSession)
     near = _verified(first, sets, texts, width, percent, "first-links")
+    free(docs.sparkSession)
     links = near.where("linked").select("a", "b")
     found = components(links)
 
@@ -629,6 +639,7 @@ def _components_of(docs: DataFrame, id_col: str, text_col: str, width: int, perc
         "sid", "gk", F.coalesce("component", "sid").alias("component"), F.coalesce("ref", "sid").alias("ref"))
     at = written(at, "components")
     within = _within_references(references, at, percent)
+    free(docs.sparkSession)
     at_rows = lambda t: t.select("token", "gk", "n", "pos").join(at, "gk").select("token", "n", "pos", "sid", "component", "ref")
     seen = written(at_rows(hot), "placed")
     spread = seen.groupBy("token", "n", "pos").agg(
@@ -651,7 +662,9 @@ def _components_of(docs: DataFrame, id_col: str, text_col: str, width: int, perc
         (F.col("x.component") < F.col("y.component")) & (F.col("x.ref") != F.col("y.ref"))
     ).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
     more = _verified(_bucket_pairs(at_rows(cold), percent).union(second).union(inside), sets, texts, width, percent, "second-links").where("linked").select("a", "b")
+    free(docs.sparkSession)
     all_found = components(links.union(within).union(more))
+    free(docs.sparkSession)
 
     part = sets.select("sid", "sig", "rep", "stand", "copies").join(all_found.withColumnRenamed("node", "sid"), "sid", "left")
     part = part.where("component IS NOT NULL OR copies > 1").withColumn("component", F.coalesce("component", "sid"))

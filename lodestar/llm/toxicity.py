@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm.arrow import small_batches
+from lodestar.llm.arrow import given_back, small_batches
 
 WORD = re.compile(r"\w+")
 #: Labelled documents of each label that a fit takes at most, and characters that one of them has at most.
@@ -326,14 +326,18 @@ def tagger(spark: SparkSession, chain: Chain):
     found = T.StructType().add("score", "double").add("spans", SPANS)
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("marginal", pa.float64())]))
 
-    @F.arrow_udf(found)
-    def tag_texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    @given_back
+    def tagged(batches):
         chain = model.value
         cache = Emissions(chain)
         for batch in batches:
             scores, spans = _tagged(chain, cache, [t or "" for t in batch.to_pylist()]) if len(batch) else (np.empty(0), [])
             yield pa.StructArray.from_arrays([pa.array(scores), pa.array(spans, span)], names=["score", "spans"])
 
+    @F.arrow_udf(found)
+    def tag_texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from tagged(batches)
+
     return tag_texts.asNondeterministic()  # else a filter on the score would run it a second time
 
 
